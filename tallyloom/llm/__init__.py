@@ -1,0 +1 @@
+"""Training-data operators. Nothing else in the library imports this subpackage."""
