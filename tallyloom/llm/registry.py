@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat
+from .langid import op9_langid
+from .packing import op6_packing
 from .sharding import op1_sharding
+from .simhash import op7_simhash
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
+    "op6_packing": op6_packing,
+    "op7_simhash": op7_simhash,
+    "op9_langid": op9_langid,
 }
 ORACLES = {"op2_chat": OP2_SQL}
