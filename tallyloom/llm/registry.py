@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat
+from .decontam import op3_decontamination
 from .langid import op9_langid
 from .packing import op6_packing
 from .sharding import op1_sharding
 from .simhash import op7_simhash
+from .substring import OP5_SQL, op5_substring
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
+    "op3_decontamination": op3_decontamination,
+    "op5_substring": op5_substring,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_langid": op9_langid,
+    "op10_warc": op10_warc,
 }
-ORACLES = {"op2_chat": OP2_SQL}
+ORACLES = {"op2_chat": OP2_SQL, "op5_substring": OP5_SQL, "op10_warc": OP10_SQL}
