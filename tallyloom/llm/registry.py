@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_chat
 from .decontam import op3_decontamination
 from .langid import op9_langid
+from .licenses import op4_licenses
 from .packing import op6_packing
 from .sharding import op1_sharding
 from .simhash import op7_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_chat": op2_chat,
     "op3_decontamination": op3_decontamination,
+    "op4_licenses": op4_licenses,
     "op5_substring": op5_substring,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
