@@ -156,38 +156,57 @@ def _groups(texts: Iterator[str | None]) -> Iterator[list[tuple[int, list[str]]]
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, item_id, doc_token, item_token, n_tokens, matched, start, end (code points) of each overlap."""
-    spark = docs.sparkSession
-    docs, benchmark = id_and_text(docs), benchmark.select("item_id", "text").where("text IS NOT NULL")
-    total = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / block_tokens))
+    docs = id_and_text(docs)
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_token int, item_token int, n_tokens int, matched int, start int, end int"
     out = None
-    for n in range(n_blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n).collect()  # one bounded block
-        block = Block.build([(r["item_id"], r["text"]) for r in rows])
-        shared = spark.sparkContext.broadcast(tuple(vars(block).values()))  # arrays alone: executors needn't have this module
-        part = docs.mapInArrow(_matcher(shared), schema)
+    for shared in blocks(benchmark, block_tokens):
+        part = docs.mapInArrow(_finder(shared), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _matcher(shared):
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of ``docs``, all columns, that overlap with no benchmark item."""
+    schema = docs.schema
+    for shared in blocks(benchmark, block_tokens):
+        docs = docs.mapInArrow(_dropper(shared), schema)
+    return docs
+
+
+def blocks(benchmark: DataFrame, block_tokens: int) -> Iterator:
+    """Broadcasts of the benchmark's blocks, each bounded by ``block_tokens`` and the longest item."""
+    benchmark = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    total = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n_blocks = max(1, math.ceil(total / block_tokens))
+    for n in range(n_blocks):
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n).collect()
+        block = Block.build([(r["item_id"], r["text"]) for r in rows])
+        # arrays alone: executors needn't have this module
+        yield benchmark.sparkSession.sparkContext.broadcast(tuple(vars(block).values()))
+
+
+def _found(texts: pa.Array, block: Block, present: np.ndarray, words: Words) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item, first token, first token in the item, tokens, matched) of the overlaps of a batch."""
+    for group in _groups(t.as_py() for t in texts):
+        coded = np.fromiter((words[w] for _, found in group for w in (*found, "\n")), np.uint64)  # no token is a line feed
+        starts = np.concatenate([[0], np.cumsum([len(found) + 1 for _, found in group])])
+        for j, at, in_item, n, matched in matches(coded, block, present):
+            g = int(np.searchsorted(starts, at, "right")) - 1
+            yield group[g][0], j, at - int(starts[g]), in_item, n, matched
+
+
+def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words = Block(*shared.value), Words()
         present = block.present()
         for batch in batches:
             row, item, numbers = [], [], []
-            for group in _groups(t.as_py() for t in batch["text"]):
-                coded = np.fromiter((words[w] for _, found in group for w in (*found, "\n")), np.uint64)  # no token is a line feed
-                starts = np.concatenate([[0], np.cumsum([len(found) + 1 for _, found in group])])
-                for j, at, in_item, n, matched in matches(coded, block, present):
-                    g = int(np.searchsorted(starts, at, "right")) - 1
-                    i, first = group[g][0], at - int(starts[g])
-                    spans = [m.span() for m in _TOKEN.finditer(batch["text"][i].as_py().lower())]
-                    row.append(i)
-                    item.append(block.item_ids[j])
-                    numbers.append((first, in_item, n, matched, spans[first][0], spans[first + n - 1][1]))
+            for i, j, first, in_item, n, matched in _found(batch["text"], block, present, words):
+                spans = [m.span() for m in _TOKEN.finditer(batch["text"][i].as_py().lower())]
+                row.append(i)
+                item.append(block.item_ids[j])
+                numbers.append((first, in_item, n, matched, spans[first][0], spans[first + n - 1][1]))
             columns = np.asarray(numbers, np.int32).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].take(pa.array(row, pa.int32())), pa.array(item, pa.int64()), *(pa.array(columns[:, k]) for k in range(6))],
@@ -197,9 +216,16 @@ def _matcher(shared):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id of each document with an overlap, once."""
-    return overlaps(docs, benchmark).select("doc_id").distinct()
+def _dropper(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, words = Block(*shared.value), Words()
+        present = block.present()
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            kept[[i for i, *_ in _found(batch["text"], block, present, words)]] = False
+            yield batch.filter(pa.array(kept))
+
+    return run
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -142,8 +142,8 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS, top_grams: int = TOP_GRAMS)
     return Filters.build({k: v["gram"].to_numpy() for k, v in kept.groupby("lang")})
 
 
-def predict(docs: DataFrame, filters: Filters, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` and lang_pred, score. Only ``text`` is an input of the prediction."""
+def predict(docs: DataFrame, filters: Filters, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``columns`` of ``docs`` and lang_pred, score (or ``names``). Only ``text`` is an input of the prediction."""
 
     def run(batches):
         for batch in batches:
@@ -156,11 +156,21 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str]) -> DataFrame:
                     score[at] = shares[np.arange(len(at)), best]
                     for i, b in zip(at, best.tolist(), strict=True):
                         language[i] = filters.languages[b]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(language, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(language, pa.string()), pa.array(score)], names=[*columns, *names])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     need = dict.fromkeys([*columns, "text"])
-    return docs.select(*need).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*(docs[f"`{c}`"] for c in need)).mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+
+
+#: Below this share of known n-grams a text is in none of the languages.
+MIN_SCORE = 0.3
+
+
+def in_a_language(docs: DataFrame, filters: Filters, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in one of the learned languages."""
+    judged = predict(docs, filters, docs.columns, ("__lang_pred", "__score"))
+    return judged.where((F.col("__lang_pred") != UND) & (F.col("__score") >= min_score)).drop("__lang_pred", "__score")
 
 
 def held_out() -> F.col:
