@@ -1,7 +1,66 @@
-"""Placeholder until the stages are in."""
-ORACLE_SQL = None
-STAGES = []
+"""The corpus pipeline: documents to packed training sequences in five stages.
+
+Each stage is one of the operators in ``tallyloom.llm`` applied to all that the stage before kept. Its
+result is written as Parquet in the folder that the cluster shares and read again, so a lost executor
+costs the tasks of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import decontam, langid, packing, simhash, substring
+from tallyloom.llm.common import id_and_text, stored
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID learned from the labelled documents; what is in none of the languages goes."""
+    return langid.in_a_language(docs, langid.learn(docs.select("doc_id", "text", "lang")))
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicates: the smallest doc_id of each class stays; a document without an id can't be named and stays."""
+    classes = simhash.near_duplicates(docs)
+    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines are cut but for their earliest occurrence; a document of nothing else goes."""
+    cut = substring.without_repeats(docs)
+    return cut.where(F.col("text").isNull() | F.col("text").rlike(r"\S"))
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(packing.pieces(id_and_text(docs), public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language", in_a_language),
+    ("near_duplicates", one_of_each_class),
+    ("repeats", without_repeats),
+    ("benchmark", without_benchmark),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; the packed pieces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: SQL has neither the fingerprints nor the tokenizer; tests compare with a brute-force version.
+ORACLE_SQL = None
