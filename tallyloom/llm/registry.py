@@ -6,6 +6,7 @@ from .chat import OP2_SQL, op2_chat
 from .decontam import op3_decontamination
 from .langid import op9_langid
 from .licenses import op4_licenses
+from .media import op8_media
 from .packing import op6_packing
 from .sharding import op1_sharding
 from .simhash import op7_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_substring": op5_substring,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_media": op8_media,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
 }
