@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import aggregates, joins
+
+FLAGSHIP = "j1_batch_to_bank"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for theme in (joins, aggregates):
+    QUERIES |= theme.QUERIES
+    ORACLES |= theme.ORACLES
