@@ -17,7 +17,9 @@ longer than the capacity are cut.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,34 +34,59 @@ CAPACITY = 2048
 #: Parts in which each length is ranked in parallel.
 RANK_PARTS = 64
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
-def word_encoder(tokenizer_path: str) -> Callable[[str], bytes]:
-    """text -> token ids as little-endian unsigned 32-bit numbers.
+#: Latin letters that need no normalisation, then marks: what the tokenizer's rules take as one word and one run.
+_PLAIN = re.compile(r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SELF)}
+
+
+class Words(dict):
+    """A word (bytes, A-Z in lower case, no white space) to its token ids, remembered.
 
     This vocabulary's rules never join what white space parts, and lower-case all, so a word's ids
-    don't depend on its neighbours: words seen before come from a bounded memory.
+    don't depend on its neighbours. Plain Latin words go to the vocabulary's merges at once, others
+    through all of the tokenizer's rules.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    seen: dict[bytes, bytes] = {}
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.parts.clear()
+        text = word.decode()
+        if plain := _PLAIN.fullmatch(text):
+            stem, marks = plain.groups()
+            ids = self.part(stem.lower()) + (self.part(marks) if marks else b"")
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def part(self, text: str) -> bytes:
+        """Ids of letters alone or of marks alone."""
+        if (ids := self.parts.get(text)) is None:
+            letters = text if text.isascii() else "".join([_ALPHABET[b] for b in text.encode()])
+            ids = self.parts[text] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+
+def word_encoder(tokenizer_path: str) -> Callable[[str], bytes]:
+    """text -> token ids as little-endian unsigned 32-bit numbers."""
+    ids_of = Words(tokenizer_path).__getitem__
 
     def encode(text: str) -> bytes:
-        words = text.encode().lower().split()  # bytes.lower() folds A-Z only, which commutes with the tokenizer's own rules
-        if new := [w for w in dict.fromkeys(words) if w not in seen]:
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-                new = list(dict.fromkeys(words))
-            encoding = tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(encoding.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.asarray(encoding.word_ids, np.int64), minlength=len(new))) * 4
-            start = 0
-            for word, end in zip(new, ends.tolist(), strict=True):
-                seen[word] = ids[start:end]
-                start = end
-        return b"".join([seen[w] for w in words])
+        return b"".join(map(ids_of, text.encode().lower().split()))  # bytes.lower() folds A-Z only, which commutes with the tokenizer's own rules
 
     return encode
 
@@ -141,7 +168,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed, _ = sweeps(per_length, capacity)
     plan = cut.sparkSession.createDataFrame(placed, "length long, first_rank long, n long, first_sequence long, offset long")
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = cut.withColumn("k", rank).join(F.broadcast(starts), ["length", "part"]).withColumn("rank", F.col("before") + F.col("k") - 1)
+    ranked = cut.withColumn("k", rank).join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("k") - 1)
     # the plan's rows depend on the lengths that occur, not on how often they do
     inside = (ranked["length"] == plan["length"]) & (ranked["rank"] >= plan["first_rank"]) & (ranked["rank"] < plan["first_rank"] + plan["n"])
     return ranked.join(F.broadcast(plan), inside).select(
