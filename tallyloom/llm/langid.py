@@ -30,6 +30,7 @@ UND = "und"
 GRAM = 4
 #: Documents of a language that teach at most, and n-grams kept of each.
 MAX_DOCS, TOP_GRAMS = 4000, 6000
+RANK_PARTS = 64
 #: Slots of each of the two hash tables, as a power of two, and the hashes' odd multipliers.
 SLOT_BITS = 18
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77)
@@ -102,7 +103,7 @@ class Filters:
         return np.clip((out / n - wrong) / (1 - wrong), 0, 1)
 
 
-def _pieces(texts: list[str | None], limit: int = 8 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
+def _pieces(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
     """The texts that have letters, folded, in groups of about ``limit`` bytes: memory stays bounded."""
     at, group, size = [], [], 0
     for i, text in enumerate(texts):
@@ -120,9 +121,12 @@ def _pieces(texts: list[str | None], limit: int = 8 << 20) -> Iterator[tuple[lis
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS, top_grams: int = TOP_GRAMS) -> Filters:
     """Filters from (doc_id, text, lang)."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= max_docs)
-    chosen = chosen.select("doc_id", "lang").distinct()
+    # a language may hold most rows: ranked in parts first, then what the parts leave, a bounded number
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(RANK_PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        ids = ids.withColumn("n", rank).where(F.col("n") <= max_docs).drop("n")
+    chosen = ids.select("doc_id", "lang").distinct()
     # at most max_docs ids of each language
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
 

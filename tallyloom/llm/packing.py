@@ -34,7 +34,7 @@ CAPACITY = 2048
 #: Parts in which each length is ranked in parallel.
 RANK_PARTS = 64
 #: Words whose ids a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 #: Latin letters that need no normalisation, then marks: what the tokenizer's rules take as one word and one run.
