@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins
+from . import aggregates, joins, resolution, serving
 
-FLAGSHIP = "j1_batch_to_bank"
+FLAGSHIP = "a7_outcome_accounting"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for theme in (joins, aggregates):
+for theme in (joins, aggregates, resolution, serving):
     QUERIES |= theme.QUERIES
     ORACLES |= theme.ORACLES
