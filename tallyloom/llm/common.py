@@ -59,3 +59,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just ``doc_id`` and ``text``: other columns, whatever their names, can't clash with an operator's own."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to differ from all columns."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name

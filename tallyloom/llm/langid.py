@@ -11,7 +11,7 @@ and the number of languages, whatever the input's size.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language
 that sorts first; with nothing to learn from, all is ``und``; rows with null or repeated ids are
-ordinary rows; a row without label teaches nothing; other columns are ignored.
+ordinary rows; a row without label, text or id teaches nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import free_name
+
 UND = "und"
 GRAM = 4
 #: Documents of a language that teach at most, and n-grams kept of each.
@@ -138,7 +140,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS, top_grams: int = TOP_GRAMS)
             for language, texts in of.items():
                 for _, group in _pieces(texts):
                     codes, n = np.unique(grams(b"".join(group)), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": [language] * len(codes), "gram": codes.astype(np.int64), "n": n.astype(np.int64)})
+                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -173,8 +175,9 @@ MIN_SCORE = 0.3
 
 def in_a_language(docs: DataFrame, filters: Filters, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in one of the learned languages."""
-    judged = predict(docs, filters, docs.columns, ("__lang_pred", "__score"))
-    return judged.where((F.col("__lang_pred") != UND) & (F.col("__score") >= min_score)).drop("__lang_pred", "__score")
+    language, score = free_name(docs, "__lang_pred"), free_name(docs, "__score")
+    judged = predict(docs, filters, docs.columns, (language, score))
+    return judged.where((F.col(language) != UND) & (F.col(score) >= min_score)).drop(language, score)
 
 
 def held_out() -> F.col:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import free_name, id_and_text, stored
 
 LINE, PARAGRAPH = "\n", "\n\n"
 MIN_WORDS = 8
@@ -71,14 +71,13 @@ def removals(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS)
 
 def without_repeats(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removed units cut out of ``text``; n_chars, where there is one, follows."""
-    gone = removals(docs, separator, min_words).groupBy("doc_id").agg(F.collect_set("unit").alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
-    kept = F.filter(F.split("text", separator, -1), lambda _, k: ~F.array_contains("__gone", k))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, separator))
-    out = joined.withColumn("text", text)
+    cut, key = free_name(docs, "__gone"), free_name(docs, "__id")
+    gone = removals(docs, separator, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("unit").alias(cut))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left")
+    kept = F.filter(F.split("text", separator, -1), lambda _, k: ~F.array_contains(cut, k))
+    out = joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, separator)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

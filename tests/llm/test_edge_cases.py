@@ -13,6 +13,7 @@ ROWS = [
     (2, "the quick brown fox jumps over the lazy dog and runs away", "en"),
     (3, None, "en"), (4, "", "de"), (5, " \n\t ", None), (None, "der schnelle braune Fuchs springt über den faulen Hund und rennt weg", "de"),
     (None, None, None), (6, LONG, "en"), (7, "12345 !!!", "en"), (8, "x", "de"), (9, "Released under the MIT License.", "en"),
+    (10, "eine schnelle braune Katze springt über die faule Maus und rennt heute weg", "de"),
 ]
 SCHEMA = "doc_id long, text string, lang string"
 #: Names that operators use themselves.
@@ -109,7 +110,7 @@ def test_decontamination(spark):
     assert pairs.count((2, 1)) == 2 and pairs.count((8, 4)) == 2
     left = decontam.without_overlaps(docs, bench)
     assert left.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["3", "4", "5", "None", "None", "7", "9"])
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["3", "4", "5", "None", "None", "7", "9", "10"])
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.overlaps(docs, empty).count() == 0 and decontam.without_overlaps(docs, empty).count() == len(ROWS)
     assert decontam.overlaps(documents(spark, []), bench).count() == 0
