@@ -56,3 +56,32 @@ def require(found: DataFrame) -> None:
     bad = found.groupBy("invariant").count().collect()  # a row per invariant at most
     if bad:
         raise ValueError(", ".join(f"{r['invariant']}: {r['count']}" for r in bad))
+
+
+#: Which party stands behind a source.
+PARTIES = {"settlement_report": "psp", "ledger": "psp", "bank": "bank", "resolver": "resolver"}
+
+
+def evidence(outcomes: DataFrame) -> DataFrame:
+    """entity, bank_index, source, party of what a verified line rests on: the statement, the ledger and, in tier A, the report."""
+    sources = F.when(F.col("tier") == "A", F.array(F.lit("bank"), F.lit("ledger"), F.lit("settlement_report"))).otherwise(F.array(F.lit("bank"), F.lit("ledger"), F.lit("resolver")))
+    party = F.create_map(*(F.lit(x) for kv in PARTIES.items() for x in kv))
+    return outcomes.where("kind = 'verified'").select("entity", "bank_index", F.explode(sources).alias("source")).withColumn("party", F.element_at(party, F.col("source")))
+
+
+def independence(found: DataFrame) -> DataFrame:
+    """Parties besides the resolver that support each line; two make it independent."""
+    n = F.count_distinct(F.when(F.col("party") != "resolver", F.col("party")))
+    return found.groupBy("entity", "bank_index").agg(n.alias("n_parties"), F.count(F.lit(1)).alias("n_evidence")).withColumn("independent", F.col("n_parties") >= 2)
+
+
+def unwarranted(assigned: DataFrame, found: DataFrame) -> DataFrame:
+    """Assigned rows whose line has no evidence."""
+    return assigned.join(found.select("entity", "bank_index").distinct(), ["entity", "bank_index"], "left_anti")
+
+
+def premise_sharing(ranked: DataFrame, truth: DataFrame) -> DataFrame:
+    """How often the first-ranked candidate is the truth, and how often chance would have it, in millionths."""
+    k = ranked.groupBy("entity", "bank_index").agg(F.count(F.lit(1)).alias("k"), F.max(F.when(F.col("rank") == 1, F.col("row_ids"))).alias("first"))
+    t = k.where("k > 1").join(truth.where("settlement_id IS NOT NULL").select("entity", "bank_index", "settlement_id"), ["entity", "bank_index"])
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == F.col("settlement_id")).alias("hits"), F.coalesce(F.sum(F.call_function("div", F.lit(1_000_000).cast("long"), F.col("k"))), F.lit(0)).alias("chance_millionths"))

@@ -7,6 +7,8 @@ the count would be right. The budget counts work, never time, so results repeat.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,15 +63,24 @@ def enumerate_lines(pools: DataFrame, cap: int = CAP, budget: int = BUDGET, max_
         F.lit(None).cast("long").alias("credit"), F.lit(False).alias("complete"), F.lit("pool_too_large").alias("status"))
     small = pools.join(sizes.where(F.col("size") <= max_pool).select("entity", "bank_index"), ["entity", "bank_index"], "left_semi")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf.row_id.notna()]
-        net = dict(zip(rows.row_id, rows.net.astype(int), strict=True))
-        found, complete, status = closing_subsets(list(net), list(net.values()), int(pdf.target.iloc[0]), cap, budget)
-        head = (int(pdf.entity.iloc[0]), int(pdf.bank_index.iloc[0]))
-        out = [(*head, k, "|".join(s), sum(net[i] < 0 for i in s), sum(max(0, net[i]) for i in s), complete, status) for k, s in enumerate(found)]
-        return pd.DataFrame(out or [(*head, None, None, None, None, complete, status)], columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return small.groupBy("entity", "bank_index").applyInPandas(one, RESULT).unionByName(large)
+    # lines as rows with their bounded pools: a batch of lines goes to Python at a time, not a group
+    gathered = small.groupBy("entity", "bank_index").agg(
+        F.max("target").alias("target"), F.sort_array(F.collect_list(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "net")))).alias("pool"))
+    gathered = gathered.select("entity", "bank_index", "target", F.col("pool.row_id").alias("ids"), F.col("pool.net").alias("nets"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lines in batches:
+            out = []
+            for entity, bank_index, target, ids, nets in zip(lines.entity, lines.bank_index, lines.target, lines.ids, lines.nets, strict=True):
+                net = dict(zip(ids, map(int, nets), strict=True))
+                found, complete, status = closing_subsets(list(net), list(net.values()), int(target), cap, budget)
+                out += [(entity, bank_index, k, "|".join(s), sum(net[i] < 0 for i in s), sum(max(0, net[i]) for i in s), complete, status) for k, s in enumerate(found)]
+                if not found:
+                    out.append((entity, bank_index, None, None, None, None, complete, status))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+            yield frame.astype({"candidate": "Int32", "n_debits": "Int32", "credit": "Int64"})
+
+    return gathered.mapInPandas(run, RESULT).unionByName(large)
 
 
 def fewest_deferred(candidates: DataFrame) -> DataFrame:

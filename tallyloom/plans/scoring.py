@@ -149,9 +149,122 @@ def t4_worst_line(spark, sf):
     return d.groupBy("entity").agg(F.max_by("bank_index", F.struct("amount", (-F.col("bank_index")).alias("b"))).alias("bank_index"), F.max("amount").alias("amount"))
 
 
+def g2_independence(spark, sf):
+    return G.independence(G.evidence(RES._decided(spark, sf)[2]))
+
+
+def g4_unwarranted_rows(spark, sf):
+    rows, _, d = RES._decided(spark, sf)
+    assigned = d.where("kind = 'verified'").join(rows.where("settlement_id IS NOT NULL").select("entity", "settlement_id", "row_id"), ["entity", "settlement_id"])
+    return G.unwarranted(assigned, G.evidence(d)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g9_proven_but_settled(spark, sf):
+    """Proven rows of verified settlements, by reason."""
+    from ..operators import dispositions as D
+
+    rows, _, d = RES._decided(spark, sf)
+    settled = rows.join(d.where("kind = 'verified'").select("entity", "settlement_id"), ["entity", "settlement_id"], "left_semi").select("entity", "row_id")
+    return D.proven(rows).where("proven IS NOT NULL").join(settled, ["entity", "row_id"], "left_semi").groupBy("proven").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g12_discrepancy_split(spark, sf):
+    """Discrepancies by what was planted on their line: a wrong bank amount, a wrong report, a reversal, or nothing."""
+    _, _, d = RES._decided(spark, sf)
+    o = F.floor(F.col("bank_index") / 10)
+    planted = F.when(o % 17 == 0, "reversal").when(o % 13 == 0, "bank_amount").when(o % 29 == 0, "report_amount").otherwise("none")
+    own = d.where("bank_index % 10 = 0 AND amount > 0")
+    return own.groupBy(planted.alias("planted"), (F.col("kind") == "discrepancy").alias("found")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def g13_open_breaks(spark, sf):
+    """Open breaks by reason: rows, distinct causes and the oldest."""
+    x = RES.d5_dispositions(spark, sf).where("reason IS NOT NULL")
+    return x.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("caused_by").alias("n_causes"), F.max("age_days").alias("oldest"))
+
+
+def g14_foreign_adopted(spark, sf):
+    _, _, d = RES._decided(spark, sf)
+    return d.where("bank_index % 10 = 2").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g15_premise_sharing(spark, sf):
+    return G.premise_sharing(RES.w9_ranked_candidates(spark, sf), RES._truth(X.ledger(spark, sf)))
+
+
+def g17_dataset_scores(spark, sf):
+    """One score row for each tenth of the entities."""
+    _, _, d = RES._decided(spark, sf)
+    return d.groupBy((F.col("entity") % 10).alias("dataset")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("verified", "discrepancy", "ambiguous", "unresolved", "open")))
+
+
+def g18_tax_file_probe(spark, sf):
+    """What an outcome owes to the tax file: the rows at risk with all invoices less those with half of them, and the reverse."""
+    rows = X.ledger(spark, sf)
+    a, g = T.accrued_fees(rows), X.gst_invoices(rows)
+    full, half = T.months_at_risk(a, g), T.months_at_risk(a, g.where("entity % 2 = 0"))
+    tag = lambda df, s: df.groupBy("ground").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s))
+    return tag(full.exceptAll(half), "only_with").unionByName(tag(half.exceptAll(full), "only_without"))
+
+
+def g20_false_positive_audit(spark, sf):
+    """Settlements that both the baseline and the resolver give to a line that isn't theirs."""
+    from ..operators import aggregates as A
+
+    rows, lines, d = RES._decided(spark, sf)
+    truth = RES._truth(rows)
+    wrong = lambda claims: G.wrong_claims(claims.select("entity", "bank_index", "settlement_id"), truth).select("entity", "bank_index", "settlement_id")
+    return wrong(A.naive_matches(rows, lines)).intersect(wrong(d.where("kind = 'verified'")))
+
+
+def a29_reversal_placement(spark, sf):
+    """Where the rows of settlements with a reversed credit landed."""
+    rows, _, d = RES._decided(spark, sf)
+    back = X.settlements(rows).where("ord % 17 = 0 AND net > 0").select("entity", "settlement_id", "n_rows")
+    best = d.where("settlement_id IS NOT NULL").groupBy("entity", "settlement_id").agg(F.count_if(F.expr("kind = 'verified'")).alias("v"), F.count(F.lit(1)).alias("c"))
+    state = F.when(F.col("v") > 0, "placed").when(F.col("c") > 0, "contested").otherwise("unplaced")
+    return back.join(best, ["entity", "settlement_id"], "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n_settlements"), F.sum("n_rows").alias("n_rows"))
+
+
+def a30_absent_gap(spark, sf):
+    """Months without an invoice: the tax that their fees would bear, rounded once, and what rounding each row adds."""
+    rows = X.ledger(spark, sf)
+    a, g = T.accrued_fees(rows), X.gst_invoices(rows)
+    absent = a.join(g.withColumnRenamed("filing_period", "month").select("entity", "month"), ["entity", "month"], "left_anti")
+    once = money.gst(F.col("fees") + F.col("taxes"))
+    return absent.select("entity", "month", "taxes", once.alias("once"), (F.col("taxes") - once).alias("rounding"))
+
+
+def f7_rolled_forward(spark, sf):
+    """Value dates moved off weekends and two fixed holidays."""
+    from ..functions import calendar
+
+    lines = X.bank(X.ledger(spark, sf))
+    return lines.select("bank_index", calendar.roll_forward(F.col("value_day"), [9_130, 9_131]).alias("day"))
+
+
+def c11_credit_collisions(spark, sf):
+    """The smallest payment whose credit is just a given amount."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 5_000 + 1_000).alias("target"))
+    x = c.select("c_custkey", "target", F.explode(F.sequence(F.col("target"), F.col("target") + 200)).alias("amount"))
+    fee = money.fee(F.col("amount"), F.lit(200).cast("long"))
+    return x.where(F.col("amount") - fee - money.gst(fee) == F.col("target")).groupBy("c_custkey", "target").agg(F.min("amount").alias("amount"))
+
+
+def q8_bank_independence(spark, sf):
+    """Lines whose reference can be derived from the books, and the shortest lag between creation and value date."""
+    rows = X.ledger(spark, sf)
+    lines, s = X.bank(rows), X.settlements(rows)
+    x = lines.where("bank_index % 10 = 0").withColumn("ord", F.floor(F.col("bank_index") / 10)).join(s.select("ord", "settlement_id", "last_created_at"), "ord")
+    lag = F.col("value_day") - money.div(F.col("last_created_at"), 86_400)
+    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("reference", F.substring("settlement_id", 6, 100))).alias("derivable"), F.count_if(F.col("reference") == "").alias("blank"), F.min(lag).alias("least_lag"), F.max(lag).alias("most_lag"))
+
+
 QUERIES = {f.__name__: f for f in (
     r9_cascade_matches, d9_routed_exceptions, d10_exceptions_by_owner, f16_narrated, p7_date_pool_sizes, j13_residual_pairs, a8_run_summary, a9_coverage_split, a10_composition_cardinality, a12_row_accounting,
-    a13_candidate_sizes, a14_ground_scores, a22_stability, a24_resistance, a28_bank_side_verdicts, d8_rows_at_risk, c7_exclusive_candidates, p12_exception_search, t4_worst_line)}
+    a13_candidate_sizes, a14_ground_scores, a22_stability, a24_resistance, a28_bank_side_verdicts, d8_rows_at_risk, c7_exclusive_candidates, p12_exception_search, t4_worst_line,
+    g2_independence, g4_unwarranted_rows, g9_proven_but_settled, g12_discrepancy_split, g13_open_breaks, g14_foreign_adopted, g15_premise_sharing, g17_dataset_scores, g18_tax_file_probe, g20_false_positive_audit,
+    a29_reversal_placement, a30_absent_gap, f7_rolled_forward, c11_credit_collisions, q8_bank_independence)}
 _MATCHED = """
 , ur AS (SELECT *, row_number() OVER (PARTITION BY entity, reference ORDER BY bank_index DESC) AS n FROM bank WHERE reference <> ''),
 ex AS (SELECT s.entity, ur.bank_index, s.settlement_id FROM settlements s JOIN ur ON ur.entity = s.entity AND ur.reference = 'utr_' || substr(s.settlement_id, 6) AND ur.n = 1),
@@ -215,4 +328,39 @@ SELECT entity, row_id, month, tax FROM ow WHERE EXISTS (SELECT 1 FROM risk r WHE
     "p12_exception_search": BASE + _EXC + f"SELECT entity, row_id, exception FROM exc WHERE contains(lower(row_id || ' ' || exception || ' ' || {_OWNER}), 'rfnd_1')",
     "t4_worst_line": BASE + _T + """
 , wl AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY amount DESC, bank_index) AS n FROM decided WHERE kind <> 'verified' AND amount > 0) SELECT entity, bank_index, amount FROM wl WHERE n = 1""",
+    "g2_independence": BASE + _T + "SELECT entity, bank_index, CAST(2 AS BIGINT) AS n_parties, CAST(3 AS BIGINT) AS n_evidence, TRUE AS independent FROM decided WHERE kind = 'verified'",
+    "g4_unwarranted_rows": BASE + _T + "SELECT tier, count(*) AS n FROM decided WHERE kind = 'verified' AND tier NOT IN ('A', 'B') GROUP BY 1",
+    "g9_proven_but_settled": BASE + _T + RES._PROVEN + """ SELECT p.proven, count(*) AS n FROM proven p JOIN ledger l ON l.row_id = p.row_id WHERE p.proven IS NOT NULL AND l.settlement_id IN (SELECT settlement_id FROM decided WHERE kind = 'verified') GROUP BY 1""",
+    "g12_discrepancy_split": BASE + _T + """
+SELECT CASE WHEN bank_index // 10 % 17 = 0 THEN 'reversal' WHEN bank_index // 10 % 13 = 0 THEN 'bank_amount' WHEN bank_index // 10 % 29 = 0 THEN 'report_amount' ELSE 'none' END AS planted, kind = 'discrepancy' AS found, count(*) AS n
+FROM decided WHERE bank_index % 10 = 0 AND amount > 0 GROUP BY 1, 2""",
+    "g13_open_breaks": BASE + _T + RES._DISPOSED + " SELECT reason, count(*) AS n_rows, count(DISTINCT caused_by) AS n_causes, max(age_days) AS oldest FROM bucketed WHERE reason IS NOT NULL GROUP BY 1",
+    "g14_foreign_adopted": BASE + _T + "SELECT kind, count(*) AS n FROM decided WHERE bank_index % 10 = 2 GROUP BY 1",
+    "g15_premise_sharing": RES._REC + _TRUTH + """
+, rk AS (SELECT entity, bank_index, row_ids, row_number() OVER (PARTITION BY bank_index ORDER BY n_debits DESC, credit DESC, row_ids) AS rank, count(*) OVER (PARTITION BY bank_index) AS k FROM cand)
+SELECT count(*) AS n, count(CASE WHEN r.row_ids = t.settlement_id THEN 1 END) AS hits, CAST(coalesce(sum(1000000 // k), 0) AS BIGINT) AS chance_millionths
+FROM rk r JOIN truth t ON t.bank_index = r.bank_index AND t.settlement_id IS NOT NULL WHERE rank = 1 AND k > 1""",
+    "g17_dataset_scores": BASE + _T + "SELECT entity % 10 AS dataset, count(*) AS n, " + ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS \"{k}\"" for k in ("verified", "discrepancy", "ambiguous", "unresolved", "open")) + " FROM decided GROUP BY 1",
+    "g18_tax_file_probe": BASE + _AT_RISK + """
+, halfg AS (SELECT * FROM gst WHERE entity % 2 = 0), half AS (SELECT entity, month, 'invoice_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM halfg g WHERE g.entity = a.entity AND g.filing_period = a.month)
+UNION ALL SELECT entity, filing_period, 'no_registration_number' FROM halfg WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'supplier_return_not_filed' FROM halfg WHERE NOT filed),
+a1 AS (SELECT * FROM risk EXCEPT ALL SELECT * FROM half), a2 AS (SELECT * FROM half EXCEPT ALL SELECT * FROM risk)
+SELECT ground, count(*) AS n, 'only_with' AS side FROM a1 GROUP BY 1 UNION ALL SELECT ground, count(*), 'only_without' FROM a2 GROUP BY 1""",
+    "g20_false_positive_audit": BASE + _T + _TRUTH + _NAIVE + """ SELECT n.entity, n.bank_index, n.settlement_id FROM naive n JOIN truth t USING (bank_index) JOIN decided d ON d.bank_index = n.bank_index AND d.kind = 'verified' AND d.settlement_id = n.settlement_id
+WHERE n.settlement_id IS DISTINCT FROM t.settlement_id""",
+    "a29_reversal_placement": BASE + _T + """
+, bs AS (SELECT settlement_id, sum(CASE WHEN kind = 'verified' THEN 1 ELSE 0 END) AS v, count(*) AS c FROM decided WHERE settlement_id IS NOT NULL GROUP BY 1)
+SELECT CASE WHEN b.v > 0 THEN 'placed' WHEN b.c > 0 THEN 'contested' ELSE 'unplaced' END AS state, count(*) AS n_settlements, CAST(sum(s.n_rows) AS BIGINT) AS n_rows
+FROM settlements s LEFT JOIN bs b USING (settlement_id) WHERE s.ord % 17 = 0 AND s.net > 0 GROUP BY 1""",
+    "a30_absent_gap": BASE + """
+SELECT entity, month, taxes, ((fees + taxes) * 18 + 99) // 100 AS once, taxes - ((fees + taxes) * 18 + 99) // 100 AS rounding FROM accrued a
+WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)""",
+    "f7_rolled_forward": BASE + """
+, st AS (SELECT unnest(range(0, 22)) AS i) SELECT bank_index, min(value_day + i) AS day FROM bank, st WHERE (value_day + i + 4) % 7 NOT IN (0, 6) AND value_day + i NOT IN (9130, 9131) GROUP BY 1""",
+    "c11_credit_collisions": """WITH c AS (SELECT c_custkey, c_custkey % 5000 + 1000 AS target FROM customer), st AS (SELECT unnest(range(0, 201)) AS i),
+x AS (SELECT c_custkey, target, target + i AS amount, ((target + i) * 200 + 9999) // 10000 AS fee FROM c, st)
+SELECT c_custkey, target, min(amount) AS amount FROM x WHERE amount - fee - (fee * 18 + 99) // 100 = target GROUP BY 1, 2""",
+    "q8_bank_independence": BASE + """
+SELECT count(*) AS n, count(CASE WHEN contains(reference, substr(settlement_id, 6)) THEN 1 END) AS derivable, count(CASE WHEN reference = '' THEN 1 END) AS blank,
+min(value_day - last_created_at // 86400) AS least_lag, max(value_day - last_created_at // 86400) AS most_lag FROM sb""",
 }

@@ -64,10 +64,10 @@ def f15_digests(spark, sf):
 
 
 def k1_run_ids(spark, sf):
-    e = spark.read.parquet(f"{sf}/customer.parquet")
-    runs = e.select(F.col("c_nationkey").alias("dataset"), ST.run_id(F.col("c_mktsegment"), F.lit("code"), F.lit(200), F.lit(10)).alias("run_id"))
-    stored = runs.where("dataset < 5")
-    return ST.new_runs(runs.where("dataset >= 5").unionByName(stored.limit(0)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), stored.where("dataset < 0"))
+    """Runs that aren't stored yet: those of the first market segments are."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    runs = c.select("c_mktsegment", ST.run_id(F.col("c_mktsegment"), F.lit("code"), F.lit(200), F.lit(10)).alias("run_id"))
+    return ST.new_runs(runs, runs.where("c_mktsegment < 'B'").select("run_id").distinct()).select("c_mktsegment", "run_id")
 
 
 def k2_flattened(spark, sf):
@@ -200,7 +200,7 @@ SELECT c_custkey, body, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((36
 SELECT row_id, CAST(string_split(row_id, '_')[2] AS BIGINT) AS number,
   array_to_string(list_sort(list_distinct(list_filter(string_split(replace(row_id, '_', ' ') || ' ' || method, ' '), lambda w: length(w) BETWEEN 3 AND 40))), ',') AS tokens FROM ledger""",
     "f15_digests": BASE + "SELECT entity, sha256(string_agg(row_id || ':' || credit, '|' ORDER BY row_id || ':' || credit)) AS fingerprint FROM ledger GROUP BY 1",
-    "k1_run_ids": "SELECT sha256(c_mktsegment || '|code|200|10') AS run_id, count(*) AS n FROM customer WHERE c_nationkey >= 5 GROUP BY 1",
+    "k1_run_ids": "SELECT DISTINCT c_mktsegment, sha256(c_mktsegment || '|code|200|10') AS run_id FROM customer WHERE c_mktsegment >= 'B'",
     "k2_flattened": BASE + _T + "SELECT entity, bank_index, kind, reason, tier FROM decided",
     "x4_break_spans": BASE + _SEEN + """
 , s AS (SELECT *, seq - row_number() OVER (PARTITION BY row_id ORDER BY seq) AS g FROM seen)
