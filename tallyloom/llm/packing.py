@@ -3,8 +3,8 @@
 Lengths are whole numbers up to the capacity, so sorting documents and gaps by range is a count per
 length. A round takes all documents of one length, longest first, and all open sequences. Each
 document's successor is the smallest gap that holds it. Where several documents have the same
-successor, the i-th by rank takes the i-th sequence of that gap. The gaps shrink and the sweep goes on
-until the length is placed; what no gap holds opens new sequences. A round works on (length, count)
+successor, ranks decide: the first ones fill its first sequence, the next ones the next. The gaps
+shrink and the sweep goes on until the length is placed; what no gap holds opens new sequences. A round works on (length, count)
 and (gap, run of sequences), bounded by the capacity and not by the documents; the documents
 themselves stay in Spark, get their rank within their length in parallel, and find their place by a
 join on length and rank.
@@ -118,11 +118,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def sweeps(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Where the ranks of each length go: (length, first_rank, n, first_sequence, offset), and how many sequences there are."""
+def sweeps(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Where the ranks of each length go, and how many sequences there are.
+
+    A row (length, first_rank, n, each, first_sequence, offset) puts n ranks, ``each`` to a sequence, one
+    after another from ``offset`` on.
+    """
     gaps: list[int] = []  # sorted sizes of gaps that have open sequences
     runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, n)
-    placed: list[tuple[int, int, int, int, int]] = []
+    placed: list[tuple[int, int, int, int, int, int]] = []
     opened = 0
 
     def leave(gap: int, first: int, n: int) -> None:
@@ -135,25 +139,24 @@ def sweeps(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
         rank, left = 0, counts[length]
         while left:
             at = bisect.bisect_left(gaps, length)
-            if at == len(gaps):  # no gap holds this length
-                each = capacity // length
-                for n, many in ((left // each, each), (1, left % each)):
-                    if n and many:
-                        for k in range(many):
-                            placed.append((length, rank, n, opened, k * length))
-                            rank += n
-                        leave(capacity - many * length, opened, n)
-                        opened += n
-                break
-            gap = gaps[at]
-            first, n = runs[gap].pop()
-            if not runs[gap]:
-                del runs[gap], gaps[at]
-            take = min(n, left)
-            placed.append((length, rank, take, first, capacity - gap))
-            leave(gap, first + take, n - take)
-            leave(gap - length, first, take)
-            rank, left = rank + take, left - take
+            if at < len(gaps):
+                gap = gaps[at]
+                first, n = runs[gap].pop()
+                if not runs[gap]:
+                    del runs[gap], gaps[at]
+            else:  # no gap holds this length
+                gap, first, n = capacity, opened, -(-left // (capacity // length))
+                opened += n
+            each = gap // length  # the sequence that a document went to stays the tightest that holds the next
+            full = min(n, left // each)
+            rest = min(left - full * each, each) if full < n else 0
+            for many, start, size in ((full, first, each), (min(rest, 1), first + full, rest)):
+                if many:
+                    placed.append((length, rank, many * size, size, start, capacity - gap))
+                    leave(gap - size * length, start, many)
+                    rank, left = rank + many * size, left - many * size
+            used = full + min(rest, 1)
+            leave(gap, first + used, n - used)
     return placed, opened
 
 
@@ -166,14 +169,15 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     per_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     placed, _ = sweeps(per_length, capacity)
-    plan = cut.sparkSession.createDataFrame(placed, "length long, first_rank long, n long, first_sequence long, offset long")
+    plan = cut.sparkSession.createDataFrame(placed, "length long, first_rank long, n long, each long, first_sequence long, offset long")
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = cut.withColumn("k", rank).join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("k") - 1)
     # the plan's rows depend on the lengths that occur, not on how often they do
     inside = (ranked["length"] == plan["length"]) & (ranked["rank"] >= plan["first_rank"]) & (ranked["rank"] < plan["first_rank"] + plan["n"])
+    ahead = ranked["rank"] - plan["first_rank"]
     return ranked.join(F.broadcast(plan), inside).select(
         *(ranked[c] for c in cut.columns if c != "part"),
-        (plan["first_sequence"] + ranked["rank"] - plan["first_rank"]).alias("sequence_id"), plan["offset"],
+        (plan["first_sequence"] + F.call_function("div", ahead, plan["each"])).alias("sequence_id"), (plan["offset"] + ahead % plan["each"] * plan["length"]).alias("offset"),
     )
 
 

@@ -153,9 +153,9 @@ def test_sweeps_are_best_fit_decreasing(counts):
     assert n == len(gaps)
     assert {k: sum(p[2] for p in placed if p[0] == k) for k in counts} == counts
     used: dict[int, list] = {}
-    for length, _, many, first, offset in placed:
-        for s in range(first, first + many):
-            used.setdefault(s, []).append((offset, length))
+    for length, _, many, each, first, offset in placed:
+        for k in range(many):
+            used.setdefault(first + k // each, []).append((offset + k % each * length, length))
     assert sorted(32 - sum(x for _, x in v) for v in used.values()) == sorted(gaps)
     assert all(sum(x for _, x in sorted(v)[:k]) == sorted(v)[k][0] for v in used.values() for k in range(len(v)))
 
@@ -258,8 +258,8 @@ def test_media_recall(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     first: dict = {}
     for i, v in zip(vectors.vec_id, vectors.embedding, strict=True):
-        first.setdefault(v.tobytes(), i)
-    want = {(i, first[v.tobytes()]) for i, v in zip(vectors.vec_id, vectors.embedding, strict=True) if i % 50 == 0}
+        first.setdefault(tuple(v), i)
+    want = {(i, first[tuple(v)]) for i, v in zip(vectors.vec_id, vectors.embedding, strict=True) if i % 50 == 0}
     got = set(zip(out.query_id, out.media_id, strict=True))
     assert len(want & got) >= 0.9 * len(want) and not got - want
     assert media.pixels_of(media.packed(np.arange(6, dtype="u1").reshape(2, 3))).tolist() == [[0, 1, 2], [3, 4, 5]]
