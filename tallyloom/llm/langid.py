@@ -5,13 +5,13 @@ filters are bit-sliced: one table holds, per slot, a word with one bit per langu
 look-up of an n-gram returns all languages that contain it. Per language the bits are counted over a
 whole text, corrected for the filter's false positives, and the largest share decides.
 
-Training sees at most ``max_docs`` documents of each language (those whose id has the smallest hash)
+Training sees about ``max_docs`` documents of each language (a share of it, by hash of id and text)
 and keeps ``top_grams`` n-grams of each: what reaches the driver is bounded by these two parameters
 and the number of languages, whatever the input's size.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language
 that sorts first; with nothing to learn from, all is ``und``; rows with null or repeated ids are
-ordinary rows; a row without label, text or id teaches nothing; other columns are ignored.
+ordinary rows; a row without label or text teaches nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from .common import free_name
 
 UND = "und"
 GRAM = 4
-#: Documents of a language that teach at most, and n-grams kept of each.
+#: Documents of a language that teach, about, and n-grams kept of each.
 MAX_DOCS, TOP_GRAMS = 4000, 6000
-RANK_PARTS = 64
 #: Slots of each of the two hash tables, as a power of two, and the hashes' odd multipliers.
 SLOT_BITS = 18
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77)
@@ -123,14 +122,13 @@ def _pieces(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[lis
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS, top_grams: int = TOP_GRAMS) -> Filters:
     """Filters from (doc_id, text, lang)."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    # a language may hold most rows: ranked in parts first, then what the parts leave, a bounded number
-    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(RANK_PARTS)))
-    for keys in (["lang", "part"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-        ids = ids.withColumn("n", rank).where(F.col("n") <= max_docs).drop("n")
-    chosen = ids.select("doc_id", "lang").distinct()
-    # at most max_docs ids of each language
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    if not counts:
+        return Filters.build({})
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_docs / n))))
+    # no ranking, hence no task that gathers a language's rows
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    sample = labelled.where(chosen).select("lang", "text")
 
     def count(batches):
         for batch in batches:
