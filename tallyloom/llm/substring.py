@@ -62,8 +62,8 @@ def removals(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "unit")
     # summed before the shuffle, so a digest with very many occurrences is a row per task
     first = found.groupBy("d0", "d1").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("d0", "d1", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit"))
-    # the many occurrences of one digest are on the left only, where Spark can split them
+    first = stored(first.select("d0", "d1", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")), "first-units")
+    # the many occurrences of one digest are on the left only, where Spark can split them: both sides are plain tables
     again = found.join(first, ["d0", "d1"])
     earliest = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("unit") == F.col("kept_unit"))
     return again.where(~earliest).select("doc_id", "unit", "start", "length", "n_words", "kept_doc_id", "kept_unit")
