@@ -10,7 +10,7 @@ from .media import op8_media
 from .packing import op6_packing
 from .sharding import op1_sharding
 from .simhash import op7_simhash
-from .substring import OP5_SQL, op5_substring
+from .substring import op5_substring
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
 }
-ORACLES = {"op2_chat": OP2_SQL, "op5_substring": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op2_chat": OP2_SQL, "op10_warc": OP10_SQL}

@@ -1,106 +1,153 @@
-"""Repeated passages by line or paragraph hashing.
+"""Repeated passages by hashing of lines (or paragraphs) and of runs of sentences.
 
-Each text is cut into units (lines, or paragraphs between blank lines), each unit is normalised (lower
-case, runs of white space as one space) and digested to 128 bits. Digests are grouped over all
-documents; the occurrence with the smallest (doc_id, unit) stays and all others are removals, which
-keep their offsets in the original text. Units of fewer than ``min_words`` words repeat by chance and
-are never removed.
+Each text is cut into lines, or paragraphs between blank lines; each is normalised (lower case, runs of
+white space as one space) and digested to 128 bits. Digests are grouped over all documents; the
+occurrence with the smallest (doc_id, start) stays and all others are removed, which keep their offsets
+in the original text. Lines of fewer than ``min_words`` words repeat by chance and are never removed.
+
+Lines alone miss passages that stand within a line. So each sentence (it starts a line, follows a full
+stop or begins with a capital) also starts a run of as many whole sentences as reach ``RUN_WORDS``
+words, and runs are grouped like lines. Removed units that touch are given as one span.
 
 Defined cases: a null text has no units and stays null; an empty one stays; rows with a null id rank
 last and count as one document, as do rows that share an id (a unit at the same place in them is one
-occurrence, so repeated rows don't empty each other); an empty table gives no rows; other columns are
-kept by ``without_repeats`` and ignored by ``removals``.
+occurrence, so repeated rows don't empty each other); an occurrence that overlaps the kept one stays;
+an empty table gives no rows; other columns are kept by ``without_repeats`` and ignored by ``removals``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, id_and_text, stored
 
 LINE, PARAGRAPH = "\n", "\n\n"
-MIN_WORDS = 8
-
-
-def units(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, unit (from 0), start, length (in code points), n_words, and the digest as d0 and d1."""
+MIN_WORDS, RUN_WORDS = 8, 13
+#: A sentence's first character: in a line's beginning, after a full stop, or a capital after white space.
+_SENTENCE = re.compile(r"(?:(?<=[.!?]\s)|(?<![^\n]))\S|(?<=\s)[A-ZÀ-ÖØ-Þ]")
+
+
+def line_units(text: str, separator: str, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, normalised words) of each line or paragraph that is long enough."""
+    at = 0
+    for part in text.split(separator):
+        words = part.lower().split()
+        if len(words) >= min_words:
+            yield at, at + len(part), words
+        at += len(part) + len(separator)
+
+
+def sentence_runs(text: str, run_words: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, normalised words) of the shortest run of whole sentences from each sentence that is long enough."""
+    starts = [m.start() for m in _SENTENCE.finditer(text)]
+    sentences = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+    words = [s.lower().split() for s in sentences]
+    last, held = 0, 0
+    for k, start in enumerate(starts):
+        while held < run_words and last < len(words):
+            held += len(words[last])
+            last += 1
+        if held < run_words:
+            return
+        yield start, starts[last - 1] + len(sentences[last - 1].rstrip()), [w for s in words[k:last] for w in s]
+        held -= len(words[k])
+
+
+def units(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, start, length (in code points), n_words, and the digest as d0 and d1, of all lines and runs."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, unit, start, length, words, digests = [], [], [], [], [], []
-            for i, text in enumerate(batch["text"]):
-                at = 0
-                for k, part in enumerate((text.as_py() or "").split(separator)):
-                    found = part.lower().split()
-                    if len(found) >= min_words:
-                        row.append(i)
-                        unit.append(k)
-                        start.append(at)
-                        length.append(len(part))
-                        words.append(len(found))
-                        digests.append(xxhash.xxh3_128_digest(" ".join(found).encode()))
-                    at += len(part) + len(separator)
-            two = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(row, pa.int32())), pa.array(unit, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(words, pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])],
-                names=["doc_id", "unit", "start", "length", "n_words", "d0", "d1"],
-            )
+        for whole in batches:
+            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                row, numbers, digests = [], [], []
+                for i, value in enumerate(batch["text"]):
+                    text = value.as_py() or ""
+                    places = {(a, b): words for a, b, words in line_units(text, separator, min_words)}
+                    places |= {(a, b): words for a, b, words in sentence_runs(text, run_words)}
+                    row += [i] * len(places)
+                    numbers += [(a, b - a, len(words)) for (a, b), words in places.items()]
+                    digests += [xxhash.xxh3_128_digest(" ".join(words).encode()) for words in places.values()]
+                columns = np.asarray(numbers, np.int32).reshape(-1, 3)
+                two = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(pa.array(row, pa.int32())), *(pa.array(columns[:, k]) for k in range(3)), pa.array(two[:, 0]), pa.array(two[:, 1])],
+                    names=["doc_id", "start", "length", "n_words", "d0", "d1"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, unit int, start long, length long, n_words int, d0 long, d1 long")
-
-
-def removals(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, unit, start, length, n_words, kept_doc_id, kept_unit of each occurrence but the earliest of its digest."""
-    found = stored(units(id_and_text(docs), separator, min_words), "units")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "unit")
-    # summed before the shuffle, so a digest with very many occurrences is a row per task
-    first = found.groupBy("d0", "d1").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = stored(first.select("d0", "d1", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")), "first-units")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start int, length int, n_words int, d0 long, d1 long")
+
+
+def removals(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, start, length, kept_doc_id, kept_start of each repeated span.
+
+    Spans are unions of removed units; kept_… is the earliest place that its first unit repeats.
+    """
+    found = stored(units(id_and_text(docs), separator, min_words, run_words), "units")
+    digest = ["d0", "d1"]
+    # counted before the shuffle; most units occur once and are met by this count alone
+    many = stored(found.groupBy(*digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest), "unit-digests")
+    again = stored(found.join(many, digest, "left_semi"), "repeated-units")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "start", "length")
+    first = again.groupBy(*digest).agg(F.min(place).alias("kept"))
+    first = stored(first.select(*digest, F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.col("kept.length").alias("kept_length")), "first-units")
     # the many occurrences of one digest are on the left only, where Spark can split them: both sides are plain tables
-    again = found.join(first, ["d0", "d1"])
-    earliest = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("unit") == F.col("kept_unit"))
-    return again.where(~earliest).select("doc_id", "unit", "start", "length", "n_words", "kept_doc_id", "kept_unit")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))
+    gone = again.join(first, digest).where(~(same & (F.col("start") < F.col("kept_start") + F.col("kept_length"))))
+    # one document's units: those that touch become one span
+    order = Window.partitionBy("doc_id").orderBy("start", F.desc("length"), "kept_doc_id", "kept_start")
+    end = F.col("start") + F.col("length")
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = gone.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
+    start = F.min(F.struct("start", -F.col("length"), "kept_doc_id", "kept_start"))
+    spans = islands.groupBy("doc_id", "span").agg(start.alias("f"), F.max(end).alias("e"))
+    return spans.select("doc_id", F.col("f.start").alias("start"), (F.col("e") - F.col("f.start")).alias("length"), F.col("f.kept_doc_id").alias("kept_doc_id"), F.col("f.kept_start").alias("kept_start"))
+
+
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without its spans (start, end); a line that goes as a whole takes its line end along."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        whole = (start == 0 or text[start - 1] == "\n") and (end == len(text) or text[end] == "\n")
+        if whole and end < len(text):
+            end += 1
+        elif whole and start > at:
+            start -= 1
+        out.append(text[at:start])
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def without_repeats(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` with the repeated spans cut out of ``text``; n_chars, where there is one, follows."""
+    cut, key = free_name(docs, "__gone"), free_name(docs, "__id")
+    gone = removals(docs, separator, min_words, run_words)
+    gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
+    gone = gone.select(key, F.col("spans.start").alias(f"{cut}a"), F.col("spans.end").alias(f"{cut}b"))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left").drop(key)
+    names = docs.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = batch["text"].to_pylist(), batch["n_chars"].to_pylist() if "n_chars" in names else None
+            for i, (a, b) in enumerate(zip(batch[f"{cut}a"].to_pylist(), batch[f"{cut}b"].to_pylist(), strict=True)):
+                if a and texts[i] is not None:
+                    texts[i] = cut_out(texts[i], list(zip(a, b, strict=True)))
+                    if sizes:
+                        sizes[i] = len(texts[i])
+            new = {"text": pa.array(texts, batch.schema.field("text").type)} | ({} if sizes is None else {"n_chars": pa.array(sizes, batch.schema.field("n_chars").type)})
+            yield pa.RecordBatch.from_arrays([new.get(c, batch[c]) for c in names], names=names)
 
-def without_repeats(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the removed units cut out of ``text``; n_chars, where there is one, follows."""
-    cut, key = free_name(docs, "__gone"), free_name(docs, "__id")
-    gone = removals(docs, separator, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("unit").alias(cut))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left")
-    kept = F.filter(F.split("text", separator, -1), lambda _, k: ~F.array_contains(cut, k))
-    out = joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, separator)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:
-    """All repeated lines of documents but the earliest of each."""
+    """All repeated spans of documents but the earliest occurrence of each."""
     return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-OP5_SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
-  FROM documents WHERE text IS NOT NULL
-), u AS (
-  SELECT doc_id, CAST(k - 1 AS INTEGER) AS unit, length(line) AS length,
-         CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-         trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS body
-  FROM l
-), n AS (
-  SELECT *, CAST(length(body) - length(replace(body, ' ', '')) + 1 AS INTEGER) AS n_words FROM u
-), r AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit
-  FROM n WHERE n_words >= 8 WINDOW w AS (PARTITION BY body ORDER BY doc_id, unit)
-)
-SELECT doc_id, unit, start, length, n_words, kept_doc_id, kept_unit FROM r
-WHERE doc_id <> kept_doc_id OR unit <> kept_unit
-"""

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tallyloom.llm import chat, components, decontam, langid, licenses, media, packing, registry, sharding, simhash, warc
+from tallyloom.llm import chat, components, decontam, langid, licenses, media, packing, registry, sharding, simhash, substring, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,6 +227,38 @@ def test_chat_round_trip(spark, text, role):
     assert chat.digests(made).first().loss_chars == len(text) * (1 + (role == "assistant"))
 
 
+def test_repeated_spans(spark, documents):
+    """Against all units in memory: earliest places, removed characters, and texts without them."""
+    rng = random.Random(3)
+    sentence = lambda: " ".join([rng.choice("ABCDE") + "x", *("".join(rng.choices("abcdefgh", k=4)) for _ in range(rng.randrange(2, 12)))]) + "."
+    passage = " ".join(sentence() for _ in range(9))
+    texts = {i: t or "" for i, t in zip(documents.doc_id, documents.text, strict=True)}
+    for i in (900_001, 900_002, 900_003):
+        host = " ".join(sentence() for _ in range(12)).split(" ")
+        host[20:20] = [passage]  # within a line, in the middle of a sentence
+        texts[i] = " ".join(host)
+    units = {i: {**{(a, b): " ".join(w) for a, b, w in substring.line_units(t, "\n", 8)}, **{(a, b): " ".join(w) for a, b, w in substring.sentence_runs(t, 13)}} for i, t in texts.items()}
+    first: dict = {}
+    for i in sorted(units):
+        for (a, b), body in sorted(units[i].items()):
+            first.setdefault(body, (i, a, b))
+    gone = {i: {k for (a, b), body in units[i].items() if not (first[body][0] == i and a < first[body][2]) for k in range(a, b)} for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got: dict = {i: set() for i in texts}
+    for r in substring.removals(docs).collect():
+        got[r.doc_id] |= set(range(r.start, r.start + r.length))
+    for i, t in texts.items():
+        assert {k for k in gone[i] if not t[k].isspace()} == {k for k in got[i] if not t[k].isspace()}
+    for i in (900_002, 900_003):
+        at = texts[i].index(passage)
+        assert len(got[i] & set(range(at, at + len(passage)))) >= 0.75 * len(passage)
+        assert not got[i] - set(range(at, at + len(passage)))
+    assert not got[900_001]
+    left = {r.doc_id: r.text for r in substring.without_repeats(docs).collect()}
+    for i, t in texts.items():
+        assert "".join(left[i].split()) == "".join(c for k, c in enumerate(t) if k not in got[i] and not c.isspace())
+
+
 def test_licence_rules_in_order():
     ids, rules = licenses._known()
     begun = licenses.prefixes(ids)
