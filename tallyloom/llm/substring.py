@@ -46,7 +46,7 @@ def line_units(text: str, separator: str, min_words: int) -> Iterator[tuple[int,
 def sentence_runs(text: str, run_words: int) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, normalised words) of the shortest run of whole sentences from each sentence that is long enough."""
     starts = [m.start() for m in _SENTENCE.finditer(text)]
-    sentences = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+    sentences = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=False)]
     words = [s.lower().split() for s in sentences]
     last, held = 0, 0
     for k, start in enumerate(starts):
