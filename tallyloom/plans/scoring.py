@@ -217,6 +217,30 @@ def g20_false_positive_audit(spark, sf):
     return wrong(A.naive_matches(rows, lines)).intersect(wrong(d.where("kind = 'verified'")))
 
 
+def g6_declared_provenance(spark, sf):
+    """Verified lines that claim the report although it doesn't name their settlement, by tier."""
+    rows, _, d = RES._decided(spark, sf)
+    claimed = G.evidence(d).where("source = 'settlement_report'").select("entity", "bank_index")
+    own = d.where("kind = 'verified'").join(claimed, ["entity", "bank_index"], "left_semi")
+    return own.join(X.report(rows), ["entity", "settlement_id"], "left_anti").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g16_determined_lines(spark, sf):
+    """Settlement lines whose search was determinate, and whether the resolver verified them."""
+    rows, _, d = RES._decided(spark, sf)
+    sure = RES.c3_verdicts(spark, sf).where("verdict = 'determinate'").select("entity", "bank_index")
+    own = RES._truth(rows).where("settlement_id IS NOT NULL").join(sure, ["entity", "bank_index"], "left_semi").select("entity", "bank_index")
+    return own.join(d.select("entity", "bank_index", "kind"), ["entity", "bank_index"], "left").groupBy((F.col("kind") == "verified").alias("verified")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def g19_ambiguity(spark, sf):
+    """Ambiguous lines and how many have the truth among their candidates."""
+    c = RES._candidates(spark, sf).where("candidate IS NOT NULL")
+    k = c.join(RES._truth(X.ledger(spark, sf)).select("entity", "bank_index", "settlement_id"), ["entity", "bank_index"]).groupBy("entity", "bank_index").agg(
+        F.count(F.lit(1)).alias("k"), F.count_if(F.col("row_ids") == F.col("settlement_id")).alias("t"))
+    return k.where("k > 1").agg(F.count(F.lit(1)).alias("n_ambiguous"), F.count_if(F.col("t") > 0).alias("n_with_truth"))
+
+
 def a29_reversal_placement(spark, sf):
     """Where the rows of settlements with a reversed credit landed."""
     rows, _, d = RES._decided(spark, sf)
@@ -263,7 +287,7 @@ def q8_bank_independence(spark, sf):
 QUERIES = {f.__name__: f for f in (
     r9_cascade_matches, d9_routed_exceptions, d10_exceptions_by_owner, f16_narrated, p7_date_pool_sizes, j13_residual_pairs, a8_run_summary, a9_coverage_split, a10_composition_cardinality, a12_row_accounting,
     a13_candidate_sizes, a14_ground_scores, a22_stability, a24_resistance, a28_bank_side_verdicts, d8_rows_at_risk, c7_exclusive_candidates, p12_exception_search, t4_worst_line,
-    g2_independence, g4_unwarranted_rows, g9_proven_but_settled, g12_discrepancy_split, g13_open_breaks, g14_foreign_adopted, g15_premise_sharing, g17_dataset_scores, g18_tax_file_probe, g20_false_positive_audit,
+    g2_independence, g4_unwarranted_rows, g9_proven_but_settled, g12_discrepancy_split, g13_open_breaks, g14_foreign_adopted, g15_premise_sharing, g17_dataset_scores, g18_tax_file_probe, g20_false_positive_audit, g6_declared_provenance, g16_determined_lines, g19_ambiguity,
     a29_reversal_placement, a30_absent_gap, f7_rolled_forward, c11_credit_collisions, q8_bank_independence)}
 _MATCHED = """
 , ur AS (SELECT *, row_number() OVER (PARTITION BY entity, reference ORDER BY bank_index DESC) AS n FROM bank WHERE reference <> ''),
@@ -363,4 +387,11 @@ SELECT c_custkey, target, min(amount) AS amount FROM x WHERE amount - fee - (fee
     "q8_bank_independence": BASE + """
 SELECT count(*) AS n, count(CASE WHEN contains(reference, substr(settlement_id, 6)) THEN 1 END) AS derivable, count(CASE WHEN reference = '' THEN 1 END) AS blank,
 min(value_day - last_created_at // 86400) AS least_lag, max(value_day - last_created_at // 86400) AS most_lag FROM sb""",
+    "g6_declared_provenance": BASE + _T + "SELECT tier, count(*) AS n FROM decided WHERE kind = 'verified' AND tier = 'A' AND settlement_id NOT IN (SELECT settlement_id FROM report) GROUP BY 1",
+    "g16_determined_lines": RES._REC + _T + _TRUTH + """
+, cn AS (SELECT bank_index, count(*) AS n FROM cand GROUP BY 1)
+SELECT d.kind = 'verified' AS verified, count(*) AS n FROM truth t JOIN cn ON cn.bank_index = t.bank_index AND cn.n = 1 JOIN decided d ON d.bank_index = t.bank_index WHERE t.settlement_id IS NOT NULL GROUP BY 1""",
+    "g19_ambiguity": RES._REC + _TRUTH + """
+, k AS (SELECT c.bank_index, count(*) AS k, sum(CASE WHEN c.row_ids = t.settlement_id THEN 1 ELSE 0 END) AS t FROM cand c JOIN truth t USING (bank_index) GROUP BY 1)
+SELECT count(*) AS n_ambiguous, count(CASE WHEN t > 0 THEN 1 END) AS n_with_truth FROM k WHERE k > 1""",
 }
