@@ -92,23 +92,24 @@ def reversals(lines: DataFrame, days: int = 7) -> DataFrame:
     """
     import pandas as pd
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_, out = [], []
-        for r in pdf.sort_values(["value_day", "bank_index"]).itertuples():
-            if r.amount > 0:
-                open_.append(r)
-                continue
-            hit = next((c for c in open_ if 0 <= r.value_day - c.value_day <= days), None)
-            if hit is not None:
-                open_.remove(hit)
-                out.append((r.entity, hit.bank_index, r.bank_index, r.value_day - hit.value_day))
-        return pd.DataFrame(out, columns=["entity", "credit_index", "debit_index", "days"])
-
-    signs = Window.partitionBy("entity", F.abs("amount"))
-    both = lines.where("amount <> 0").withColumn("__s", F.size(F.collect_set(F.signum("amount")).over(signs))).where("__s = 2").drop("__s")
-    both = both.withColumn("__abs", F.abs("amount"))
-    return both.groupBy("entity", "__abs").applyInPandas(
-        lambda pdf: pair(pdf), "entity long, credit_index long, debit_index long, days long")
+    def run(batches):
+        for groups in batches:
+            out = []
+            for entity, queue in zip(groups.entity, groups.queue, strict=True):
+                open_ = []
+                for r in queue:
+                    if r["amount"] > 0:
+                        open_.append(r)
+                        continue
+                    hit = next((c for c in open_ if 0 <= r["value_day"] - c["value_day"] <= days), None)
+                    if hit is not None:
+                        open_.remove(hit)
+                        out.append((entity, hit["bank_index"], r["bank_index"], r["value_day"] - hit["value_day"]))
+            yield pd.DataFrame(out, columns=["entity", "credit_index", "debit_index", "days"])
+
+    queue = F.array_sort(F.collect_list(F.struct("value_day", "bank_index", "amount")))
+    both = lines.where("amount <> 0").groupBy("entity", F.abs("amount").alias("__abs")).agg(queue.alias("queue"), F.size(F.collect_set(F.signum("amount"))).alias("signs"))
+    return both.where("signs = 2").select("entity", "queue").mapInPandas(run, "entity long, credit_index long, debit_index long, days long")
 
 
 def run_difference(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:
