@@ -10,6 +10,10 @@ Two tilings exist: ``quarters`` keys a tile by the population counts of the fing
 quarters, whose summed differences can't exceed the distance (small radius); ``sizes`` keys it by the
 number of shingles, for which a similarity bounds the ratio, and by nothing else (large radius).
 
+Wide fingerprints only propose: they are taken over a text's set of shingles, and what they link is
+compared again, set by set, within each component of proposals. Only pairs whose exact similarity
+reaches the bound count.
+
 Defined cases: null and empty texts have fingerprint 0 and no shingles, and link like others; rows
 with the same id share its smallest class; rows with a null id get the class of their fingerprint's
 smallest id, null if none; an empty table gives no rows; other columns are ignored.
@@ -18,7 +22,7 @@ smallest id, null if none; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ from .components import components
 TILE, STRIP = 4096, 64
 #: Words of a wide fingerprint.
 WIDE = 8
+#: Shingles of a tile of sets, about; each set counts SET_COST more, so that a tile holds at most 4,096 sets.
+SET_TILE, SET_COST = 1 << 18, 64
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -45,6 +51,14 @@ def shingles(text: str | None, n: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
 
 
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """XXH64 with seed 42 of each distinct shingle of n words, in order."""
+    import xxhash
+
+    units = set(shingles(text, n))
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in units), np.uint64, len(units)))
+
+
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """Another 64-bit hash of each hash for each k: two rounds of multiply and shift."""
     x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
@@ -73,29 +87,35 @@ def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFra
     """doc_id, n_shingles and the fingerprint in 64-bit words: w0, or with ``wide`` w0 to w7.
 
     The first word counts XXH64 with seed 42 of each shingle; further ones count mixes of that hash.
-    Wide fingerprints take ties from the smallest hash.
+    Wide fingerprints count each distinct shingle once, as does their n_shingles, take ties from the
+    smallest hash and come with a digest of the set, s0 and s1.
     """
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 8 * WIDE if wide else 8
         for batch in batches:
-            n, out = [], np.zeros((batch.num_rows, width), np.uint8)
+            n, out, sets = [], np.zeros((batch.num_rows, width), np.uint8), []
             for i, text in enumerate(batch["text"]):
-                units = shingles(text.as_py(), words)
-                n.append(len(units))
-                if units:
+                if wide:
+                    units = one = shingle_set(text.as_py(), words)
+                    sets.append(xxhash.xxh3_128_digest(one.tobytes()))
+                else:
+                    units = shingles(text.as_py(), words)
                     one = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in units), np.uint64, len(units))
+                n.append(len(units))
+                if len(units):
                     hashes = np.stack([one, *(mixed(one, k) for k in range(1, WIDE))], axis=1) if wide else one
                     out[i] = bit_majority(hashes.astype(">u8").view(np.uint8).reshape(-1, width), wide)
             values = out.view(">i8").astype(np.int64)
+            digests = np.frombuffer(b"".join(sets), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), *(pa.array(values[:, k]) for k in range(width // 8))],
-                names=["doc_id", "n_shingles", *(f"w{k}" for k in range(width // 8))],
+                [batch["doc_id"], pa.array(n, pa.int64()), *(pa.array(values[:, k]) for k in range(width // 8)), *(pa.array(digests[:, k]) for k in range(2 * wide))],
+                names=["doc_id", "n_shingles", *(f"w{k}" for k in range(width // 8)), *(f"s{k}" for k in range(2 * wide))],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, w0 long" + "".join(f", w{k} long" for k in range(1, WIDE)) * wide)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, w0 long" + "".join(f", w{k} long" for k in range(1, WIDE)) * wide + ", s0 long, s1 long" * wide)
 
 
 def _forest(nodes: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,12 +217,102 @@ def tiled_links(points: DataFrame, words: list[str], radius: int, quarters: bool
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def classes(prints: DataFrame, words: list[str], radius: int, quarters: bool, similarity: float = 0.8) -> DataFrame:
-    """``prints`` with component_id; rows of equal fingerprint (and, by sizes, equal shingle count) are one node."""
-    key = words if quarters else ["n_shingles", *words]
-    alike = prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), *([] if not quarters else [F.min("n_shingles").alias("n_shingles")]))
+def _similar(nodes: np.ndarray, sets: list[np.ndarray], prints: np.ndarray, first: int, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity reaches ``similarity``.
+
+    ``first``: 0 compares all with all, else the first so many with the others. Only pairs within
+    ``radius`` are counted out, and none that the forest connects already.
+    """
+    size, label = np.fromiter(map(len, sets), np.int64, len(sets)), np.arange(len(sets))
+    for i in range(first or len(sets)):
+        others = np.arange(first or i + 1, len(sets))
+        others = others[(label[others] != label[i]) & (np.minimum(size[others], size[i]) / np.maximum(size[others], size[i]) >= similarity)]
+        others = others[np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1, dtype=np.int32) <= radius]
+        if len(others):
+            there = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(sets[i], there), size[i] - 1)
+            shared = np.add.reduceat((sets[i][at] == there).astype(np.int64), np.cumsum(size[others]) - size[others])
+            linked = others[shared / (size[i] + size[others] - shared) >= similarity]
+            if len(linked):
+                both = np.append(label[linked], label[i])
+                label[np.isin(label, both)] = both.min()
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def similar_links(docs: DataFrame, points: DataFrame, proposed: DataFrame, n_words: int, words: list[str], radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what is similar by its sets, within each component of the ``proposed`` ones.
+
+    A large component is cut into tiles. Each is compared within itself and with the first; other
+    pairs of tiles follow only if they aren't in one class by then, so a dense group costs a pass over it.
+    """
+    chosen = stored(points.join(components(proposed), "node").select("component", "node", "n_shingles", *words, "s0", "s1"), "proposed")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                found = [shingle_set(text.as_py(), n_words) for text in batch["text"]]
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in found), ">i8").astype(np.int64).reshape(-1, 2)
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                hashes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests[:, 0]), pa.array(digests[:, 1]), hashes], names=["node", "s0", "s1", "hashes"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    known = texts.mapInArrow(sets, f"node {kind}, s0 long, s1 long, hashes array<long>").dropDuplicates(["node", "s0", "s1"])
+    members = stored(chosen.join(known, ["node", "s0", "s1"]), "sets")
+    chunks = members.groupBy("component").agg(F.ceil(F.sum(F.col("n_shingles") + SET_COST) / SET_TILE).cast("int").alias("chunks"))
+    places = members.join(stored(chunks, "set-chunks"), "component").withColumn("chunk", F.pmod(F.xxhash64("s0", "s1"), F.col("chunks")).cast("int"))
+    columns = ["node", *words, "hashes"]
+    tiles = places.groupBy("component", "chunk").agg(F.collect_list(F.struct(*columns)).alias("x"))
+    tiles = stored(tiles.select("component", "chunk", *(F.col(f"x.{c}").alias(c) for c in columns)), "set-tiles")
+    mine = tiles.withColumnsRenamed({c: f"a_{c}" for c in columns})
+    yours = tiles.withColumnsRenamed({"chunk": "other"} | {c: f"b_{c}" for c in columns})
+
+    def part(batch: pa.RecordBatch, side: str, i: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        values = lambda c: batch[f"{side}_{c}"][i].values
+        prints = np.stack([values(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words], axis=1)
+        return values("node").to_numpy(zero_copy_only=False), [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in values("hashes")], prints
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                nodes, held, prints = part(batch, "a", i)
+                first = 0
+                if batch["chunk"][i].as_py() != batch["other"][i].as_py():
+                    first, more = len(nodes), part(batch, "b", i)
+                    nodes, held, prints = np.concatenate([nodes, more[0]]), held + more[1], np.concatenate([prints, more[2]])
+                x, y = _similar(nodes, held, prints, first, radius, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    def compared(plan: DataFrame, name: str) -> DataFrame:
+        return stored(plan.join(mine, ["component", "chunk"]).join(yours, ["component", "other"]).mapInArrow(run, "a long, b long"), name)
+
+    keys = tiles.select("component", "chunk")
+    once = F.explode(F.array_distinct(F.array(F.lit(0), F.col("chunk")))).alias("first")
+    links = compared(keys.select("component", F.col("chunk").alias("other"), once).withColumnRenamed("first", "chunk"), "similar")
+    # what is left: pairs of tiles in which not all is one class yet
+    large = stored(tiles.where("chunk > 0").select("component", "chunk", F.explode("node").alias("node")), "large")
+    if large.isEmpty():
+        return links
+    of = large.join(components(links).withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    span = stored(of.groupBy("component", "chunk").agg(F.min("class").alias("low"), F.max("class").alias("high")), "spans")
+    other = span.withColumnsRenamed({"chunk": "other", "low": "other_low", "high": "other_high"})
+    rest = span.join(other, "component").where("chunk < other AND NOT (low = high AND other_low = low AND other_high = low)")
+    return links.unionByName(compared(rest.select("component", "chunk", "other"), "similar-rest"))
+
+
+def classes(prints: DataFrame, words: list[str], radius: int, quarters: bool, similarity: float = 0.8, verified: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``prints`` with component_id; rows of equal fingerprint (by sizes, of equal set) are one node; ``verified`` gets nodes and links and returns what holds."""
+    key, rest = (words, ["n_shingles"]) if quarters else (["s0", "s1"], ["n_shingles", *words])
+    alike = prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(c) for c in rest))
     alike = stored(alike, "alike")
-    links = stored(tiled_links(alike.where("node IS NOT NULL").select("node", "n_shingles", *words), words, radius, quarters, similarity), "links")
+    points = alike.where("node IS NOT NULL")
+    links = stored(tiled_links(points.select("node", "n_shingles", *words), words, radius, quarters, similarity), "links")
+    if verified:
+        links = verified(points, links)
     joined = alike.join(components(links), "node", "left").where("copies > 1 OR component IS NOT NULL")
     joined = joined.select(*key, F.coalesce("component", "node").alias("component_id"))
     # a key with very many copies is on the left only, whose large partitions Spark can split
@@ -222,6 +332,9 @@ WIDE_RADIUS = 92
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
-    """doc_id, component_id: classes of documents that share 0.8 or more of their five-word shingles."""
-    prints = stored(fingerprints(id_and_text(docs), words, wide=True), "fingerprints")
-    return classes(prints, [f"w{k}" for k in range(WIDE)], radius, False, similarity).select("doc_id", "component_id")
+    """doc_id, component_id: classes of documents that share 0.8 or more of their distinct five-word shingles."""
+    docs = id_and_text(docs)
+    prints = stored(fingerprints(docs, words, wide=True), "fingerprints")
+    names = [f"w{k}" for k in range(WIDE)]
+    verified = lambda points, links: similar_links(docs, points, links, words, names, radius, similarity)
+    return classes(prints, names, radius, False, similarity, verified).select("doc_id", "component_id")

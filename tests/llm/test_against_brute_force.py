@@ -105,6 +105,38 @@ def test_near_duplicates_by_jaccard(spark):
                 assert of[a] != of[b]
 
 
+def test_near_duplicates_count_distinct_shingles(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    line = " ".join(rng.choices(words, k=14))
+    texts = {k: " ".join(rng.choices(words, k=104)) + f" {line}" * 10 for k in range(6)}
+    once = " ".join(rng.choices(words, k=300))
+    texts |= {10: once, 11: f"{once} {once}", 20: "a b c d e f", 21: "a b c d e g", 22: "h a b c d e"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert of == {k: k for k in texts} | {11: 10}
+
+
+def test_similar_pairs_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_TILE", 1000)  # many tiles to a component
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    texts = {}
+    for k in range(60):  # a chain: each changes one more word of the one before
+        texts[k] = " ".join(base)
+        base = [*base[1:], f"x{k}"] if k % 12 else [*base[:40], *(f"y{k}_{j}" for j in range(20)), *base[60:]]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for _ in texts:
+        for a in texts:
+            for b in texts:
+                if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert len(set(want.values())) > 3 and of == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(500, 500 + k) for k in range(1, 90)] + [(900, 900)]
