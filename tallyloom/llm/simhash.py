@@ -38,6 +38,12 @@ TILE, STRIP = 4096, 64
 WIDE = 8
 #: Shingles of a tile of sets, about; each set counts SET_COST more, so that a tile holds at most 4,096 sets.
 SET_TILE, SET_COST = 1 << 18, 64
+#: Radius of proposals by the smaller count of distinct shingles: 220 below 8, 184 below 20 and so on. For a
+#: Jaccard similarity of 0.8 the bits differ independently at a rate that depends on the sets' shapes and on
+#: whether the smallest hashes, which decide ties, are shared. At the worst shape of each count the
+#: rate is 0.31 for 5 shingles, 0.25 for 10, 0.23 for 18 and 0.18 for 60; beyond these radii lie fewer than one
+#: pair in 10 million. Two unrelated texts differ in 256 bits on average.
+WIDE_COUNTS, WIDE_RADII = (8, 20, 40), (220, 184, 168, 148)
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -135,6 +141,11 @@ def _forest(nodes: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> tuple
     return nodes[moved], nodes[parent[moved]]
 
 
+def wide_radius(counts: np.ndarray) -> np.ndarray:
+    """The radius of proposals for each count of shingles."""
+    return np.asarray(WIDE_RADII)[np.searchsorted(WIDE_COUNTS, counts, "right")]
+
+
 def _close(a: np.ndarray, b: np.ndarray, radius: int, same: bool, shift: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of ``a`` (rows of 64-bit words) the rows of ``b`` within the radius, shifted to their index among all."""
     for top in range(0, len(a), STRIP):
@@ -143,7 +154,7 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, same: bool, shift: int) ->
         far = np.zeros((len(strip), len(b) - left), np.uint16)
         for k in range(a.shape[1]):
             far += np.bitwise_count(strip[:, k, None] ^ b[None, left:, k])
-            if k == 3 and far.size and far.min() > radius:
+            if k in (3, 5) and far.size and far.min() > radius:
                 break  # distances only grow
         near = far <= radius
         for i in np.flatnonzero(near.any(axis=1)).tolist():
@@ -154,9 +165,11 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, same: bool, shift: int) ->
                 yield top + i, found + shift
 
 
-def tiled_links(points: DataFrame, words: list[str], radius: int, quarters: bool, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+def tiled_links(points: DataFrame, words: list[str], radius: int | None, quarters: bool, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """Links (a, b) that connect what lies within ``radius``: ``points`` has node, n_shingles and ``words``.
 
+    Without a radius that of the smallest count in two tiles holds, so links may lie somewhat further off.
+
     ``quarters``: tile by the population counts of four quarters of one word. Else tile by shingle
     count, and compare only counts whose ratio is at least ``similarity``.
     """
@@ -208,7 +221,8 @@ def tiled_links(points: DataFrame, words: list[str], radius: int, quarters: bool
                 if not same:
                     nodes = np.concatenate([nodes, numbers(batch, "b_node", i)])
                     size = np.concatenate([size, numbers(batch, "b_n_shingles", i)])
-                links = _close(a, b, radius, same, 0 if same else len(counts))
+                reach = int(wide_radius(size.min())) if radius is None else radius
+                links = _close(a, b, reach, same, 0 if same else len(counts))
                 if not quarters:
                     links = ((k, o[np.minimum(size[o], size[k]) >= similarity * np.maximum(size[o], size[k])]) for k, o in links)
                 x, y = _forest(nodes, links)
@@ -217,7 +231,7 @@ def tiled_links(points: DataFrame, words: list[str], radius: int, quarters: bool
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _similar(nodes: np.ndarray, sets: list[np.ndarray], prints: np.ndarray, first: int, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _similar(nodes: np.ndarray, sets: list[np.ndarray], prints: np.ndarray, first: int, radius: int | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of sets whose Jaccard similarity reaches ``similarity``.
 
     ``first``: 0 compares all with all, else the first so many with the others. Only pairs within
@@ -227,7 +241,8 @@ def _similar(nodes: np.ndarray, sets: list[np.ndarray], prints: np.ndarray, firs
     for i in range(first or len(sets)):
         others = np.arange(first or i + 1, len(sets))
         others = others[(label[others] != label[i]) & (np.minimum(size[others], size[i]) / np.maximum(size[others], size[i]) >= similarity)]
-        others = others[np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1, dtype=np.int32) <= radius]
+        reach = wide_radius(np.minimum(size[others], size[i])) if radius is None else radius
+        others = others[np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1, dtype=np.int32) <= reach]
         if len(others):
             there = np.concatenate([sets[j] for j in others])
             at = np.minimum(np.searchsorted(sets[i], there), size[i] - 1)
@@ -240,7 +255,7 @@ def _similar(nodes: np.ndarray, sets: list[np.ndarray], prints: np.ndarray, firs
     return nodes[moved], nodes[label[moved]]
 
 
-def similar_links(docs: DataFrame, points: DataFrame, proposed: DataFrame, n_words: int, words: list[str], radius: int, similarity: float) -> DataFrame:
+def similar_links(docs: DataFrame, points: DataFrame, proposed: DataFrame, n_words: int, words: list[str], radius: int | None, similarity: float) -> DataFrame:
     """Links (a, b) that connect what is similar by its sets, within each component of the ``proposed`` ones.
 
     A large component is cut into tiles. Each is compared within itself and with the first; other
@@ -304,7 +319,7 @@ def similar_links(docs: DataFrame, points: DataFrame, proposed: DataFrame, n_wor
     return links.unionByName(compared(rest.select("component", "chunk", "other"), "similar-rest"))
 
 
-def classes(prints: DataFrame, words: list[str], radius: int, quarters: bool, similarity: float = 0.8, verified: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def classes(prints: DataFrame, words: list[str], radius: int | None, quarters: bool, similarity: float = 0.8, verified: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """``prints`` with component_id; rows of equal fingerprint (by sizes, of equal set) are one node; ``verified`` gets nodes and links and returns what holds."""
     key, rest = (words, ["n_shingles"]) if quarters else (["s0", "s1"], ["n_shingles", *words])
     alike = prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(c) for c in rest))
@@ -326,13 +341,11 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return classes(prints, ["w0"], 2, True).select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: 512-bit fingerprints of texts with a Jaccard similarity of 0.8 in five-word shingles differ in 78 bits
-#: on average with a deviation of 8; at 0.7 in 98, at 0.6 in 118, and two unrelated ones in 256.
-WIDE_RADIUS = 92
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
+    """doc_id, component_id: classes of documents that share 0.8 or more of their distinct five-word shingles.
 
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
-    """doc_id, component_id: classes of documents that share 0.8 or more of their distinct five-word shingles."""
+    ``radius``, for another similarity than 0.8, replaces WIDE_RADII.
+    """
     docs = id_and_text(docs)
     prints = stored(fingerprints(docs, words, wide=True), "fingerprints")
     names = [f"w{k}" for k in range(WIDE)]

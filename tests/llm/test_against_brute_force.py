@@ -117,6 +117,22 @@ def test_near_duplicates_count_distinct_shingles(spark):
     assert of == {k: k for k in texts} | {11: 10}
 
 
+def test_near_duplicates_at_the_bound(spark):
+    texts, want = {}, {}
+    for i in range(400):
+        n, k = ((18, 2), (45, 5), (90, 10), (270, 30))[i % 4]  # distinct shingles, and those of each that the other hasn't: Jaccard 0.8
+        k += i // 4 % 2  # just below
+        base = [f"{i}_{j}" for j in range(n + 4)]
+        texts[2 * i] = base
+        texts[2 * i + 1] = [*base[k:], *(f"{i}_x{j}" for j in range(k))]
+        a, b = ({tuple(t[j : j + 5]) for j in range(n)} for t in (texts[2 * i], texts[2 * i + 1]))
+        want[2 * i] = 2 * i
+        want[2 * i + 1] = 2 * i if len(a & b) / len(a | b) >= 0.8 else 2 * i + 1
+        assert (len(a & b) / len(a | b) == 0.8) == (i // 4 % 2 == 0)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
+
+
 def test_similar_pairs_over_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SET_TILE", 1000)  # many tiles to a component
     rng = random.Random(9)
