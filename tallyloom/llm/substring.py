@@ -10,8 +10,9 @@ stop or begins with a capital) also starts a run of as many whole sentences as r
 words, and runs are grouped like lines. Removed units that touch are given as one span.
 
 Defined cases: a null text has no units and stays null; an empty one stays; rows with a null id rank
-last and count as one document, as do rows that share an id (a unit at the same place in them is one
-occurrence, so repeated rows don't empty each other); an occurrence that overlaps the kept one stays;
+last; rows that share an id (or have none) and the text count as one document (a unit at the same place
+in them is one occurrence, so repeated rows don't empty each other), rows that share an id with
+different texts are documents of their own, in the order of a hash of the text; an occurrence that overlaps the kept one stays;
 an empty table gives no rows; other columns are kept by ``without_repeats`` and ignored by ``removals``.
 """
 
@@ -60,7 +61,7 @@ def sentence_runs(text: str, run_words: int) -> Iterator[tuple[int, int, list[st
 
 
 def units(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, start, length (in code points), n_words, and the digest as d0 and d1, of all lines and runs."""
+    """doc_id, a hash of the text, start, length (in code points), n_words, and the digest as d0 and d1, of all lines and runs."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +78,12 @@ def units(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS, ru
                 columns = np.asarray(numbers, np.int32).reshape(-1, 3)
                 two = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array(row, pa.int32())), *(pa.array(columns[:, k]) for k in range(3)), pa.array(two[:, 0]), pa.array(two[:, 1])],
-                    names=["doc_id", "start", "length", "n_words", "d0", "d1"],
+                    [*(batch[c].take(pa.array(row, pa.int32())) for c in ("doc_id", "of_text")), *(pa.array(columns[:, k]) for k in range(3)), pa.array(two[:, 0]), pa.array(two[:, 1])],
+                    names=["doc_id", "of_text", "start", "length", "n_words", "d0", "d1"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start int, length int, n_words int, d0 long, d1 long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("of_text")).mapInArrow(run, f"doc_id {kind}, of_text long, start int, length int, n_words int, d0 long, d1 long")
 
 
 def removals(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
@@ -90,25 +91,30 @@ def removals(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS,
 
     Spans are unions of removed units; kept_… is the earliest place that its first unit repeats.
     """
+    return _spans(docs, separator, min_words, run_words).drop("of_text")
+
+
+def _spans(docs: DataFrame, separator: str, min_words: int, run_words: int) -> DataFrame:
+    """The spans of ``removals`` with the hash of the text that they lie in."""
     found = stored(units(id_and_text(docs), separator, min_words, run_words), "units")
     digest = ["d0", "d1"]
     # counted before the shuffle; most units occur once and are met by this count alone
     many = stored(found.groupBy(*digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest), "unit-digests")
     again = stored(found.join(many, digest, "left_semi"), "repeated-units")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "start", "length")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "of_text", "start", "length")
     first = again.groupBy(*digest).agg(F.min(place).alias("kept"))
-    first = stored(first.select(*digest, F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.col("kept.length").alias("kept_length")), "first-units")
+    first = stored(first.select(*digest, F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.of_text").alias("kept_of_text"), F.col("kept.start").alias("kept_start"), F.col("kept.length").alias("kept_length")), "first-units")
     # the many occurrences of one digest are on the left only, where Spark can split them: both sides are plain tables
-    same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("of_text") == F.col("kept_of_text"))
     gone = again.join(first, digest).where(~(same & (F.col("start") < F.col("kept_start") + F.col("kept_length"))))
     # one document's units: those that touch become one span
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("length"), "kept_doc_id", "kept_start")
+    order = Window.partitionBy("doc_id", "of_text").orderBy("start", F.desc("length"), "kept_doc_id", "kept_start")
     end = F.col("start") + F.col("length")
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = gone.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
     start = F.min(F.struct("start", -F.col("length"), "kept_doc_id", "kept_start"))
-    spans = islands.groupBy("doc_id", "span").agg(start.alias("f"), F.max(end).alias("e"))
-    return spans.select("doc_id", F.col("f.start").alias("start"), (F.col("e") - F.col("f.start")).alias("length"), F.col("f.kept_doc_id").alias("kept_doc_id"), F.col("f.kept_start").alias("kept_start"))
+    spans = islands.groupBy("doc_id", "of_text", "span").agg(start.alias("f"), F.max(end).alias("e"))
+    return spans.select("doc_id", "of_text", F.col("f.start").alias("start"), (F.col("e") - F.col("f.start")).alias("length"), F.col("f.kept_doc_id").alias("kept_doc_id"), F.col("f.kept_start").alias("kept_start"))
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
@@ -128,10 +134,10 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text``; n_chars, where there is one, follows."""
     cut, key = free_name(docs, "__gone"), free_name(docs, "__id")
-    gone = removals(docs, separator, min_words, run_words)
-    gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
-    gone = gone.select(key, F.col("spans.start").alias(f"{cut}a"), F.col("spans.end").alias(f"{cut}b"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left").drop(key)
+    gone = _spans(docs, separator, min_words, run_words)
+    gone = gone.groupBy(F.col("doc_id").alias(key), F.col("of_text").alias(f"{cut}t")).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"))
+    gone = gone.select(key, f"{cut}t", F.col("spans.start").alias(f"{cut}a"), F.col("spans.end").alias(f"{cut}b"))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]) & (F.xxhash64(docs["text"]) == gone[f"{cut}t"]), "left").drop(key, f"{cut}t")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,6 +100,17 @@ def test_substring_null_ids_rank_last(spark):
     assert sorted(r.text for r in substring.without_repeats(docs).collect()) == ["", "", line]
 
 
+@pytest.mark.parametrize("shared", [None, 3])
+def test_substring_cuts_only_the_text_that_repeats(spark, shared):
+    line = "one two three four five six seven eight nine"
+    clean = "all of this text is clean and stands only here, so that nothing goes"
+    docs = spark.createDataFrame([(1, line), (shared, f"{line}\nits own words"), (shared, clean), (shared, f"x\n{clean[:20]}\n{line}"), (shared, clean)], "doc_id long, text string")
+    assert sorted((r.start, r.length) for r in substring.removals(docs).collect()) == [(0, len(line)), (23, len(line))]
+    assert sorted(r.text for r in substring.without_repeats(docs).collect()) == sorted([line, "its own words", clean, clean, f"x\n{clean[:20]}"])
+    twice = spark.createDataFrame([(shared, f"{line}\na b"), (shared, f"{line}\nc d"), (shared, f"y\n{line}")], "doc_id long, text string")
+    assert sum(line in r.text for r in substring.without_repeats(twice).collect()) == 1
+
+
 def test_licenses(spark):
     assert [(r.doc_id, r.license) for r in licenses.scan(documents(spark)).collect()] == [(9, "MIT")]
 
