@@ -10,9 +10,13 @@ The benchmark is the stated query set. It is taken in blocks of about ``BLOCK_TO
 block is broadcast (its size is bounded by that parameter and the longest item) and meets all documents,
 so a benchmark of any size is matched in full.
 
+Tokens are runs of letters and digits, compared without case; places are offsets in the text as it is.
+
 Defined cases: null texts and texts without a letter or digit match nothing; items with fewer tokens
-than a mask selects are matched whole and exactly; items and documents that occur twice give rows
-each; an empty table gives no rows; other columns are ignored.
+than a mask selects are matched whole and exactly; a run lies in one document, also where the next one
+goes on with the item; items and documents that occur twice, and rows with a null id, give rows each;
+a very long text is hashed as one array of 8 bytes a token; ids keep their types; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import id_and_text
+from .common import id_and_text, stored
 
 #: Windows of up to 12 tokens of which 8 count.
 MASKS = ("110110101101", "111001011011", "101111001101", "11111111")
@@ -43,18 +48,18 @@ _FILTER_BITS = 22
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    return _TOKEN.findall(text or "")
 
 
 class Words(dict):
-    """Token to its 64-bit hash, remembered."""
+    """Token to the 64-bit hash of its lower-case form, remembered."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.encode())
+        self[word] = value = xxhash.xxh64_intdigest(word.lower().encode())
         return value
 
 
@@ -120,25 +125,31 @@ def best_run(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[: end + 1])), end
 
 
-def matches(codes: np.ndarray, block: Block, present: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item, start in codes, start in item, length, matched) of the runs that count."""
+def matches(codes: np.ndarray, bounds: np.ndarray, block: Block, present: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(document, item, start in document, start in item, length, matched) of the runs that count.
+
+    ``codes`` holds the documents end to end, document k from ``bounds[k]`` to ``bounds[k + 1]``.
+    """
     seen = set()
     for mask in block.masks:
         hashes = window_hashes(codes, mask)
         maybe = np.flatnonzero(present[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        doc = np.searchsorted(bounds, maybe, "right") - 1
+        inside = maybe + len(mask) <= bounds[doc + 1]
+        maybe, doc = maybe[inside], doc[inside]
         low = np.searchsorted(block.hashes, hashes[maybe], "left")
         high = np.searchsorted(block.hashes, hashes[maybe], "right")
-        for at, a, b in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
-            for k in range(a, b):
-                seen.add((int(block.items[k]), at - int(block.places[k])))
-    for j, shift in sorted(seen):
-        item = block.codes[block.bounds[j] : block.bounds[j + 1]]
-        first, last = max(0, -shift), min(len(item), len(codes) - shift)
-        equal = item[first:last] == codes[first + shift : last + shift]
+        hit = np.flatnonzero(high > low)
+        for d, at, a, b in zip(doc[hit].tolist(), (maybe - bounds[doc])[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
+            seen.update((d, j, at - place) for j, place in zip(block.items[a:b].tolist(), block.places[a:b].tolist(), strict=True))
+    for d, j, shift in sorted(seen):
+        item, text = block.codes[block.bounds[j] : block.bounds[j + 1]], codes[bounds[d] : bounds[d + 1]]
+        first, last = max(0, -shift), min(len(item), len(text) - shift)
+        equal = item[first:last] == text[first + shift : last + shift]
         start, end = best_run(equal)
         matched = int(equal[start:end].sum())
         if matched >= min(MIN_MATCHED, math.ceil(MIN_SHARE * len(item))):
-            yield j, first + shift + start, first + start, end - start, matched
+            yield d, j, first + shift + start, first + start, end - start, matched
 
 
 def _groups(texts: Iterator[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
@@ -161,16 +172,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TO
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_token int, item_token int, n_tokens int, matched int, start int, end int"
     out = None
     for shared in blocks(benchmark, block_tokens):
-        part = docs.mapInArrow(_finder(shared), schema)
+        part = docs.mapInArrow(_finder(shared, to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of ``docs``, all columns, that overlap with no benchmark item."""
-    schema = docs.schema
+    """The rows of ``docs``, all columns, that overlap with no benchmark item.
+
+    What one block leaves is written before the next block meets it, so a task holds one block.
+    """
+    schema, before = docs.schema, None
     for shared in blocks(benchmark, block_tokens):
-        docs = docs.mapInArrow(_dropper(shared), schema)
+        if before:
+            docs = stored(docs, "left-by-block")
+            before.unpersist()
+        docs, before = docs.mapInArrow(_dropper(shared), schema), shared
     return docs
 
 
@@ -189,27 +206,27 @@ def blocks(benchmark: DataFrame, block_tokens: int) -> Iterator:
 def _found(texts: pa.Array, block: Block, present: np.ndarray, words: Words) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item, first token, first token in the item, tokens, matched) of the overlaps of a batch."""
     for group in _groups(t.as_py() for t in texts):
-        coded = np.fromiter((words[w] for _, found in group for w in (*found, "\n")), np.uint64)  # no token is a line feed
-        starts = np.concatenate([[0], np.cumsum([len(found) + 1 for _, found in group])])
-        for j, at, in_item, n, matched in matches(coded, block, present):
-            g = int(np.searchsorted(starts, at, "right")) - 1
-            yield group[g][0], j, at - int(starts[g]), in_item, n, matched
+        coded = np.fromiter((words[w] for _, found in group for w in found), np.uint64)
+        bounds = np.cumsum([0, *(len(found) for _, found in group)])
+        for g, j, at, in_item, n, matched in matches(coded, bounds, block, present):
+            yield group[g][0], j, at, in_item, n, matched
 
 
-def _finder(shared):
+def _finder(shared, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words = Block(*shared.value), Words()
         present = block.present()
         for batch in batches:
-            row, item, numbers = [], [], []
+            row, item, numbers, of, spans = [], [], [], None, []
             for i, j, first, in_item, n, matched in _found(batch["text"], block, present, words):
-                spans = [m.span() for m in _TOKEN.finditer(batch["text"][i].as_py().lower())]
+                if of != i:  # a document's matches follow each other
+                    of, spans = i, [m.span() for m in _TOKEN.finditer(batch["text"][i].as_py())]
                 row.append(i)
                 item.append(block.item_ids[j])
                 numbers.append((first, in_item, n, matched, spans[first][0], spans[first + n - 1][1]))
             columns = np.asarray(numbers, np.int32).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(row, pa.int32())), pa.array(item, pa.int64()), *(pa.array(columns[:, k]) for k in range(6))],
+                [batch["doc_id"].take(pa.array(row, pa.int32())), pa.array(item, item_type), *(pa.array(columns[:, k]) for k in range(6))],
                 names=["doc_id", "item_id", "doc_token", "item_token", "n_tokens", "matched", "start", "end"],
             )
 

@@ -264,6 +264,54 @@ def test_overlaps_with_substitutions(spark):
         assert len(docs[r.doc_id][r.start : r.end].split()) == r.n_tokens >= r.matched
 
 
+def brute_overlaps(docs, items):
+    """(doc, item, doc token, item token, length, matched) by trying every mask at every pair of places, without hashes."""
+    cut = lambda text: [w.lower() for w in re.findall(r"[^\W_]+", text or "")]
+    out = set()
+    for d, text in docs.items():
+        words = cut(text)
+        for j, body in items.items():
+            item = cut(body)
+            masks = decontam.MASKS if len(item) >= 8 else ("1" * len(item),) * bool(item)
+            for shift in range(-len(item), len(words) + 1):
+                pairs = [(k, k + shift) for k in range(len(item)) if 0 <= k + shift < len(words)]
+                same = {k: item[k] == words[k + shift] for k, _ in pairs}
+                if not any(all(same.get(k + o, False) for o, c in enumerate(m) if c == "1") and {k, k + len(m) - 1} <= same.keys() for m in masks for k, _ in pairs):
+                    continue
+                ks = [k for k, _ in pairs]
+                total = [0, *np.cumsum([1 if same[k] else -3 for k in ks]).tolist()]
+                best = max(((total[b] - total[a], -b, -a) for a in range(len(ks)) for b in range(a + 1, len(ks) + 1)), default=(0, 0, 0))
+                a, b = -best[2], -best[1]
+                matched = sum(same[k] for k in ks[a:b])
+                if matched >= min(12, math.ceil(0.8 * len(item))):
+                    out.add((d, j, ks[a] + shift, ks[a], b - a, matched))
+    return out
+
+
+def test_overlaps_of_all_windows(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcde") + rng.choice("fghij")  # noqa: E731 - few words, so windows also meet by chance
+    items = {j: " ".join(word() for _ in range(n)) for j, n in enumerate([3, 6, 8, 12, 25, 41])}
+    docs = {}
+    for i in range(50):
+        text = [word() for _ in range(rng.randrange(0, 40))]
+        for j in rng.sample(range(6), 2):
+            part = items[j].split()
+            at = rng.randrange(len(part))
+            piece = [w if rng.random() < 0.93 else word() for w in part[at:] + part[: at // 2]]
+            text[(k := rng.randrange(len(text) + 1)) : k] = piece
+        docs[i] = " ".join(text)
+    docs |= {100: " ".join(items[5].split()[:20]), 101: " ".join(items[5].split()[21:])}  # one after the other they hold nearly all of it
+    want = brute_overlaps(docs, items)
+    bench = spark.createDataFrame([(str(j), t) for j, t in items.items()], "item_id string, text string")
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)
+    for block in (1_000_000, 30):
+        got = {(r.doc_id, int(r.item_id), r.doc_token, r.item_token, r.n_tokens, r.matched) for r in decontam.overlaps(frame, bench, block_tokens=block).collect()}
+        assert got == want
+        assert {r.doc_id for r in decontam.without_overlaps(frame, bench, block_tokens=block).collect()} == set(docs) - {w[0] for w in want}
+    assert {100, 101} <= {w[0] for w in want}
+
+
 @given(st.text("#</\\turn>: \nab", max_size=30), st.text(":\\#a", max_size=4))
 @settings(max_examples=20, deadline=None)
 def test_chat_round_trip(spark, text, role):

@@ -127,6 +127,10 @@ def test_decontamination(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.overlaps(docs, empty).count() == 0 and decontam.without_overlaps(docs, empty).count() == len(ROWS)
     assert decontam.overlaps(documents(spark, []), bench).count() == 0
+    words = " ".join(f"w{k}" for k in range(20))
+    odd = spark.createDataFrame([("a", f"İİİ {'İ' * 90} {words} ß"), ("b", "İ " * 50_000 + words.upper()), ("b", None)], "doc_id string, text string")
+    item = spark.createDataFrame([("item-1", words)], "item_id string, text string")
+    assert sorted((r.doc_id, r.item_id, r.start, r.end) for r in decontam.overlaps(odd, item).collect()) == [("a", "item-1", 95, 95 + len(words)), ("b", "item-1", 100_000, 100_000 + len(words))]
 
 
 def test_chat(spark):
