@@ -14,7 +14,8 @@ Wide fingerprints only propose: they are taken over a text's set of shingles, an
 compared again, set by set, within each component of proposals. Only pairs whose exact similarity
 reaches the bound count.
 
-Defined cases: null and empty texts have fingerprint 0 and no shingles, and link like others; rows
+Defined cases: null and empty texts have fingerprint 0 and no shingles, and link like others; a very
+long text is cut into words and its bits are added up in blocks, so that it takes 8 bytes a shingle; rows
 with the same id share its smallest class; rows with a null id get the class of their fingerprint's
 smallest id, null if none; an empty table gives no rows; other columns are ignored.
 """
@@ -22,6 +23,7 @@ smallest id, null if none; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,8 +36,9 @@ from .components import components
 
 #: Fingerprints of a tile, about, and rows of it that are compared at a time.
 TILE, STRIP = 4096, 64
-#: Words of a wide fingerprint.
-WIDE = 8
+#: Words of a wide fingerprint, and bytes of a text that are cut into words at a time.
+WIDE, BLOCK = 8, 1 << 20
+_SPACE = re.compile(rb"\s")
 #: Shingles of a tile of sets, about; each set counts SET_COST more, so that a tile holds at most 4,096 sets.
 SET_TILE, SET_COST = 1 << 18, 64
 #: Radius of proposals by the smaller count of distinct shingles: 220 below 8, 184 below 20 and so on. For a
@@ -46,23 +49,36 @@ SET_TILE, SET_COST = 1 << 18, 64
 WIDE_COUNTS, WIDE_RADII = (8, 20, 40), (220, 184, 168, 148)
 
 
-def shingles(text: str | None, n: int) -> list[bytes]:
-    """Shingles of n words, repeats included; one of all words if there are fewer, none without words."""
-    words = (text or "").encode().lower().split()  # both fold and split by ASCII only
-    if len(words) <= n:
-        return [b" ".join(words)] if words else []
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return [joined[a:b] for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
+def shingles(text: str | None, n: int) -> Iterator[list[bytes]]:
+    """Shingles of n words, repeats included, a block of the text at a time; one of all words if there are fewer, none without words."""
+    data, at, held, more = (text or "").encode().lower(), 0, [], False  # folds by ASCII only, as split() does
+    while at < len(data):
+        stop = _SPACE.search(data, at + BLOCK)
+        end = stop.start() if stop else len(data)
+        words = [*held, *data[at:end].split()]
+        at = end
+        if len(words) < n:
+            held = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        yield [joined[a:b] for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
+        held, more = words[len(words) - n + 1 :], True
+    if held and not more:
+        yield [b" ".join(held)]
+
+
+def hashes_of(text: str | None, n: int) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle of n words, in the text's order."""
+    import xxhash
 
+    return np.concatenate([np.zeros(0, np.uint64), *(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in block), np.uint64, len(block)) for block in shingles(text, n))])
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """XXH64 with seed 42 of each distinct shingle of n words, in order."""
-    import xxhash
 
-    units = set(shingles(text, n))
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in units), np.uint64, len(units)))
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The hash of each distinct shingle of n words, in order."""
+    return np.unique(hashes_of(text, n))
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -73,19 +89,22 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def bit_majority(hashes: np.ndarray, ties_from_first: bool = False) -> np.ndarray:
-    """Rows of hash bytes to the bytes whose bits are set in over half of the rows.
+def bit_majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The bytes whose bits are set in over half of the hashes and, for further words, of their mixes.
 
-    With ``ties_from_first`` a bit set in just half of them is taken from the smallest row, which keeps
-    short texts' fingerprints apart.
+    With more than one word a bit set in just half of them is taken from the smallest hash, which keeps
+    short texts' fingerprints apart. Bits are added up a block of hashes at a time.
     """
-    bits = np.unpackbits(hashes, axis=1)
-    n = len(bits)
-    twice = 2 * bits.sum(axis=0, dtype=np.int32)
+    bytes_of = lambda h: np.stack([h, *(mixed(h, k) for k in range(1, words))], axis=1).astype(">u8").view(np.uint8)
+    n, twice = len(hashes), np.zeros(64 * words, np.int64)
+    for at in range(0, n, 1 << 13):
+        bits = np.unpackbits(bytes_of(hashes[at : at + (1 << 13)]), axis=1)
+        for k in range(0, len(bits), 255):  # sums of so many bits fit in a byte
+            twice += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    twice *= 2
     out = twice > n
-    if ties_from_first and n % 2 == 0:
-        first = bits[min(range(n), key=lambda i: hashes[i].tobytes())]
-        out = out | ((twice == n) & (first == 1))
+    if words > 1 and n % 2 == 0 and n:
+        out |= (twice == n) & (np.unpackbits(bytes_of(hashes.min(keepdims=True))[0]) == 1)
     return np.packbits(out)
 
 
@@ -103,16 +122,13 @@ def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFra
         for batch in batches:
             n, out, sets = [], np.zeros((batch.num_rows, width), np.uint8), []
             for i, text in enumerate(batch["text"]):
+                found = hashes_of(text.as_py(), words)
                 if wide:
-                    units = one = shingle_set(text.as_py(), words)
-                    sets.append(xxhash.xxh3_128_digest(one.tobytes()))
-                else:
-                    units = shingles(text.as_py(), words)
-                    one = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in units), np.uint64, len(units))
-                n.append(len(units))
-                if len(units):
-                    hashes = np.stack([one, *(mixed(one, k) for k in range(1, WIDE))], axis=1) if wide else one
-                    out[i] = bit_majority(hashes.astype(">u8").view(np.uint8).reshape(-1, width), wide)
+                    found = np.unique(found)
+                    sets.append(xxhash.xxh3_128_digest(found.tobytes()))
+                n.append(len(found))
+                if len(found):
+                    out[i] = bit_majority(found, width // 8)
             values = out.view(">i8").astype(np.int64)
             digests = np.frombuffer(b"".join(sets), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -341,12 +357,12 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return classes(prints, ["w0"], 2, True).select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """doc_id, component_id: classes of documents that share 0.8 or more of their distinct five-word shingles.
 
     ``radius``, for another similarity than 0.8, replaces WIDE_RADII.
     """
-    docs = id_and_text(docs)
+    docs = id_and_text(docs, id_col)
     prints = stored(fingerprints(docs, words, wide=True), "fingerprints")
     names = [f"w{k}" for k in range(WIDE)]
     verified = lambda points, links: similar_links(docs, points, links, words, names, radius, similarity)

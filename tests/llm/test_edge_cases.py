@@ -1,7 +1,12 @@
 """Each operator over nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import random
+
 import public_tokenizers
 import pytest
+import xxhash
+
+import corpus_pipeline
 
 from tallyloom.llm import chat, decontam, langid, licenses, media, packing, sharding, simhash, substring, warc
 from tallyloom.llm.common import scratch_path
@@ -170,3 +175,58 @@ def test_media(spark):
     out = media.copies(queries, images).collect()
     assert [(r.query_id, r.media_id, r.n_copies) for r in out] == [(10, 1, 3)]
     assert media.copies(queries.limit(0), images).count() == 0 and media.copies(queries, images.limit(0)).count() == 0
+
+
+def test_shingles_in_blocks(monkeypatch):
+    text = " ".join(f"W{k % 7}x{k % 11}" for k in range(500))
+    whole = {n: simhash.hashes_of(text, n).tolist() for n in (1, 3, 5, 600)}
+    words = text.lower().split()
+    assert whole[3] == [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]), 42) for k in range(498)]
+    assert whole[600] == [xxhash.xxh64_intdigest(text.lower(), 42)]
+    for block in (1, 10, 100):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {n: simhash.hashes_of(text, n).tolist() for n in whole} == whole
+    assert not len(simhash.hashes_of(" \n", 3)) and not len(simhash.hashes_of(None, 3))
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(("wind", "rain", "snow", "stone", "river", "cloud", "grass", "night", "light", "water", "field", "tower")) + str(rng.randrange(90)) for _ in range(n))
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c, d = (prose(k, 80) for k in range(4))
+    near = a.rsplit(" ", 1)[0]
+    rows = [(5, a, "x"), (5, b, "x"), (3, near, "y"), (9, b, "y"), (None, c, "x"), (None, d, "x"), (None, c, "z"), (7, d, "x"), (7, d, "a"), (8, None, "x"), (11, " ", "x")]
+    docs = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string").selectExpr("*", "'other' AS node", "'other' AS __key", "'other' AS component_id")
+    kept = corpus_pipeline.one_of_each_class(spark, docs, "")
+    assert kept.columns == docs.columns
+    out = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert out == sorted([(3, near), (5, b), (None, c), (7, d), (8, None)], key=str)
+    once = {(r.doc_id, r.source) for r in kept.collect()}
+    assert once == {(r.doc_id, r.source) for r in corpus_pipeline.one_of_each_class(spark, docs.repartition(3, "source"), "").collect()}
+    assert corpus_pipeline.one_of_each_class(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    line = prose(20, 60)
+    own = {k: prose(100 + k, 120) for k in range(8)}
+    long = "\n".join(prose(1000 + k, 100) for k in range(2500))  # past one block of shingles
+    rows = [(1, own[0]), (1, own[1]), (1, own[0]), (None, own[2]), (None, own[3]), (None, own[2]), (2, f"{own[4]}\n{line}"), (3, f"{line}\n{own[5]}"), (3, f"{own[6]}\n{line}"),
+            (4, None), (5, ""), (6, "12 34"), (7, long), (8, f"{own[7]} {prose(50, 30)}")]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'other' AS start", "'other' AS length", "'other' AS cell", "'other' AS item_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(50, 30)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    encode = packing.word_encoder(PATH)
+    size = lambda t: len(encode(t)) // 4 + 1
+    total = {}
+    for r in out:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    want = {1: size(own[0]) + size(own[1]), None: size(own[2]) + size(own[3]), 2: size(f"{own[4]}\n{line}"), 3: size(own[5]) + size(own[6]), 7: size(long)}
+    assert total == want
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
