@@ -3,6 +3,11 @@
 Each stage is one of the operators in ``tallyloom.llm`` applied to all that the stage before kept. Its
 result is written as Parquet in the folder that the cluster shares and read again, so a lost executor
 costs the tasks of one stage.
+
+Defined cases: a null text, or one without a letter, is in no language and goes in the first stage;
+texts that share an id, or have none, are documents of their own in every stage, and repeated rows are
+copies, of which one stays; a text of nothing but repeats goes; very long texts are cut only when packed;
+an empty table gives no rows; other columns, whatever their names, stay until packing.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, langid, packing, simhash, substring
-from tallyloom.llm.common import id_and_text, stored
+from tallyloom.llm.common import free_name, id_and_text, stored
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +25,19 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: the smallest doc_id of each class stays; a document without an id can't be named and stays."""
-    classes = simhash.near_duplicates(docs)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """SimHash near-duplicates: of each class the document with the smallest doc_id stays.
+
+    Rows are told apart by id and text, so texts that share an id, or have none, are judged each for itself.
+    Of rows with one id and text that with the smallest hash of all columns stays; null ids rank last.
+    """
+    key, row = free_name(docs, "__key"), free_name(docs, "__row")
+    keyed = docs.withColumns({key: F.xxhash64("doc_id", "text"), row: F.xxhash64(*docs.columns)})
+    of = simhash.near_duplicates(keyed, id_col=key).distinct()
+    first = keyed.groupBy(key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    # both sides have a row for each key
+    ranked = first.join(of.withColumnsRenamed({"doc_id": key}), key).select("component_id", F.struct("first.*", key).alias("first"))
+    kept = ranked.groupBy("component_id").agg(F.min("first").alias("first")).select(f"first.{key}", f"first.{row}")
+    return keyed.join(kept, [key, row], "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
