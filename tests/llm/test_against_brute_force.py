@@ -189,7 +189,9 @@ def test_packing(spark, documents):
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 40)))
 @settings(max_examples=80, deadline=None)
 def test_sweeps_are_best_fit_decreasing(counts):
-    placed, n = packing.sweeps(counts, 32)
+    placed, waiting, left = packing.sweep([(k, 0, n) for k, n in counts.items()], [], 32, new=0)
+    n = 1 + max((first + -(-many // each) - 1 for _, _, many, each, first, _ in placed), default=-1)
+    assert not waiting
     gaps: list[int] = []
     for length in sorted(counts, reverse=True):
         for _ in range(counts[length]):
@@ -198,7 +200,7 @@ def test_sweeps_are_best_fit_decreasing(counts):
                 gaps.append(32 - length)
             else:
                 gaps[gaps.index(fit)] -= length
-    assert n == len(gaps)
+    assert n == len(gaps) and sorted(g for g, _, many in left for _ in range(many)) == sorted(g for g in gaps if g)
     assert {k: sum(p[2] for p in placed if p[0] == k) for k in counts} == counts
     used: dict[int, list] = {}
     for length, _, many, each, first, offset in placed:
@@ -208,6 +210,27 @@ def test_sweeps_are_best_fit_decreasing(counts):
     assert all(sum(x for _, x in sorted(v)[:k]) == sorted(v)[k][0] for v in used.values() for k in range(len(v)))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_are_as_good_as_best_fit_decreasing(spark, seed, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_PART", 40)  # several parts to a length
+    monkeypatch.setattr(packing, "LEAST_PARTS", 2)
+    rng = random.Random(seed)
+    sizes = [min(200, max(1, int(rng.expovariate(1 / rng.choice((10, 60, 120)))))) for _ in range(1500)] + [200] * 50
+    cut = spark.createDataFrame([(i % 700, 0, n, 7) for i, n in enumerate(sizes)], "doc_id long, piece int, length long, ids_crc32 long")
+    out = packing.pack(cut, 200).toPandas()
+    assert sorted(out.length) == sorted(sizes)
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 200
+    gaps: list[int] = []
+    for n in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            gaps.append(200 - n)
+        else:
+            gaps[gaps.index(fit)] -= n
+    assert out.sequence_id.nunique() <= 1.01 * len(gaps)
+
+
 @pytest.mark.parametrize("text", ["it's I'll 's x\x01y", "\x01 \x01", "Σίσυφος ΣΑΣ İ", "áb  Á　x", "don't! ... 123abc_def", "🙂🙂 <|endoftext|> x", ""])
 def test_words_are_encoded_as_texts(text):
     from tokenizers import Tokenizer
