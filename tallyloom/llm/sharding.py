@@ -1,24 +1,26 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 Records are hashed into ``n_slots`` slots, whose number never changes. Bytes are summed per slot, and
-a map of (version, slot, shard) says where each slot lives. Rebalancing and growing edit that map, so
-only the slots named by the edit move. The map and the sums per slot have ``n_slots`` rows whatever
-the input's size; they alone reach the driver.
-
-Defined cases: a null text has no bytes and counts 8; null ids and repeated rows are ordinary rows;
+a stored map says where each slot lives. Its table has a row (version, virtual_slot, shard) for each
+slot that a version moved: version 1 names all slots, a rebalance or a new shard appends an edit, and
+a slot's shard at a version is what the latest edit up to it says. So any version can be read again
+and only the slots of an edit move. The map and the sums per slot have ``n_slots`` rows whatever the
+input's size; they alone reach the driver.
+
+Defined cases: a null text has no bytes and counts 8; null ids and repeated rows are ordinary rows; a
+very long text is a row of its own size, so no shard can be fuller than the emptiest by more than that;
 an empty table gives an empty result and an evenly dealt map; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_and_text, stored
+from .common import id_and_text, scratch_path, stored
 
 N_SLOTS = 4096
 ROW_BYTES = 8
@@ -42,15 +44,9 @@ def slot_loads(records: DataFrame) -> DataFrame:
     return records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
-def initial_map(loads: Mapping[int, int], n_slots: int, n_shards: int) -> dict[int, int]:
-    """Slot to shard, the heaviest slots first, each to the shard with the fewest bytes."""
-    heap = [(0, 0, shard) for shard in range(n_shards)]
-    placed = {}
-    for slot in sorted(range(n_slots), key=lambda s: (-loads.get(s, 0), s)):
-        load, n, shard = heapq.heappop(heap)
-        placed[slot] = shard
-        heapq.heappush(heap, (load + loads.get(slot, 0), n + 1, shard))
-    return placed
+def dealt(n_slots: int, n_shards: int) -> dict[int, int]:
+    """The first map: slots dealt to shards in turn, before any record is known."""
+    return {slot: slot % n_shards for slot in range(n_slots)}
 
 
 def rebalanced(placed: Mapping[int, int], loads: Mapping[int, int], n_shards: int) -> dict[int, int]:
@@ -94,22 +90,34 @@ def grown(placed: Mapping[int, int], loads: Mapping[int, int], n_shards: int) ->
     return placed
 
 
-def map_table(spark, versions: list[Mapping[int, int]]) -> DataFrame:
-    """The stored form of the map: one row per version and slot, version 1 first."""
-    rows = [(v, slot, shard) for v, m in enumerate(versions, 1) for slot, shard in sorted(m.items())]
-    return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
+def write_edit(spark: SparkSession, path: str, before: Mapping[int, int], after: Mapping[int, int], version: int) -> None:
+    """Append the slots that moved from ``before`` to ``after`` to the map's table as ``version``."""
+    moved = [(version, slot, shard) for slot, shard in sorted(after.items()) if before.get(slot) != shard]
+    spark.createDataFrame(moved, "version int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+
+
+def map_at(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """virtual_slot, shard of the map's latest version, or of ``version``."""
+    edits = spark.read.schema("version int, virtual_slot int, shard int").parquet(path)
+    if version is not None:
+        edits = edits.where(F.col("version") <= version)
+    return edits.groupBy("virtual_slot").agg(F.max_by("shard", "version").alias("shard"))
 
 
-def assign(records: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:
+    """The map on the driver: ``n_slots`` entries."""
+    return {r.virtual_slot: r.shard for r in map_at(spark, path, version).collect()}
+
+
+def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     """``records`` with shard and ``slot``, the gapless place of the record in its shard from 0.
 
     Places are numbered within each virtual slot, in parallel, and shifted by the rows of the slots
     before it in the same shard: no task sees a whole shard.
     """
     counts = slot_loads(records)
-    one = slot_map.where(F.col("version") == version).select("virtual_slot", "shard")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = one.join(counts, "virtual_slot").select(
+    starts = slot_map.join(counts, "virtual_slot").select(
         "virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
     )
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")
@@ -121,17 +129,39 @@ def assign(records: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, **columns: str) -> tuple[DataFrame, DataFrame]:
-    """Records with their shard and place, and the map (version 1) that says so."""
+def shard(docs: DataFrame, n_shards: int, map_path: str, n_slots: int = N_SLOTS, **columns: str) -> DataFrame:
+    """Records with their shard and place, read from a new map's latest version at ``map_path``.
+
+    Version 1 deals the slots out, version 2 is the edit that rebalances them by the records' bytes.
+    """
+    spark = docs.sparkSession
     records = stored(slotted(docs, n_slots, **columns), "shard-records")
+    write_edit(spark, map_path, {}, dealt(n_slots, n_shards), 1)
+    rebalance(spark, map_path, records, n_shards)
+    return assign(records, map_at(spark, map_path))
+
+
+def _next(spark: SparkSession, map_path: str, records: DataFrame, change: Callable[[dict[int, int], dict[int, int]], dict[int, int]]) -> int:
     loads = {r.virtual_slot: r.bytes for r in slot_loads(records).collect()}
-    slot_map = map_table(docs.sparkSession, [initial_map(loads, n_slots, n_shards)])
-    return assign(records, slot_map, 1), slot_map
+    version = spark.read.parquet(map_path).agg(F.max("version")).first()[0] + 1
+    before = read_map(spark, map_path)
+    write_edit(spark, map_path, before, change(before, loads), version)
+    return version
+
+
+def rebalance(spark: SparkSession, map_path: str, records: DataFrame, n_shards: int) -> int:
+    """Append the edit that evens the shards' bytes out; the new version's number."""
+    return _next(spark, map_path, records, lambda before, loads: rebalanced(before, loads, n_shards))
+
+
+def add_shard(spark: SparkSession, map_path: str, records: DataFrame, n_shards: int) -> int:
+    """Append the edit that gives shard ``n_shards`` its slots; the new version's number."""
+    return _next(spark, map_path, records, lambda before, loads: grown(before, loads, n_shards))
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
-    out, _ = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 24)
+    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 24, scratch_path(spark, "shard-map"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from tallyloom.llm import chat, components, decontam, langid, licenses, media, packing, registry, sharding, simhash, substring, warc
+from tallyloom.llm.common import scratch_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,7 +50,7 @@ def test_shards_are_nearly_equal(spark, documents):
 @given(st.dictionaries(st.integers(0, 63), st.integers(0, 1000)), st.integers(1, 9))
 @settings(max_examples=60, deadline=None)
 def test_map_edits(loads, n):
-    first = sharding.initial_map(loads, 64, n)
+    first = sharding.rebalanced(sharding.dealt(64, n), loads, n)
     grown = sharding.grown(first, loads, n)
     assert all(grown[s] in (first[s], n) for s in first)
     balanced = sharding.rebalanced({s: 0 for s in range(64)}, loads, n)
@@ -59,6 +60,25 @@ def test_map_edits(loads, n):
     assert set(moved) == set(first)
 
 
+def test_map_versions(spark, documents):
+    docs = spark.createDataFrame(documents[["doc_id", "text"]])
+    path = scratch_path(spark, "t-map")
+    out = sharding.shard(docs, 5, path).toPandas()
+    records = sharding.slotted(docs)
+    assert sharding.add_shard(spark, path, records, 5) == 3 and sharding.rebalance(spark, path, records, 6) == 4
+    maps = {v: sharding.read_map(spark, path, v) for v in (1, 2, 3, 4)}
+    assert maps[1] == sharding.dealt(sharding.N_SLOTS, 5) and sharding.read_map(spark, path) == maps[4]
+    assert dict(zip(out.virtual_slot, out.shard, strict=True)).items() <= maps[2].items()
+    assert {s for s in maps[3] if maps[3][s] != maps[2][s]} == {s for s in maps[3] if maps[3][s] == 5} != set()
+    edits = spark.read.parquet(path).groupBy("version").count().toPandas().set_index("version")["count"].to_dict()
+    assert edits == {1: sharding.N_SLOTS} | {v: n for v in (2, 3, 4) if (n := sum(maps[v][s] != maps[v - 1][s] for s in maps[v]))}
+    again = sharding.assign(records, sharding.map_at(spark, path, 4)).toPandas()
+    loads = again.groupby("shard")["size"].sum()
+    assert len(loads) == 6 and loads.max() - loads.min() <= again["size"].max()
+    for _, g in again.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_simhash(spark, documents):
     out = registry.QUERIES["op7_simhash"](spark, SF).toPandas().set_index("doc_id")
     prints = {}

@@ -38,7 +38,7 @@ def languages(docs):
 
 
 OPERATORS = {
-    "sharding": lambda d: sharding.shard(d, 3)[0],
+    "sharding": lambda d: sharding.shard(d, 3, scratch_path(d.sparkSession, "t-map")),
     "langid": languages,
     "simhash": lambda d: simhash.classes(simhash.fingerprints(d), ["w0"], 2, True).select("doc_id", "component_id"),
     "near": simhash.near_duplicates,
