@@ -5,13 +5,14 @@ filters are bit-sliced: one table holds, per slot, a word with one bit per langu
 look-up of an n-gram returns all languages that contain it. Per language the bits are counted over a
 whole text, corrected for the filter's false positives, and the largest share decides.
 
-Training sees about ``max_docs`` documents of each language (a share of it, by hash of id and text)
+Training sees about ``max_docs`` documents of each language (a share of it, by hash of the text)
 and keeps ``top_grams`` n-grams of each: what reaches the driver is bounded by these two parameters
 and the number of languages, whatever the input's size.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language
 that sorts first; with nothing to learn from, all is ``und``; rows with null or repeated ids are
-ordinary rows; a row without label or text teaches nothing; other columns are ignored.
+ordinary rows; copies teach once; a row without label or text teaches nothing; a very long text is
+counted in blocks; more labels than ``MAX_LANGUAGES`` are an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .common import free_name
 
 UND = "und"
 GRAM = 4
-#: Documents of a language that teach, about, and n-grams kept of each.
-MAX_DOCS, TOP_GRAMS = 4000, 6000
+#: Documents of a language that teach, about, n-grams kept of each, and languages at most.
+MAX_DOCS, TOP_GRAMS, MAX_LANGUAGES = 4000, 6000, 1024
 #: Slots of each of the two hash tables, as a power of two, and the hashes' odd multipliers.
 SLOT_BITS = 18
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77)
@@ -84,12 +85,12 @@ class Filters:
             rates.append(np.prod([np.mean(t[i // 64] & bit != 0) for t in self.tables]))
         return np.asarray(rates)
 
-    def shares(self, texts: list[bytes]) -> np.ndarray:
-        """Rows by text, columns by language: the corrected share of n-grams that the language contains."""
-        ends = np.cumsum([len(t) for t in texts])
-        starts, counts = ends - [len(t) for t in texts], np.asarray([max(0, len(t) - GRAM + 1) for t in texts])
-        codes = grams(b"".join(texts))
-        out = np.zeros((len(texts), len(self.languages)))
+    def hits(self, blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by block, columns by language: n-grams that the language contains; and n-grams by block."""
+        ends = np.cumsum([len(t) for t in blocks])
+        starts, counts = ends - [len(t) for t in blocks], np.asarray([max(0, len(t) - GRAM + 1) for t in blocks])
+        codes = grams(b"".join(blocks))
+        out = np.zeros((len(blocks), len(self.languages)), np.int64)
         masks = []
         for word in range(self.tables.shape[1]):
             found = np.full(len(codes), np.uint64(2**64 - 1))
@@ -100,21 +101,30 @@ class Filters:
             hit = (masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(np.int64)
             total = np.concatenate([[0], np.cumsum(hit)])
             out[:, i] = total[np.minimum(starts + counts, len(codes))] - total[np.minimum(starts, len(codes))]
+        return out, counts
+
+    def shares(self, hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The share of n-grams that each language contains, corrected for false positives."""
         n, wrong = np.maximum(counts, 1)[:, None], self.false_positive()[None, :]
-        return np.clip((out / n - wrong) / (1 - wrong), 0, 1)
+        return np.clip((hits / n - wrong) / (1 - wrong), 0, 1)
 
 
 def _pieces(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
-    """The texts that have letters, folded, in groups of about ``limit`` bytes: memory stays bounded."""
+    """The texts that have letters, folded, in groups of about ``limit`` bytes: memory stays bounded.
+
+    A longer text comes in blocks, each with the start of the next, so that every n-gram is in one block.
+    """
     at, group, size = [], [], 0
     for i, text in enumerate(texts):
         if text is not None and has_letter(text):
-            at.append(i)
-            group.append(folded(text))
-            size += len(group[-1])
-            if size >= limit:
-                yield at, group
-                at, group, size = [], [], 0
+            whole = folded(text)
+            for k in range(0, max(1, len(whole) - GRAM + 1), limit):
+                at.append(i)
+                group.append(whole[k : k + limit + GRAM - 1])
+                size += len(group[-1])
+                if size >= limit:
+                    yield at, group
+                    at, group, size = [], [], 0
     if group:
         yield at, group
 
@@ -125,10 +135,12 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS, top_grams: int = TOP_GRAMS)
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not counts:
         return Filters.build({})
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{len(counts)} different labels aren't languages; {MAX_LANGUAGES} at most can be learned")
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_docs / n))))
     # no ranking, hence no task that gathers a language's rows
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
-    sample = labelled.where(chosen).select("lang", "text")
+    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    sample = labelled.where(chosen).select("lang", "text").distinct()  # a text with very many copies teaches once
 
     def count(batches):
         for batch in batches:
@@ -154,12 +166,17 @@ def predict(docs: DataFrame, filters: Filters, columns: list[str], names: tuple[
             texts = batch["text"].to_pylist()
             language, score = [UND] * len(texts), np.zeros(len(texts))
             if filters.languages:
+                hits, counts = np.zeros((len(texts), len(filters.languages)), np.int64), np.zeros(len(texts), np.int64)
+                judged = np.zeros(len(texts), bool)
                 for at, group in _pieces(texts):
-                    shares = filters.shares(group)
-                    best = shares.argmax(axis=1)
-                    score[at] = shares[np.arange(len(at)), best]
-                    for i, b in zip(at, best.tolist(), strict=True):
-                        language[i] = filters.languages[b]
+                    h, n = filters.hits(group)
+                    np.add.at(hits, at, h)
+                    np.add.at(counts, at, n)
+                    judged[at] = True
+                shares = filters.shares(hits, counts)
+                best = shares.argmax(axis=1)
+                score = np.where(judged, shares[np.arange(len(texts)), best], 0.0)
+                language = [filters.languages[b] if known else UND for b, known in zip(best.tolist(), judged.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(language, pa.string()), pa.array(score)], names=[*columns, *names])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)

@@ -281,6 +281,34 @@ def test_filters_agree_with_sets():
         assert hit.all()
 
 
+def test_predictions_recomputed(spark, documents):
+    """Each prediction again, n-gram by n-gram with plain sets."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    filters = langid.learn(docs.where(~langid.held_out()))
+    out = registry.QUERIES["op9_langid"](spark, SF).toPandas().set_index("doc_id")
+    held = {(k, m, at) for k, table in enumerate(filters.tables) for m in range(len(filters.languages)) for at in np.flatnonzero(table[0] >> np.uint64(m) & np.uint64(1)).tolist()}
+    wrong = [math.prod(sum(1 for k, i, _ in held if k == h and i == m) / 2**filters.bits for h in (0, 1)) for m in range(len(filters.languages))]
+    for doc_id, text in zip(documents.doc_id, documents.text, strict=True):
+        if text is None or len(text) > 3000:
+            continue
+        data = langid.folded(text)
+        places = [[(int.from_bytes(data[k : k + 4], "little") * m % 2**32) >> (32 - filters.bits) for m in langid.MULTIPLIERS] for k in range(len(data) - 3)]
+        shares = [min(1, max(0, (sum((0, m, a) in held and (1, m, b) in held for a, b in places) / max(1, len(places)) - wrong[m]) / (1 - wrong[m]))) for m in range(len(wrong))]
+        if any(c.isalpha() for c in text):
+            assert out.score[doc_id] == pytest.approx(max(shares), abs=1e-9)
+            assert out.lang_pred[doc_id] == filters.languages[shares.index(max(shares))]
+        else:
+            assert (out.lang_pred[doc_id], out.score[doc_id]) == ("und", 0)
+    texts = [t for t in documents.text if t][:20] + ["", None, "1"]
+    together = {}
+    for limit in (1 << 20, 50):
+        total = np.zeros((len(texts), len(filters.languages)), np.int64)
+        for at, group in langid._pieces(texts, limit):
+            np.add.at(total, at, filters.hits(group)[0])
+        together[limit] = total.tolist()
+    assert together[50] == together[1 << 20]
+
+
 def test_overlaps_with_substitutions(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
