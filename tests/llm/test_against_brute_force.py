@@ -427,16 +427,53 @@ def test_repeated_spans(spark, documents):
 
 
 def test_licence_rules_in_order():
-    ids, rules = licenses._known()
-    begun = licenses.prefixes(ids)
+    known = licenses.Rules.build(licenses.SENTENCES, licenses.RULES, licenses.NAMES)
+    begun = licenses.prefixes(known.ids)
     mit = [licenses.SENTENCES[k] for k in ("mit-title", "mit-grant", "mit-condition", "mit-warranty", "mit-liability")]
-    scan = lambda text: [(licence, len(names)) for licence, names, *_ in licenses.rule_matches(licenses.recognised(text, ids, begun), rules)]
+    scan = lambda text: [(licence, len(names)) for licence, names, *_ in sorted(licenses.rule_matches(licenses.recognised(text, known.ids, begun, known.spdx), known.rules), key=lambda m: m[2])]
     assert scan("\n".join(mit)) == [("MIT", 5)]
     assert scan("\n\n".join(mit).replace(" of ", "\nof ")) == [("MIT", 5)]
     assert scan(mit[2] + "\n" + mit[1]) == []
     assert scan(mit[1] + "\nFiller one.\n" + mit[2]) == [("MIT", 2)]
+    assert scan("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;") == [("MIT", 1), ("Apache-2.0", 1)]
+    assert scan("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */") == [("GPL-2.0-only", 1), ("BSD-3-Clause", 1)]
+    assert scan("SPDX-License-Identifier: NoSuch\nMIT") == scan("MIT OR Apache-2.0") == scan("SPDX-License-Identifier:") == []
+    assert len(known.spdx) == len(licenses.NAMES) and len(known.ids) > 3000
     for name, sentence in licenses.SENTENCES.items():
-        assert licenses.recognised(f"Before it.\n{sentence}\nAfter it.", ids, begun), name
+        assert licenses.recognised(f"Before it.\n{sentence}\nAfter it.", known.ids, begun), name
+
+
+def test_licences_of_documents(spark, documents):
+    """Every rule at every sentence of every document that could begin it, by comparing words one after another."""
+    known = licenses.Rules.build(licenses.SENTENCES, licenses.RULES, licenses.NAMES)
+    sentence_of = {name: body.split() for body, names in known.ids.items() for name in names}
+    rng = random.Random(4)
+    filler = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randrange(3, 9))).capitalize() + "."
+    notices = [r for r in known.rules if not r[1][0].startswith("spdx-")]
+    texts, want = {i: t for i, t in zip(documents.doc_id, documents.text, strict=True)}, {}
+    for i in range(10_000, 10_120):
+        lines, want[i] = [filler(), filler()], []
+        for _ in range(rng.randrange(0, 3)):
+            licence, names = rng.choice(notices)
+            if names[0] == "mit-title.0" or any(names < other[1] or names == other[1][: len(names)] != other[1] for other in notices):
+                continue  # the beginning of a longer rule
+            for name in names:
+                words = sentence_of[name]
+                lines.append((" ".join(words) + ".").replace(" ", "\n", rng.randrange(2)))
+                lines += [filler() for _ in range(rng.randrange(0, 3))] if name != names[-1] else []
+            want[i].append((licence, len(names)))
+            lines += [filler() for _ in range(4)]
+        texts[i] = "\n".join(lines)
+    got: dict = {}
+    for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.n_sentences))
+        body = re.findall(r"[^\W_]+", texts[r.doc_id][r.start : r.end].lower())
+        assert body[: len(sentence_of[r.sentences.split("|")[0]])] == sentence_of[r.sentences.split("|")[0]]
+    assert {i: sorted(w) for i, w in want.items() if w} == {i: sorted(g) for i, g in got.items() if i >= 10_000}
+    single = {" ".join(sentence_of[names[0]]): licence for licence, names in known.rules if len(names) == 1 and names[0] in sentence_of}
+    for i, text in zip(documents.doc_id, documents.text, strict=True):
+        found = sorted(single[body] for line in (text or "").split("\n") if (body := " ".join(re.findall(r"[^\W_]+", line.lower()))) in single)
+        assert found == sorted(x for x, _ in got.get(i, []))
 
 
 def test_arc_versions_and_lengths():
