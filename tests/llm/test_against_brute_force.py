@@ -498,7 +498,53 @@ def test_media_recall(spark):
     want = {(i, first[tuple(v)]) for i, v in zip(vectors.vec_id, vectors.embedding, strict=True) if i % 50 == 0}
     got = set(zip(out.query_id, out.media_id, strict=True))
     assert len(want & got) >= 0.9 * len(want) and not got - want
-    assert media.pixels_of(media.packed(np.arange(6, dtype="u1").reshape(2, 3))).tolist() == [[0, 1, 2], [3, 4, 5]]
+
+
+#: Measured on 120 drawings: edits that blur descriptors so far that whole tables rarely stay alike.
+@pytest.mark.parametrize(("edit", "least"), [("crop", 0.9), ("quarter turn", 0.95), ("dimmed", 0.95), ("noise", 0.95), ("recompressed", 0.95), ("blurred", 0.95), ("reduced", 0.9), ("enlarged", 0.6), ("slight turn", 0.5)])
+def test_recall_of_each_edit(edit, least):
+    """Against all pairs in memory: votes by whole tables, then consensus."""
+    rng = np.random.default_rng(11)
+    pictures = [media.drawn(v) for v in rng.normal(size=(60, 8)).tolist()]
+    base = [media.described(a) for a in pictures]
+    keys = lambda bits: np.unpackbits(bits, axis=1).reshape(len(bits), media.TABLES, media.TABLE_BITS)
+    caught = 0
+    for k, picture in enumerate(pictures):
+        points, bits = media.described(np.ascontiguousarray(media.EDITS[edit](picture)))
+        for j in (k, (k + 1) % 60):
+            votes = (keys(bits)[:, None] == keys(base[j][1])[None]).all(3).any((1, 2)).sum()
+            found = votes >= media.MIN_VOTES and media.consensus(points, bits, *base[j]) >= media.MIN_INLIERS
+            assert j == k or not found
+            caught += found
+    assert caught >= least * 60
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_png_filters(kind):
+    """Rows filtered as the format says, of every filter and colour type, against the pixels that they came from."""
+    rng = np.random.default_rng(kind)
+    for colour, channels in media.PNG_CHANNELS.items():
+        pixels = rng.integers(0, 256 if colour != 3 else 7, (9, 11, channels)).astype(np.uint8)
+        flat, rows = pixels.reshape(9, -1).astype(int), []
+        for y in range(9):
+            row = [kind]
+            for x in range(flat.shape[1]):
+                left = flat[y, x - channels] if x >= channels else 0
+                up = flat[y - 1, x] if y else 0
+                corner = flat[y - 1, x - channels] if y and x >= channels else 0
+                guess = left + up - corner
+                paeth = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+                row.append((flat[y, x] - (0, left, up, (left + up) // 2, paeth)[kind]) % 256)
+            rows.append(bytes(map(int, row)))
+        chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+        palette = rng.integers(0, 256, (7, 3)).astype(np.uint8)
+        packed = zlib.compress(b"".join(rows))
+        image = media.PNG_SIGNATURE + chunk(b"IHDR", bytes([0, 0, 0, 11, 0, 0, 0, 9, 8, colour, 0, 0, 0])) + chunk(b"PLTE", palette.tobytes()) + chunk(b"IDAT", packed[:20]) + chunk(b"IDAT", packed[20:]) + chunk(b"IEND", b"")
+        want = palette[pixels[..., 0]] if colour == 3 else pixels[..., : 3 if channels > 2 else 1]
+        assert media.pixels_of(image).tolist() == media.grey(want).tolist()
+        assert media.pixels_of(image[:-40]) is None
+    picture = rng.integers(0, 256, (5, 7)).astype(np.uint8)
+    assert media.pixels_of(media.png(picture)).tolist() == picture.tolist() == media.pixels_of(b"P5 # a\n7 5\n255\n" + picture.tobytes()).tolist()
 
 
 def test_pipeline(spark, documents, tmp_path):

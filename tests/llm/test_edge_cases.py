@@ -167,14 +167,18 @@ def test_warc(spark):
 
 
 def test_media(spark):
-    flat, bad = media.packed(media.np.zeros((40, 40), "u1")), b"\x01"
-    picture = media.packed(media.drawn([0.1, 0.2, 0.3]))
+    flat, bad = media.png(media.np.zeros((40, 40), "u1")), media.PNG_SIGNATURE + b"\x00"
+    drawing = media.drawn([0.1, 0.2, 0.3])
+    picture = media.png(drawing)
     rows = [(1, picture), (2, picture), (2, picture), (3, flat), (4, bad), (5, None), (None, picture), (6, b"")]
     images = spark.createDataFrame(rows, "media_id long, image binary").selectExpr("*", "'other' AS digest", "'other' AS votes")
-    queries = spark.createDataFrame([(10, media.packed(media.edited(media.pixels_of(picture), 2))), (11, flat), (None, None)], "query_id long, image binary")
+    queries = spark.createDataFrame([(10, media.png(media.edited(drawing, 2))), (11, flat), (None, None)], "query_id long, image binary")
     out = media.copies(queries, images).collect()
     assert [(r.query_id, r.media_id, r.n_copies) for r in out] == [(10, 1, 3)]
     assert media.copies(queries.limit(0), images).count() == 0 and media.copies(queries, images.limit(0)).count() == 0
+    large = media.np.kron(drawing, media.np.ones((45, 45), "u1"))  # beyond MAX_PIXELS, so reduced first
+    points, _ = media.described(large)
+    assert large.size > media.MAX_PIXELS and len(points) > 1000 and points[:, 0].max() > 3000
 
 
 def test_shingles_in_blocks(monkeypatch):
