@@ -75,27 +75,59 @@ def tiers_a_and_b(rows: DataFrame, lines: DataFrame, report: DataFrame) -> DataF
     return folded.select("entity", "amount", "o.*")
 
 
-def eligible_pool(rows: DataFrame, lines: DataFrame, consumed: DataFrame) -> DataFrame:
-    """Rows that a line may draw on: made and eligible by its day's end, net not zero, and not consumed by an earlier line.
-
-    ``lines``: entity, bank_index, amount, value_day, seq; ``consumed``: entity, settlement_id, used_seq.
-    """
-    ceiling = calendar.end_of_day(F.col("value_day"))
+def _own(rows: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Rows that can ever be in a pool: net not zero, captured; when they count from, and the line that consumed them."""
     net = F.col("credit") - F.col("debit")
-    own = rows.join(consumed, ["entity", "settlement_id"], "left").select(
+    return rows.join(consumed, ["entity", "settlement_id"], "left").select(
         "entity", "row_id", net.alias("net"), "created_at", "used_seq",
         F.when(F.col("type") == "payment", calendar.eligible_at(F.col("created_at"))).otherwise(F.col("created_at")).alias("from_at"),
         ((F.col("type") != "payment") | (F.col("credit") != 0)).alias("captured")).where("net <> 0 AND captured")
-    pool = lines.alias("l").join(own.alias("r"), (F.col("l.entity") == F.col("r.entity")) & (F.col("r.created_at") <= ceiling) & (F.col("r.from_at") <= ceiling)
-                                 & (F.col("r.used_seq").isNull() | (F.col("r.used_seq") >= F.col("l.seq"))), "left")
+
+
+def pool_bounds(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """entity, bank_index and how many rows its pool has at most, from counts by entity and day: no line meets a row."""
+    # a row counts for a day's lines if it is there by the day's end, which is inclusive
+    day = F.call_function("div", F.col("from_at") + (calendar.OFFSET - 1), F.lit(86_400))
+    none = rows.select("entity", "settlement_id", F.lit(None).cast("long").alias("used_seq")).limit(0)
+    counts = _own(rows, none).groupBy("entity", day.alias("value_day")).agg(F.count(F.lit(1)).alias("n"))
+    asked = lines.select("entity", "value_day", F.lit(0).cast("long").alias("n")).distinct()
+    days = counts.unionByName(asked).groupBy("entity", "value_day").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("entity").orderBy("value_day").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.select("entity", "bank_index", "value_day").join(days.select("entity", "value_day", upto.alias("bound")), ["entity", "value_day"]).select("entity", "bank_index", "bound")
+
+
+def eligible_pool(rows: DataFrame, lines: DataFrame, consumed: DataFrame, closing: bool = False) -> DataFrame:
+    """Rows that a line may draw on: made and eligible by its day's end, net not zero, and not consumed by an earlier line.
+
+    ``lines``: entity, bank_index, amount, value_day, seq; ``consumed``: entity, settlement_id, used_seq. With
+    ``closing`` only rows that are the line's amount by themselves, which Spark finds by an equi-join.
+    """
+    ceiling = calendar.end_of_day(F.col("value_day"))
+    both = (F.col("l.entity") == F.col("r.entity")) & (F.col("r.created_at") <= ceiling) & (F.col("r.from_at") <= ceiling) & (F.col("r.used_seq").isNull() | (F.col("r.used_seq") >= F.col("l.seq")))
+    both = both & (F.col("r.net") == F.col("l.amount")) if closing else both
+    pool = lines.alias("l").join(_own(rows, consumed).alias("r"), both, "inner" if closing else "left")
     return pool.select("l.entity", "l.bank_index", F.col("l.amount").alias("target"), "r.row_id", "r.net")
 
 
+def searched(rows: DataFrame, lines: DataFrame, consumed: DataFrame, max_pool: int = subsets.MAX_POOL, **limits) -> DataFrame:
+    """Candidates of each line among the rows that it may draw on; pools are counted before any is made."""
+    bounds = kept(pool_bounds(rows, lines), "pool-bounds")
+    small = lines.join(bounds.where(F.col("bound") <= max_pool).select("entity", "bank_index"), ["entity", "bank_index"], "left_semi")
+    large = lines.join(bounds.where(F.col("bound") > max_pool).select("entity", "bank_index"), ["entity", "bank_index"], "left_semi")
+    found = subsets.enumerate_lines(eligible_pool(rows, small, consumed), max_pool=None, **limits)
+    single = eligible_pool(rows, large, consumed, closing=True).select("entity", "bank_index", "row_id", "net")
+    return found.unionByName(subsets.single_rows(large.select("entity", "bank_index"), single, limits.get("cap", subsets.CAP)))
+
+
+def consumed_by(decided: DataFrame) -> DataFrame:
+    """entity, settlement_id, used_seq: which line consumed a settlement."""
+    return decided.where(F.col("kind") == VERIFIED).select("entity", "settlement_id", F.col("seq").alias("used_seq"))
+
+
 def tier_c(rows: DataFrame, decided: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """Outcomes of the lines that tiers A and B leave open, and their candidates."""
     open_ = decided.where("kind IS NULL")
-    consumed = decided.where(F.col("kind") == VERIFIED).select("entity", "settlement_id", F.col("seq").alias("used_seq"))
-    found = subsets.enumerate_lines(eligible_pool(rows, open_, consumed), **limits)
+    found = kept(searched(rows, open_, consumed_by(decided), **limits), "candidates")
     rivals = windows.rivals(decided.select("entity", "bank_index", "amount", "value_day"), decided.where(F.col("kind") == VERIFIED))
     t = found.groupBy("entity", "bank_index").agg(F.count("candidate").cast("int").alias("n"), F.every("complete").alias("complete")).join(rivals, ["entity", "bank_index"])
     kind = F.when(F.col("n") > 1, AMBIGUOUS).when((F.col("n") == 1) & F.col("complete") & (F.col("rivals") == 0), RECONSTRUCTED).otherwise(UNRESOLVED)
@@ -105,11 +137,42 @@ def tier_c(rows: DataFrame, decided: DataFrame, **limits) -> tuple[DataFrame, Da
     return out.select(*decided.columns), found
 
 
+def rival_closures(rows: DataFrame, decided: DataFrame, **limits) -> DataFrame:
+    """entity, bank_index, rivals, lower_bound of each verified line: how many sets of rows would explain its amount as well.
+
+    The pool is that before the line consumed its own settlement; the claimed set is one of the rivals,
+    so there is one at least. A search that isn't complete gives a lower bound and says so.
+    """
+    verified = decided.where(F.col("kind") == VERIFIED)
+    found = searched(rows, verified, consumed_by(decided), **limits)
+    return found.groupBy("entity", "bank_index").agg(
+        F.greatest(F.count("candidate"), F.lit(1)).alias("rivals"), (~F.every("complete")).alias("lower_bound"))
+
+
+def compositions(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """Credit and debit rows of each verified line with their totals; rows of net zero belong to neither side."""
+    net = F.col("credit") - F.col("debit")
+    own = rows.where("settlement_id IS NOT NULL").select("entity", "settlement_id", "row_id", net.alias("net"))
+    of = decided.where(F.col("kind") == VERIFIED).select("entity", "bank_index", "settlement_id").join(own, ["entity", "settlement_id"])
+    side = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("row_id"))))
+    total = lambda c: F.sum(F.when(c, F.col("net")).otherwise(0))
+    return of.groupBy("entity", "bank_index").agg(
+        side(F.col("net") > 0).alias("credit_ids"), side(F.col("net") < 0).alias("debit_ids"), total(F.col("net") > 0).alias("credit_total"), (-total(F.col("net") < 0)).alias("debit_total"))
+
+
+def attested_rows(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows that the report attests to a discrepant line, and whether each offends: it was made after the line's day."""
+    own = rows.where("settlement_id IS NOT NULL").select("entity", "settlement_id", "row_id", "created_at")
+    of = decided.where((F.col("kind") == DISCREPANCY) & F.col("settlement_id").isNotNull()).select("entity", "bank_index", "settlement_id", "reason", "value_day")
+    late = F.col("created_at") > calendar.end_of_day(F.col("value_day"))
+    return of.join(own, ["entity", "settlement_id"]).select("entity", "bank_index", "reason", "row_id", ((F.col("reason") == "TEMPORAL_IMPOSSIBILITY") & late).alias("offends"))
+
+
 def resolve(rows: DataFrame, lines: DataFrame, report: DataFrame, **limits) -> DataFrame:
     """One outcome per line after all three tiers and the withdrawal of reconstructions that share rows."""
     decided = kept(tiers_a_and_b(rows, lines, report), "decided")
     c, found = tier_c(rows, decided, **limits)
-    c, found = kept(c, "tier-c"), kept(found, "candidates")
+    c = kept(c, "tier-c")
     claims = (
         found.where("candidate IS NOT NULL").join(c.where(F.col("kind") == RECONSTRUCTED).select("entity", "bank_index"), ["entity", "bank_index"], "left_semi")
         .select("entity", "bank_index", F.explode(F.split("row_ids", "[|]")).alias("row_id"), F.lit(False).alias("verified")))

@@ -3,6 +3,9 @@
 The search meets in the middle: sums of both halves of a pool, sorted, then matched. ``complete`` is
 true only if the whole space was searched; a reached cap or spent budget makes it false even where
 the count would be right. The budget counts work, never time, so results repeat.
+
+A pool beyond the budget isn't given up: all sets of up to four rows, and all that leave out up to four,
+are still tried. What they find are candidates of an incomplete search.
 """
 
 from __future__ import annotations
@@ -11,11 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates listed at most, half-sums tried at most, and rows of a pool that are searched at all.
-CAP, BUDGET, MAX_POOL = 200, 1 << 21, 64
+#: Candidates listed at most, half-sums (or pairs) tried at most, and rows of a pool that are gathered at all.
+CAP, BUDGET, MAX_POOL = 200, 1 << 21, 1024
+#: The cascade's own cap.
+CASCADE_CAP = 32
 RESULT = "entity long, bank_index long, candidate int, row_ids string, n_debits int, credit long, complete boolean, status string"
 
 
@@ -27,44 +32,121 @@ def half_sums(nets: np.ndarray) -> np.ndarray:
     return out
 
 
-def closing_subsets(ids: list[str], nets: list[int], target: int, cap: int = CAP, budget: int = BUDGET) -> tuple[list[tuple[str, ...]], bool, str]:
-    """(sorted subsets with that sum, complete, status). The empty set closes only a target of 0 over an empty pool."""
+def closing_subsets(ids: list[str], nets: list[int], target: int, cap: int = CAP, budget: int = BUDGET, most_debits: bool = False) -> tuple[list[tuple[str, ...]], bool, str]:
+    """(sorted subsets with that sum, complete, status). The empty set closes only a target of 0 over an empty pool.
+
+    With ``most_debits`` only subsets with as many negative rows as any of them has; the cap counts these alone.
+    """
     if not ids:
         return ([()] if target == 0 else []), True, "empty_pool"
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     ids, values = [ids[i] for i in order], np.asarray([nets[i] for i in order], np.int64)
-    half = len(ids) // 2
-    if 2 ** (len(ids) - half) > budget:
-        return [], False, "budget_exceeded"
+    if 2 ** (len(ids) - len(ids) // 2) <= budget:
+        picked, complete = _exhaustive(values, target, cap, most_debits)
+        status = "exhausted" if complete else "cap_reached"
+    else:
+        picked, complete = _few_rows(values, target, budget), False
+        if most_debits and picked:
+            debits = [int((values[list(s)] < 0).sum()) for s in picked]
+            picked = [s for s, d in zip(picked, debits, strict=True) if d == max(debits)]
+        status = "cap_reached" if len(picked) > cap else "budget_exceeded"
+        picked = picked[:cap]
+    return sorted(tuple(ids[k] for k in s) for s in picked), complete, status
+
+
+def _exhaustive(values: np.ndarray, target: int, cap: int, most_debits: bool) -> tuple[list[tuple[int, ...]], bool]:
+    """All subsets of ``values`` with the sum, up to ``cap``, and whether these are all."""
+    half = len(values) // 2
     left, right = half_sums(values[:half]), half_sums(values[half:])
-    by_sum = np.argsort(right, kind="stable")
-    low = np.searchsorted(right[by_sum], target - left, "left")
-    high = np.searchsorted(right[by_sum], target - left, "right")
-    found: list[tuple[str, ...]] = []
+    if most_debits:  # sums and counts in one number, so that both are met by one search
+        negative, width = (values < 0).astype(np.int64), np.int64(128)
+        left_n, right_n = half_sums(negative[:half]), half_sums(negative[half:])
+        by_key = np.argsort(right * width + right_n, kind="stable")
+        keys = (right * width + right_n)[by_key]
+        end = np.searchsorted(keys, (target - left) * width + width - 1, "right")
+        any_ = end > np.searchsorted(keys, (target - left) * width, "left")
+        if any_[0] and len(values) and not (target or left[0] or right[by_key[end[0] - 1]]) and by_key[end[0] - 1] == 0:
+            any_[0] = False  # only the empty set
+        if not any_.any():
+            return [], True
+        wanted = int((left_n[any_] + right_n[by_key[end[any_] - 1]]).max())
+        low = np.searchsorted(keys, (target - left) * width + wanted - left_n, "left")
+        high = np.searchsorted(keys, (target - left) * width + wanted - left_n, "right")
+        high = np.where(any_ & (left_n <= wanted) & (wanted - left_n < width), high, low)
+    else:
+        by_key = np.argsort(right, kind="stable")
+        low = np.searchsorted(right[by_key], target - left, "left")
+        high = np.searchsorted(right[by_key], target - left, "right")
+    found: list[tuple[int, ...]] = []
     for a in np.flatnonzero(high > low).tolist():
-        for b in by_sum[low[a] : high[a]].tolist():
+        for b in by_key[low[a] : high[a]].tolist():
             if a == b == 0:
                 continue  # no rows at all
             if len(found) == cap:
-                return sorted(found), False, "cap_reached"
-            found.append(tuple(i for k, i in enumerate(ids) if (a >> k & 1 if k < half else b >> k - half & 1)))
-    return sorted(found), True, "exhausted"
-
-
-def enumerate_lines(pools: DataFrame, cap: int = CAP, budget: int = BUDGET, max_pool: int = MAX_POOL) -> DataFrame:
+                return found, False
+            found.append(tuple(k for k in range(len(values)) if (a >> k & 1 if k < half else b >> k - half & 1)))
+    return found, True
+
+
+def _few_rows(values: np.ndarray, target: int, budget: int) -> list[tuple[int, ...]]:
+    """The subsets of one to four rows, and those of all but up to four, that have the sum."""
+    n, every = len(values), range(len(values))
+    i, j = np.triu_indices(n, 1) if n * (n - 1) // 2 <= budget else (np.zeros(0, np.int64),) * 2
+    sums = values[i] + values[j]
+    order = np.argsort(sums, kind="stable")
+    ordered = sums[order]
+
+    def sets(wanted: int) -> Iterator[tuple[int, ...]]:
+        if wanted == 0:
+            yield ()
+        yield from ((int(k),) for k in np.flatnonzero(values == wanted))
+        at = np.searchsorted(ordered, wanted, "left"), np.searchsorted(ordered, wanted, "right")
+        yield from ((int(i[k]), int(j[k])) for k in order[at[0] : at[1]])
+        for count, rest in ((3, wanted - values), (4, wanted - sums)):
+            low, high = np.searchsorted(ordered, rest, "left"), np.searchsorted(ordered, rest, "right")
+            tried = 0
+            for a in np.flatnonzero(high > low).tolist():
+                pairs = order[low[a] : high[a]]
+                tried += len(pairs)
+                if tried > budget:
+                    break
+                first = a if count == 3 else int(j[a])  # rows in order, so each set once
+                for k in pairs[i[pairs] > first].tolist():
+                    yield (a, int(i[k]), int(j[k])) if count == 3 else (int(i[a]), int(j[a]), int(i[k]), int(j[k]))
+
+    found = {s for s in sets(target) if s}
+    found |= {tuple(k for k in every if k not in out) for out in map(set, sets(int(values.sum()) - target)) if len(out) < n}
+    return sorted(found)
+
+
+def enumerate_lines(pools: DataFrame, cap: int = CAP, budget: int = BUDGET, max_pool: int | None = MAX_POOL, most_debits: bool = False) -> DataFrame:
     """Candidates of each line: ``pools`` has entity, bank_index, target, row_id, net (row_id null: an empty pool).
 
-    A pool of more than ``max_pool`` rows isn't gathered at all: its line gets one row that says so, so
-    a group is bounded whatever an entity holds.
+    A pool of more than ``max_pool`` rows isn't gathered: its single rows are tried by a comparison, and
+    the search counts as incomplete. Without ``max_pool`` the caller vouches for the pools' size.
     """
+    if max_pool is None:
+        return _gathered(pools, cap, budget, most_debits)
     sizes = pools.groupBy("entity", "bank_index").agg(F.count("row_id").alias("size"))
-    large = sizes.where(F.col("size") > max_pool).select(
-        "entity", "bank_index", F.lit(None).cast("int").alias("candidate"), F.lit(None).cast("string").alias("row_ids"), F.lit(None).cast("int").alias("n_debits"),
-        F.lit(None).cast("long").alias("credit"), F.lit(False).alias("complete"), F.lit("pool_too_large").alias("status"))
     small = pools.join(sizes.where(F.col("size") <= max_pool).select("entity", "bank_index"), ["entity", "bank_index"], "left_semi")
+    large = sizes.where(F.col("size") > max_pool).select("entity", "bank_index")
+    single = pools.where("net = target").select("entity", "bank_index", "row_id", "net")
+    return _gathered(small, cap, budget, most_debits).unionByName(single_rows(large, single, cap))
+
+
+def single_rows(lines: DataFrame, closing: DataFrame, cap: int = CAP) -> DataFrame:
+    """Lines whose pool is too large to be gathered, with the rows (entity, bank_index, row_id, net) that close them alone."""
+    first = F.row_number().over(Window.partitionBy("entity", "bank_index").orderBy("row_id")) - 1
+    some = lines.join(closing, ["entity", "bank_index"], "left").withColumn("k", first.cast("int")).where(F.col("k") < cap)
+    one = F.col("row_id").isNotNull()
+    return some.select(
+        "entity", "bank_index", F.when(one, F.col("k")).alias("candidate"), F.col("row_id").alias("row_ids"), F.when(one, (F.col("net") < 0).cast("int")).alias("n_debits"),
+        F.when(one, F.greatest("net", F.lit(0).cast("long"))).alias("credit"), F.lit(False).alias("complete"), F.lit("pool_too_large").alias("status"))
 
+
+def _gathered(pools: DataFrame, cap: int, budget: int, most_debits: bool) -> DataFrame:
     # lines as rows with their bounded pools: a batch of lines goes to Python at a time, not a group
-    gathered = small.groupBy("entity", "bank_index").agg(
+    gathered = pools.groupBy("entity", "bank_index").agg(
         F.max("target").alias("target"), F.sort_array(F.collect_list(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "net")))).alias("pool"))
     gathered = gathered.select("entity", "bank_index", "target", F.col("pool.row_id").alias("ids"), F.col("pool.net").alias("nets"))
 
@@ -73,22 +155,19 @@ def enumerate_lines(pools: DataFrame, cap: int = CAP, budget: int = BUDGET, max_
             out = []
             for entity, bank_index, target, ids, nets in zip(lines.entity, lines.bank_index, lines.target, lines.ids, lines.nets, strict=True):
                 net = dict(zip(ids, map(int, nets), strict=True))
-                found, complete, status = closing_subsets(list(net), list(net.values()), int(target), cap, budget)
+                found, complete, status = closing_subsets(list(net), list(net.values()), int(target), cap, budget, most_debits)
                 out += [(entity, bank_index, k, "|".join(s), sum(net[i] < 0 for i in s), sum(max(0, net[i]) for i in s), complete, status) for k, s in enumerate(found)]
                 if not found:
                     out.append((entity, bank_index, None, None, None, None, complete, status))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
             yield frame.astype({"candidate": "Int32", "n_debits": "Int32", "credit": "Int64"})
 
-    return gathered.mapInPandas(run, RESULT).unionByName(large)
-
+    return gathered.mapInPandas(run, RESULT)
 
-def fewest_deferred(candidates: DataFrame) -> DataFrame:
-    """Of each line's candidates those with the most debits applied; the cap comes after, not before."""
-    from pyspark.sql import Window
 
-    best = F.max("n_debits").over(Window.partitionBy("entity", "bank_index"))
-    return candidates.where("candidate IS NOT NULL").withColumn("__b", best).where("n_debits = __b").drop("__b")
+def fewest_deferred(pools: DataFrame, cap: int = CASCADE_CAP, **limits) -> DataFrame:
+    """Candidates of each line with as many debits as any of them has; the cap counts these alone."""
+    return enumerate_lines(pools, cap, most_debits=True, **limits)
 
 
 def verdicts(candidates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import joins as J
 from ..operators import resolver as R
 from ..operators import subsets as S
 from ..operators import windows as W
+from ..operators.storage import kept
 from . import fixtures as X
 from .fixtures import BASE
 
@@ -23,12 +24,17 @@ def _decided(spark, sf):
     return rows, lines, R.tiers_a_and_b(rows, lines, report).withColumn("kind", F.coalesce("kind", F.lit("open")))
 
 
-def _candidates(spark, sf):
-    """Sets of whole settlements that add up to a credit line."""
+def _pools(spark, sf):
+    """A customer's whole settlements as the pool of each credit line."""
     rows = X.ledger(spark, sf)
     pool = X.settlements(rows).select("entity", F.col("settlement_id").alias("row_id"), "net")
     lines = X.bank(rows).where("amount > 0").select("entity", "bank_index", F.col("amount").alias("target"))
-    return S.enumerate_lines(lines.join(pool, "entity"))
+    return lines.join(pool, "entity")
+
+
+def _candidates(spark, sf):
+    """Sets of whole settlements that add up to a credit line."""
+    return S.enumerate_lines(_pools(spark, sf))
 
 
 def _truth(rows):
@@ -48,7 +54,34 @@ def r4_tier_outcomes(spark, sf):
 
 def r6_resolved(spark, sf):
     rows, lines, report = _books(spark, sf)
-    return R.resolve(rows, lines, report, max_pool=40).groupBy("tier", "kind", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
+    return R.resolve(rows, lines, report).groupBy("tier", "kind", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def c1_row_subsets(spark, sf):
+    """Sets of eligible ledger rows that close each line which tiers A and B leave open."""
+    rows, lines, report = _books(spark, sf)
+    decided = kept(R.tiers_a_and_b(rows, lines, report), "decided")
+    return R.searched(rows, decided.where("kind IS NULL"), R.consumed_by(decided)).select("entity", "bank_index", "row_ids", "n_debits", "credit", "complete", "status")
+
+
+def r7_rival_closures(spark, sf):
+    rows, lines, report = _books(spark, sf)
+    return R.rival_closures(rows, kept(R.tiers_a_and_b(rows, lines, report), "decided"))
+
+
+def r8_compositions(spark, sf):
+    rows, _, d = _decided(spark, sf)
+    return R.compositions(rows, d).withColumns({c: F.array_join(c, "|") for c in ("credit_ids", "debit_ids")})
+
+
+def r4_attested_rows(spark, sf):
+    rows, _, d = _decided(spark, sf)
+    return R.attested_rows(rows, d)
+
+
+def p6_pool_bounds(spark, sf):
+    rows = X.ledger(spark, sf)
+    return R.pool_bounds(rows, X.bank(rows))
 
 
 def a18_kpis(spark, sf):
@@ -60,7 +93,7 @@ def c1_closing_subsets(spark, sf):
 
 
 def c2_fewest_deferred(spark, sf):
-    return S.fewest_deferred(_candidates(spark, sf)).select("entity", "bank_index", "row_ids", "n_debits")
+    return S.fewest_deferred(_pools(spark, sf)).where("candidate IS NOT NULL").select("entity", "bank_index", "row_ids", "n_debits")
 
 
 def c3_verdicts(spark, sf):
@@ -133,7 +166,7 @@ def inv_violations(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a7_outcome_accounting, r4_tier_outcomes, r6_resolved, a18_kpis, c1_closing_subsets, c2_fewest_deferred, c3_verdicts, u1_common_and_contested, w5_collisions,
+    a7_outcome_accounting, r4_tier_outcomes, r6_resolved, c1_row_subsets, r7_rival_closures, r8_compositions, r4_attested_rows, p6_pool_bounds, a18_kpis, c1_closing_subsets, c2_fewest_deferred, c3_verdicts, u1_common_and_contested, w5_collisions,
     w9_ranked_candidates, d3_proven, d5_dispositions, d6_routed_breaks, g1_wrong_claims, g3_truth_missing, g7_abstentions, g21_three_systems, inv_violations)}
 
 _TIERS = """
@@ -194,6 +227,15 @@ FROM (SELECT * FROM {claims}) c FULL JOIN (SELECT * FROM truth WHERE settlement_
 ORACLES = {
     "a7_outcome_accounting": BASE + _TIERS + "SELECT kind, reason, count(*) AS n_lines, CAST(sum(abs(amount)) AS BIGINT) AS value FROM decided GROUP BY 1, 2",
     "r4_tier_outcomes": BASE + _TIERS + "SELECT entity, bank_index, tier, kind, reason, settlement_id FROM decided",
+    "r8_compositions": BASE + _TIERS + """SELECT d.entity, d.bank_index, coalesce(string_agg(CASE WHEN credit > debit THEN row_id END, '|' ORDER BY row_id), '') AS credit_ids,
+  coalesce(string_agg(CASE WHEN credit < debit THEN row_id END, '|' ORDER BY row_id), '') AS debit_ids, CAST(sum(greatest(credit - debit, 0)) AS BIGINT) AS credit_total, CAST(sum(greatest(debit - credit, 0)) AS BIGINT) AS debit_total
+FROM decided d JOIN ledger l ON l.settlement_id = d.settlement_id WHERE d.kind = 'verified' GROUP BY 1, 2""",
+    "r4_attested_rows": BASE + _TIERS + """SELECT d.entity, d.bank_index, d.reason, l.row_id, d.reason = 'TEMPORAL_IMPOSSIBILITY' AND l.created_at > (d.value_day + 1) * 86400 - 19800 AS offends
+FROM decided d JOIN ledger l ON l.settlement_id = d.settlement_id WHERE d.kind = 'discrepancy'""",
+    "p6_pool_bounds": BASE + """
+, own AS (SELECT entity, CASE WHEN type = 'payment' THEN (lday + CASE WHEN (lday + 4) % 7 IN (4, 5) THEN 4 WHEN (lday + 4) % 7 = 6 THEN 3 ELSE 2 END) * 86400 + 39600 - 19800 ELSE created_at END AS from_at
+  FROM (SELECT *, (created_at + 19800) // 86400 AS lday FROM ledger) WHERE credit <> debit AND (type <> 'payment' OR credit <> 0))
+SELECT b.entity, b.bank_index, count(o.entity) AS bound FROM bank b LEFT JOIN own o ON o.entity = b.entity AND o.from_at <= (b.value_day + 1) * 86400 - 19800 GROUP BY 1, 2""",
     "a18_kpis": BASE + _TIERS + """SELECT entity, count(*) AS n_lines, count(CASE WHEN kind = 'verified' THEN 1 END) * 10000 // count(*) AS straight_through_bp,
 count(CASE WHEN kind = 'discrepancy' THEN 1 END) * 10000 // count(*) AS exception_bp, CAST(sum(CASE WHEN kind <> 'verified' THEN amount ELSE 0 END) AS BIGINT) AS unreconciled FROM decided WHERE amount > 0 GROUP BY 1""",
     "c1_closing_subsets": _REC + "SELECT entity, bank_index, row_ids, n_debits, credit FROM cand",

@@ -15,6 +15,8 @@ from tallyloom.plans import fixtures
 from tallyloom.sources import files, statements
 from tallyloom.streaming import ingest
 
+SF = "/root/testdata/sf0.001"
+
 
 @given(st.lists(st.integers(-30, 30).filter(bool), max_size=9), st.integers(-40, 60))
 @settings(max_examples=150, deadline=None)
@@ -28,10 +30,91 @@ def test_closing_subsets(nets, target):
 def test_truncation_is_told():
     found, complete, status = subsets.closing_subsets([f"r{k}" for k in range(8)], [1] * 8, 4, cap=5)
     assert (len(found), complete, status) == (5, False, "cap_reached")
-    assert subsets.closing_subsets([f"r{k}" for k in range(60)], [1] * 60, 4) == ([], False, "budget_exceeded")
+    few, complete, status = subsets.closing_subsets([f"r{k:02}" for k in range(60)], [1] * 60, 4)
+    assert (len(few), complete, status) == (200, False, "cap_reached")
+    assert subsets.closing_subsets([f"r{k:02}" for k in range(60)], [2] * 60, 5) == ([], False, "budget_exceeded")
+    one = subsets.closing_subsets([f"r{k:02}" for k in range(60)], [3**k % 1_000_003 + 10**7 for k in range(60)], 3**7 % 1_000_003 + 10**7)
+    assert one == ([("r07",)], False, "budget_exceeded")
     assert subsets.closing_subsets([], [], 0) == ([()], True, "empty_pool")
 
 
+@given(st.lists(st.integers(-30, 30).filter(bool), max_size=9), st.integers(-40, 60), st.integers(1, 4))
+@settings(max_examples=150, deadline=None)
+def test_most_debits_before_the_cap(nets, target, cap):
+    ids = [f"r{k}" for k in range(len(nets))]
+    found, complete, status = subsets.closing_subsets(ids, nets, target, cap=cap, most_debits=True)
+    every = [c for n in range(1, len(ids) + 1) for c in itertools.combinations(ids, n) if sum(nets[int(i[1:])] for i in c) == target]
+    debits = lambda c: sum(nets[int(i[1:])] < 0 for i in c)
+    want = {c for c in every if debits(c) == max(map(debits, every))}
+    if ids:
+        assert set(found) <= want and len(found) == min(cap, len(want)) and complete == (len(want) <= cap)
+
+
+def test_most_debits_of_many():
+    ids, nets = [f"c{k:02}" for k in range(12)] + [f"d{k:02}" for k in range(12)], [10] * 12 + [-10] * 12
+    found, complete, status = subsets.closing_subsets(ids, nets, 10, cap=32, most_debits=True)
+    assert {sum(i[0] == "d" for i in s) for s in found} == {11} and (len(found), complete) == (12, True)
+    assert not subsets.closing_subsets(["a", "b"], [5, 6], 0, most_debits=True)[0]
+
+
+@given(st.lists(st.integers(-12, 12).filter(bool), min_size=5, max_size=11), st.integers(-20, 40))
+@settings(max_examples=80, deadline=None)
+def test_few_rows_of_a_large_pool(nets, target):
+    found = subsets._few_rows(subsets.np.asarray(nets, "i8"), target, 1 << 20)
+    n = len(nets)
+    want = [c for k in range(1, n + 1) for c in itertools.combinations(range(n), k) if sum(nets[i] for i in c) == target and (k <= 4 or k >= n - 4)]
+    assert found == sorted(want)
+
+
+def test_pools_too_large_to_gather(spark):
+    pools = spark.createDataFrame([(1, 1, 50, f"r{k:03}", 50 if k in (7, 9) else 1) for k in range(80)] + [(1, 2, 5, "a", 5)], "entity long, bank_index long, target long, row_id string, net long")
+    out = sorted((r.bank_index, r.row_ids, r.complete, r.status) for r in subsets.enumerate_lines(pools, max_pool=60).collect())
+    assert out == [(1, "r007", False, "pool_too_large"), (1, "r009", False, "pool_too_large"), (2, "a", True, "exhausted")]
+
+
+def test_row_search_against_brute_force(spark):
+    """Candidates, rivals and outcomes of all lines again, from the ledger in memory."""
+    from tallyloom.plans import resolution
+
+    ledger = fixtures.ledger(spark, SF)
+    of: dict = {}
+    for r in ledger.collect():
+        of.setdefault(r.entity, []).append(r)
+    decided = resolver.tiers_a_and_b(ledger, fixtures.bank(ledger), fixtures.report(ledger)).collect()
+    used = {(d.entity, d.settlement_id): d.seq for d in decided if d.kind == "verified"}
+
+    def closings(d):
+        ceiling = (d.value_day + 1) * 86_400 - 19_800
+        pool = []
+        for r in of[d.entity]:
+            day = (r.created_at + 19_800) // 86_400
+            at = r.created_at if r.type != "payment" else (day + {4: 4, 5: 4, 6: 3}.get((day + 4) % 7, 2)) * 86_400 + 39_600 - 19_800
+            if r.credit != r.debit and (r.type != "payment" or r.credit) and max(at, r.created_at) <= ceiling and used.get((d.entity, r.settlement_id), d.seq) >= d.seq:
+                pool.append((r.row_id, r.credit - r.debit))
+        half = {0: [()]}
+        for row, net in pool[: len(pool) // 2]:
+            half = {s: half.get(s, []) + [(*x, row) for x in half.get(s - net, [])] for s in {*half, *(k + net for k in half)}}
+        rest = {0: [()]}
+        for row, net in pool[len(pool) // 2 :]:
+            rest = {s: rest.get(s, []) + [(*x, row) for x in rest.get(s - net, [])] for s in {*rest, *(k + net for k in rest)}}
+        return sorted("|".join(sorted(a + b)) for s, left in half.items() for a in left for b in rest.get(d.amount - s, []) if a + b), len(pool)
+
+    want = {(d.entity, d.bank_index): closings(d) for d in decided}
+    assert max(n for _, n in want.values()) <= 42
+    got: dict = {}
+    for r in resolution.c1_row_subsets(spark, SF).collect():
+        got.setdefault((r.entity, r.bank_index), []).extend([r.row_ids] if r.row_ids else [])
+        assert r.complete
+    assert {k: sorted(v) for k, v in got.items()} == {(d.entity, d.bank_index): want[d.entity, d.bank_index][0] for d in decided if d.kind is None}
+    rivals = {(r.entity, r.bank_index): (r.rivals, r.lower_bound) for r in resolution.r7_rival_closures(spark, SF).collect()}
+    assert rivals == {(d.entity, d.bank_index): (max(1, len(want[d.entity, d.bank_index][0])), False) for d in decided if d.kind == "verified"}
+    outcomes = {(r.entity, r.bank_index): (r.kind, r.n_candidates) for r in resolver.resolve(ledger, fixtures.bank(ledger), fixtures.report(ledger)).collect()}
+    for d in decided:
+        if d.kind is None:
+            n = len(want[d.entity, d.bank_index][0])
+            assert outcomes[d.entity, d.bank_index][1] == n and (n < 2 or outcomes[d.entity, d.bank_index][0] == "ambiguous")
+
+
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=9), st.integers(0, 120))
 @settings(max_examples=100, deadline=None)
 def test_largest_under_cap(nets, cap):
