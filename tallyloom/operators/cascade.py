@@ -6,14 +6,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar
-from . import audit, joins
-
-#: Owner, confidence and proposed entry of each exception.
-OWNERS = [
-    ("failed", "none", 100, "no entry"), ("on_hold", "risk", 90, "hold receivable"), ("netted_out", "none", 100, "no entry"),
-    ("rolled_forward", "reconciliation", 75, "carry forward"), ("not_yet_eligible", "none", 100, "no entry"), ("deferred_debit", "reconciliation", 75, "accrue refund"),
-]
+from ..functions import calendar, money
+from . import audit, joins, tax
+
+#: Who owns each exception.
+OWNERS = {
+    "subset_sum_rolled_forward": "no-action",
+    "not_yet_eligible": "no-action",
+    "netted_out_by_full_refund": "no-action",
+    "failed_payment_never_settles": "no-action",
+    "deferred_debit_pending": "treasury",
+    "dispute_hold_pending": "disputes-ops",
+    "lost_dispute_adjustment": "finance-ops",
+    "erp_gap_no_order": "finance-ops",
+    "erp_gap_no_payment": "finance-ops",
+    "gstr2b_absent": "tax-ops",
+    "gstr2b_no_irn": "tax-ops",
+    "gstr2b_37a_exposure": "tax-ops",
+    "ambiguous_batch_membership": "finance-ops",
+    "genuinely_unresolved": "finance-ops",
+}
+#: Confidence in per cent, 100 for what a field says, 90 for what arithmetic derives, 75 for what an absence suggests.
+CONFIDENCE = {
+    "subset_sum_rolled_forward": 90, "not_yet_eligible": 90, "netted_out_by_full_refund": 90, "failed_payment_never_settles": 100, "deferred_debit_pending": 90,
+    "dispute_hold_pending": 100, "lost_dispute_adjustment": 100, "erp_gap_no_order": 75, "erp_gap_no_payment": 75, "gstr2b_absent": 75, "gstr2b_no_irn": 100,
+    "gstr2b_37a_exposure": 100, "ambiguous_batch_membership": 90, "genuinely_unresolved": 90,
+}
+#: Expected states rather than problems.
+NOT_A_PROBLEM = ["subset_sum_rolled_forward", "not_yet_eligible", "netted_out_by_full_refund", "failed_payment_never_settles"]
+#: The entry that an exception proposes; {} is its amount.
+ENTRIES = {
+    "lost_dispute_adjustment": "Dr Chargeback losses {} / Cr Settlement receivable {}",
+    "erp_gap_no_order": "Dr Bank {} / Cr Unrecorded revenue {}",
+    "erp_gap_no_payment": "Dr Trade receivable {} / Cr Revenue {} (or reverse if raised in error)",
+    "gstr2b_absent": "Dr ITC ineligible {} / Cr Input GST {}",
+    "gstr2b_no_irn": "Dr ITC ineligible {} / Cr Input GST {}",
+    "gstr2b_37a_exposure": "Dr ITC reversal {} / Cr Input GST {} (plus interest)",
+}
 
 
 def date_pool(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -37,19 +66,63 @@ def exact_then_tolerant(settled: DataFrame, lines: DataFrame) -> DataFrame:
     return first.unionByName(single.select("entity", "bank_index", "settlement_id", F.lit("tolerant").alias("stage")))
 
 
-def routed_exceptions(rows: DataFrame, lines: DataFrame, matched: DataFrame) -> DataFrame:
-    """Rows that no match assigns, by the first description that fits, with owner, confidence and entry."""
-    left = rows.join(matched.select("entity", "settlement_id"), ["entity", "settlement_id"], "left_anti")
-    netted = joins.netted_out(rows).select("entity", F.col("row_id").alias("payment"), F.lit(True).alias("netted"))
+def row_exceptions(rows: DataFrame, lines: DataFrame, assigned: DataFrame, contested: DataFrame) -> DataFrame:
+    """entity, exception, item, amount of each ledger row that isn't explained, by the first description that fits.
+
+    ``assigned``: entity, row_id; ``contested``: entity, row_id, bank_index, n_candidates. A lost dispute is reported
+    whether or not a line has it: its batch is known, its counterparty never is.
+    """
+    netted = joins.netted_out(rows, by_date=True).select("entity", F.col("row_id").alias("payment"), F.lit(True).alias("netted"))
     horizon = lines.groupBy("entity").agg(F.max("value_day").alias("horizon"))
     key = F.when(F.col("type") == "payment", F.col("row_id")).otherwise(F.col("payment_id"))
-    x = left.withColumn("payment", key).join(netted, ["entity", "payment"], "left").join(horizon, "entity", "left")
+    x = rows.withColumn("payment", key).join(netted, ["entity", "payment"], "left").join(horizon, "entity", "left")
+    x = x.join(assigned.select("entity", "row_id", F.lit(True).alias("placed")).distinct(), ["entity", "row_id"], "left").join(contested.select("entity", "row_id", F.lit(True).alias("disputed")).distinct(), ["entity", "row_id"], "left")
+    unjoinable = (F.col("type") == "adjustment") & F.col("payment_id").isNull() & F.col("order_id").isNull() & F.col("method").isNull()
     day = calendar.two_working_days(calendar.local_day(F.col("created_at")))
     kind = (
-        F.when((F.col("type") == "payment") & F.col("fee").isNull(), "failed").when(F.col("on_hold"), "on_hold").when(F.coalesce("netted", F.lit(False)), "netted_out")
-        .when((F.col("type") == "payment") & (day <= F.col("horizon")), "rolled_forward").when(F.col("type") == "payment", "not_yet_eligible").otherwise("deferred_debit"))
-    owners = rows.sparkSession.createDataFrame(OWNERS, "exception string, owner string, confidence int, entry string")
-    return x.select("entity", "row_id", kind.alias("exception"), (F.col("credit") - F.col("debit")).alias("net")).join(F.broadcast(owners), "exception")
+        F.when(unjoinable & F.col("dispute_id").isNotNull(), "lost_dispute_adjustment")
+        .when(F.coalesce("placed", F.lit(False)), None)
+        .when(F.coalesce("disputed", F.lit(False)), "ambiguous_batch_membership")
+        .when((F.col("type") == "payment") & F.col("fee").isNull(), "failed_payment_never_settles")
+        .when(F.col("on_hold"), "dispute_hold_pending")
+        .when(F.coalesce("netted", F.lit(False)), "netted_out_by_full_refund")
+        .when((F.col("type") == "payment") & (day <= F.col("horizon")), "subset_sum_rolled_forward")
+        .when(F.col("type") == "payment", "not_yet_eligible")
+        .otherwise("deferred_debit_pending"))
+    return x.select("entity", kind.alias("exception"), F.col("row_id").alias("item"), "amount").where("exception IS NOT NULL")
+
+
+def book_exceptions(rows: DataFrame, erp: DataFrame) -> DataFrame:
+    """Payments that the order book lacks, and orders that the ledger lacks."""
+    paid = rows.where("type = 'payment' AND fee IS NOT NULL")
+    joinable = rows.where("(type <> 'payment' OR fee IS NOT NULL) AND type <> 'adjustment' AND order_id IS NOT NULL").select("entity", "order_id").distinct()
+    no_order = paid.join(erp.select("entity", "order_id"), ["entity", "order_id"], "left_anti")
+    no_payment = erp.join(joinable, ["entity", "order_id"], "left_anti")
+    return no_order.select("entity", F.lit("erp_gap_no_order").alias("exception"), F.col("row_id").alias("item"), F.col("credit").alias("amount")).unionByName(
+        no_payment.select("entity", F.lit("erp_gap_no_payment").alias("exception"), F.col("invoice_no").alias("item"), "amount"))
+
+
+def tax_exceptions(accrued: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Months without an invoice of the supplier, its invoices without a number, and those whose return wasn't filed."""
+    own = invoices.join(tax.supplier(accrued, invoices).select("entity", "gstin"), ["entity", "gstin"], "left_semi")
+    known = tax.supplier(accrued, invoices).select("entity")
+    absent = accrued.join(known, "entity", "left_semi").join(own.select("entity", F.col("filing_period").alias("month")), ["entity", "month"], "left_anti")
+    of = lambda df, name: df.select("entity", F.lit(name).alias("exception"), F.col("invoice_no").alias("item"), F.col("tax_total").alias("amount"))
+    return absent.select("entity", F.lit("gstr2b_absent").alias("exception"), F.concat(F.lit("period:"), "month").alias("item"), F.col("taxes").alias("amount")).unionByName(
+        of(own.where("NOT has_irn"), "gstr2b_no_irn")).unionByName(of(own.where("NOT filed"), "gstr2b_37a_exposure"))
+
+
+def unresolved_exceptions(lines: DataFrame) -> DataFrame:
+    """Bank lines (entity, bank_index, amount) for which the search found nothing."""
+    return lines.select("entity", F.lit("genuinely_unresolved").alias("exception"), F.concat(F.lit("bank["), "bank_index", F.lit("]")).alias("item"), "amount")
+
+
+def routed_exceptions(found: DataFrame) -> DataFrame:
+    """Exceptions (entity, exception, item, amount) with owner, confidence, whether they are a problem, and the entry that they propose."""
+    facts = [(e, owner, CONFIDENCE[e], e not in NOT_A_PROBLEM, ENTRIES.get(e)) for e, owner in OWNERS.items()]
+    table = found.sparkSession.createDataFrame(facts, "exception string, owner string, confidence int, is_problem boolean, form string")
+    routed = found.join(F.broadcast(table), "exception")
+    return routed.withColumn("entry", F.replace("form", F.lit("{}"), money.inr(F.col("amount")))).drop("form")
 
 
 def residual_pairs(without: DataFrame, orphans: DataFrame, limit: int = 10_000, most: int = 200) -> DataFrame:
@@ -76,5 +149,4 @@ def residual_pairs(without: DataFrame, orphans: DataFrame, limit: int = 10_000,
 
 def narrated(found: DataFrame) -> DataFrame:
     """A sentence for each exception from its own evidence."""
-    amount = F.concat(F.when(F.col("net") < 0, "-").otherwise(""), F.call_function("div", F.abs("net"), F.lit(100)).cast("string"), F.lit("."), F.lpad((F.abs("net") % 100).cast("string"), 2, "0"))
-    return found.withColumn("text", F.concat(F.lit("Row "), "row_id", F.lit(" of "), amount, F.lit(" is "), F.replace("exception", F.lit("_"), F.lit(" ")), F.lit("; owner: "), "owner", F.lit(".")))
+    return found.withColumn("text", F.concat(F.col("item"), F.lit(" of "), money.rupees(F.col("amount")), F.lit(" is "), F.replace("exception", F.lit("_"), F.lit(" ")), F.lit("; owner: "), "owner", F.lit(".")))

@@ -108,9 +108,14 @@ def safe_select(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def escalations(found: DataFrame) -> DataFrame:
-    """Breaks grouped by what their age asks for."""
-    asks = F.when(F.col("bucket") == "0-30", "none").when(F.col("bucket") == "31-60", "notify").otherwise("escalate")
-    return found.where("reason IS NOT NULL").groupBy("reason", asks.alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    """Open breaks that ask for something at their age, by reason and bucket, with owner and closing condition."""
+    from .dispositions import ESCALATION, ROUTING
+
+    spark = found.sparkSession
+    asks = spark.createDataFrame(ESCALATION, "reason string, bucket string, action string")
+    owners = spark.createDataFrame(ROUTING, "reason string, owner string, closes_when string")
+    n = found.where("reason IS NOT NULL").groupBy("reason", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(asks), ["reason", "bucket"]).join(F.broadcast(owners), "reason")
 
 
 def entity_status(outcomes: DataFrame) -> DataFrame:

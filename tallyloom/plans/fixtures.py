@@ -91,6 +91,30 @@ def erp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(orphans)
 
 
+def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dispute file: three quarters of the disputes that payments name; some are lost."""
+    o = orders(spark, sf_dir).where("dispute_id IS NOT NULL AND k % 4 <> 0")
+    lost = F.col("k") % 62 == 0
+    return o.select(
+        "entity", "dispute_id", F.when(F.col("k") % 2 == 0, "chargeback").otherwise("retrieval").alias("phase"), F.when(lost, "lost").otherwise("open").alias("status"),
+        (F.col("created_at") + 2 * 86_400).alias("opened_at"), F.when(lost, F.col("amount")).otherwise(0).cast("long").alias("amount_deducted"))
+
+
+def adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows of lost disputes: a debit with neither payment, order nor method."""
+    o = orders(spark, sf_dir).where("k % 62 = 0 AND k % 4 <> 0")
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    return o.select(
+        "entity", F.concat(F.lit("adj_"), "k").alias("row_id"), F.lit("adjustment").alias("type"), none.alias("payment_id"), none.alias("order_id"), zero.alias("credit"), F.col("amount").alias("debit"), "amount",
+        zero.alias("fee"), zero.alias("tax"), F.lit(False).alias("on_hold"), (F.col("created_at") + 5 * 86_400).alias("created_at"), F.lit(None).cast("long").alias("settled_at"), "settlement_id", none.alias("method"), "dispute_id")
+
+
+def contested(rows: DataFrame) -> DataFrame:
+    """Rows that two candidates of a line dispute: those of settlements with a blank reference and an odd third ordinal."""
+    s = settlements(rows).where("ord % 7 = 0 AND ord % 3 = 1").select("entity", "settlement_id", (F.col("ord") * 10).alias("bank_index"), F.lit(2).alias("n_candidates"))
+    return rows.where("settlement_id IS NOT NULL").join(s, ["entity", "settlement_id"]).select("entity", "row_id", "bank_index", "n_candidates")
+
+
 def gst_invoices(rows: DataFrame) -> DataFrame:
     """The tax authority's monthly invoices, some of them missing, unsigned or not filed."""
     from ..operators.tax import accrued_fees
@@ -157,5 +181,13 @@ WITH o AS (
 ), gst AS (
   SELECT entity, '29AAAAA0000A1Z5' AS gstin, 'GST' || entity || '/' || month AS invoice_no, month AS filing_period, fees + n % 3 - 1 AS taxable_value,
          taxes AS tax_total, n % 5 <> 0 AS has_irn, n % 6 <> 0 AS filed FROM gn WHERE n % 4 <> 0
+), disputes AS (
+  SELECT entity, 'disp_' || k AS dispute_id, CASE WHEN k % 2 = 0 THEN 'chargeback' ELSE 'retrieval' END AS phase, CASE WHEN k % 62 = 0 THEN 'lost' ELSE 'open' END AS status,
+         created_at + 2 * 86400 AS opened_at, CASE WHEN k % 62 = 0 THEN amount ELSE 0 END AS amount_deducted FROM f WHERE k % 31 = 0 AND k % 4 <> 0
+), every_row AS (
+  SELECT * FROM ledger UNION ALL
+  SELECT entity, 'adj_' || k, 'adjustment', NULL, NULL, 0, amount, amount, 0, 0, FALSE, created_at + 5 * 86400, NULL, settlement_id, NULL, 'disp_' || k FROM f WHERE k % 62 = 0 AND k % 4 <> 0
+), contested AS (
+  SELECT l.entity, l.row_id, s.ord * 10 AS bank_index, 2 AS n_candidates FROM ledger l JOIN settlements s ON s.settlement_id = l.settlement_id WHERE s.ord % 7 = 0 AND s.ord % 3 = 1
 )
 """

@@ -121,13 +121,18 @@ def d3_proven(spark, sf):
 
 def _dispositions(spark, sf):
     rows, lines, decided = _decided(spark, sf)
-    return D.dispositions(rows, lines, decided, R.first_cause(decided, rows))
+    decided = kept(decided, "decided")  # read three times
+    return D.dispositions(rows, lines, decided, R.first_cause(decided, rows), X.disputes(spark, sf))
 
 
 def d5_dispositions(spark, sf):
     return _dispositions(spark, sf)
 
 
+def d5_breaks(spark, sf):
+    return D.breaks(_dispositions(spark, sf))
+
+
 def d6_routed_breaks(spark, sf):
     return D.routed(D.grouped(_dispositions(spark, sf)))
 
@@ -167,7 +172,7 @@ def inv_violations(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     a7_outcome_accounting, r4_tier_outcomes, r6_resolved, c1_row_subsets, r7_rival_closures, r8_compositions, r4_attested_rows, p6_pool_bounds, a18_kpis, c1_closing_subsets, c2_fewest_deferred, c3_verdicts, u1_common_and_contested, w5_collisions,
-    w9_ranked_candidates, d3_proven, d5_dispositions, d6_routed_breaks, g1_wrong_claims, g3_truth_missing, g7_abstentions, g21_three_systems, inv_violations)}
+    w9_ranked_candidates, d3_proven, d5_dispositions, d5_breaks, d6_routed_breaks, g1_wrong_claims, g3_truth_missing, g7_abstentions, g21_three_systems, inv_violations)}
 
 _TIERS = """
 , pairs AS (SELECT c.entity, c.bank_index AS ci, d.bank_index AS di, row_number() OVER (PARTITION BY d.bank_index ORDER BY c.value_day, c.bank_index) AS n
@@ -213,10 +218,10 @@ cause AS (SELECT entity, settlement_id, min(bank_index) AS caused_by FROM decide
 u AS (SELECT l.*, p.proven, c.caused_by, h.horizon, (l.created_at + 19800) // 86400 AS d FROM ledger l JOIN proven p ON p.row_id = l.row_id JOIN hz h ON h.entity = l.entity
   LEFT JOIN cause c ON c.settlement_id = l.settlement_id WHERE l.settlement_id IS NULL OR l.settlement_id NOT IN (SELECT settlement_id FROM decided WHERE kind = 'verified')),
 v AS (SELECT *, CASE WHEN type = 'payment' THEN d + CASE WHEN (d + 4) % 7 IN (4, 5) THEN 4 WHEN (d + 4) % 7 = 6 THEN 3 ELSE 2 END ELSE d END AS since FROM u),
-disposed AS (SELECT entity, row_id, proven, credit - debit AS net, CASE WHEN proven IS NULL THEN CASE WHEN caused_by IS NOT NULL THEN 'UPSTREAM_UNRESOLVED' WHEN type = 'payment' AND since > horizon THEN 'TIMING_DIFFERENCE'
-    WHEN type = 'payment' AND (dispute_id IS NOT NULL OR on_hold) THEN 'UNEXPECTED_CHANGE' ELSE 'UNEXPLAINED' END END AS reason,
-  CASE WHEN proven IS NULL THEN caused_by END AS caused_by, CASE WHEN proven IS NULL THEN greatest(0, horizon - since) END AS age_days FROM v),
-bucketed AS (SELECT *, CASE WHEN age_days IS NULL THEN NULL WHEN age_days <= 30 THEN '0-30' WHEN age_days <= 60 THEN '31-60' WHEN age_days <= 90 THEN '61-90' ELSE '90+' END AS bucket FROM disposed)"""
+disposed AS (SELECT entity, row_id, proven, credit - debit AS net, CASE WHEN proven IS NULL THEN CASE WHEN caused_by IS NOT NULL THEN 'upstream_unresolved' WHEN type = 'payment' AND since > horizon THEN 'timing_difference'
+    WHEN type = 'payment' AND (dispute_id IN (SELECT dispute_id FROM disputes) OR on_hold) THEN 'unexpected_change' ELSE 'unexplained' END END AS reason,
+  CASE WHEN proven IS NULL THEN caused_by END AS caused_by, CASE WHEN proven IS NULL THEN greatest(0, horizon - since) END AS age_days, CASE WHEN proven IS NULL THEN since END AS first_seen FROM v),
+bucketed AS (SELECT *, CASE WHEN age_days IS NULL THEN NULL WHEN age_days <= 30 THEN '0-30' WHEN age_days <= 60 THEN '31-60' WHEN age_days <= 90 THEN '61-90' ELSE '90+' END AS bucket, reason = 'timing_difference' AS provable FROM disposed)"""
 
 
 def _metrics(system: str, claims: str) -> str:
@@ -254,12 +259,14 @@ cl AS (SELECT *, count(*) OVER (PARTITION BY entity, row_id) AS n, sum(CASE WHEN
 SELECT entity, bank_index, count(DISTINCT row_id) AS n_contested, bool_and(verified AND wins = 1) AS keeps FROM cl WHERE n > 1 GROUP BY 1, 2""",
     "w9_ranked_candidates": _REC + "SELECT entity, bank_index, row_ids, row_number() OVER (PARTITION BY bank_index ORDER BY n_debits DESC, credit DESC, row_ids) AS rank FROM cand",
     "d3_proven": BASE + _PROVEN + " SELECT * FROM proven WHERE proven IS NOT NULL",
-    "d5_dispositions": BASE + _TIERS + _DISPOSED + " SELECT entity, row_id, proven, reason, caused_by, age_days, bucket, net FROM bucketed",
+    "d5_dispositions": BASE + _TIERS + _DISPOSED + " SELECT entity, row_id, proven, reason, caused_by, provable, age_days, first_seen, bucket, net FROM bucketed",
+    "d5_breaks": BASE + _TIERS + _DISPOSED + " SELECT entity, reason, caused_by, provable, age_days, first_seen, count(*) AS n_rows, CAST(sum(net) AS BIGINT) AS net, min(row_id) AS first_row FROM bucketed WHERE reason IS NOT NULL GROUP BY ALL",
     "d6_routed_breaks": BASE + _TIERS + _DISPOSED + """
 SELECT entity, reason, bucket, count(*) AS n_rows, CAST(sum(net) AS BIGINT) AS net, max(age_days) AS oldest,
-  CASE reason WHEN 'UPSTREAM_UNRESOLVED' THEN 'reconciliation' WHEN 'TIMING_DIFFERENCE' THEN 'none' WHEN 'UNEXPECTED_CHANGE' THEN 'disputes' ELSE 'operations' END AS owner,
-  CASE reason WHEN 'UPSTREAM_UNRESOLVED' THEN 'the line that blocks it is resolved' WHEN 'TIMING_DIFFERENCE' THEN 'the next statement covers its date' WHEN 'UNEXPECTED_CHANGE' THEN 'the dispute or hold ends' ELSE 'a source explains it' END AS closes_when,
-  CASE bucket WHEN '0-30' THEN 'none' WHEN '31-60' THEN 'notify' ELSE 'escalate' END AS action
+  CASE reason WHEN 'upstream_unresolved' THEN 'whoever owns the causing finding' WHEN 'timing_difference' THEN 'none -- carry forward' WHEN 'unexpected_change' THEN 'disputes ops' WHEN 'unexplained' THEN 'investigation' END AS owner,
+  CASE reason WHEN 'upstream_unresolved' THEN 'the causing bank line becomes Verified or ProvenUnmatched' WHEN 'timing_difference' THEN 'the item settles in a later window' WHEN 'unexpected_change' THEN 'the hold or reversal resolves'
+    WHEN 'unexplained' THEN '-- no close condition is known, which is the point' END AS closes_when,
+  CASE WHEN reason = 'unexplained' THEN CASE WHEN bucket = '0-30' THEN 'notify' ELSE 'escalate' END WHEN reason = 'upstream_unresolved' THEN CASE WHEN bucket IN ('0-30', '31-60') THEN 'notify' ELSE 'escalate' END ELSE 'none' END AS action
 FROM bucketed WHERE reason IS NOT NULL GROUP BY entity, reason, bucket""",
     "g1_wrong_claims": BASE + _TRUTH + _NAIVE + " SELECT n.entity, n.bank_index, n.settlement_id, t.settlement_id AS true_settlement, t.line_kind FROM naive n JOIN truth t USING (bank_index) WHERE n.settlement_id IS DISTINCT FROM t.settlement_id",
     "g3_truth_missing": _REC + _TRUTH + """ SELECT c.entity, c.bank_index, count(*) AS n_candidates FROM cand c JOIN truth t ON t.bank_index = c.bank_index AND t.settlement_id IS NOT NULL

@@ -1,11 +1,13 @@
 """Cascade and scoring queries over the derived books and their SQL."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import cascade as C
 from ..operators import gates as G
 from ..operators import tax as T
+from ..operators.storage import kept
 from . import fixtures as X
 from . import resolution as RES
 from .fixtures import BASE
@@ -22,16 +24,60 @@ def r9_cascade_matches(spark, sf):
     return _matched(spark, sf)[2]
 
 
+def _exceptions(spark, sf):
+    """All exceptions of the books: rows, order book, bank lines without a match, and tax."""
+    rows, lines, matched = _matched(spark, sf)
+    matched = kept(matched, "matched")  # read twice
+    every = rows.unionByName(X.adjustments(spark, sf))
+    assigned = rows.join(matched.select("entity", "settlement_id"), ["entity", "settlement_id"], "left_semi")
+    a, g = T.accrued_fees(rows), X.gst_invoices(rows)
+    open_ = lines.where("amount > 0").join(matched.select("entity", "bank_index"), ["entity", "bank_index"], "left_anti")
+    return (
+        C.row_exceptions(every, lines, assigned, X.contested(rows)).unionByName(C.book_exceptions(every, X.erp(spark, sf)))
+        .unionByName(C.unresolved_exceptions(open_)).unionByName(C.tax_exceptions(a, g)))
+
+
 def d9_routed_exceptions(spark, sf):
-    return C.routed_exceptions(*_matched(spark, sf)).drop("owner", "entry")
+    return C.routed_exceptions(_exceptions(spark, sf)).select("entity", "exception", "item", "amount")
 
 
 def d10_exceptions_by_owner(spark, sf):
-    return C.routed_exceptions(*_matched(spark, sf)).groupBy("exception", "owner", "entry").agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("net"))
+    return C.routed_exceptions(_exceptions(spark, sf)).groupBy("exception", "owner", "confidence", "is_problem").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.min("entry").alias("first_entry"))
 
 
 def f16_narrated(spark, sf):
-    return C.narrated(C.routed_exceptions(*_matched(spark, sf))).select("row_id", "text")
+    return C.narrated(C.routed_exceptions(_exceptions(spark, sf))).select("item", "text")
+
+
+def p4_unjoinable_adjustments(spark, sf):
+    """Ledger rows without payment, order and method, with their dispute where the file has it."""
+    every = X.ledger(spark, sf).unionByName(X.adjustments(spark, sf))
+    alone = every.where("type = 'adjustment' AND payment_id IS NULL AND order_id IS NULL AND method IS NULL")
+    return alone.join(X.disputes(spark, sf), ["entity", "dispute_id"], "left").select("entity", "row_id", "amount", "dispute_id", "phase", "status")
+
+
+def j10_disputes_of_rows(spark, sf):
+    """Payments that name a dispute, with what the dispute file says of it, if anything."""
+    rows = X.ledger(spark, sf).where("dispute_id IS NOT NULL").select("entity", "row_id", "dispute_id")
+    return rows.join(X.disputes(spark, sf), ["entity", "dispute_id"], "left").select("entity", "row_id", "dispute_id", "phase", "status", "opened_at", "amount_deducted")
+
+
+def u4_exceptions_by_source(spark, sf):
+    """Where the exceptions come from."""
+    source = F.when(F.col("exception").startswith("gstr2b"), "tax").when(F.col("exception").startswith("erp"), "order book").when(F.col("exception") == "genuinely_unresolved", "bank").otherwise("ledger")
+    return _exceptions(spark, sf).groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("exception").alias("n_types"))
+
+
+def t7_ordered_exceptions(spark, sf):
+    """Exceptions by type and item, numbered within their type in that order."""
+    at = F.row_number().over(Window.partitionBy("entity", "exception").orderBy("item")).cast("long")
+    return _exceptions(spark, sf).select("entity", "exception", at.alias("place"), "item")
+
+
+def t5_largest_proposals(spark, sf):
+    """The six proposed entries of the largest amounts."""
+    return C.routed_exceptions(_exceptions(spark, sf)).where("entry IS NOT NULL").orderBy(F.desc("amount"), "exception", "item").limit(6).select("exception", "item", "entry")
 
 
 def p7_date_pool_sizes(spark, sf):
@@ -139,8 +185,8 @@ def c7_exclusive_candidates(spark, sf):
 
 
 def p12_exception_search(spark, sf):
-    x = C.routed_exceptions(*_matched(spark, sf))
-    return x.where(F.contains(F.lower(F.concat_ws(" ", "row_id", "exception", "owner")), F.lit("rfnd_1"))).select("entity", "row_id", "exception")
+    x = C.routed_exceptions(_exceptions(spark, sf))
+    return x.where(F.contains(F.lower(F.concat_ws(" ", "item", "exception", "owner")), F.lit("rfnd_1"))).select("entity", "item", "exception")
 
 
 def t4_worst_line(spark, sf):
@@ -285,7 +331,7 @@ def q8_bank_independence(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    r9_cascade_matches, d9_routed_exceptions, d10_exceptions_by_owner, f16_narrated, p7_date_pool_sizes, j13_residual_pairs, a8_run_summary, a9_coverage_split, a10_composition_cardinality, a12_row_accounting,
+    r9_cascade_matches, d9_routed_exceptions, d10_exceptions_by_owner, f16_narrated, p4_unjoinable_adjustments, j10_disputes_of_rows, u4_exceptions_by_source, t7_ordered_exceptions, t5_largest_proposals, p7_date_pool_sizes, j13_residual_pairs, a8_run_summary, a9_coverage_split, a10_composition_cardinality, a12_row_accounting,
     a13_candidate_sizes, a14_ground_scores, a22_stability, a24_resistance, a28_bank_side_verdicts, d8_rows_at_risk, c7_exclusive_candidates, p12_exception_search, t4_worst_line,
     g2_independence, g4_unwarranted_rows, g9_proven_but_settled, g12_discrepancy_split, g13_open_breaks, g14_foreign_adopted, g15_premise_sharing, g17_dataset_scores, g18_tax_file_probe, g20_false_positive_audit, g6_declared_provenance, g16_determined_lines, g19_ambiguity,
     a29_reversal_placement, a30_absent_gap, f7_rolled_forward, c11_credit_collisions, q8_bank_independence)}
@@ -297,23 +343,48 @@ nr AS (SELECT b.entity, b.bank_index, s.settlement_id, count(*) OVER (PARTITION
 nu AS (SELECT *, row_number() OVER (PARTITION BY entity, settlement_id ORDER BY bank_index) AS k FROM nr WHERE n = 1),
 matched AS (SELECT entity, bank_index, settlement_id, 'exact' AS stage FROM ex UNION ALL SELECT entity, bank_index, settlement_id, 'tolerant' FROM nu WHERE k = 1)
 """
-_EXC = _MATCHED + RES._PROVEN + """
-, hz AS (SELECT entity, max(value_day) AS horizon FROM bank GROUP BY 1),
-ro AS (SELECT l.*, h.horizon, (created_at + 19800) // 86400 AS d FROM ledger l LEFT JOIN hz h ON h.entity = l.entity WHERE settlement_id IS NULL OR settlement_id NOT IN (SELECT settlement_id FROM matched)),
-exc AS (SELECT entity, row_id, credit - debit AS net, CASE WHEN type = 'payment' AND fee IS NULL THEN 'failed' WHEN on_hold THEN 'on_hold' WHEN coalesce(payment_id, row_id) IN (SELECT row_id FROM net) THEN 'netted_out'
-  WHEN type = 'payment' AND d + CASE WHEN (d + 4) % 7 IN (4, 5) THEN 4 WHEN (d + 4) % 7 = 6 THEN 3 ELSE 2 END <= horizon THEN 'rolled_forward' WHEN type = 'payment' THEN 'not_yet_eligible' ELSE 'deferred_debit' END AS exception FROM ro)
+_EXC = _MATCHED + """
+, rf AS (SELECT payment_id, sum(amount) AS refunded, max(created_at) AS last FROM every_row WHERE type = 'refund' GROUP BY 1),
+nt AS (SELECT p.row_id FROM every_row p JOIN rf ON rf.payment_id = p.row_id WHERE p.fee IS NOT NULL AND rf.refunded = p.amount AND (rf.last + 19800) // 86400 <= (p.created_at + 19800) // 86400
+  + CASE WHEN ((p.created_at + 19800) // 86400 + 4) % 7 IN (4, 5) THEN 4 WHEN ((p.created_at + 19800) // 86400 + 4) % 7 = 6 THEN 3 ELSE 2 END),
+hz AS (SELECT entity, max(value_day) AS horizon FROM bank GROUP BY 1),
+ro AS (SELECT l.*, h.horizon, (created_at + 19800) // 86400 AS d, l.type <> 'adjustment' AND coalesce(settlement_id IN (SELECT settlement_id FROM matched), FALSE) AS placed FROM every_row l LEFT JOIN hz h ON h.entity = l.entity),
+kinds AS (SELECT entity, row_id AS item, amount, CASE WHEN type = 'adjustment' AND payment_id IS NULL AND order_id IS NULL AND method IS NULL AND dispute_id IS NOT NULL THEN 'lost_dispute_adjustment' WHEN placed THEN NULL
+  WHEN row_id IN (SELECT row_id FROM contested) THEN 'ambiguous_batch_membership' WHEN type = 'payment' AND fee IS NULL THEN 'failed_payment_never_settles' WHEN on_hold THEN 'dispute_hold_pending'
+  WHEN coalesce(CASE WHEN type = 'payment' THEN row_id ELSE payment_id END IN (SELECT row_id FROM nt), FALSE) THEN 'netted_out_by_full_refund'
+  WHEN type = 'payment' AND d + CASE WHEN (d + 4) % 7 IN (4, 5) THEN 4 WHEN (d + 4) % 7 = 6 THEN 3 ELSE 2 END <= horizon THEN 'subset_sum_rolled_forward' WHEN type = 'payment' THEN 'not_yet_eligible' ELSE 'deferred_debit_pending' END AS exception FROM ro),
+hits AS (SELECT a.entity, g.gstin, count(*) AS hits FROM accrued a JOIN gst g ON g.entity = a.entity AND abs(g.taxable_value - a.fees) <= greatest(1, a.n_rows) GROUP BY 1, 2),
+sup AS (SELECT entity, gstin FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY hits DESC, gstin) AS n FROM hits) WHERE n = 1),
+sg AS (SELECT g.* FROM gst g JOIN sup ON sup.entity = g.entity AND sup.gstin = g.gstin),
+exc AS (SELECT entity, exception, item, amount FROM kinds WHERE exception IS NOT NULL
+UNION ALL SELECT entity, 'erp_gap_no_order', row_id, credit FROM ledger WHERE type = 'payment' AND fee IS NOT NULL AND order_id NOT IN (SELECT order_id FROM erp)
+UNION ALL SELECT entity, 'erp_gap_no_payment', invoice_no, amount FROM erp WHERE order_id NOT IN (SELECT order_id FROM ledger WHERE type <> 'payment' OR fee IS NOT NULL)
+UNION ALL SELECT entity, 'genuinely_unresolved', 'bank[' || bank_index || ']', amount FROM bank WHERE amount > 0 AND bank_index NOT IN (SELECT bank_index FROM matched)
+UNION ALL SELECT entity, 'gstr2b_absent', 'period:' || month, taxes FROM accrued a WHERE entity IN (SELECT entity FROM sup) AND NOT EXISTS (SELECT 1 FROM sg WHERE sg.entity = a.entity AND sg.filing_period = a.month)
+UNION ALL SELECT entity, 'gstr2b_no_irn', invoice_no, tax_total FROM sg WHERE NOT has_irn UNION ALL SELECT entity, 'gstr2b_37a_exposure', invoice_no, tax_total FROM sg WHERE NOT filed),
+facts AS (SELECT *, CASE WHEN exception IN ('subset_sum_rolled_forward', 'not_yet_eligible', 'netted_out_by_full_refund', 'failed_payment_never_settles') THEN 'no-action' WHEN exception = 'deferred_debit_pending' THEN 'treasury'
+    WHEN exception = 'dispute_hold_pending' THEN 'disputes-ops' WHEN exception LIKE 'gstr2b%' THEN 'tax-ops' ELSE 'finance-ops' END AS owner,
+  '₹' || regexp_replace(CAST(amount // 100 AS VARCHAR), '([0-9])([0-9][0-9][0-9])$', '\\1,\\2') || '.' || lpad(CAST(amount % 100 AS VARCHAR), 2, '0') AS shown FROM exc),
+routed AS (SELECT *, owner <> 'no-action' AS is_problem, CASE WHEN exception IN ('erp_gap_no_order', 'erp_gap_no_payment', 'gstr2b_absent') THEN 75
+    WHEN exception IN ('failed_payment_never_settles', 'dispute_hold_pending', 'lost_dispute_adjustment', 'gstr2b_no_irn', 'gstr2b_37a_exposure') THEN 100 ELSE 90 END AS confidence,
+  CASE exception WHEN 'lost_dispute_adjustment' THEN 'Dr Chargeback losses ' || shown || ' / Cr Settlement receivable ' || shown WHEN 'erp_gap_no_order' THEN 'Dr Bank ' || shown || ' / Cr Unrecorded revenue ' || shown
+    WHEN 'erp_gap_no_payment' THEN 'Dr Trade receivable ' || shown || ' / Cr Revenue ' || shown || ' (or reverse if raised in error)' WHEN 'gstr2b_absent' THEN 'Dr ITC ineligible ' || shown || ' / Cr Input GST ' || shown
+    WHEN 'gstr2b_no_irn' THEN 'Dr ITC ineligible ' || shown || ' / Cr Input GST ' || shown WHEN 'gstr2b_37a_exposure' THEN 'Dr ITC reversal ' || shown || ' / Cr Input GST ' || shown || ' (plus interest)' END AS entry FROM facts)
 """
-_OWNER = "CASE exception WHEN 'on_hold' THEN 'risk' WHEN 'rolled_forward' THEN 'reconciliation' WHEN 'deferred_debit' THEN 'reconciliation' ELSE 'none' END"
 _T, _TRUTH, _NAIVE = RES._TIERS, RES._TRUTH, RES._NAIVE
 _AT_RISK = """
 , risk AS (SELECT entity, month, 'invoice_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
 UNION ALL SELECT entity, filing_period, 'no_registration_number' FROM gst WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'supplier_return_not_filed' FROM gst WHERE NOT filed)"""
 ORACLES = {
     "r9_cascade_matches": BASE + _MATCHED + "SELECT * FROM matched",
-    "d9_routed_exceptions": BASE + _EXC + "SELECT entity, row_id, exception, net, CASE exception WHEN 'on_hold' THEN 90 WHEN 'rolled_forward' THEN 75 WHEN 'deferred_debit' THEN 75 ELSE 100 END AS confidence FROM exc",
-    "d10_exceptions_by_owner": BASE + _EXC + f"""SELECT exception, {_OWNER} AS owner, CASE exception WHEN 'on_hold' THEN 'hold receivable' WHEN 'rolled_forward' THEN 'carry forward' WHEN 'deferred_debit' THEN 'accrue refund' ELSE 'no entry' END AS entry,
-count(*) AS n, CAST(sum(net) AS BIGINT) AS net FROM exc GROUP BY exception""",
-    "f16_narrated": BASE + _EXC + f"""SELECT row_id, 'Row ' || row_id || ' of ' || CASE WHEN net < 0 THEN '-' ELSE '' END || (abs(net) // 100) || '.' || lpad(CAST(abs(net) % 100 AS VARCHAR), 2, '0') || ' is ' || replace(exception, '_', ' ') || '; owner: ' || {_OWNER} || '.' AS text FROM exc""",
+    "d9_routed_exceptions": BASE + _EXC + "SELECT entity, exception, item, amount FROM exc",
+    "d10_exceptions_by_owner": BASE + _EXC + "SELECT exception, owner, confidence, is_problem, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount, min(entry) AS first_entry FROM routed GROUP BY ALL",
+    "f16_narrated": BASE + _EXC + """SELECT item, item || ' of ' || CASE WHEN amount < 0 THEN '-' ELSE '' END || (abs(amount) // 100) || '.' || lpad(CAST(abs(amount) % 100 AS VARCHAR), 2, '0') || ' is ' || replace(exception, '_', ' ') || '; owner: ' || owner || '.' AS text FROM routed""",
+    "p4_unjoinable_adjustments": BASE + "SELECT r.entity, r.row_id, r.amount, r.dispute_id, d.phase, d.status FROM every_row r LEFT JOIN disputes d USING (dispute_id) WHERE r.type = 'adjustment' AND payment_id IS NULL AND order_id IS NULL AND method IS NULL",
+    "j10_disputes_of_rows": BASE + "SELECT l.entity, l.row_id, l.dispute_id, d.phase, d.status, d.opened_at, d.amount_deducted FROM ledger l LEFT JOIN disputes d USING (dispute_id) WHERE l.dispute_id IS NOT NULL",
+    "u4_exceptions_by_source": BASE + _EXC + "SELECT CASE WHEN exception LIKE 'gstr2b%' THEN 'tax' WHEN exception LIKE 'erp%' THEN 'order book' WHEN exception = 'genuinely_unresolved' THEN 'bank' ELSE 'ledger' END AS source, count(*) AS n, count(DISTINCT exception) AS n_types FROM exc GROUP BY 1",
+    "t7_ordered_exceptions": BASE + _EXC + "SELECT entity, exception, row_number() OVER (PARTITION BY entity, exception ORDER BY item) AS place, item FROM exc",
+    "t5_largest_proposals": BASE + _EXC + "SELECT exception, item, entry FROM routed WHERE entry IS NOT NULL ORDER BY amount DESC, exception, item LIMIT 6",
     "p7_date_pool_sizes": BASE + """
 , rf AS (SELECT payment_id, sum(amount) AS refunded, max(created_at) AS last FROM ledger WHERE type = 'refund' GROUP BY 1),
 nt AS (SELECT p.row_id FROM ledger p JOIN rf ON rf.payment_id = p.row_id WHERE p.fee IS NOT NULL AND rf.refunded = p.amount AND (rf.last + 19800) // 86400 <= (p.created_at + 19800) // 86400
@@ -349,7 +420,7 @@ SELECT CASE d.kind WHEN 'discrepancy' THEN 'sound' WHEN 'verified' THEN 'unsound
 , ow AS (SELECT entity, row_id, tax, strftime(DATE '1970-01-01' + CAST((settled_at + 19800) // 86400 AS INTEGER), '%Y-%m') AS month FROM ledger WHERE type = 'payment' AND settled_at IS NOT NULL AND coalesce(fee, 0) <> 0 AND coalesce(tax, 0) <> 0)
 SELECT entity, row_id, month, tax FROM ow WHERE EXISTS (SELECT 1 FROM risk r WHERE r.entity = ow.entity AND r.month = ow.month)""",
     "c7_exclusive_candidates": RES._REC + "SELECT entity, bank_index, row_ids FROM cand c WHERE NOT EXISTS (SELECT 1 FROM bank a JOIN bank b ON a.entity = b.entity AND a.amount = b.amount AND a.bank_index <> b.bank_index WHERE a.bank_index = c.bank_index)",
-    "p12_exception_search": BASE + _EXC + f"SELECT entity, row_id, exception FROM exc WHERE contains(lower(row_id || ' ' || exception || ' ' || {_OWNER}), 'rfnd_1')",
+    "p12_exception_search": BASE + _EXC + "SELECT entity, item, exception FROM routed WHERE contains(lower(item || ' ' || exception || ' ' || owner), 'rfnd_1')",
     "t4_worst_line": BASE + _T + """
 , wl AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY amount DESC, bank_index) AS n FROM decided WHERE kind <> 'verified' AND amount > 0) SELECT entity, bank_index, amount FROM wl WHERE n = 1""",
     "g2_independence": BASE + _T + "SELECT entity, bank_index, CAST(2 AS BIGINT) AS n_parties, CAST(3 AS BIGINT) AS n_evidence, TRUE AS independent FROM decided WHERE kind = 'verified'",

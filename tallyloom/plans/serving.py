@@ -211,7 +211,10 @@ SELECT row_id, seq, before, state AS after FROM h WHERE before IS NULL OR before
     "st4_open_by_bucket": BASE + _T + _D + """
 , n AS (SELECT unnest(['0-30', '31-60', '61-90', '90+']) AS bucket) SELECT n.bucket, count(b.reason) AS n, max(b.age_days) AS oldest FROM n LEFT JOIN (SELECT * FROM bucketed WHERE reason IS NOT NULL) b USING (bucket) GROUP BY 1""",
     "st9_escalations": BASE + _T + _D + """
-SELECT reason, CASE bucket WHEN '0-30' THEN 'none' WHEN '31-60' THEN 'notify' ELSE 'escalate' END AS action, count(*) AS n FROM bucketed WHERE reason IS NOT NULL GROUP BY 1, 2""",
+, n AS (SELECT reason, bucket, count(*) AS n FROM bucketed WHERE reason IN ('upstream_unresolved', 'unexplained') GROUP BY 1, 2)
+SELECT reason, bucket, n, CASE WHEN reason = 'unexplained' AND bucket = '0-30' OR reason = 'upstream_unresolved' AND bucket IN ('0-30', '31-60') THEN 'notify' ELSE 'escalate' END AS action,
+  CASE reason WHEN 'unexplained' THEN 'investigation' ELSE 'whoever owns the causing finding' END AS owner,
+  CASE reason WHEN 'unexplained' THEN '-- no close condition is known, which is the point' ELSE 'the causing bank line becomes Verified or ProvenUnmatched' END AS closes_when FROM n""",
     "st7_approvals": """WITH e AS (SELECT event_id % 997 AS request_id, CASE event_id % 4 WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' ELSE 'create' END AS action, event_id AS moment FROM events),
 d AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY moment) AS n FROM e WHERE action <> 'create'), c AS (SELECT request_id, min(moment) AS created_at FROM e WHERE action = 'create' GROUP BY 1)
 SELECT c.request_id, c.created_at, coalesce(d.action, 'pending') AS status, d.moment AS resolved_at FROM c LEFT JOIN d ON d.request_id = c.request_id AND d.n = 1""",
