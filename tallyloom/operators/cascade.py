@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, money
-from . import audit, joins, tax
+from . import audit, joins, subsets, tax, windows
+from .storage import kept
 
 #: Who owns each exception.
 OWNERS = {
@@ -66,6 +69,67 @@ def exact_then_tolerant(settled: DataFrame, lines: DataFrame) -> DataFrame:
     return first.unionByName(single.select("entity", "bank_index", "settlement_id", F.lit("tolerant").alias("stage")))
 
 
+def reconstructed(rows: DataFrame, lines: DataFrame, matched: DataFrame, cap: int = subsets.CASCADE_CAP, **limits) -> tuple[DataFrame, DataFrame]:
+    """The third stage: (one row per line: verdict, n_candidates, complete, deferred; rows that its candidates name).
+
+    Lines are taken by date. A line whose settlement is known takes that settlement's rows out of later
+    pools; another takes its own rows out if its search is determinate. So only determinate lines without
+    a settlement make later lines wait: a round settles each entity's lines up to the first of these, all
+    entities at once, and rounds go on while an entity has lines left.
+
+    The second table has entity, bank_index, seq, row_id and whether the row is in all candidates (certain).
+    """
+    ordered = kept(windows.processing_order(lines).join(matched.select("entity", "bank_index", "settlement_id"), ["entity", "bank_index"], "left"), "stage3-lines")
+    taken = rows.where("settlement_id IS NOT NULL").join(ordered.where("settlement_id IS NOT NULL").select("entity", "settlement_id", "seq"), ["entity", "settlement_id"])
+    taken = kept(taken.groupBy("entity", "row_id").agg(F.min("seq").alias("used_seq")), "stage3-consumed")
+    open_, decided, named = ordered, [], []
+    while True:
+        pool = date_pool(rows, open_).join(taken, ["entity", "row_id"], "left").join(open_.select("entity", "bank_index", "seq"), ["entity", "bank_index"])
+        pool = pool.where("used_seq IS NULL OR used_seq >= seq").select("entity", "bank_index", "target", "row_id", "net")
+        # a line without a pool is a line all the same
+        whole = open_.select("entity", "bank_index", F.col("amount").alias("target")).join(pool.drop("target"), ["entity", "bank_index"], "left")
+        found = kept(subsets.fewest_deferred(whole, cap, **limits), "stage3-candidates")
+        debits = pool.groupBy("entity", "bank_index").agg(F.count_if(F.col("net") < 0).alias("n_debits_there"))
+        t = found.groupBy("entity", "bank_index").agg(F.count("candidate").alias("n_candidates"), F.every("complete").alias("complete"), F.max("n_debits").alias("applied"))
+        verdict = F.when(F.col("n_candidates") == 0, "unresolved").when(F.col("n_candidates") > 1, "ambiguous").when(F.col("complete"), "determinate").otherwise("unresolved")
+        t = open_.join(t, ["entity", "bank_index"]).join(debits, ["entity", "bank_index"], "left").select(
+            "entity", "bank_index", "seq", "settlement_id", verdict.alias("verdict"), "n_candidates", "complete", (F.coalesce("n_debits_there", F.lit(0)) - F.coalesce("applied", F.lit(0))).alias("deferred"))
+        t = kept(t, "stage3-round")
+        stops = t.where("verdict = 'determinate' AND settlement_id IS NULL").groupBy("entity").agg(F.min("seq").alias("stop"))
+        done = kept(t.join(stops, "entity", "left").where("stop IS NULL OR seq <= stop").drop("stop"), "stage3-done")
+        decided.append(done)
+        of = found.where("candidate IS NOT NULL").drop("complete").join(done.where("verdict <> 'unresolved'").select("entity", "bank_index", "seq", "n_candidates", "complete", "settlement_id", "verdict"), ["entity", "bank_index"])
+        rows_of = of.select("entity", "bank_index", "seq", "n_candidates", "complete", "settlement_id", "verdict", F.explode(F.split("row_ids", "[|]")).alias("row_id"))
+        share = rows_of.groupBy("entity", "bank_index", "seq", "row_id", "settlement_id", "verdict").agg((F.first("complete") & (F.count(F.lit(1)) == F.first("n_candidates"))).alias("certain"))
+        share = kept(share, "stage3-rows")
+        named.append(share.select("entity", "bank_index", "seq", "row_id", "certain"))
+        left = open_.join(done.select("entity", "bank_index"), ["entity", "bank_index"], "left_anti")
+        if left.isEmpty():
+            break
+        own = share.where("verdict = 'determinate' AND settlement_id IS NULL").select("entity", "row_id", F.col("seq").alias("used_seq"))
+        taken = kept(taken.unionByName(own).groupBy("entity", "row_id").agg(F.min("used_seq").alias("used_seq")), "stage3-consumed")
+        open_ = kept(left, "stage3-open")
+    return reduce(DataFrame.unionByName, decided), reduce(DataFrame.unionByName, named)
+
+
+def assigned_and_contested(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that all candidates of a line hold (entity, row_id, bank_index), and rows that only some do; the last line that says so counts."""
+    last = lambda df: df.groupBy("entity", "row_id").agg(F.max_by("bank_index", "seq").alias("bank_index"))
+    return last(named.where("certain")), last(named.where("NOT certain"))
+
+
+def cascade(rows: DataFrame, lines: DataFrame, settled: DataFrame, erp: DataFrame, invoices: DataFrame, adjustments: DataFrame) -> DataFrame:
+    """All four stages: references, tolerance, subset sums, and the exceptions that remain, routed."""
+    every = rows.unionByName(adjustments)
+    matched = kept(exact_then_tolerant(settled, lines), "matched")
+    decided, named = reconstructed(every, lines, matched)
+    assigned, contested = assigned_and_contested(named)
+    nothing = decided.where("verdict = 'unresolved'").join(lines.select("entity", "bank_index", "amount"), ["entity", "bank_index"])
+    return routed_exceptions(
+        row_exceptions(every, lines, assigned, contested).unionByName(book_exceptions(every, erp)).unionByName(unresolved_exceptions(nothing))
+        .unionByName(tax_exceptions(tax.accrued_fees(rows), invoices)))
+
+
 def row_exceptions(rows: DataFrame, lines: DataFrame, assigned: DataFrame, contested: DataFrame) -> DataFrame:
     """entity, exception, item, amount of each ledger row that isn't explained, by the first description that fits.
 

@@ -24,6 +24,19 @@ def r9_cascade_matches(spark, sf):
     return _matched(spark, sf)[2]
 
 
+def r9_reconstructions(spark, sf):
+    """Every bank line by the cascade's third stage."""
+    rows, lines, matched = _matched(spark, sf)
+    return C.reconstructed(rows.unionByName(X.adjustments(spark, sf)), lines, matched)[0].select("entity", "bank_index", "verdict", "n_candidates", "complete", "deferred")
+
+
+def r9_cascade(spark, sf):
+    """Exceptions after all four stages, by type and owner."""
+    rows = X.ledger(spark, sf)
+    found = C.cascade(rows, X.bank(rows), _settled(rows), X.erp(spark, sf), X.gst_invoices(rows), X.adjustments(spark, sf))
+    return found.groupBy("exception", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+
+
 def _exceptions(spark, sf):
     """All exceptions of the books: rows, order book, bank lines without a match, and tax."""
     rows, lines, matched = _matched(spark, sf)
@@ -331,7 +344,7 @@ def q8_bank_independence(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    r9_cascade_matches, d9_routed_exceptions, d10_exceptions_by_owner, f16_narrated, p4_unjoinable_adjustments, j10_disputes_of_rows, u4_exceptions_by_source, t7_ordered_exceptions, t5_largest_proposals, p7_date_pool_sizes, j13_residual_pairs, a8_run_summary, a9_coverage_split, a10_composition_cardinality, a12_row_accounting,
+    r9_cascade_matches, r9_reconstructions, r9_cascade, d9_routed_exceptions, d10_exceptions_by_owner, f16_narrated, p4_unjoinable_adjustments, j10_disputes_of_rows, u4_exceptions_by_source, t7_ordered_exceptions, t5_largest_proposals, p7_date_pool_sizes, j13_residual_pairs, a8_run_summary, a9_coverage_split, a10_composition_cardinality, a12_row_accounting,
     a13_candidate_sizes, a14_ground_scores, a22_stability, a24_resistance, a28_bank_side_verdicts, d8_rows_at_risk, c7_exclusive_candidates, p12_exception_search, t4_worst_line,
     g2_independence, g4_unwarranted_rows, g9_proven_but_settled, g12_discrepancy_split, g13_open_breaks, g14_foreign_adopted, g15_premise_sharing, g17_dataset_scores, g18_tax_file_probe, g20_false_positive_audit, g6_declared_provenance, g16_determined_lines, g19_ambiguity,
     a29_reversal_placement, a30_absent_gap, f7_rolled_forward, c11_credit_collisions, q8_bank_independence)}

@@ -115,6 +115,56 @@ def test_row_search_against_brute_force(spark):
             assert outcomes[d.entity, d.bank_index][1] == n and (n < 2 or outcomes[d.entity, d.bank_index][0] == "ambiguous")
 
 
+def test_cascade_third_stage_line_by_line(spark):
+    """Each entity's lines one after another in memory, with the rows that earlier lines consumed."""
+    from tallyloom.operators import cascade
+
+    day, hour = 86_400, 3_600
+    rows, lines, matched = [], [], []
+
+    def row(entity, name, credit, at, settlement=None, debit=0, kind="payment", hold=False, fee=0):
+        rows.append((entity, name, kind, None, f"o-{name}", credit, debit, credit or debit, fee, 0, hold, (10_000 + at) * day + 6 * hour, None, settlement, "card", None))
+
+    for entity in range(1, 41):
+        r = __import__("random").Random(entity)
+        for k in range(r.randrange(4, 9)):
+            row(entity, f"p{entity}_{k}", r.choice((5, 7, 11, 13, 20)), r.randrange(0, 12), settlement=f"s{entity}_{k % 2}" if k < 4 else None, hold=r.random() < 0.1)
+        if entity % 2:
+            row(entity, f"d{entity}", 0, r.randrange(0, 9), debit=r.choice((2, 3)), kind="refund")
+        for k in range(5):
+            lines.append((entity * 100 + k, entity, "", 10_000 + 9 + r.randrange(0, 9), r.choice((5, 7, 9, 12, 13, 18, 20, 25, -7))))
+        matched.append((entity, entity * 100 + r.randrange(5), f"s{entity}_0"))
+    ledger = spark.createDataFrame(rows, fixtures.ledger(spark, SF).schema)
+    bank = spark.createDataFrame(lines, "bank_index long, entity long, reference string, value_day long, amount long")
+    known = spark.createDataFrame(matched, "entity long, bank_index long, settlement_id string")
+    decided, named = cascade.reconstructed(ledger, bank, known)
+    got = {(r.entity, r.bank_index): (r.verdict, r.n_candidates, r.deferred) for r in decided.collect()}
+    got_rows = {(r.bank_index, r.row_id): r.certain for r in named.collect()}
+    want, want_rows = {}, {}
+    for entity in range(1, 41):
+        consumed = set()
+        for index, _, _, value_day, amount in sorted((x for x in lines if x[1] == entity), key=lambda x: (x[3], x[0])):
+            pool = {}
+            for x in rows:
+                local = (x[11] + 19_800) // day
+                start = local + ({4: 4, 5: 4, 6: 3}.get((local + 4) % 7, 2) if x[2] == "payment" else 0)
+                if x[0] == entity and not x[10] and x[1] not in consumed and start <= value_day:
+                    pool[x[1]] = x[5] - x[6]
+            every = [c for n in range(1, len(pool) + 1) for c in itertools.combinations(sorted(pool), n) if sum(pool[i] for i in c) == amount]
+            debits = lambda c: sum(i[0] == "d" for i in c)
+            best = [c for c in every if debits(c) == max(map(debits, every))]
+            there = sum(i[0] == "d" for i in pool)
+            verdict = "unresolved" if not best else "ambiguous" if len(best) > 1 else "determinate"
+            want[entity, index] = (verdict, len(best), there - (debits(best[0]) if best else 0))
+            want_rows |= {(index, i): all(i in c for c in best) for c in best for i in c}
+            if (entity, index) in {(e, b) for e, b, _ in matched}:
+                consumed |= {x[1] for x in rows if x[0] == entity and x[13] == f"s{entity}_0"}
+            elif verdict == "determinate":
+                consumed |= set(best[0])
+    assert {v for v, *_ in want.values()} == {"unresolved", "ambiguous", "determinate"}
+    assert got == want and got_rows == want_rows
+
+
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=9), st.integers(0, 120))
 @settings(max_examples=100, deadline=None)
 def test_largest_under_cap(nets, cap):
