@@ -48,25 +48,38 @@ ENTRIES = {
 }
 
 
-def date_pool(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows that a line may draw on, by dates: not failed, not held, not netted out, eligible on or before the value date."""
+def _by_date(rows: DataFrame) -> DataFrame:
+    """Rows that are ever drawn on, with the day from which they are: not failed, not held, not netted out."""
     netted = joins.netted_out(rows, by_date=True).select("entity", F.col("row_id").alias("payment"))
     key = F.when(F.col("type") == "payment", F.col("row_id")).otherwise(F.col("payment_id"))
     own = rows.where("NOT on_hold AND (type <> 'payment' OR fee IS NOT NULL) AND credit <> debit").withColumn("payment", key).join(netted, ["entity", "payment"], "left_anti")
     day = calendar.local_day(F.col("created_at"))
-    own = own.select("entity", "row_id", (F.col("credit") - F.col("debit")).alias("net"), F.when(F.col("type") == "payment", calendar.two_working_days(day)).otherwise(day).alias("from_day"))
-    a, b = lines.alias("a"), own.alias("b")
+    return own.select("entity", "row_id", (F.col("credit") - F.col("debit")).alias("net"), F.when(F.col("type") == "payment", calendar.two_working_days(day)).otherwise(day).alias("from_day"))
+
+
+def date_pool(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows that a line may draw on, by dates: eligible on or before the value date."""
+    a, b = lines.alias("a"), _by_date(rows).alias("b")
     return a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("b.from_day") <= F.col("a.value_day"))).select("a.entity", "a.bank_index", F.col("a.amount").alias("target"), "b.row_id", "b.net")
 
 
+def date_pool_sizes(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows and net of each line's pool, from sums by day: no line meets a row."""
+    days = _by_date(rows).groupBy("entity", F.col("from_day").alias("value_day")).agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("net"))
+    zero = F.lit(0).cast("long")
+    days = days.unionByName(lines.select("entity", "value_day", zero.alias("n"), zero.alias("net")).distinct()).groupBy("entity", "value_day").agg(F.sum("n").alias("n"), F.sum("net").alias("net"))
+    upto = Window.partitionBy("entity").orderBy("value_day").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.select("entity", "value_day", F.sum("n").over(upto).alias("pool"), F.sum("net").over(upto).alias("net"))
+    return lines.select("entity", "bank_index", "value_day").join(days, ["entity", "value_day"]).select("entity", "bank_index", "pool", "net")
+
+
 def exact_then_tolerant(settled: DataFrame, lines: DataFrame) -> DataFrame:
-    """entity, bank_index, settlement_id, stage: references first; then what has just one settlement within tolerance, each used once."""
+    """entity, bank_index, settlement_id, stage: references first; then, line by line, what has just one settlement left within tolerance."""
     first = joins.batches_to_bank(settled, lines).select("entity", "bank_index", "settlement_id", F.lit("exact").alias("stage"))
     left = lines.where("amount > 0").join(first, ["entity", "bank_index"], "left_anti")
     free = settled.join(first, ["entity", "settlement_id"], "left_anti")
     near = joins.within_tolerance(left, free)
-    single = near.where("n_candidates = 1").withColumn("n", F.row_number().over(Window.partitionBy("entity", "settlement_id").orderBy("bank_index"))).where("n = 1")
-    return first.unionByName(single.select("entity", "bank_index", "settlement_id", F.lit("tolerant").alias("stage")))
+    return first.unionByName(joins.greedy_matches(near).withColumn("stage", F.lit("tolerant")))
 
 
 def reconstructed(rows: DataFrame, lines: DataFrame, matched: DataFrame, cap: int = subsets.CASCADE_CAP, **limits) -> tuple[DataFrame, DataFrame]:
@@ -193,12 +206,16 @@ def residual_pairs(without: DataFrame, orphans: DataFrame, limit: int = 10_000,
     """The cheapest one-to-one pairing of payments without an order with orders without a payment, by entity.
 
     Cost: difference in paise, plus 1,000 a day, plus 1,000,000 as no identifier is shared; accepted up to
-    ``limit``. An entity with more than ``most`` of either is left out of the search and stays unpaired.
+    ``limit``. The assignment needs all pairs of an entity at once, so an entity with more than ``most`` of
+    either isn't searched: each of its payments has a row that says so (status ``not_searched``), as a
+    payment without a partner has one (``unpaired``).
     """
-    a = without.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("row_id", "amount", "day"))).alias("a"), F.count(F.lit(1)).alias("n"))
-    b = orphans.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("order_id", "amount", "invoice_day"))).alias("b"), F.count(F.lit(1)).alias("m"))
-    small = lambda df: df.groupBy("entity").count().where(F.col("count") <= most).select("entity")
-    both = a.join(b, "entity").join(small(without), "entity", "left_semi").join(small(orphans), "entity", "left_semi")
+    counts = lambda df, name: df.groupBy("entity").agg(F.count(F.lit(1)).alias(name))
+    sizes = counts(without, "n").join(counts(orphans, "m"), "entity", "left")
+    large = sizes.where((F.col("n") > most) | (F.coalesce("m", F.lit(0)) > most)).select("entity")
+    small = lambda df: df.join(large, "entity", "left_anti")
+    a = small(without).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("row_id", "amount", "day"))).alias("a"))
+    b = small(orphans).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("order_id", "amount", "invoice_day"))).alias("b"))
 
     def run(parts):
         for pdf in parts:
@@ -208,7 +225,11 @@ def residual_pairs(without: DataFrame, orphans: DataFrame, limit: int = 10_000,
                 out += [(entity, left[i]["row_id"], right[j]["order_id"], c, ok) for i, j, c, ok in audit.assigned_pairs(costs, limit)]
             yield pd.DataFrame(out, columns=["entity", "row_id", "order_id", "cost", "accepted"])
 
-    return both.select("entity", "a", "b").mapInPandas(run, "entity long, row_id string, order_id string, cost long, accepted boolean")
+    pairs = kept(a.join(b, "entity").select("entity", "a", "b").mapInPandas(run, "entity long, row_id string, order_id string, cost long, accepted boolean"), "residual-pairs")
+    rest = without.join(pairs, ["entity", "row_id"], "left_anti").join(large.withColumn("large", F.lit(True)), "entity", "left")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rest = rest.select("entity", "row_id", none("string", "order_id"), none("long", "cost"), F.lit(False).alias("accepted"), F.when(F.col("large"), "not_searched").otherwise("unpaired").alias("status"))
+    return pairs.withColumn("status", F.when(F.col("accepted"), "paired").otherwise("refused")).unionByName(rest)
 
 
 def narrated(found: DataFrame) -> DataFrame:

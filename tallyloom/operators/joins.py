@@ -61,12 +61,46 @@ def within_tolerance(lines: DataFrame, settled: DataFrame, days: int = 1) -> Dat
         "n_candidates", F.count(F.lit(1)).over(Window.partitionBy("entity", "bank_index")))
 
 
+def greedy_matches(near: DataFrame) -> DataFrame:
+    """entity, bank_index, settlement_id: lines in file order, each taking its settlement if just one is left for it.
+
+    A taken settlement is gone for the lines after. A line can be settled once no earlier open line has a
+    settlement in common with it; all such lines are settled at once, and rounds go on while lines are open.
+    """
+    from functools import reduce
+
+    from .storage import kept
+
+    open_, taken = kept(near.select("entity", "bank_index", "settlement_id"), "greedy-open"), []
+    while not open_.isEmpty():
+        first = open_.groupBy("entity", "settlement_id").agg(F.min("bank_index").alias("first"))
+        lines = open_.join(first, ["entity", "settlement_id"]).groupBy("entity", "bank_index").agg(
+            F.every(F.col("first") == F.col("bank_index")).alias("ready"), F.count(F.lit(1)).alias("n"), F.min("settlement_id").alias("settlement_id"))
+        lines = kept(lines.where("ready"), "greedy-ready")
+        taken.append(lines.where("n = 1").select("entity", "bank_index", "settlement_id"))
+        rest = open_.join(lines.select("entity", "bank_index"), ["entity", "bank_index"], "left_anti")
+        open_ = kept(rest.join(taken[-1].select("entity", "settlement_id"), ["entity", "settlement_id"], "left_anti").select(*open_.columns), "greedy-open")
+    return reduce(DataFrame.unionByName, taken) if taken else open_
+
+
 def erp_gap_candidates(without: DataFrame, orphans: DataFrame, basis_points: int = 200, days: int = 3) -> DataFrame:
-    """Payments and orphan orders whose amounts and dates are close: never accepted, each with its reason."""
-    a, b = without.alias("a"), orphans.alias("b")
+    """Payments and orphan orders whose amounts and dates are close: never accepted, each with its reason.
+
+    Amounts meet in bands of their logarithm and dates in bands of days, each with its neighbours, so the
+    join is on equal keys; the exact bounds follow.
+    """
+    import math
+
+    width = -math.log1p(-min(basis_points, 9_999) / 10_000) * 1.001
+    amount = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / width)
+    day = lambda c: F.floor(c / (days + 1))
+    near = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    a = without.withColumn("__a", near(amount(F.col("amount")))).withColumn("__d", near(day(F.col("day")))).alias("a")
+    b = orphans.withColumns({"__a": amount(F.col("amount")), "__d": day(F.col("invoice_day"))}).alias("b")
     gap = F.abs(F.col("a.amount") - F.col("b.amount"))
-    near = (F.col("a.entity") == F.col("b.entity")) & (gap <= F.call_function("div", F.col("a.amount") * basis_points, F.lit(10_000))) & (F.abs(F.col("a.day") - F.col("b.invoice_day")) <= days)
-    return a.join(b, near).select("a.entity", "a.row_id", "b.order_id", gap.alias("amount_gap"), F.lit("no shared identifier").alias("reason"))
+    both = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.__a") == F.col("b.__a")) & (F.col("a.__d") == F.col("b.__d")))
+    both = both.where((gap <= F.call_function("div", F.col("a.amount") * basis_points, F.lit(10_000))) & (F.abs(F.col("a.day") - F.col("b.invoice_day")) <= days))
+    return both.select("a.entity", "a.row_id", "b.order_id", gap.alias("amount_gap"), F.lit("no shared identifier").alias("reason"))
 
 
 def netted_out(rows: DataFrame, by_date: bool = False) -> DataFrame:

@@ -33,9 +33,9 @@ def months_at_risk(accrued: DataFrame, invoices: DataFrame) -> DataFrame:
     absent = accrued.join(invoices, (accrued["entity"] == invoices["entity"]) & (accrued["month"] == invoices["filing_period"]), "left_anti")
     own = invoices.withColumnRenamed("filing_period", "month")
     return (
-        absent.select("entity", "month", F.lit("invoice_absent").alias("ground"))
-        .unionByName(own.where("NOT has_irn").select("entity", "month", F.lit("no_registration_number").alias("ground")))
-        .unionByName(own.where("NOT filed").select("entity", "month", F.lit("supplier_return_not_filed").alias("ground")))
+        absent.select("entity", "month", F.lit("gstr2b_absent").alias("ground"))
+        .unionByName(own.where("NOT has_irn").select("entity", "month", F.lit("gstr2b_no_irn").alias("ground")))
+        .unionByName(own.where("NOT filed").select("entity", "month", F.lit("gstr2b_37a_exposure").alias("ground")))
     )
 
 
@@ -49,8 +49,10 @@ def at_risk_total(risk: DataFrame, accrued: DataFrame, invoices: DataFrame) -> D
 
 def supplier(accrued: DataFrame, invoices: DataFrame) -> DataFrame:
     """The supplier most of whose invoices are within max(1, n_rows) of a month's fees: entity, gstin, hits."""
-    near = F.abs(invoices["taxable_value"] - accrued["fees"]) <= F.greatest(F.lit(1), accrued["n_rows"])
-    hits = accrued.join(invoices, (accrued["entity"] == invoices["entity"]) & near).groupBy(accrued["entity"], "gstin").agg(F.count(F.lit(1)).alias("hits"))
+    width, room = 1 << 20, F.greatest(F.lit(1), F.col("n_rows"))
+    months = accrued.withColumn("__band", F.explode(F.sequence(F.floor((F.col("fees") - room) / width), F.floor((F.col("fees") + room) / width))))
+    both = months.join(invoices.withColumn("__band", F.floor(F.col("taxable_value") / width)), ["entity", "__band"])
+    hits = both.where(F.abs(F.col("taxable_value") - F.col("fees")) <= room).groupBy("entity", "gstin").agg(F.count(F.lit(1)).alias("hits"))
     first = Window.partitionBy("entity").orderBy(F.desc("hits"), "gstin")
     return hits.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def processing_order(lines: DataFrame) -> DataFrame:
-    """Lines by value date, then by place in the file."""
-    return lines.withColumn("seq", F.row_number().over(Window.partitionBy("entity").orderBy("value_day", "bank_index")).cast("long"))
+    """Lines by value date, then by place in the file: ranks within a day, shifted by the lines of the days before."""
+    days = lines.groupBy("entity", "value_day").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy("entity").orderBy("value_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("entity", "value_day", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("entity", "value_day").orderBy("bank_index"))
+    return lines.withColumn("__k", within).join(days, ["entity", "value_day"]).withColumn("seq", (F.col("__before") + F.col("__k")).cast("long")).select(*lines.columns, "seq")
 
 
 def rivals(lines: DataFrame, verified: DataFrame) -> DataFrame:
@@ -40,12 +44,37 @@ def dense_references(df: DataFrame, key: str, number: str) -> DataFrame:
 
 
 def fifo_under_cap(df: DataFrame, key: str, order: list[str], amount: str, item: str, cap: int) -> DataFrame:
-    """Oldest first, taking each item that still fits under the cap and passing over those that don't."""
-    item_ = F.struct(*order, F.col(amount).alias("a"), F.col(item).cast("string").alias("i"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<string>").alias("taken"))
-    step = lambda s, x: F.when(s["total"] + x["a"] <= cap, F.struct((s["total"] + x["a"]).alias("total"), F.concat(s["taken"], F.array(x["i"])).alias("taken"))).otherwise(s)
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(item_)).alias("x")).select(key, F.aggregate("x", start, step).alias("s")).select(
-        key, F.col("s.total").alias("total"), F.array_join("s.taken", ",").alias("taken"))
+    """Oldest first, taking each item that still fits under the cap and passing over those that don't: key, item, total so far.
+
+    What fits depends on all items before, so a key is one sorted run; it streams through a task, which
+    keeps one total and never the items.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        at, total = None, 0
+        for batch in batches:
+            taken, totals = [], []
+            for k, (owner, value) in enumerate(zip(batch[key].to_pylist(), batch["__amount"].to_pylist(), strict=True)):
+                if owner != at:
+                    at, total = owner, 0
+                if total + value <= cap:
+                    total += value
+                    taken.append(k)
+                    totals.append(total)
+            rows = batch.take(pa.array(taken, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows[key], rows[item], pa.array(totals, pa.int64())], names=[key, item, "total"])
+
+    few = df.select(key, *(c for c in order if c not in (key, item)), item, F.col(amount).cast("long").alias("__amount"))
+    kinds = {c: few.schema[c].dataType.simpleString() for c in (key, item)}
+    return few.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{key} {kinds[key]}, {item} {kinds[item]}, total long")
+
+
+def fingerprints(df: DataFrame, key: str, chunk: Column, line: Column) -> DataFrame:
+    """One digest of a key's lines in order: of the digests of its chunks, so that no value holds all lines."""
+    parts = df.select(key, chunk.alias("__c"), line.alias("__l")).groupBy(key, "__c").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__l")), "|"), 256).alias("__d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__c", "__d"))), lambda x: x["__d"]), "|")
+    return parts.groupBy(key).agg(F.sha2(whole, 256).alias("fingerprint"))
 
 
 def debits_deferred(rows: DataFrame) -> DataFrame:

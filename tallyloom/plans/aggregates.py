@@ -126,12 +126,17 @@ def t6_common_levels(spark, sf):
     n = rows.groupBy("method", "type").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
-    return n.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "method")).cast("long")).where("r <= 2").select("type", "method", "n", "r")
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "method")).cast("long")).where("r <= 40").select("type", "method", "n", "r")
 
 
 def t8_announced_truncation(spark, sf):
-    ids = X.ledger(spark, sf).groupBy("entity").agg(F.array_sort(F.collect_list("row_id")).alias("x"))
-    return ids.select("entity", F.array_join(F.slice("x", 1, 12), ",").alias("sample"), F.size("x").cast("long").alias("total"), (F.size("x") > 12).alias("truncated"))
+    """Twelve rows of each entity, how many there are, and whether some aren't shown."""
+    from pyspark.sql import Window
+
+    rows = X.ledger(spark, sf).select("entity", "row_id")
+    n = F.row_number().over(Window.partitionBy("entity").orderBy("row_id"))
+    shown = rows.withColumn("n", n).where("n <= 12").groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("row_id")), ",").alias("sample"))
+    return shown.join(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("total")), "entity").withColumn("truncated", F.col("total") > 12)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -146,9 +151,9 @@ UNION ALL SELECT entity, 2, 'processing fees', CAST(fees AS BIGINT), 0 FROM t
 UNION ALL SELECT entity, 3, 'input tax', CAST(taxes AS BIGINT), 0 FROM t
 UNION ALL SELECT entity, 4, 'sales less refunds', 0, CAST(gross - refunds AS BIGINT) FROM t)"""
 _RISK = """
-, risk AS (SELECT entity, month, 'invoice_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
-UNION ALL SELECT entity, filing_period, 'no_registration_number' FROM gst WHERE NOT has_irn
-UNION ALL SELECT entity, filing_period, 'supplier_return_not_filed' FROM gst WHERE NOT filed)"""
+, risk AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
+UNION ALL SELECT entity, filing_period, 'gstr2b_no_irn' FROM gst WHERE NOT has_irn
+UNION ALL SELECT entity, filing_period, 'gstr2b_37a_exposure' FROM gst WHERE NOT filed)"""
 _COLUMNS = ["entity", "row_id", "type", "payment_id", "order_id", "credit", "debit", "amount", "fee", "tax", "on_hold", "created_at", "settled_at", "settlement_id", "method", "dispute_id"]
 ORACLES = {
     "a1_batches": BASE + """
@@ -217,11 +222,9 @@ SELECT max(size) AS size, count(CASE WHEN type = 'refund' AND up <= size THEN 1
 SELECT entity, count(*) AS n, max(ord) - min(ord) + 1 = count(*) AS dense FROM settlements GROUP BY 1""",
     "w12_fifo_under_cap": BASE.replace("WITH o AS", "WITH RECURSIVE o AS") + """
 , q AS (SELECT entity, row_id, credit, row_number() OVER (PARTITION BY entity ORDER BY created_at, row_id) AS n FROM ledger WHERE credit > 0),
-w AS (SELECT entity, n, CASE WHEN credit <= 50000000 THEN credit ELSE 0 END AS total, CASE WHEN credit <= 50000000 THEN row_id ELSE '' END AS taken FROM q WHERE n = 1
-  UNION ALL SELECT q.entity, q.n, w.total + CASE WHEN w.total + q.credit <= 50000000 THEN q.credit ELSE 0 END,
-    CASE WHEN w.total + q.credit <= 50000000 THEN CASE WHEN w.taken = '' THEN q.row_id ELSE w.taken || ',' || q.row_id END ELSE w.taken END FROM w JOIN q ON q.entity = w.entity AND q.n = w.n + 1),
-l AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC) AS r FROM w)
-SELECT entity, total, taken FROM l WHERE r = 1""",
+w AS (SELECT entity, n, row_id, CASE WHEN credit <= 50000000 THEN credit ELSE 0 END AS total, credit <= 50000000 AS taken FROM q WHERE n = 1
+  UNION ALL SELECT q.entity, q.n, q.row_id, w.total + CASE WHEN w.total + q.credit <= 50000000 THEN q.credit ELSE 0 END, w.total + q.credit <= 50000000 FROM w JOIN q ON q.entity = w.entity AND q.n = w.n + 1)
+SELECT entity, row_id, total FROM w WHERE taken""",
     "w13_debits_deferred": BASE + """
 , p AS (SELECT entity, settlement_id, row_id, debit * 3 AS debit, sum(credit - debit * 3) OVER (PARTITION BY settlement_id) AS payout FROM ledger WHERE settlement_id IS NOT NULL),
 d AS (SELECT *, row_number() OVER w AS n, sum(debit) OVER (w ROWS UNBOUNDED PRECEDING) AS back FROM p WHERE debit > 0 WINDOW w AS (PARTITION BY settlement_id ORDER BY debit DESC, row_id))
@@ -232,7 +235,7 @@ r AS (SELECT sum(CASE WHEN type = 'refund' THEN 1 ELSE 0 END) OVER (ORDER BY cre
 SELECT CAST(max(abs(CAST(a AS BIGINT) * 1000000 // CAST(na AS BIGINT) - CAST(b AS BIGINT) * 1000000 // CAST(nb AS BIGINT))) AS BIGINT) AS ks_millionths FROM r, t""",
     "t6_common_levels": BASE + """
 , n AS (SELECT type, method, count(*) AS n FROM ledger GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, method) AS r FROM n)
-SELECT type, method, n, r FROM r WHERE r <= 2""",
+SELECT type, method, n, r FROM r WHERE r <= 40""",
     "t8_announced_truncation": BASE + """
 , r AS (SELECT entity, row_id, row_number() OVER (PARTITION BY entity ORDER BY row_id) AS n FROM ledger)
 SELECT entity, string_agg(CASE WHEN n <= 12 THEN row_id END, ',' ORDER BY row_id) AS sample, count(*) AS total, count(*) > 12 AS truncated FROM r GROUP BY 1""",

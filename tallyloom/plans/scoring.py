@@ -7,6 +7,7 @@ from ..functions import money
 from ..operators import cascade as C
 from ..operators import gates as G
 from ..operators import tax as T
+from ..operators import windows as W
 from ..operators.storage import kept
 from . import fixtures as X
 from . import resolution as RES
@@ -95,7 +96,7 @@ def t5_largest_proposals(spark, sf):
 
 def p7_date_pool_sizes(spark, sf):
     rows = X.ledger(spark, sf)
-    return C.date_pool(rows, X.bank(rows).where("amount > 0")).groupBy("entity", "bank_index").agg(F.count(F.lit(1)).alias("pool"), F.sum("net").alias("net"))
+    return C.date_pool_sizes(rows, X.bank(rows).where("amount > 0"))
 
 
 def j13_residual_pairs(spark, sf):
@@ -156,8 +157,7 @@ def a14_ground_scores(spark, sf):
 def a22_stability(spark, sf):
     """One fingerprint per entity over its lines' outcomes in order."""
     d = RES.r4_tier_outcomes(spark, sf)
-    line = F.struct("bank_index", "kind")
-    return d.groupBy("entity").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat_ws(":", x["bank_index"].cast("string"), x["kind"])), "|"), 256).alias("fingerprint"))
+    return W.fingerprints(d, "entity", F.call_function("div", F.col("bank_index"), F.lit(100)), F.concat_ws(":", F.col("bank_index").cast("string"), "kind"))
 
 
 def a24_resistance(spark, sf):
@@ -386,8 +386,8 @@ routed AS (SELECT *, owner <> 'no-action' AS is_problem, CASE WHEN exception IN
 """
 _T, _TRUTH, _NAIVE = RES._TIERS, RES._TRUTH, RES._NAIVE
 _AT_RISK = """
-, risk AS (SELECT entity, month, 'invoice_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
-UNION ALL SELECT entity, filing_period, 'no_registration_number' FROM gst WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'supplier_return_not_filed' FROM gst WHERE NOT filed)"""
+, risk AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
+UNION ALL SELECT entity, filing_period, 'gstr2b_no_irn' FROM gst WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'gstr2b_37a_exposure' FROM gst WHERE NOT filed)"""
 ORACLES = {
     "r9_cascade_matches": BASE + _MATCHED + "SELECT * FROM matched",
     "d9_routed_exceptions": BASE + _EXC + "SELECT entity, exception, item, amount FROM exc",
@@ -404,7 +404,7 @@ nt AS (SELECT p.row_id FROM ledger p JOIN rf ON rf.payment_id = p.row_id WHERE p
   + CASE WHEN ((p.created_at + 19800) // 86400 + 4) % 7 IN (4, 5) THEN 4 WHEN ((p.created_at + 19800) // 86400 + 4) % 7 = 6 THEN 3 ELSE 2 END),
 ow AS (SELECT entity, credit - debit AS net, type, (created_at + 19800) // 86400 AS d FROM ledger WHERE NOT on_hold AND (type <> 'payment' OR fee IS NOT NULL) AND credit <> debit AND coalesce(payment_id, row_id) NOT IN (SELECT row_id FROM nt)),
 fr AS (SELECT entity, net, CASE WHEN type = 'payment' THEN d + CASE WHEN (d + 4) % 7 IN (4, 5) THEN 4 WHEN (d + 4) % 7 = 6 THEN 3 ELSE 2 END ELSE d END AS from_day FROM ow)
-SELECT b.entity, b.bank_index, count(*) AS pool, CAST(sum(fr.net) AS BIGINT) AS net FROM bank b JOIN fr ON fr.entity = b.entity AND fr.from_day <= b.value_day WHERE b.amount > 0 GROUP BY 1, 2""",
+SELECT b.entity, b.bank_index, count(fr.net) AS pool, CAST(coalesce(sum(fr.net), 0) AS BIGINT) AS net FROM bank b LEFT JOIN fr ON fr.entity = b.entity AND fr.from_day <= b.value_day WHERE b.amount > 0 GROUP BY 1, 2""",
     "a8_run_summary": BASE + _T + "SELECT entity % 10 AS dataset, kind, count(*) AS n FROM decided GROUP BY ROLLUP (entity % 10, kind)",
     "a9_coverage_split": BASE + _T + """
 , sc AS (SELECT 'all' AS scope, kind FROM decided UNION ALL SELECT 'even', kind FROM decided WHERE entity % 2 = 0 UNION ALL SELECT 'third', kind FROM decided WHERE entity % 3 = 0)
@@ -423,7 +423,9 @@ SELECT min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, count(*
     "a14_ground_scores": BASE + _AT_RISK + """
 , n AS (SELECT ground, count(CASE WHEN entity % 3 <> 0 AND entity % 2 = 0 THEN 1 END) AS tp, count(CASE WHEN entity % 3 <> 0 AND entity % 2 <> 0 THEN 1 END) AS fp, count(CASE WHEN entity % 3 = 0 AND entity % 2 = 0 THEN 1 END) AS fn FROM risk GROUP BY 1)
 SELECT *, CASE WHEN tp + fp > 0 THEN tp * 10000 // greatest(tp + fp, 1) END AS precision_bp, CASE WHEN tp + fn > 0 THEN tp * 10000 // greatest(tp + fn, 1) END AS recall_bp FROM n""",
-    "a22_stability": BASE + _T + "SELECT entity, sha256(string_agg(bank_index || ':' || kind, '|' ORDER BY bank_index)) AS fingerprint FROM decided GROUP BY 1",
+    "a22_stability": BASE + _T + """
+, c AS (SELECT entity, bank_index // 100 AS c, sha256(string_agg(bank_index || ':' || kind, '|' ORDER BY bank_index || ':' || kind)) AS d FROM decided GROUP BY 1, 2)
+SELECT entity, sha256(string_agg(d, '|' ORDER BY c)) AS fingerprint FROM c GROUP BY 1""",
     "a24_resistance": BASE + _TRUTH + _NAIVE + """
 , k AS (SELECT count(CASE WHEN n.bank_index IS NOT NULL THEN 1 END) AS tp, count(CASE WHEN n.bank_index IS NULL THEN 1 END) AS fn FROM truth t LEFT JOIN naive n ON n.bank_index = t.bank_index AND n.settlement_id = t.settlement_id WHERE t.settlement_id IS NOT NULL),
 m AS (SELECT fn * 10000 // greatest(tp + fn, 1) AS missed_bp FROM k) SELECT missed_bp, CASE WHEN missed_bp < 500 THEN 'trivial' WHEN missed_bp < 5000 THEN 'partial' ELSE 'not_trivial' END AS verdict FROM m""",
@@ -450,8 +452,8 @@ SELECT count(*) AS n, count(CASE WHEN r.row_ids = t.settlement_id THEN 1 END) AS
 FROM rk r JOIN truth t ON t.bank_index = r.bank_index AND t.settlement_id IS NOT NULL WHERE rank = 1 AND k > 1""",
     "g17_dataset_scores": BASE + _T + "SELECT entity % 10 AS dataset, count(*) AS n, " + ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS \"{k}\"" for k in ("verified", "discrepancy", "ambiguous", "unresolved", "open")) + " FROM decided GROUP BY 1",
     "g18_tax_file_probe": BASE + _AT_RISK + """
-, halfg AS (SELECT * FROM gst WHERE entity % 2 = 0), half AS (SELECT entity, month, 'invoice_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM halfg g WHERE g.entity = a.entity AND g.filing_period = a.month)
-UNION ALL SELECT entity, filing_period, 'no_registration_number' FROM halfg WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'supplier_return_not_filed' FROM halfg WHERE NOT filed),
+, halfg AS (SELECT * FROM gst WHERE entity % 2 = 0), half AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM halfg g WHERE g.entity = a.entity AND g.filing_period = a.month)
+UNION ALL SELECT entity, filing_period, 'gstr2b_no_irn' FROM halfg WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'gstr2b_37a_exposure' FROM halfg WHERE NOT filed),
 a1 AS (SELECT * FROM risk EXCEPT ALL SELECT * FROM half), a2 AS (SELECT * FROM half EXCEPT ALL SELECT * FROM risk)
 SELECT ground, count(*) AS n, 'only_with' AS side FROM a1 GROUP BY 1 UNION ALL SELECT ground, count(*), 'only_without' FROM a2 GROUP BY 1""",
     "g20_false_positive_audit": BASE + _T + _TRUTH + _NAIVE + """ SELECT n.entity, n.bank_index, n.settlement_id FROM naive n JOIN truth t USING (bank_index) JOIN decided d ON d.bank_index = n.bank_index AND d.kind = 'verified' AND d.settlement_id = n.settlement_id

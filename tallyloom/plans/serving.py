@@ -7,6 +7,7 @@ from ..operators import audit as Q
 from ..operators import dispositions as D
 from ..operators import joins as J
 from ..operators import store as ST
+from ..operators import windows as W
 from ..streaming import ingest as I
 from . import fixtures as X
 from . import resolution as RES
@@ -18,7 +19,7 @@ def _events(spark, sf):
 
 
 def q2_predicate_scores(spark, sf):
-    return Q.predicate_scores(X.ledger(spark, sf), "type = 'refund'", ["method", "on_hold", "dispute_id", "tax", "payment_id"], most=5).where("column <> 'dispute_id' AND column <> 'payment_id' OR level IS NULL")
+    return Q.predicate_scores(X.ledger(spark, sf), "type = 'refund'", ["method", "on_hold", "dispute_id", "tax", "payment_id"])
 
 
 def q3_pair_scores(spark, sf):
@@ -60,7 +61,8 @@ def f14_trailing_numbers(spark, sf):
 
 def f15_digests(spark, sf):
     rows = X.ledger(spark, sf)
-    return rows.groupBy("entity").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "row_id", F.col("credit").cast("string")))), "|"), 256).alias("fingerprint"))
+    month = F.call_function("div", F.col("created_at"), F.lit(30 * 86_400))
+    return W.fingerprints(rows, "entity", month, F.concat_ws(":", "row_id", F.col("credit").cast("string")))
 
 
 def k1_run_ids(spark, sf):
@@ -180,7 +182,7 @@ n AS (SELECT col, level, count(*) AS support, sum(CASE WHEN m THEN 1 ELSE 0 END)
 r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY support DESC, level NULLS FIRST) AS r FROM n), t AS (SELECT sum(CASE WHEN type = 'refund' THEN 1 ELSE 0 END) AS size, count(*) AS al FROM ledger)
 SELECT col AS "column", level, support, CAST(hits AS BIGINT) AS hits, CAST(hits * 10000 // support AS BIGINT) AS precision_bp, CAST(hits * 10000 // size AS BIGINT) AS recall_bp,
   hits * 10000 // support >= 9000 AND hits * 10000 // size >= 5000 AND hits * al >= 2 * support * size AS leaks
-FROM r, t WHERE r <= 5 AND (col <> 'dispute_id' AND col <> 'payment_id' OR level IS NULL)""",
+FROM r, t WHERE r <= 40""",
     "q3_pair_scores": BASE + """
 SELECT 'method' AS c1, method AS l1, 'on_hold' AS c2, CAST(on_hold AS VARCHAR) AS l2, count(*) AS support, CAST(sum(CASE WHEN type = 'refund' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM ledger GROUP BY method, on_hold""",
     "q6_dependencies": BASE + " UNION ALL ".join(_dependency(a, b) for a in _FD for b in _FD if a != b),
@@ -199,7 +201,9 @@ SELECT c_custkey, body, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((36
     "f14_trailing_numbers": BASE + """
 SELECT row_id, CAST(string_split(row_id, '_')[2] AS BIGINT) AS number,
   array_to_string(list_sort(list_distinct(list_filter(string_split(replace(row_id, '_', ' ') || ' ' || method, ' '), lambda w: length(w) BETWEEN 3 AND 40))), ',') AS tokens FROM ledger""",
-    "f15_digests": BASE + "SELECT entity, sha256(string_agg(row_id || ':' || credit, '|' ORDER BY row_id || ':' || credit)) AS fingerprint FROM ledger GROUP BY 1",
+    "f15_digests": BASE + """
+, c AS (SELECT entity, created_at // 2592000 AS c, sha256(string_agg(row_id || ':' || credit, '|' ORDER BY row_id || ':' || credit)) AS d FROM ledger GROUP BY 1, 2)
+SELECT entity, sha256(string_agg(d, '|' ORDER BY c)) AS fingerprint FROM c GROUP BY 1""",
     "k1_run_ids": "SELECT DISTINCT c_mktsegment, sha256(c_mktsegment || '|code|200|10') AS run_id FROM customer WHERE c_mktsegment >= 'B'",
     "k2_flattened": BASE + _T + "SELECT entity, bank_index, kind, reason, tier FROM decided",
     "x4_break_spans": BASE + _SEEN + """
