@@ -63,3 +63,30 @@ def token_set_similarity(a: str, b: str) -> float:
         return 100.0
     pairs = [(left, right)] + ([(common, left), (common, right)] if common else [])
     return max(similarity(p, q) for p, q in pairs)
+
+
+def similarities(kind: str = "token_set"):
+    """Similarity of two text columns, a batch of rows at a time."""
+    import pandas as pd
+
+    score = token_set_similarity if kind == "token_set" else similarity
+
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return of
+
+
+#: Provenance of a value, weakest first.
+TIERS = ["synthesized_modelled", "synthesized_documented", "captured_real"]
+
+
+def weakest(tiers: Column) -> Column:
+    """The weakest of an array of provenance tiers."""
+    return F.element_at(F.array(*map(F.lit, TIERS)), F.array_min(F.transform(tiers, lambda t: F.array_position(F.array(*map(F.lit, TIERS)), t))).cast("int"))
+
+
+def notes(value: Column) -> Column:
+    """The notes of a row as a map: an object as it is, anything else as none."""
+    return F.coalesce(F.when(F.trim(value).startswith("{"), F.from_json(value, "map<string,string>")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))

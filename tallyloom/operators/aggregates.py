@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from ..functions import calendar, money
 
 
 def batches(rows: DataFrame) -> DataFrame:
-    """Settlements with sums and their sorted rows; rows of one settlement must agree on when it settled."""
+    """Settlements with sums and their sorted rows; two references within one settlement raise."""
     own = rows.where("settlement_id IS NOT NULL AND (type <> 'payment' OR fee IS NOT NULL)")
     months = F.count_distinct(calendar.month_of(calendar.local_day(F.col("settled_at"))))
+    reference = F.col("settlement_utr") if "settlement_utr" in rows.columns else F.lit(None).cast("string")
+    two = F.raise_error(F.concat(F.lit("two references in "), "settlement_id"))
     return own.groupBy("entity", "settlement_id").agg(
-        F.sum("credit").alias("credit"), F.sum("debit").alias("debit"), F.array_sort(F.collect_list("row_id")).alias("row_ids"), months.alias("n_months"))
+        F.sum("credit").alias("credit"), F.sum("debit").alias("debit"), F.array_sort(F.collect_list("row_id")).alias("row_ids"), months.alias("n_months"),
+        F.min(reference).alias("low"), F.max(reference).alias("high")).withColumn("reference", F.when(F.col("low") != F.col("high"), two).otherwise(F.col("low"))).drop("low", "high")
 
 
 def single_valued(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -50,16 +55,15 @@ def unsettled_aging(rows: DataFrame) -> DataFrame:
     return open_.groupBy(calendar.age_bucket(age).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value"))
 
 
-def method_breakdown(rows: DataFrame) -> DataFrame:
-    """Payments by method: count, value, breaks, break rate in basis points, and counts by hold state."""
-    paid = rows.where("type = 'payment'")
-    broken = F.col("settled_at").isNull()
-    total = paid.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value"), F.count_if(broken).alias("breaks"))
-    nested = paid.groupBy("method", F.when(F.col("on_hold"), "held").otherwise("free").alias("state")).count()
-    nested = nested.groupBy("method").agg(F.sort_array(F.collect_list(F.struct("count", "state")), False).alias("states"))
-    states = F.concat_ws(",", F.transform("states", lambda s: F.concat(s["state"], F.lit("="), s["count"])))
-    return total.join(nested, "method").select("method", "n", "value", "breaks", money.div(F.col("breaks") * 10_000, 1).cast("long").alias("scaled"), states.alias("states")).withColumn(
-        "break_rate_bp", F.call_function("div", F.col("scaled"), F.col("n"))).drop("scaled")
+def method_breakdown(rows: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """Payments by method: count, value, open breaks among them, break rate in basis points, and counts by card network, most first."""
+    paid = rows.where("method IS NOT NULL AND type = 'payment'").join(open_rows.select("entity", "row_id", F.lit(1).alias("open")).distinct(), ["entity", "row_id"], "left")
+    total = paid.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value"), F.count("open").alias("breaks"))
+    nested = paid.where("network IS NOT NULL").groupBy("method", "network").count()
+    nested = nested.groupBy("method").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "network"))).alias("x"))
+    shown = F.array_join(F.transform("x", lambda s: F.concat(s["network"], F.lit("="), -s["c"])), ",")
+    return total.join(nested.select("method", shown.alias("networks")), "method", "left").withColumns(
+        {"networks": F.coalesce("networks", F.lit("")), "break_rate_bp": F.call_function("div", F.col("breaks") * 10_000, F.col("n"))})
 
 
 def journal(rows: DataFrame) -> DataFrame:
@@ -119,10 +123,39 @@ def outcome_accounting(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.abs("amount")).alias("value"))
 
 
+def full_accounting(outcomes: DataFrame, dispositions: DataFrame) -> DataFrame:
+    """Everything that a run is held to, as (measure, item, n): lines by kind and reason, rows by reason and age, causes, candidates.
+
+    A line with one answer counts as one candidate, an ambiguous one as many as it has; declined lines have none.
+    Reasons of rows count rows, reasons of lines count lines.
+    """
+    of = lambda df, measure, item: df.groupBy(item.alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(measure).alias("measure"), "item", "n")
+    open_ = dispositions.where("reason IS NOT NULL")
+    size = F.when(F.col("kind").isin("verified", "reconstructed"), 1).when(F.col("kind") == "ambiguous", F.col("n_candidates"))
+    sized = outcomes.agg(F.count(size).alias("lines"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total"), F.coalesce(F.max(size), F.lit(0)).cast("long").alias("most"))
+    causes = open_.agg(F.count_distinct("caused_by").alias("distinct"), F.count("caused_by").alias("clustered_rows"))
+    spread = lambda df, measure: df.select(F.lit(measure).alias("measure"), F.inline(F.array(*(F.struct(F.lit(c).alias("item"), F.col(c).alias("n")) for c in df.columns))))
+    return reduce(DataFrame.unionByName, [
+        of(outcomes, "line kind", F.col("kind")), of(outcomes.where("reason IS NOT NULL"), "line reason", F.concat_ws("/", "kind", "reason")),
+        of(dispositions.where("proven IS NOT NULL"), "proven row", F.col("proven")), of(open_, "open row", F.col("reason")), of(open_, "open row by age", F.col("bucket")),
+        spread(causes, "causes"), spread(sized, "candidates")])
+
+
+def rival_accounting(rivals: DataFrame) -> DataFrame:
+    """Verified lines, those that other sets would explain as well, and those whose rivals weren't all counted."""
+    return rivals.agg(F.count(F.lit(1)).alias("verified"), F.count_if(F.expr("rivals > 1 OR lower_bound")).alias("not_decisive"), F.count_if("lower_bound").alias("truncated"), F.max("rivals").alias("most_rivals"))
+
+
 def kpis(outcomes: DataFrame) -> DataFrame:
-    """Straight-through share and unreconciled value of each entity, shares in basis points."""
+    """Shares of each entity's credit lines in basis points, and its unreconciled value.
+
+    Straight through: answered without a human; first pass: on an identifier alone; on attested: answered,
+    of the lines that the processor attests to (none if it attests to none).
+    """
     bp = lambda c: F.call_function("div", F.count_if(c) * 10_000, F.count(F.lit(1)))
-    done = F.col("kind") == "verified"
+    done, attested = F.col("kind").isin("verified", "reconstructed"), (F.col("tier") == "A") & F.col("settlement_id").isNotNull()
+    n = F.count_if(attested)
     return outcomes.where("amount > 0").groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_lines"), bp(done).alias("straight_through_bp"), bp(F.col("kind") == "discrepancy").alias("exception_bp"),
+        F.count(F.lit(1)).alias("n_lines"), bp(done).alias("straight_through_bp"), bp(F.col("kind") == "verified").alias("first_pass_bp"), bp(F.col("kind") == "discrepancy").alias("exception_bp"),
+        n.alias("attested"), F.when(n > 0, F.call_function("div", F.count_if(attested & done) * 10_000, F.greatest(n, F.lit(1)))).alias("on_attested_bp"),
         F.sum(F.when(~done, F.col("amount")).otherwise(0)).alias("unreconciled"))

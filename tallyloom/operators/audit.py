@@ -5,9 +5,14 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from . import windows
+
 #: Levels of a column that are tried, and what a predicate must reach to count.
 LEVELS, MIN_PRECISION, MIN_RECALL, MIN_LIFT = 40, 0.90, 0.50, 2.0
 
@@ -44,11 +49,13 @@ def pair_scores(df: DataFrame, member: str, columns: list[str], most: int = 6) -
 
 def functional_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """determinant, dependent, holds: whether each value of one column has one value of the other; near-unique columns determine nothing of interest."""
+    others = lambda a: [b for b in columns if b != a]
     out = None
-    for a, b in ((a, b) for a in columns for b in columns if a != b):
-        per = df.where(F.col(a).isNotNull()).groupBy(a).agg((F.min(b).eqNullSafe(F.max(b))).alias("one"), F.count(F.lit(1)).alias("n"))
-        row = per.agg(F.every("one").alias("one"), F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"))
-        row = row.select(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), (F.col("one") & (F.col("keys") * 2 < F.col("n"))).alias("holds"))
+    for a in columns:  # one grouping for each determinant, whatever it may determine
+        per = df.where(F.col(a).isNotNull()).groupBy(a).agg(F.count(F.lit(1)).alias("__n"), *(F.min(b).eqNullSafe(F.max(b)).alias(f"__{b}") for b in others(a)))
+        row = per.agg(F.count(F.lit(1)).alias("keys"), F.sum("__n").alias("n"), *(F.every(f"__{b}").alias(f"__{b}") for b in others(a)))
+        each = F.array(*(F.struct(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), (F.col(f"__{b}") & (F.col("keys") * 2 < F.col("n"))).alias("holds")) for b in others(a)))
+        row = row.select(F.inline(each))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -65,10 +72,119 @@ def value_collisions(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def predicates(df: DataFrame, member: str, columns: list[str], notes: str | None = None, most: int = LEVELS) -> DataFrame:
+    """column, predicate, support, hits of every simple predicate that the columns admit, against a class.
+
+    Null and not null; the levels of a column that has ``most`` at most; every value of a number as a lower and
+    as an upper bound; its ``most`` commonest words; and for ``notes``, a JSON object, whether a key is
+    absent, its keys, and its pairs. Bounds come from running sums over the counts by value.
+    """
+    m = F.expr(member)
+    one = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.lit(df.schema[c].dataType.typeName() == "string").alias("text"))
+    long = df.select(m.alias("m"), F.inline(F.array(*map(one, columns))))
+    counted = [F.count(F.lit(1)).alias("support"), F.count_if("m").alias("hits")]
+    levels_ = long.groupBy("column", "value").agg(*counted)
+    shown = lambda x, text: x.select("column", text.alias("predicate"), "support", "hits")
+    nulls = levels_.groupBy("column", F.col("value").isNull().alias("null")).agg(F.sum("support").alias("support"), F.sum("hits").alias("hits"))
+    some = nulls.groupBy("column").agg(F.count(F.lit(1)).alias("k")).where("k = 2")  # null for some rows only
+    out = shown(nulls.join(some, "column"), F.when(F.col("null"), "is null").otherwise("is not null"))
+    few = levels_.where("value IS NOT NULL").groupBy("column").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most)
+    out = out.unionByName(shown(levels_.where("value IS NOT NULL").join(few, "column"), F.concat(F.lit("= "), "value")))
+    for name in [c for c in columns if df.schema[c].dataType.typeName() in ("long", "integer", "short")]:
+        by_value = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if(m).alias("h"))
+        total = F.broadcast(by_value.agg(F.sum("n").alias("all_n"), F.sum("h").alias("all_h"), F.count(F.lit(1)).alias("k")))
+        up = windows._running(by_value.select("v", "n"), "v").select("v", F.col("upto").alias("n_up"))
+        hits = windows._running(by_value.select("v", F.col("h").alias("n")), "v").select("v", F.col("upto").alias("h_up"))
+        both = by_value.join(up, "v").join(hits, "v").crossJoin(total).where("k >= 4")
+        bound = lambda sign, n, h: F.struct(F.lit(name).alias("column"), F.concat(F.lit(f"{sign} "), F.col("v").cast("string")).alias("predicate"), n.alias("support"), h.alias("hits"))  # noqa: B023, E731
+        out = out.unionByName(both.select(F.inline(F.array(
+            bound("<=", F.col("n_up"), F.col("h_up")), bound(">=", F.col("all_n") - F.col("n_up") + F.col("n"), F.col("all_h") - F.col("h_up") + F.col("h"))))))
+    words = long.where("text AND value IS NOT NULL").select("m", "column", F.explode(text.tokens(F.col("value"))).alias("word")).groupBy("column", "word").agg(*counted)
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("support"), "word"))
+    out = out.unionByName(shown(words.withColumn("r", place).where(F.col("r") <= most), F.concat(F.lit("contains "), "word")))
+    if notes:
+        pairs = df.select(m.alias("m"), F.explode(F.from_json(notes, "map<string,string>")).alias("key", "value"))
+        keys = pairs.groupBy(F.lit(notes).alias("column"), "key").agg(*counted)
+        whole = F.broadcast(df.agg(F.count(F.lit(1)).alias("all_n"), F.count_if(m).alias("all_h")))
+        absent = keys.crossJoin(whole).select("column", F.concat(F.lit("without "), "key").alias("predicate"), (F.col("all_n") - F.col("support")).alias("support"), (F.col("all_h") - F.col("hits")).alias("hits")).where("support > 0")
+        pair = pairs.groupBy(F.lit(notes).alias("column"), "key", "value").agg(*counted)
+        top = F.row_number().over(Window.orderBy(F.desc("support"), "key", "value"))  # of the pairs' counts
+        out = out.unionByName(shown(keys, F.concat(F.lit("with "), "key"))).unionByName(absent)
+        out = out.unionByName(shown(pair.withColumn("r", top).where(F.col("r") <= 2 * most), F.concat("key", F.lit(" = "), "value")))
+    return out
+
+
+def scored(found: DataFrame, size: int, total: int) -> DataFrame:
+    """Predicates with precision, recall and lift in basis points, the chance of as many hits, and whether they leak.
+
+    A predicate of more than half of all rows is too wide to say anything.
+    """
+    bp = lambda a, b: F.call_function("div", a * 10_000, F.greatest(b, F.lit(1)))
+    t = found.withColumns({"precision_bp": bp(F.col("hits"), F.col("support")), "recall_bp": bp(F.col("hits"), F.lit(size))})
+    t = t.withColumn("lift_bp", F.call_function("div", F.col("precision_bp") * F.lit(total), F.greatest(F.lit(size), F.lit(1))).cast("long"))
+
+    @F.pandas_udf("double")
+    def chance(hits: pd.Series, support: pd.Series) -> pd.Series:
+        return pd.Series([hypergeometric_tail(int(h), int(n), size, total) for h, n in zip(hits, support, strict=True)], dtype=float)
+
+    wide = F.col("support") * 2 > total
+    leak = (F.col("precision_bp") >= int(MIN_PRECISION * 10_000)) & (F.col("recall_bp") >= int(MIN_RECALL * 10_000)) & (F.col("lift_bp") >= int(MIN_LIFT * 10_000)) & ~wide
+    return t.withColumn("p_value", chance("hits", "support")).withColumns({"leaks": leak})
+
+
+#: Members below which a class can't be tested, the share above which it is no class, and hits that a test needs.
+LEAST_MEMBERS, MOST_SHARE = 3, 0.5
+
+
+def class_audits(df: DataFrame, classes: dict[str, str], columns: list[str], notes: str | None = None) -> DataFrame:
+    """One row for each class: its size, whether it can be tested, how many predicates leak it and the best of them."""
+    sizes = df.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.expr(c)).alias(f"c{k}") for k, c in enumerate(classes.values()))).first()
+    out = None
+    for k, (name, member) in enumerate(classes.items()):
+        size, total = sizes[f"c{k}"], sizes["total"]
+        state = "untestable" if size < LEAST_MEMBERS else "degenerate" if size > MOST_SHARE * total else "tested"
+        head = [F.lit(name).alias("class"), F.lit(size).cast("long").alias("size"), F.lit(state).alias("state")]
+        if state == "tested":
+            t = scored(predicates(df, member, columns, notes), size, total).where("leaks")
+            row = t.agg(F.count(F.lit(1)).alias("n_leaks"), F.min_by(F.concat_ws(" ", "column", "predicate"), F.struct((-F.col("lift_bp")).alias("l"), "column", "predicate")).alias("best")).select(*head, "n_leaks", "best")
+        else:
+            row = df.sparkSession.range(1).select(*head, F.lit(0).cast("long").alias("n_leaks"), F.lit(None).cast("string").alias("best"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def contained_columns(df: DataFrame, columns: list[str], least_bp: int = 9_500) -> DataFrame:
+    """Columns whose text holds another column's text, or begins with one and goes on with a part of a second, in nearly all rows.
+
+    One pass: each pair and each triple of columns is a count. Texts of fewer than four characters say nothing.
+    """
+    text_of = {c: F.when(F.length(F.col(c).cast("string")) >= 4, F.col(c).cast("string")) for c in columns}
+    kinds = [(a, b, None) for a in columns for b in columns if a != b] + [(a, b, c) for a in columns for b in columns for c in columns if len({a, b, c}) == 3]
+
+    def hit(a: str, b: str, c: str | None) -> Column:
+        whole, first = text_of[a], text_of[b]
+        if c is None:
+            return F.contains(whole, first)
+        tail = F.substring(whole, F.length(first) + 1, F.length(whole))
+        return F.startswith(whole, first) & (F.length(tail) > 0) & F.contains(text_of[c], tail)
+
+    counts = [F.count(text_of[a]).alias(f"n{k}") for k, (a, _, _) in enumerate(kinds)] + [F.count_if(hit(*x)).alias(f"h{k}") for k, x in enumerate(kinds)]
+    name = lambda b, c: f"contains {b}" if c is None else f"{b} and a part of {c}"
+    each = F.array(*(F.struct(F.lit(a).alias("column"), F.lit(name(b, c)).alias("derivation"), F.col(f"n{k}").alias("n"), F.col(f"h{k}").alias("hits")) for k, (a, b, c) in enumerate(kinds)))
+    return df.agg(*counts).select(F.inline(each)).where(f"n > 0 AND hits * 10000 >= n * {least_bp}")
+
+
 def hypergeometric_tail(hits: int, drawn: int, members: int, total: int) -> float:
-    """The chance of at least ``hits`` members among ``drawn`` of ``total``, exactly."""
-    top = min(drawn, members)
-    return sum(math.comb(members, k) * math.comb(total - members, drawn - k) for k in range(hits, top + 1)) / math.comb(total, drawn)
+    """The chance of at least ``hits`` members among ``drawn`` of ``total``, from logarithms of factorials."""
+    low, top = max(hits, drawn + members - total, 0), min(drawn, members)
+    if low > top:
+        return 0.0
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    first = choose(members, low) + choose(total - members, drawn - low) - choose(total, drawn)
+    k = np.arange(low, top, dtype=np.float64)  # each term by its ratio to the one before
+    steps = np.log((members - k) * (drawn - k)) - np.log((k + 1) * (total - members - drawn + k + 1))
+    logs = first + np.concatenate([[0.0], np.cumsum(steps)])
+    return min(1.0, float(np.exp(logs - logs.max()).sum() * math.exp(logs.max())))
 
 
 def assigned_pairs(costs: list[list[int]], limit: int = 10_000) -> list[tuple[int, int, int, bool]]:

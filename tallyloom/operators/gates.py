@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,88 @@ def premise_sharing(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     k = ranked.groupBy("entity", "bank_index").agg(F.count(F.lit(1)).alias("k"), F.max(F.when(F.col("rank") == 1, F.col("row_ids"))).alias("first"))
     t = k.where("k > 1").join(truth.where("settlement_id IS NOT NULL").select("entity", "bank_index", "settlement_id"), ["entity", "bank_index"])
     return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == F.col("settlement_id")).alias("hits"), F.coalesce(F.sum(F.call_function("div", F.lit(1_000_000).cast("long"), F.col("k"))), F.lit(0)).alias("chance_millionths"))
+
+
+def composition_difference(claimed: DataFrame, truth: DataFrame) -> DataFrame:
+    """Rows that a claim has too many and those that it lacks: entity, settlement_id, row_id, side."""
+    key = ["entity", "settlement_id", "row_id"]
+    extra = claimed.select(*key).distinct().join(truth, key, "left_anti").withColumn("side", F.lit("extra"))
+    return extra.unionByName(truth.select(*key).distinct().join(claimed, key, "left_anti").withColumn("side", F.lit("missing")))
+
+
+def reconstructible_abstentions(outcomes: DataFrame, closures: DataFrame, attested: DataFrame) -> DataFrame:
+    """Lines without an attestation that have one closing set, proven by a complete search, and are not answered."""
+    unique = closures.groupBy("entity", "bank_index").agg(F.count("candidate").alias("n"), F.every("complete").alias("complete")).where("n = 1 AND complete")
+    own = unique.join(attested.select("entity", "bank_index"), ["entity", "bank_index"], "left_anti").select("entity", "bank_index")
+    said = own.join(outcomes.select("entity", "bank_index", "kind"), ["entity", "bank_index"], "left")
+    return said.where("kind IS NULL OR kind IN ('unresolved', 'ambiguous', 'open')")
+
+
+def pair_metrics(flagged: DataFrame, truth: DataFrame, key: list[str], by: str) -> DataFrame:
+    """True and false positives and misses of flagged keys by ``by``; precision and recall in basis points, none where undefined."""
+    both = flagged.select(*key).distinct().withColumn("f", F.lit(1)).join(truth.select(*key).distinct().withColumn("t", F.lit(1)), key, "full")
+    n = both.groupBy(by).agg(F.count_if(F.expr("f = 1 AND t = 1")).alias("tp"), F.count_if(F.expr("t IS NULL")).alias("fp"), F.count_if(F.expr("f IS NULL")).alias("fn"))
+    share = lambda d: F.when(d > 0, F.call_function("div", F.col("tp") * 10_000, F.greatest(d, F.lit(1))))
+    return n.withColumns({"precision_bp": share(F.col("tp") + F.col("fp")), "recall_bp": share(F.col("tp") + F.col("fn"))})
+
+
+def unique_closures_scored(closures: DataFrame, truth: DataFrame) -> DataFrame:
+    """Lines with just one closing set: whether it is the true settlement."""
+    one = closures.groupBy("entity", "bank_index").agg(F.count("candidate").alias("n"), F.min("row_ids").alias("row_ids")).where("n = 1")
+    t = one.join(truth.select("entity", "bank_index", "settlement_id"), ["entity", "bank_index"], "left")
+    right = F.coalesce(F.col("row_ids") == F.col("settlement_id"), F.lit(False))
+    return t.groupBy(right.alias("right")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def claims_scored(claims: DataFrame, truth: DataFrame) -> DataFrame:
+    """Claims by what they are: right, wrong, or unwarranted because the line is nobody's settlement; and lines left out."""
+    t = truth.select("entity", "bank_index", F.col("settlement_id").alias("true_settlement"), "line_kind")
+    x = claims.select("entity", "bank_index", "settlement_id").join(t, ["entity", "bank_index"], "full")
+    what = (
+        F.when(F.col("settlement_id").isNull() & (F.col("line_kind") == "settlement"), "missed").when(F.col("settlement_id").isNull(), "rightly_left")
+        .when(F.coalesce(F.col("line_kind") != "settlement", F.lit(True)), "unwarranted").when(F.col("settlement_id") == F.col("true_settlement"), "right").otherwise("wrong"))
+    return x.groupBy(what.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def contract_breaches(outcomes: DataFrame, found: DataFrame, assigned: DataFrame, composed: DataFrame, dispositions: DataFrame, candidates: DataFrame, rivals: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Every breach of the outcome contract: (invariant, entity, item), empty where all holds.
+
+    ``outcomes``: entity, bank_index, tier, kind, reason, settlement_id; ``found``: evidence with source and
+    party; ``assigned``: entity, bank_index, row_id; ``composed``: entity, bank_index, credit_ids, debit_ids;
+    ``dispositions``: entity, row_id, proven, reason, caused_by, provable; ``candidates``: entity, bank_index, n, complete;
+    ``rivals``: entity, bank_index, rivals; ``flagged``: entity, row_id, ground.
+    """
+    line, row = F.concat(F.lit("bank["), "bank_index", F.lit("]")), F.col("row_id")
+    of = lambda df, name, item: df.select(F.lit(name).alias("invariant"), "entity", item.alias("item"))
+    key = ["entity", "bank_index"]
+    verified, claimed = outcomes.where("kind = 'verified'"), found.select(*key).distinct()
+    parties = found.where("party <> 'resolver'").groupBy(*key).agg(F.count_distinct("party").alias("n"))
+    names = found.groupBy(*key).agg(F.count_if(F.col("source") == "ledger").alias("composition"), F.count_if(F.col("source") == "bank").alias("consequence"))
+    settled = assigned.groupBy("entity", "row_id").agg(F.count_distinct("bank_index").alias("n"))
+    where_ = dispositions.groupBy("entity", "row_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("proven IS NOT NULL AND reason IS NOT NULL")).alias("both"))
+    listed = outcomes.where("kind IN ('ambiguous', 'reconstructed')").join(candidates, key, "left")
+    return reduce(DataFrame.unionByName, [
+        of(found.where("source IS NULL OR source = ''"), "evidence names a source", line),
+        of(found.where("source = 'settlement_report' AND party <> 'psp'"), "an attestation is the processor's", line),
+        of(found.where("source = 'bank' AND party <> 'bank'"), "a bank reference is the bank's", line),
+        of(verified.join(claimed, key, "left_anti"), "a warrant has evidence", line),
+        of(verified.join(names, key, "left").where("coalesce(composition, 0) = 0"), "verified names a composition", line),
+        of(verified.join(names, key, "left").where("coalesce(consequence, 0) = 0"), "verified confirms a consequence", line),
+        of(verified.join(parties, key, "left").where("coalesce(n, 0) < 2"), "verified has two parties", line),
+        of(verified.where("reason IS NOT NULL"), "verified carries no contradiction", line),
+        of(verified.join(rivals, key, "left").where("coalesce(rivals, 0) < 1"), "verified counts its rivals", line),
+        of(outcomes.where("kind = 'discrepancy' AND reason IS NULL"), "a discrepancy says what contradicts", line),
+        of(composed.where(F.size(F.array_intersect("credit_ids", "debit_ids")) > 0), "a row is on one side of a composition", line),
+        of(composed.where((F.col("credit_ids") != F.array_sort("credit_ids")) | (F.col("debit_ids") != F.array_sort("debit_ids"))), "a composition is sorted", line),
+        of(listed.where("kind = 'ambiguous' AND coalesce(n, 0) < 2"), "ambiguous has two candidates", line),
+        of(listed.where("kind = 'reconstructed' AND (coalesce(n, 0) <> 1 OR NOT complete)"), "reconstructed is unique and complete", line),
+        of(outcomes.where("kind = 'reconstructed'").join(parties, key).where("n >= 2"), "reconstructed has fewer than two parties", line),
+        of(outcomes.groupBy(*key).count().where("count > 1"), "a line has one outcome", line),
+        of(settled.where("n > 1"), "a row settles once", row),
+        of(where_.where("n > 1 OR both > 0"), "a row has one disposition", row),
+        of(dispositions.join(assigned.select("entity", "row_id").distinct(), ["entity", "row_id"], "left_semi"), "an assigned row has no disposition", row),
+        of(dispositions.where("(reason = 'upstream_unresolved') <> (caused_by IS NOT NULL)"), "a cause and its reason stand together", row),
+        of(dispositions.where("provable AND reason <> 'timing_difference'"), "only timing is provable", row),
+        of(flagged.join(dispositions.where("reason IS NOT NULL"), ["entity", "row_id"], "left_anti"), "a tax flag is on an open break", row),
+        of(flagged.where("ground IS NULL"), "a tax flag has its ground", row),
+    ])

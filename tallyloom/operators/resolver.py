@@ -19,6 +19,15 @@ from .storage import kept
 VERIFIED, DISCREPANCY, RECONSTRUCTED, AMBIGUOUS, UNRESOLVED = "verified", "discrepancy", "reconstructed", "ambiguous", "unresolved"
 
 
+#: What a row says of its own settlement, which a blind search must not see.
+WITHHELD = ["settlement_id", "settled", "settled_at", "settlement_utr"]
+
+
+def withheld(rows: DataFrame) -> DataFrame:
+    """Rows without what they say of their settlement."""
+    return rows.drop(*WITHHELD)
+
+
 def _facts(rows: DataFrame) -> DataFrame:
     """Net, size and last creation of each settlement."""
     return rows.where("settlement_id IS NOT NULL").groupBy("entity", "settlement_id").agg(

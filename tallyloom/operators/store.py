@@ -126,3 +126,80 @@ def entity_status(outcomes: DataFrame) -> DataFrame:
 
 def age_of(created: Column, as_of: Column) -> Column:
     return calendar.age_bucket(F.greatest(F.lit(0), as_of - created))
+
+
+def runs_in_order(runs: DataFrame) -> DataFrame:
+    """Runs (dataset, run_id, started_at) of each dataset by their start, numbered from 1."""
+    place = F.row_number().over(Window.partitionBy("dataset").orderBy("started_at", "run_id")).cast("long")
+    return runs.withColumn("place", place)
+
+
+def outcomes_of(outcomes: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The stored outcomes of the asked keys; a key without an outcome keeps its row."""
+    return keys.select(*on).distinct().join(outcomes, on, "left")
+
+
+def rebuilt(row_outcomes: DataFrame) -> DataFrame:
+    """Breaks of a run as they were before their outcome was stored with each row: equal outcomes once, with their rows counted."""
+    return row_outcomes.groupBy("entity", "outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def line_summaries(outcomes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each line's kind, reason and amount with the sources that it rests on."""
+    named = sources.groupBy("entity", "bank_index").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    return outcomes.select("entity", "bank_index", "kind", "reason", "amount").join(named, ["entity", "bank_index"], "left").withColumn("sources", F.coalesce("sources", F.lit("")))
+
+
+def carry_forward(found: DataFrame) -> DataFrame:
+    """Timing breaks of each entity, split by whether the window proves that they can't have a credit yet."""
+    own = found.where("reason = 'timing_difference'")
+    return own.groupBy("entity").agg(F.count(F.lit(1)).alias("total"), F.count_if("provable").alias("provable"), F.count_if(~F.col("provable")).alias("not_provable"))
+
+
+def case_facts(found: DataFrame, states: DataFrame) -> DataFrame:
+    """Unexplained breaks with how many states their row had over the runs, and whether it differs between them."""
+    n = states.groupBy("row_id").agg(F.count_distinct("state").alias("n_states"))
+    own = found.where("reason = 'unexplained'").select("entity", "row_id", "age_days", "first_seen").join(n, "row_id", "left")
+    return own.withColumn("n_states", F.coalesce("n_states", F.lit(0))).withColumn("differs", F.col("n_states") > 1)
+
+
+#: The rule behind each ground of a tax credit at risk.
+STATUTES = {"gstr2b_absent": "Sec 16(2)(aa), CGST Act", "gstr2b_no_irn": "Rule 48(5), CGST Rules", "gstr2b_37a_exposure": "Rule 37A, CGST Rules"}
+
+
+def grounds_of_rows(found: DataFrame, rows: DataFrame, risk: DataFrame) -> DataFrame:
+    """Open breaks that accrue tax in a month at risk: one row per ground, with its rule."""
+    from . import tax
+
+    own = rows.where(tax.accrues()).withColumn("month", calendar.month_of(calendar.local_day(F.col("settled_at")))).select("entity", "row_id", "month")
+    rule = F.create_map(*(F.lit(x) for kv in STATUTES.items() for x in kv))
+    open_ = found.where("reason IS NOT NULL").select("entity", "row_id", "age_days", "first_seen")
+    return open_.join(own, ["entity", "row_id"]).join(risk, ["entity", "month"]).withColumn("statute", F.element_at(rule, F.col("ground")))
+
+
+def encoded(outcomes: DataFrame, type_of: Column) -> DataFrame:
+    """Outcomes as JSON that names its type, so that they can be read back without loss."""
+    return outcomes.select(F.to_json(F.struct(type_of.alias("__type__"), *outcomes.columns), {"ignoreNullFields": "false"}).alias("outcome"))
+
+
+def decoded(stored: DataFrame, schema: str) -> DataFrame:
+    """The outcomes behind ``encoded``; a text that isn't of this form raises."""
+    o = F.from_json("outcome", f"__type__ string, {schema}", {"mode": "FAILFAST"})
+    return stored.select(o.alias("o")).select("o.*")
+
+
+def write_run(outcomes: DataFrame, run: Column, path: str) -> None:
+    """Append a run's outcomes to the store, in a folder of its own; a run that is there already is written once more to the same rows."""
+    outcomes.withColumn("run_id", run).write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def stored_run(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The outcomes of one stored run; only its folder is read."""
+    return spark.read.parquet(path).where(F.col("run_id") == run).drop("run_id")
+
+
+def sorted_by(df: DataFrame, column: str, descending: bool = False, tie: str | None = None) -> DataFrame:
+    """A table by any of its columns, numbers as numbers and texts without case, nulls last."""
+    text_ = df.schema[column].dataType.simpleString() == "string"
+    key = F.lower(column) if text_ else F.col(column)
+    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *([tie] if tie else []))

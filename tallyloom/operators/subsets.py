@@ -199,3 +199,30 @@ def largest_under_cap(ids: list[str], nets: list[int], cap: int, ties: int = 64)
     ok = at >= 0
     best = int((left[ok] + ordered[at[ok]]).max())
     return best, closing_subsets(ids, nets, best, ties)[0]
+
+
+def distinct_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates of each line with the same rows on both sides, once."""
+    return candidates.where("candidate IS NOT NULL").dropDuplicates(["entity", "bank_index", "row_ids"])
+
+
+def largest_subsets(pools: DataFrame, ties: int = 64, budget: int = BUDGET) -> DataFrame:
+    """The largest sum of each line's pool that doesn't exceed its target, with up to ``ties`` sets that reach it.
+
+    A pool whose halves are beyond the budget gives one row without a sum.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lines in batches:
+            out = []
+            for entity, bank_index, target, ids, nets in zip(lines.entity, lines.bank_index, lines.target, lines.ids, lines.nets, strict=True):
+                if 2 ** (len(ids) - len(ids) // 2) > budget:
+                    out.append((entity, bank_index, None, None))
+                    continue
+                best, found = largest_under_cap(list(ids), list(map(int, nets)), int(target), ties)
+                out += [(entity, bank_index, best, "|".join(s)) for s in found] or [(entity, bank_index, best, "")]
+            yield pd.DataFrame(out, columns=["entity", "bank_index", "best", "row_ids"]).astype({"best": "Int64"})
+
+    pool = F.sort_array(F.collect_list(F.struct("row_id", "net")))
+    gathered = pools.groupBy("entity", "bank_index").agg(F.max("target").alias("target"), pool.alias("pool")).select("entity", "bank_index", "target", F.col("pool.row_id").alias("ids"), F.col("pool.net").alias("nets"))
+    return gathered.mapInPandas(run, "entity long, bank_index long, best long, row_ids string")

@@ -10,7 +10,9 @@ from .fixtures import BASE
 
 
 def a1_batches(spark, sf):
-    return A.batches(X.ledger(spark, sf)).select("entity", "settlement_id", "credit", "debit", F.array_join("row_ids", ",").alias("row_ids"))
+    rows = X.ledger(spark, sf)
+    rows = rows.withColumn("settlement_utr", F.when(F.col("type") != "adjustment", F.concat(F.lit("utr_"), F.substring("settlement_id", 6, 100))))
+    return A.batches(rows).select("entity", "settlement_id", "reference", "credit", "debit", F.array_join("row_ids", ",").alias("row_ids"))
 
 
 def a3_naive_matches(spark, sf):
@@ -40,10 +42,6 @@ def a16_unsettled_aging(spark, sf):
     return A.unsettled_aging(X.ledger(spark, sf))
 
 
-def a17_method_breakdown(spark, sf):
-    return A.method_breakdown(X.ledger(spark, sf))
-
-
 def a19_journal(spark, sf):
     return A.journal(X.ledger(spark, sf))
 
@@ -140,7 +138,7 @@ def t8_announced_truncation(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a1_batches, a3_naive_matches, a4_accrued_fees, a5_fees_without_tax, a6_tax_at_risk, a15_lag_buckets, a16_unsettled_aging, a17_method_breakdown, a19_journal,
+    a1_batches, a3_naive_matches, a4_accrued_fees, a5_fees_without_tax, a6_tax_at_risk, a15_lag_buckets, a16_unsettled_aging, a19_journal,
     a20_journal_checks, a21_tax_panel, a25_period, a26_cross_month, a27_fee_identity, s15_field_census, d7_months_at_risk, d11_tax_residuals, j12_supplier,
     w1_processing_order, w4_rivals, w10_separators, w11_dense_references, w12_fifo_under_cap, w13_debits_deferred, q5_ks_distance, t6_common_levels, t8_announced_truncation)}
 _JOURNAL = """
@@ -157,7 +155,7 @@ UNION ALL SELECT entity, filing_period, 'gstr2b_37a_exposure' FROM gst WHERE NOT
 _COLUMNS = ["entity", "row_id", "type", "payment_id", "order_id", "credit", "debit", "amount", "fee", "tax", "on_hold", "created_at", "settled_at", "settlement_id", "method", "dispute_id"]
 ORACLES = {
     "a1_batches": BASE + """
-SELECT entity, settlement_id, CAST(sum(credit) AS BIGINT) AS credit, CAST(sum(debit) AS BIGINT) AS debit, string_agg(row_id, ',' ORDER BY row_id) AS row_ids
+SELECT entity, settlement_id, 'utr_' || substr(settlement_id, 6) AS reference, CAST(sum(credit) AS BIGINT) AS credit, CAST(sum(debit) AS BIGINT) AS debit, string_agg(row_id, ',' ORDER BY row_id) AS row_ids
 FROM ledger WHERE settlement_id IS NOT NULL AND (type <> 'payment' OR fee IS NOT NULL) GROUP BY 1, 2""",
     "a3_naive_matches": BASE + """
 , a AS (SELECT *, count(*) OVER (PARTITION BY entity, net) AS n FROM settlements), b AS (SELECT *, count(*) OVER (PARTITION BY entity, amount) AS n FROM bank)
@@ -177,11 +175,6 @@ SELECT n.bucket, count(b.lag) AS n, max(b.lag) AS longest FROM n LEFT JOIN b USI
     "a16_unsettled_aging": BASE + """
 , m AS (SELECT greatest(max(created_at), max(settled_at)) AS as_of FROM ledger), a AS (SELECT amount, (as_of - created_at) // 86400 AS age FROM ledger, m WHERE type = 'payment' AND settled_at IS NULL)
 SELECT CASE WHEN age <= 30 THEN '0-30' WHEN age <= 60 THEN '31-60' WHEN age <= 90 THEN '61-90' ELSE '90+' END AS bucket, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value FROM a GROUP BY 1""",
-    "a17_method_breakdown": BASE + """
-, s AS (SELECT method, CASE WHEN on_hold THEN 'held' ELSE 'free' END AS state, count(*) AS n FROM ledger WHERE type = 'payment' GROUP BY 1, 2),
-t AS (SELECT method, string_agg(state || '=' || n, ',' ORDER BY n DESC, state DESC) AS states FROM s GROUP BY 1),
-p AS (SELECT method, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value, count(*) - count(settled_at) AS breaks FROM ledger WHERE type = 'payment' GROUP BY 1)
-SELECT p.*, t.states, breaks * 10000 // n AS break_rate_bp FROM p JOIN t USING (method)""",
     "a19_journal": BASE + _JOURNAL + " SELECT * FROM j",
     "a20_journal_checks": BASE + _JOURNAL + """
 , n AS (SELECT entity, sum(credit - debit) AS net FROM ledger WHERE settlement_id IS NOT NULL GROUP BY 1)

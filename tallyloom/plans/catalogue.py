@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins, resolution, scoring, serving
+from . import aggregates, desk, joins, resolution, scoring, serving
 
 FLAGSHIP = "a7_outcome_accounting"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for theme in (joins, aggregates, resolution, serving, scoring):
+for theme in (joins, aggregates, resolution, serving, scoring, desk):
     QUERIES |= theme.QUERIES
     ORACLES |= theme.ORACLES

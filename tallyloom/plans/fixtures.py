@@ -91,6 +91,25 @@ def erp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(orphans)
 
 
+def answer_key(rows: DataFrame) -> DataFrame:
+    """What each bank line is and what was planted on it: entity, bank_index, line_kind, planted, settlement_id."""
+    s, none = settlements(rows), F.lit(None).cast("string")
+    reversed_ = (F.col("ord") % 17 == 0) & (F.col("net") > 0)
+    planted = F.when(reversed_, "reversal").when(F.col("ord") % 13 == 0, "bank_amount").when((F.col("ord") % 29 == 0) & (F.col("ord") % 3 != 0), "report_amount").otherwise("none")
+    line = lambda df, at, kind, what, own: df.select("entity", (F.col("ord") * 10 + at).alias("bank_index"), F.lit(kind).alias("line_kind"), what.alias("planted"), own.alias("settlement_id"))
+    return (
+        line(s, 0, "settlement", planted, F.col("settlement_id")).unionByName(line(s.where(reversed_), 1, "reversal_debit", F.lit("reversal"), none))
+        .unionByName(line(s.where("ord % 19 = 0"), 2, "foreign_credit", F.lit("foreign"), none)))
+
+
+def with_notes(rows: DataFrame) -> DataFrame:
+    """Rows with ``notes`` as the feed writes them: an object, an empty list or nothing."""
+    k = F.element_at(F.split("row_id", "_"), -1).cast("long")
+    order = F.concat(F.lit('{"order": "o'), k % 7, F.lit('"'))
+    text = F.when(k % 5 == 0, "{}").when(k % 5 == 1, "[]").when(k % 5 == 2, F.concat(order, F.lit("}"))).when(k % 5 == 3, F.concat(order, F.lit(', "desk": "7"}')))
+    return rows.withColumn("notes", text)
+
+
 def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dispute file: three quarters of the disputes that payments name; some are lost."""
     o = orders(spark, sf_dir).where("dispute_id IS NOT NULL AND k % 4 <> 0")
@@ -189,5 +208,12 @@ WITH o AS (
   SELECT entity, 'adj_' || k, 'adjustment', NULL, NULL, 0, amount, amount, 0, 0, FALSE, created_at + 5 * 86400, NULL, settlement_id, NULL, 'disp_' || k FROM f WHERE k % 62 = 0 AND k % 4 <> 0
 ), contested AS (
   SELECT l.entity, l.row_id, s.ord * 10 AS bank_index, 2 AS n_candidates FROM ledger l JOIN settlements s ON s.settlement_id = l.settlement_id WHERE s.ord % 7 = 0 AND s.ord % 3 = 1
+), answer AS (
+  SELECT entity, ord * 10 AS bank_index, 'settlement' AS line_kind, CASE WHEN ord % 17 = 0 AND net > 0 THEN 'reversal' WHEN ord % 13 = 0 THEN 'bank_amount' WHEN ord % 29 = 0 AND ord % 3 <> 0 THEN 'report_amount' ELSE 'none' END AS planted, settlement_id FROM settlements
+  UNION ALL SELECT entity, ord * 10 + 1, 'reversal_debit', 'reversal', NULL FROM settlements WHERE ord % 17 = 0 AND net > 0
+  UNION ALL SELECT entity, ord * 10 + 2, 'foreign_credit', 'foreign', NULL FROM settlements WHERE ord % 19 = 0
+), noted AS (
+  SELECT *, CASE CAST(string_split(row_id, '_')[2] AS BIGINT) % 5 WHEN 0 THEN '{}' WHEN 1 THEN '[]' WHEN 2 THEN '{"order": "o' || CAST(string_split(row_id, '_')[2] AS BIGINT) % 7 || '"}'
+    WHEN 3 THEN '{"order": "o' || CAST(string_split(row_id, '_')[2] AS BIGINT) % 7 || '", "desk": "7"}' END AS notes FROM ledger
 )
 """

@@ -38,10 +38,7 @@ def _candidates(spark, sf):
 
 
 def _truth(rows):
-    lines = X.bank(rows)
-    s = X.settlements(rows).select("entity", (F.col("ord") * 10).alias("bank_index"), "settlement_id")
-    kind = F.element_at(F.array(F.lit("settlement"), F.lit("reversal_debit"), F.lit("foreign_credit")), (F.col("bank_index") % 10 + 1).cast("int"))
-    return lines.select("entity", "bank_index", kind.alias("line_kind")).join(s, ["entity", "bank_index"], "left")
+    return X.answer_key(rows).select("entity", "bank_index", "line_kind", "settlement_id")
 
 
 def a7_outcome_accounting(spark, sf):
@@ -202,8 +199,7 @@ cand AS (SELECT b.entity, b.bank_index, s.row_ids, s.n_debits, s.credit, b.refer
 """
 _REC = BASE.replace("WITH o AS", "WITH RECURSIVE o AS") + _SUBSETS
 _TRUTH = """
-, truth AS (SELECT b.entity, b.bank_index, CASE b.bank_index % 10 WHEN 0 THEN 'settlement' WHEN 1 THEN 'reversal_debit' ELSE 'foreign_credit' END AS line_kind, s.settlement_id
-  FROM bank b LEFT JOIN settlements s ON s.ord * 10 = b.bank_index)"""
+, truth AS (SELECT entity, bank_index, line_kind, settlement_id FROM answer)"""
 _NAIVE = """
 , na AS (SELECT *, count(*) OVER (PARTITION BY entity, net) AS n FROM settlements), nb AS (SELECT *, count(*) OVER (PARTITION BY entity, amount) AS n FROM bank),
 naive AS (SELECT na.entity, na.settlement_id, nb.bank_index FROM na JOIN nb ON na.entity = nb.entity AND na.net = nb.amount WHERE na.n = 1 AND nb.n = 1)"""
@@ -241,8 +237,9 @@ FROM decided d JOIN ledger l ON l.settlement_id = d.settlement_id WHERE d.kind =
 , own AS (SELECT entity, CASE WHEN type = 'payment' THEN (lday + CASE WHEN (lday + 4) % 7 IN (4, 5) THEN 4 WHEN (lday + 4) % 7 = 6 THEN 3 ELSE 2 END) * 86400 + 39600 - 19800 ELSE created_at END AS from_at
   FROM (SELECT *, (created_at + 19800) // 86400 AS lday FROM ledger) WHERE credit <> debit AND (type <> 'payment' OR credit <> 0))
 SELECT b.entity, b.bank_index, count(o.entity) AS bound FROM bank b LEFT JOIN own o ON o.entity = b.entity AND o.from_at <= (b.value_day + 1) * 86400 - 19800 GROUP BY 1, 2""",
-    "a18_kpis": BASE + _TIERS + """SELECT entity, count(*) AS n_lines, count(CASE WHEN kind = 'verified' THEN 1 END) * 10000 // count(*) AS straight_through_bp,
-count(CASE WHEN kind = 'discrepancy' THEN 1 END) * 10000 // count(*) AS exception_bp, CAST(sum(CASE WHEN kind <> 'verified' THEN amount ELSE 0 END) AS BIGINT) AS unreconciled FROM decided WHERE amount > 0 GROUP BY 1""",
+    "a18_kpis": BASE + _TIERS + """, w2 AS (SELECT *, CASE WHEN kind = 'verified' THEN 1 ELSE 0 END AS v, CASE WHEN tier = 'A' AND settlement_id IS NOT NULL THEN 1 ELSE 0 END AS att FROM decided WHERE amount > 0)
+SELECT entity, count(*) AS n_lines, CAST(sum(v) * 10000 // count(*) AS BIGINT) AS straight_through_bp, CAST(sum(v) * 10000 // count(*) AS BIGINT) AS first_pass_bp, count(CASE WHEN kind = 'discrepancy' THEN 1 END) * 10000 // count(*) AS exception_bp,
+CAST(sum(att) AS BIGINT) AS attested, CAST(CASE WHEN sum(att) > 0 THEN sum(att * v) * 10000 // sum(att) END AS BIGINT) AS on_attested_bp, CAST(sum(CASE WHEN v = 0 THEN amount ELSE 0 END) AS BIGINT) AS unreconciled FROM w2 GROUP BY 1""",
     "c1_closing_subsets": _REC + "SELECT entity, bank_index, row_ids, n_debits, credit FROM cand",
     "c2_fewest_deferred": _REC + ", r AS (SELECT *, max(n_debits) OVER (PARTITION BY bank_index) AS b FROM cand) SELECT entity, bank_index, row_ids, n_debits FROM r WHERE n_debits = b",
     "c3_verdicts": _REC + """SELECT b.entity, b.bank_index, count(c.row_ids) AS n_candidates, CASE count(c.row_ids) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'determinate' ELSE 'ambiguous' END AS verdict

@@ -229,11 +229,9 @@ def g9_proven_but_settled(spark, sf):
 
 def g12_discrepancy_split(spark, sf):
     """Discrepancies by what was planted on their line: a wrong bank amount, a wrong report, a reversal, or nothing."""
-    _, _, d = RES._decided(spark, sf)
-    o = F.floor(F.col("bank_index") / 10)
-    planted = F.when(o % 17 == 0, "reversal").when(o % 13 == 0, "bank_amount").when(o % 29 == 0, "report_amount").otherwise("none")
-    own = d.where("bank_index % 10 = 0 AND amount > 0")
-    return own.groupBy(planted.alias("planted"), (F.col("kind") == "discrepancy").alias("found")).agg(F.count(F.lit(1)).alias("n"))
+    rows, _, d = RES._decided(spark, sf)
+    own = d.where("amount > 0").join(X.answer_key(rows).where("line_kind = 'settlement'").select("entity", "bank_index", "planted"), ["entity", "bank_index"])
+    return own.groupBy("planted", (F.col("kind") == "discrepancy").alias("found")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def g13_open_breaks(spark, sf):
@@ -243,8 +241,9 @@ def g13_open_breaks(spark, sf):
 
 
 def g14_foreign_adopted(spark, sf):
-    _, _, d = RES._decided(spark, sf)
-    return d.where("bank_index % 10 = 2").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    rows, _, d = RES._decided(spark, sf)
+    foreign = X.answer_key(rows).where("line_kind = 'foreign_credit'").select("entity", "bank_index")
+    return d.join(foreign, ["entity", "bank_index"], "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def g15_premise_sharing(spark, sf):
@@ -337,8 +336,8 @@ def c11_credit_collisions(spark, sf):
 def q8_bank_independence(spark, sf):
     """Lines whose reference can be derived from the books, and the shortest lag between creation and value date."""
     rows = X.ledger(spark, sf)
-    lines, s = X.bank(rows), X.settlements(rows)
-    x = lines.where("bank_index % 10 = 0").withColumn("ord", F.floor(F.col("bank_index") / 10)).join(s.select("ord", "settlement_id", "last_created_at"), "ord")
+    own = X.answer_key(rows).where("line_kind = 'settlement'").select("entity", "bank_index", "settlement_id").join(X.settlements(rows).select("entity", "settlement_id", "last_created_at"), ["entity", "settlement_id"])
+    x = X.bank(rows).join(own, ["entity", "bank_index"])
     lag = F.col("value_day") - money.div(F.col("last_created_at"), 86_400)
     return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("reference", F.substring("settlement_id", 6, 100))).alias("derivable"), F.count_if(F.col("reference") == "").alias("blank"), F.min(lag).alias("least_lag"), F.max(lag).alias("most_lag"))
 
@@ -441,11 +440,9 @@ SELECT entity, row_id, month, tax FROM ow WHERE EXISTS (SELECT 1 FROM risk r WHE
     "g2_independence": BASE + _T + "SELECT entity, bank_index, CAST(2 AS BIGINT) AS n_parties, CAST(3 AS BIGINT) AS n_evidence, TRUE AS independent FROM decided WHERE kind = 'verified'",
     "g4_unwarranted_rows": BASE + _T + "SELECT tier, count(*) AS n FROM decided WHERE kind = 'verified' AND tier NOT IN ('A', 'B') GROUP BY 1",
     "g9_proven_but_settled": BASE + _T + RES._PROVEN + """ SELECT p.proven, count(*) AS n FROM proven p JOIN ledger l ON l.row_id = p.row_id WHERE p.proven IS NOT NULL AND l.settlement_id IN (SELECT settlement_id FROM decided WHERE kind = 'verified') GROUP BY 1""",
-    "g12_discrepancy_split": BASE + _T + """
-SELECT CASE WHEN bank_index // 10 % 17 = 0 THEN 'reversal' WHEN bank_index // 10 % 13 = 0 THEN 'bank_amount' WHEN bank_index // 10 % 29 = 0 THEN 'report_amount' ELSE 'none' END AS planted, kind = 'discrepancy' AS found, count(*) AS n
-FROM decided WHERE bank_index % 10 = 0 AND amount > 0 GROUP BY 1, 2""",
+    "g12_discrepancy_split": BASE + _T + "SELECT a.planted, d.kind = 'discrepancy' AS found, count(*) AS n FROM decided d JOIN answer a USING (bank_index) WHERE a.line_kind = 'settlement' AND d.amount > 0 GROUP BY 1, 2",
     "g13_open_breaks": BASE + _T + RES._DISPOSED + " SELECT reason, count(*) AS n_rows, count(DISTINCT caused_by) AS n_causes, max(age_days) AS oldest FROM bucketed WHERE reason IS NOT NULL GROUP BY 1",
-    "g14_foreign_adopted": BASE + _T + "SELECT kind, count(*) AS n FROM decided WHERE bank_index % 10 = 2 GROUP BY 1",
+    "g14_foreign_adopted": BASE + _T + "SELECT d.kind, count(*) AS n FROM decided d JOIN answer a USING (bank_index) WHERE a.line_kind = 'foreign_credit' GROUP BY 1",
     "g15_premise_sharing": RES._REC + _TRUTH + """
 , rk AS (SELECT entity, bank_index, row_ids, row_number() OVER (PARTITION BY bank_index ORDER BY n_debits DESC, credit DESC, row_ids) AS rank, count(*) OVER (PARTITION BY bank_index) AS k FROM cand)
 SELECT count(*) AS n, count(CASE WHEN r.row_ids = t.settlement_id THEN 1 END) AS hits, CAST(coalesce(sum(1000000 // k), 0) AS BIGINT) AS chance_millionths
