@@ -59,7 +59,7 @@ def age_bucket(days: Column) -> Column:
     return F.when(days <= 30, "0-30").when(days <= 60, "31-60").when(days <= 90, "61-90").otherwise("90+")
 
 
-def roll_forward(day: Column, holidays: list[int], reach: int = 21) -> Column:
+def roll_forward(day: Column, holidays: list[int]) -> Column:
     """The first day from ``day`` on that is neither at a weekend nor a holiday (days since the epoch)."""
-    days = F.sequence(day, day + reach)
+    days = F.sequence(day, day + 7 * (len(set(holidays)) // 5 + 2))  # each week that is closed throughout takes five holidays
     return F.array_min(F.filter(days, lambda d: ~weekday(d).isin(0, 6) & ~d.isin(holidays)))

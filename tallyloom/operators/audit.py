@@ -176,7 +176,10 @@ def contained_columns(df: DataFrame, columns: list[str], least_bp: int = 9_500)
 
 def hypergeometric_tail(hits: int, drawn: int, members: int, total: int) -> float:
     """The chance of at least ``hits`` members among ``drawn`` of ``total``, from logarithms of factorials."""
-    low, top = max(hits, drawn + members - total, 0), min(drawn, members)
+    least, top = max(drawn + members - total, 0), min(drawn, members)
+    if hits <= least:
+        return 1.0
+    low = hits
     if low > top:
         return 0.0
     choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)

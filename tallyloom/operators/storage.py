@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete() -> None:
+    """What this driver has written goes when its Python ends; readers of it have ended by then."""
+    for spark, path in _written:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001, S112 - the JVM may be gone already
+            continue
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -16,5 +29,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import money
+from ..operators.storage import kept
 
 #: File names, and the spellings of each role of a bank statement.
 LEDGER, BANK, REPORT, ORDERS, DISPUTES, TAX = "recon_combined.json", "bank_statement.csv", "settlement_report.csv", "erp_orders.csv", "disputes.json", "gstr2b.csv"
@@ -42,13 +43,41 @@ def resolve_roles(columns: list[str], roles: dict[str, list[str]]) -> dict[str,
 
 
 def in_file_order(df: DataFrame, name: str) -> DataFrame:
-    """Adds the position in the file from 0, for files that Spark reads as one partition each (whole text, or small)."""
-    return df.withColumn("__m", F.monotonically_increasing_id()).withColumn(name, (F.row_number().over(Window.orderBy("__m")) - 1).cast("int")).drop("__m")
+    """Adds the position in the file from 0 to rows just read from it, whatever the splits that Spark reads it in.
+
+    Rows are numbered within their split; splits, of which there are few, know how many rows stand before them.
+    """
+    split = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    rows = kept(df.select(*df.columns, split.alias("__split"), F.monotonically_increasing_id().alias("__m")), "file-rows")
+    splits = rows.groupBy("__split").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1))  # over splits
+    starts = splits.select("__split", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = rows.join(F.broadcast(starts), "__split")
+    return placed.withColumn(name, (F.col("__before") + F.col("__m") - F.col("__first")).cast("int")).select(*df.columns, name)
+
+
+def refuse_answer_key(path: str) -> str:
+    """``path``; the answer key of a benchmark is never an input."""
+    if path.rstrip("/").endswith(ANSWER_KEY):
+        raise ValueError("the answer key is not an input")
+    return path
+
+
+def in_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a file holds a JSON object in each line, told by its first line that isn't blank."""
+    import json
+
+    first = spark.read.text(refuse_answer_key(path)).where(F.trim("value") != "").limit(1).collect()
+    try:
+        head = json.loads(first[0]["value"]) if first else None
+    except ValueError:
+        return False
+    return isinstance(head, dict) and not isinstance(head.get("items"), list)
 
 
 def bank_statement(spark: SparkSession, path: str) -> DataFrame:
     """bank_index, reference, value_date, narration, amount (paise); a statement without lines raises."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).csv(refuse_answer_key(path))
     role = resolve_roles(raw.columns, BANK_ROLES)
     out = in_file_order(raw, "bank_index").select(
         "bank_index", F.coalesce(role["reference"], F.lit("")).alias("reference"), F.col(role["value_date"]).cast("date").alias("value_date"),
@@ -59,7 +88,12 @@ def bank_statement(spark: SparkSession, path: str) -> DataFrame:
 
 
 def envelope(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
-    """Items of a JSON file: a bare array or an object with ``items``; anything else raises."""
+    """Items of a JSON file: one in each line, a bare array, or an object with ``items``; anything else raises.
+
+    An array or object is one value and fits into a task; a larger feed comes in lines, which Spark splits.
+    """
+    if in_lines(spark, path):
+        return spark.read.schema(item).option("mode", "FAILFAST").json(path)
     text = spark.read.option("wholetext", True).text(path)
     wrapped = T.StructType([T.StructField("items", T.ArrayType(item))])
     bare = F.ltrim("value").startswith("[")
@@ -77,7 +111,7 @@ def unique(df: DataFrame, key: str) -> DataFrame:
 
 def ledger(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """Ledger rows, and whether any row has the key ``settlement_id`` at all: an absent key isn't a null."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(refuse_answer_key(path))
     has = bool(text.where(F.col("value").contains('"settlement_id"')).limit(1).count())
     return envelope(spark, path, LEDGER_ITEM), has
 
@@ -89,12 +123,12 @@ def disputes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def settlement_report(spark: SparkSession, path: str) -> DataFrame:
-    raw = in_file_order(spark.read.option("header", True).csv(path), "file_position")
+    raw = in_file_order(spark.read.option("header", True).csv(refuse_answer_key(path)), "file_position")
     return unique(raw.withColumn("reported_amount", money.paise(F.col("reported_amount"))), "settlement_id")
 
 
 def tax_invoices(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).csv(refuse_answer_key(path))
     cents = {c: money.paise(F.col(c)) for c in ("taxable_value", "igst", "cgst", "sgst")}
     out = raw.withColumns(cents)
     return out.select(
@@ -103,14 +137,13 @@ def tax_invoices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).csv(refuse_answer_key(path))
     return raw.select("order_id", "invoice_no", F.nullif("gstin", F.lit("")).alias("gstin"), money.paise(F.col("amount")).alias("amount"), F.col("invoice_date").cast("date").alias("invoice_date"))
 
 
 def load(spark: SparkSession, directory: str, strict: bool = False) -> dict[str, DataFrame]:
     """All files of a directory by role; ``strict`` makes the optional ones mandatory. The answer key is refused by name."""
-    if directory.rstrip("/").endswith(ANSWER_KEY):
-        raise ValueError("the answer key is not an input")
+    refuse_answer_key(directory)
     readers = {LEDGER: lambda s, p: ledger(s, p)[0], BANK: bank_statement, REPORT: settlement_report, ORDERS: orders, DISPUTES: disputes, TAX: tax_invoices}
     out = {}
     for name, read in readers.items():
@@ -124,6 +157,9 @@ def load(spark: SparkSession, directory: str, strict: bool = False) -> dict[str,
 
 def items(spark: SparkSession, path: str) -> DataFrame:
     """Objects of a JSON file or JSON lines as text, one per row in order; a line that isn't an object raises."""
+    if in_lines(spark, path):
+        lines = in_file_order(spark.read.text(path), "n").where(F.trim("value") != "").select("n", F.trim("value").alias("item"))
+        return lines.withColumn("item", F.when(~F.col("item").startswith("{"), F.raise_error(F.concat(F.lit("not an object: "), "item"))).otherwise(F.col("item")))
     text = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
     whole = F.coalesce(F.from_json(F.when(F.col("v").startswith("["), F.col("v")), "array<variant>"), F.from_json(F.when(F.col("v").startswith("{"), F.col("v")), "struct<items:array<variant>>")["items"])
     whole = F.transform(whole, lambda x: F.to_json(x))
@@ -135,8 +171,9 @@ def items(spark: SparkSession, path: str) -> DataFrame:
 
 def merged_pages(pages: DataFrame) -> DataFrame:
     """Items of ordered pages (page, items, has_more): only the last page may say that there is no more."""
-    last = F.col("page") == F.max("page").over(Window.partitionBy())
-    bad = F.col("has_more") == last
+    end = F.broadcast(pages.agg(F.max("page").alias("__last")))  # one row
+    pages = pages.crossJoin(end)
+    bad = F.col("has_more") == (F.col("page") == F.col("__last"))
     checked = pages.withColumn("items", F.when(bad, F.raise_error(F.concat(F.lit("page out of order: "), F.col("page").cast("string")))).otherwise(F.col("items")))
     return checked.select("page", F.posexplode("items").alias("n", "item"))
 
@@ -155,6 +192,21 @@ def manifest_gaps(named: set[str]) -> tuple[set[str], set[str]]:
     return every - named, named - every
 
 
-def pulled(spark: SparkSession, path: str) -> DataFrame:
+def pulled(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files under a path with their SHA-256: what a transport lists and fetches."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+
+
+def replayed(spark: SparkSession, recording: str) -> DataFrame:
+    """Files of a recorded transport: a JSON line for each with key, path and sha256; a file that is gone or differs raises."""
+    records = spark.read.schema("key string, path string, sha256 string").json(recording)
+    paths = [r["path"] for r in records.select("path").collect()]  # one for each recorded file
+    there = pulled(spark, paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("sha256").alias("found"), "content")
+    both = records.join(there, "path", "left")
+    bad = F.col("found").isNull() | (F.col("found") != F.col("sha256"))
+    return both.withColumn("key", F.when(bad, F.raise_error(F.concat(F.lit("not as recorded: "), "key"))).otherwise(F.col("key"))).select("key", "path", "length", "sha256", "content")
+
+
+def write_exact(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
+    """A table as one CSV file whose bytes depend on its rows alone: fixed columns, fixed order, line feeds."""
+    df.select(*columns).orderBy(*order).coalesce(1).write.option("header", True).option("lineSep", "\n").csv(path)

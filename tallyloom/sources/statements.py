@@ -41,8 +41,24 @@ def camt053(data: bytes) -> Iterator[Line]:
         yield pick("NtryRef", "AcctSvcrRef") or "", date.fromisoformat(pick("ValDt/Dt", "BookgDt/Dt")), entry.findtext("AddtlNtryInf") or "", sign * paise(pick("Amt").strip())
 
 
-#: Value date, optional entry date, mark, funds code, amount, type, reference.
-_STATEMENT_LINE = re.compile(r":61:(\d{6})(?:\d{4})?(R?[CD])[A-Z]?(\d+,\d{0,2})[A-Z][A-Z0-9]{3}([^/\n]*)")
+#: The fields of a statement line after its tag, in the format's order, and how each looks.
+_FIELDS = {"value date": "[0-9]{6}", "entry date": "([0-9]{4})?", "mark": "R?[CD]", "funds code": "[A-Z]?", "amount and type": "([0-9]+,[0-9]*)([A-Z0-9]{4})"}
+
+
+def statement_line(text: str) -> tuple[str, date, int]:
+    """Reference, value date and signed paise of a :61: line. The owner's reference ends at a double slash."""
+    at, found = len(":61:"), {}
+    for name, form in _FIELDS.items():
+        part = re.compile(form).match(text, at)
+        if not part:
+            raise ValueError(f"no {name} in the statement line {text}")
+        found[name], at = part, part.end()
+    day, mark, (whole, _, cents) = found["value date"][0], found["mark"][0], found["amount and type"][1].partition(",")
+    if len(cents) > 2:
+        raise ValueError(f"more than two decimals in the statement line {text}")
+    value = int(whole) * 100 + int((cents + "00")[:2])
+    year = int(day[:2]) + (2000 if int(day[:2]) <= 79 else 1900)
+    return text[at:].split("//", 1)[0].strip(), date(year, int(day[2:4]), int(day[4:])), value if mark.endswith("C") else -value
 
 
 def mt940(data: bytes) -> Iterator[Line]:
@@ -55,14 +71,7 @@ def mt940(data: bytes) -> Iterator[Line]:
                 yield head[0], head[1], narration, head[2]
             if text == ":61:end":
                 return
-            found = _STATEMENT_LINE.match(text)
-            if not found:
-                raise ValueError(f"not a statement line: {text}")
-            day, mark, amount, reference = found.groups()
-            year = int(day[:2]) + (2000 if int(day[:2]) <= 79 else 1900)
-            whole, _, part = amount.partition(",")
-            value = int(whole) * 100 + int((part + "00")[:2])
-            head, narration = (reference.strip(), date(year, int(day[2:4]), int(day[4:])), value if mark[-1] == "C" else -value), ""
+            head, narration = statement_line(text), ""
         elif text.startswith(":86:"):
             narration = text[4:]
 

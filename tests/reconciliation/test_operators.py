@@ -277,6 +277,16 @@ def test_malformed_statements():
         list(statements.xlsx(_sheet_without_header()))
 
 
+def test_statement_lines():
+    line = statements.statement_line
+    assert line(":61:2401050106CR12,5NTRFINV/2024/7//BANKREF") == ("INV/2024/7", date(2024, 1, 5), 1250)
+    assert line(":61:991231RD1000,00103E ref //x//y") == ("ref", date(1999, 12, 31), -100_000)
+    assert line(":61:240105D7,S123") == ("", date(2024, 1, 5), -700)
+    for bad in (":61:24010", ":61:240105X1,NTRF", ":61:240105C1NTRF", ":61:240105C1,234NTRF", ":61:240105C1,NTR"):
+        with pytest.raises(ValueError, match="statement line"):
+            line(bad)
+
+
 def _sheet_without_header() -> bytes:
     import io
     import zipfile
@@ -322,6 +332,135 @@ def test_items_and_pages(spark, tmp_path):
     assert files.manifest_gaps({files.BANK, "other"})[1] == {"other"}
 
 
+def test_positions_over_splits(spark, tmp_path):
+    """Rows keep their place in files that are read in many splits."""
+    for name, n in (("a.csv", 700), ("b.csv", 30)):
+        (tmp_path / name).write_text("x\n" + "".join(f"{name}-{k:05}\n" for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        out = files.in_file_order(spark.read.option("header", True).csv(str(tmp_path)), "at").orderBy("at").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.x, r.at) for r in out] == [(x, k) for k, x in enumerate([f"a.csv-{k:05}" for k in range(700)] + [f"b.csv-{k:05}" for k in range(30)])]
+
+
+def test_feeds_in_lines(spark, tmp_path):
+    (tmp_path / "l.json").write_text("\n".join(json.dumps({"entity_id": f"pay_{k}", "type": "payment", "credit": k}) for k in range(5)))
+    rows, has = files.ledger(spark, f"{tmp_path}/l.json")
+    assert sorted((r.entity_id, r.credit) for r in rows.collect()) == [(f"pay_{k}", k) for k in range(5)] and not has
+    with pytest.raises(ValueError, match="answer key"):
+        files.items(spark, f"{tmp_path}/{files.ANSWER_KEY}")
+
+
+def test_replay_and_exact_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "f1").write_bytes(b"one")
+    record = {"key": "k1", "path": f"{tmp_path}/f1", "sha256": hashlib.sha256(b"one").hexdigest()}
+    (tmp_path / "rec.json").write_text(json.dumps(record))
+    assert [(r.key, bytes(r.content)) for r in files.replayed(spark, f"{tmp_path}/rec.json").collect()] == [("k1", b"one")]
+    (tmp_path / "f1").write_bytes(b"two")
+    with pytest.raises(Exception, match="not as recorded"):
+        files.replayed(spark, f"{tmp_path}/rec.json").collect()
+    table = spark.createDataFrame([(2, "b", "x"), (1, "a", "y")], "n int, t string, more string")
+    for name in ("one", "two"):
+        files.write_exact(table.repartition(2), f"{tmp_path}/{name}", ["t", "n"], ["n"])
+        (part,) = (tmp_path / name).glob("part-*.csv")
+        assert part.read_text() == "t,n\na,1\nb,2\n"
+
+
+def test_greedy_tolerance_line_by_line(spark):
+    r = __import__("random").Random(5)
+    near = sorted({(e, r.randrange(9), f"s{r.randrange(7)}") for e in range(12) for _ in range(r.randrange(2, 16))})
+    got = {(x.entity, x.bank_index, x.settlement_id) for x in joins.greedy_matches(spark.createDataFrame(near, "entity long, bank_index long, settlement_id string")).collect()}
+    want, used = set(), set()
+    for entity, line in sorted({(e, b) for e, b, _ in near}):
+        left = [s for e, b, s in near if (e, b) == (entity, line) and (e, s) not in used]
+        if len(left) == 1:
+            want.add((entity, line, left[0]))
+            used.add((entity, left[0]))
+    assert got == want and len(want) > 5
+    assert joins.greedy_matches(spark.createDataFrame([], "entity long, bank_index long, settlement_id string")).count() == 0
+
+
+def test_residual_pairs_say_what_isnt_searched(spark):
+    from tallyloom.operators import cascade
+
+    a = spark.createDataFrame([(1, "p1", 100, 5), (1, "p2", 900, 5), (2, "q1", 1, 1), *((3, f"r{k}", 1, 1) for k in range(6))], "entity long, row_id string, amount long, day long")
+    b = spark.createDataFrame([(1, "o1", 110, 5), (3, "o3", 1, 1)], "entity long, order_id string, amount long, invoice_day long")
+    out = {r.row_id: (r.order_id, r.cost, r.status) for r in cascade.residual_pairs(a, b, limit=1_000_100, most=5).collect()}
+    assert out == {"p1": ("o1", 1_000_010, "paired"), "p2": (None, None, "unpaired"), "q1": (None, None, "unpaired")} | {f"r{k}": (None, None, "not_searched") for k in range(6)}
+
+
+def test_every_breach_is_found(spark):
+    """A row for each invariant of the contract that breaks it alone, and a clean set that breaks none."""
+    frames = {
+        "outcomes": ("entity long, bank_index long, tier string, kind string, reason string, settlement_id string", [(1, 1, "A", "verified", None, "s1"), (1, 2, "C", "ambiguous", None, None), (1, 3, "C", "reconstructed", None, None), (1, 4, "A", "discrepancy", "CREDIT_REVERSED", "s4")]),
+        "found": ("entity long, bank_index long, source string, party string", [(1, 1, "bank", "bank"), (1, 1, "ledger", "psp"), (1, 1, "settlement_report", "psp"), (1, 3, "ledger", "psp")]),
+        "assigned": ("entity long, bank_index long, row_id string", [(1, 1, "r1")]),
+        "composed": ("entity long, bank_index long, credit_ids array<string>, debit_ids array<string>", [(1, 1, ["r1", "r2"], ["r3"])]),
+        "dispositions": ("entity long, row_id string, proven string, reason string, caused_by long, provable boolean", [(1, "r8", None, "unexplained", None, False), (1, "r9", "NETTED_OUT", None, None, None), (1, "r7", None, "timing_difference", None, True)]),
+        "candidates": ("entity long, bank_index long, n int, complete boolean", [(1, 2, 3, False), (1, 3, 1, True)]),
+        "rivals": ("entity long, bank_index long, rivals long", [(1, 1, 1)]),
+        "flagged": ("entity long, row_id string, ground string", [(1, "r8", "gstr2b_absent")]),
+    }
+    breaks = {
+        "evidence names a source": ("found", (1, 1, "", "psp")), "an attestation is the processor's": ("found", (1, 1, "settlement_report", "bank")), "a bank reference is the bank's": ("found", (1, 1, "bank", "psp")),
+        "a discrepancy says what contradicts": ("outcomes", (1, 9, "A", "discrepancy", None, "s")), "a row is on one side of a composition": ("composed", (1, 5, ["x"], ["x"])), "a composition is sorted": ("composed", (1, 5, ["y", "x"], [])),
+        "ambiguous has two candidates": ("outcomes", (1, 9, "C", "ambiguous", None, None)), "reconstructed is unique and complete": ("outcomes", (1, 9, "C", "reconstructed", None, None)), "a line has one outcome": ("outcomes", (1, 4, "A", "discrepancy", "CREDIT_REVERSED", "s4")),
+        "a row settles once": ("assigned", (1, 2, "r1")), "a row has one disposition": ("dispositions", (1, "r8", None, "unexplained", None, False)), "an assigned row has no disposition": ("assigned", (1, 1, "r8")),
+        "a cause and its reason stand together": ("dispositions", (1, "r5", None, "upstream_unresolved", None, False)), "only timing is provable": ("dispositions", (1, "r5", None, "unexplained", None, True)), "a tax flag is on an open break": ("flagged", (1, "r0", "gstr2b_absent")),
+        "a tax flag has its ground": ("flagged", (1, "r8", None)), "reconstructed has fewer than two parties": ("found", (1, 3, "bank", "bank")),
+    }
+    made = lambda changed=None, row=None: {k: spark.createDataFrame(rows + ([row] if k == changed else []), schema) for k, (schema, rows) in frames.items()}
+    assert gates.contract_breaches(**made()).collect() == []
+    for invariant, (frame, row) in breaks.items():
+        assert {r.invariant for r in gates.contract_breaches(**made(frame, row)).collect()} == {invariant}
+    bare = made("outcomes", (1, 9, "A", "verified", "X", "s9"))
+    assert {r.invariant for r in gates.contract_breaches(**bare).collect()} == {
+        "a warrant has evidence", "verified names a composition", "verified confirms a consequence", "verified has two parties", "verified carries no contradiction", "verified counts its rivals"}
+
+
+def test_predicates_and_class_audits(spark):
+    import math
+
+    rows = [(k, "card" if k % 2 else "upi", 100 + k, k >= 90, '{"desk": "7"}' if k >= 88 else "[]") for k in range(100)]
+    df = spark.createDataFrame(rows, "k long, method string, amount long, late boolean, notes string")
+    t = {(r.column, r.predicate): r for r in audit.scored(audit.predicates(df, "late", ["method", "amount"], notes="notes"), 10, 100).collect()}
+    assert (t["amount", ">= 190"].support, t["amount", ">= 190"].hits) == (10, 10) and t["amount", ">= 190"].leaks and t["amount", ">= 190"].lift_bp == 100_000
+    assert (t["notes", "desk = 7"].support, t["notes", "desk = 7"].hits) == (12, 10) and not t["notes", "desk = 7"].leaks  # precision 0.83
+    assert (t["notes", "without desk"].support, t["notes", "without desk"].hits) == (88, 0) and (t["method", "= card"].support, t["method", "= card"].hits) == (50, 5)
+    exact = lambda h, n: sum(math.comb(10, i) * math.comb(90, n - i) for i in range(h, min(10, n) + 1)) / math.comb(100, n)
+    for r in t.values():
+        assert r.p_value == pytest.approx(exact(r.hits, r.support), rel=1e-9)
+    audits = {r["class"]: r for r in audit.class_audits(df, {"late": "late", "two": "k < 2", "most": "k < 80"}, ["method", "amount"], notes="notes").collect()}
+    assert (audits["late"].state, audits["late"].best) == ("tested", "amount >= 190") and audits["late"].n_leaks > 0
+    assert audits["two"].state == "untestable" and audits["most"].state == "degenerate"
+
+
+def test_similarity_columns(spark):
+    pairs = spark.createDataFrame([("setl 1 1993", "utr 1 1993"), ("", ""), (None, "x"), ("a b", "b a")], "a string, b string")
+    out = pairs.select("a", "b", text.similarities()("a", "b").alias("s"), text.similarities("ratio")("a", "b").alias("r")).toPandas()
+    for a, b, s, r in out.itertuples(index=False):
+        assert (s != s and r != r) if a is None else (s, r) == (text.token_set_similarity(a, b), text.similarity(a, b))
+
+
+def test_stored_runs(spark, tmp_path):
+    out = spark.createDataFrame([(1, 10, "verified", None), (1, 20, "open", None)], "entity long, bank_index long, kind string, reason string")
+    path = f"{tmp_path}/store"
+    store.write_run(out, F.lit("run1"), path)
+    store.write_run(out.where("bank_index = 10"), F.lit("run2"), path)
+    store.write_run(out, F.lit("run1"), path)  # once more: nothing changes
+    assert store.stored_run(spark, path, "run1").count() == 2 and store.stored_run(spark, path, "run2").count() == 1
+    packed = store.encoded(out, F.lit("Verified"))
+    back = store.decoded(packed, "entity long, bank_index long, kind string, reason string")
+    assert sorted(map(tuple, back.drop("__type__").collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        store.decoded(spark.createDataFrame([("nonsense",)], "outcome string"), "kind string").collect()
+    names = spark.createDataFrame([("b", 2), ("A", 10), (None, 1)], "t string, n long")
+    assert [r.t for r in store.sorted_by(names, "t").collect()] == ["A", "b", None] and [r.n for r in store.sorted_by(names, "n", True).collect()] == [10, 2, 1]
+
+
 def test_stream_ingests_each_payload_once(spark, tmp_path):
     for d in ("in", "ok"):
         (tmp_path / d).mkdir()
