@@ -9,6 +9,8 @@ from .common import stored
 
 #: Rows of one task that writes a round's table.
 ROWS_PER_PART = 500_000
+#: Far more rounds than a constant share per round leaves any graph.
+ROUNDS = 200
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,9 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     labels = kept(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("at", F.col("node")), "labels")
     edges = edges.where("a <> b")
-    for round_ in range(200):
+    for round_ in range(ROUNDS):
         if edges.isEmpty():
             break
+        if round_ == ROUNDS - 1:
+            raise RuntimeError(f"edges are left after {round_} rounds")
         both = edges.union(edges.select("b", "a"))
         salted = F.xxhash64("node", F.lit(round_))
         goes = (

@@ -7,18 +7,22 @@ in the original text. Lines of fewer than ``min_words`` words repeat by chance a
 
 Lines alone miss passages that stand within a line. So each sentence (it starts a line, follows a full
 stop or begins with a capital) also starts a run of as many whole sentences as reach ``RUN_WORDS``
-words, and runs are grouped like lines. Removed units that touch are given as one span.
+words, and runs are grouped like lines. A sentence of more than ``LONG_SENTENCE`` words, as in texts without
+stops and capitals, is cut further, where a hash of two words says so: at the same words in every text that has
+them. Removed units that touch are given as one span.
 
 Defined cases: a null text has no units and stays null; an empty one stays; rows with a null id rank
 last; rows that share an id (or have none) and the text count as one document (a unit at the same place
 in them is one occurrence, so repeated rows don't empty each other), rows that share an id with
 different texts are documents of their own, in the order of a hash of the text; an occurrence that overlaps the kept one stays;
-an empty table gives no rows; other columns are kept by ``without_repeats`` and ignored by ``removals``.
+a very long text gives its units a row each; an empty table gives no rows; other columns are kept by
+``without_repeats`` and ignored by ``removals``.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,9 @@ from .common import free_name, id_and_text, stored
 
 LINE, PARAGRAPH = "\n", "\n\n"
 MIN_WORDS, RUN_WORDS = 8, 13
+#: Sentences beyond so many words are cut before about one word in ANCHOR.
+LONG_SENTENCE, ANCHOR = 2 * RUN_WORDS, 8
+_WORD = re.compile(r"\S+")
 #: A sentence's first character: in a line's beginning, after a full stop, or a capital after white space.
 _SENTENCE = re.compile(r"(?:(?<=[.!?]\s)|(?<![^\n]))\S|(?<=\s)[A-ZÀ-ÖØ-Þ]")
 
@@ -44,11 +51,23 @@ def line_units(text: str, separator: str, min_words: int) -> Iterator[tuple[int,
         at += len(part) + len(separator)
 
 
+def anchors(sentence: str) -> list[int]:
+    """Where a long sentence is cut: before words that a hash of them and the next one chooses."""
+    found = [(m.start(), m[0].lower()) for m in _WORD.finditer(sentence)]
+    return [at for (at, word), (_, then) in zip(found[1:], found[2:], strict=False) if zlib.crc32(f"{word} {then}".encode()) % ANCHOR == 0]
+
+
 def sentence_runs(text: str, run_words: int) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, normalised words) of the shortest run of whole sentences from each sentence that is long enough."""
-    starts = [m.start() for m in _SENTENCE.finditer(text)]
-    sentences = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=False)]
-    words = [s.lower().split() for s in sentences]
+    starts, sentences, words = [], [], []
+    first = [m.start() for m in _SENTENCE.finditer(text)]
+    for a, b in zip(first, [*first[1:], len(text)], strict=False):
+        own = text[a:b].lower().split()
+        cuts = [0, *anchors(text[a:b])] if len(own) > LONG_SENTENCE else [0]
+        for x, y in zip(cuts, [*cuts[1:], b - a], strict=True):
+            starts.append(a + x)
+            sentences.append(text[a + x : a + y])
+            words.append(sentences[-1].lower().split() if len(cuts) > 1 else own)
     last, held = 0, 0
     for k, start in enumerate(starts):
         while held < run_words and last < len(words):

@@ -394,6 +394,41 @@ def test_chat_round_trip(spark, text, role):
     assert chat.digests(made).first().loss_chars == len(text) * (1 + (role == "assistant"))
 
 
+def own_units(text, paragraphs=False):
+    """(start, end, normalised body) of every unit, character by character and without the operator's cutters."""
+    out = {}
+
+    def add(a, b, least):
+        words = text[a:b].lower().split()
+        if len(words) >= least:
+            out[a, b] = " ".join(words)
+
+    a, mark = 0, "\n\n" if paragraphs else "\n"
+    while True:
+        b = text.find(mark, a)
+        add(a, len(text) if b < 0 else b, 8)
+        if b < 0:
+            break
+        a = b + len(mark)
+    capital = lambda c: "A" <= c <= "Z" or ("À" <= c <= "Þ" and c not in "×")
+    starts = [k for k, c in enumerate(text) if not c.isspace() and (
+        k == 0 or text[k - 1] == "\n" or (text[k - 1].isspace() and (capital(c) or (k > 1 and text[k - 2] in ".!?"))))]
+    more = []
+    for k, at in enumerate(starts):
+        end = starts[k + 1] if k + 1 < len(starts) else len(text)
+        places = [i for i in range(at, end) if not text[i].isspace() and (i == at or text[i - 1].isspace())]
+        words = text[at:end].lower().split()
+        if len(words) > 26:
+            more += [places[i] for i in range(1, len(words) - 1) if zlib.crc32(f"{words[i]} {words[i + 1]}".encode()) % 8 == 0]
+    starts = sorted({*starts, *more})
+    for k, at in enumerate(starts):
+        for end in [*starts[k + 1 :], len(text)]:
+            if len(text[at:end].split()) >= 13:
+                add(at, at + len(text[at:end].rstrip()), 13)
+                break
+    return out
+
+
 def test_repeated_spans(spark, documents):
     """Against all units in memory: earliest places, removed characters, and texts without them."""
     rng = random.Random(3)
@@ -404,7 +439,7 @@ def test_repeated_spans(spark, documents):
         host = " ".join(sentence() for _ in range(12)).split(" ")
         host[20:20] = [passage]  # within a line, in the middle of a sentence
         texts[i] = " ".join(host)
-    units = {i: {**{(a, b): " ".join(w) for a, b, w in substring.line_units(t, "\n", 8)}, **{(a, b): " ".join(w) for a, b, w in substring.sentence_runs(t, 13)}} for i, t in texts.items()}
+    units = {i: own_units(t) for i, t in texts.items()}
     first: dict = {}
     for i in sorted(units):
         for (a, b), body in sorted(units[i].items()):
@@ -426,6 +461,41 @@ def test_repeated_spans(spark, documents):
         assert "".join(left[i].split()) == "".join(c for k, c in enumerate(t) if k not in got[i] and not c.isspace())
 
 
+def test_repeated_paragraphs(spark):
+    words = lambda seed, n: " ".join(random.Random(seed).choices([f"w{k}" for k in range(900)], k=n))
+    shared, own = f"{words(1, 7)}\n{words(2, 6)}", [words(k, 11) for k in (3, 4, 5)]
+    docs = spark.createDataFrame([(1, f"{own[0]}\n\n{shared}"), (2, f"{shared}\n\n{own[1]}"), (3, f"{own[2]}\n{shared}")], "doc_id long, text string")
+    found = [(r.doc_id, r.start, r.length, r.kept_doc_id, r.kept_start) for r in substring.removals(docs, separator=substring.PARAGRAPH, run_words=10_000).collect()]
+    assert found == [(2, 0, len(shared), 1, len(own[0]) + 2)]
+    assert {r.doc_id: r.text for r in substring.without_repeats(docs, separator=substring.PARAGRAPH, run_words=10_000).collect()}[2].strip() == own[1]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghij", "абвгдежзик"])
+def test_passages_without_stops_or_capitals(spark, letters):
+    """Sixty words spliced into hosts of one long sentence each: most of every later copy goes, and nothing else."""
+    rng = random.Random(12)
+    prose = lambda n: ["".join(rng.choices(letters, k=rng.randrange(3, 8))) for _ in range(n)]
+    texts, passages, share = {}, {}, []
+    for i in range(60):
+        if i % 3 == 0:
+            passage = prose(60)
+        host = prose(150)
+        at = rng.randrange(20, 130)
+        texts[i] = " ".join([*host[:at], *passage, *host[at:]])
+        start = len(" ".join(host[:at])) + 1
+        passages[i] = (start, start + len(" ".join(passage)))
+    got: dict = {i: set() for i in texts}
+    for r in substring.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start, r.start + r.length))
+    for i, (a, b) in passages.items():
+        assert not got[i] - set(range(a, b))
+        if i % 3:
+            share.append(len(got[i]) / (b - a))
+        else:
+            assert not got[i]
+    assert sum(share) / len(share) >= 0.65 and sum(x >= 0.5 for x in share) >= 0.8 * len(share)
+
+
 def test_licence_rules_in_order():
     known = licenses.Rules.build(licenses.SENTENCES, licenses.RULES, licenses.NAMES)
     begun = licenses.prefixes(known.ids)
