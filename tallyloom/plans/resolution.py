@@ -15,8 +15,9 @@ from .fixtures import BASE
 
 
 def _books(spark, sf):
-    rows = X.ledger(spark, sf)
-    return rows, X.bank(rows), X.report(rows)
+    """Ledger, lines and report, written once: the tiers read each of them several times."""
+    rows = kept(X.ledger(spark, sf), "ledger")
+    return rows, kept(X.bank(rows), "lines"), X.report(rows)
 
 
 def _decided(spark, sf):

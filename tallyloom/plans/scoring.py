@@ -16,8 +16,8 @@ from .joins import _settled
 
 
 def _matched(spark, sf):
-    rows = X.ledger(spark, sf)
-    lines = X.bank(rows)
+    rows = kept(X.ledger(spark, sf), "ledger")
+    lines = kept(X.bank(rows), "lines")
     return rows, lines, C.exact_then_tolerant(_settled(rows), lines)
 
 
@@ -33,15 +33,16 @@ def r9_reconstructions(spark, sf):
 
 def r9_cascade(spark, sf):
     """Exceptions after all four stages, by type and owner."""
-    rows = X.ledger(spark, sf)
-    found = C.cascade(rows, X.bank(rows), _settled(rows), X.erp(spark, sf), X.gst_invoices(rows), X.adjustments(spark, sf))
+    rows = kept(X.ledger(spark, sf), "ledger")
+    found = C.cascade(rows, kept(X.bank(rows), "lines"), _settled(rows), X.erp(spark, sf), X.gst_invoices(rows), X.adjustments(spark, sf))
     return found.groupBy("exception", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
 
 
 def _exceptions(spark, sf):
     """All exceptions of the books: rows, order book, bank lines without a match, and tax."""
-    rows, lines, matched = _matched(spark, sf)
-    matched = kept(matched, "matched")  # read twice
+    rows = kept(X.ledger(spark, sf), "ledger")  # every branch reads it
+    lines = kept(X.bank(rows), "lines")
+    matched = kept(C.exact_then_tolerant(_settled(rows), lines), "matched")
     every = rows.unionByName(X.adjustments(spark, sf))
     assigned = rows.join(matched.select("entity", "settlement_id"), ["entity", "settlement_id"], "left_semi")
     a, g = T.accrued_fees(rows), X.gst_invoices(rows)
