@@ -19,7 +19,6 @@ longer than the capacity are cut.
 from __future__ import annotations
 
 import bisect
-import operator
 import re
 import zlib
 from array import array
