@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import calendar, text
 from . import windows
 
 #: Levels of a column that are tried, and what a predicate must reach to count.
@@ -174,6 +174,39 @@ def contained_columns(df: DataFrame, columns: list[str], least_bp: int = 9_500)
     return df.agg(*counts).select(F.inline(each)).where(f"n > 0 AND hits * 10000 >= n * {least_bp}")
 
 
+def parts_of(texts: DataFrame, column: str, least: int = 6, most: int | None = None) -> DataFrame:
+    """``texts`` with ``part``: every part of the column of at least ``least`` (and at most ``most``) characters.
+
+    Looking for a value within texts is then a join on equal values.
+    """
+    size = F.length(column)
+    length = F.explode(F.sequence(F.lit(least), size if most is None else F.least(size, F.lit(most))))
+    each = texts.where(size >= least).withColumn("__l", length).withColumn("__s", F.explode(F.sequence(F.lit(1), size - F.col("__l") + 1)))
+    return each.withColumn("part", F.substring(column, F.col("__s"), F.col("__l"))).drop("__l", "__s")
+
+
+def recoverable_columns(rows: DataFrame, lines: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of the ledger with how many of their values (six characters or more) stand in some line's reference; two make them recoverable."""
+    values = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("part")) for c in columns)))).where(F.length("part") >= 6).distinct()
+    seen = parts_of(lines.select("reference").distinct(), "reference").select("part").distinct()
+    n = values.join(seen, "part").groupBy("column").agg(F.count(F.lit(1)).alias("n_found"))
+    return n.withColumn("recoverable", F.col("n_found") >= 2)
+
+
+def posting_lags(rows: DataFrame, lines: DataFrame, most: int = 7) -> DataFrame:
+    """Days from the nearest settlement day before a line's value date to that date, -1 beyond ``most``: lag, n_lines."""
+    settled = rows.where("settled_at IS NOT NULL").select("entity", calendar.local_day(F.col("settled_at")).alias("day")).distinct()
+    near = lines.select("entity", "bank_index", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag"), "value_day").withColumn("day", F.col("value_day") - F.col("lag"))
+    lag = near.join(settled, ["entity", "day"]).groupBy("entity", "bank_index").agg(F.min("lag").alias("lag"))
+    return lines.select("entity", "bank_index").join(lag, ["entity", "bank_index"], "left").groupBy(F.coalesce("lag", F.lit(-1)).alias("lag")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def derivable_references(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines whose reference holds the last six characters of a settlement of their entity."""
+    ends = rows.where("length(settlement_id) >= 6").select("entity", F.substring("settlement_id", -6, 6).alias("part")).distinct()
+    return parts_of(lines.select("entity", "bank_index", "reference"), "reference", 6, 6).join(ends, ["entity", "part"], "left_semi").select("entity", "bank_index", "reference").distinct()
+
+
 def hypergeometric_tail(hits: int, drawn: int, members: int, total: int) -> float:
     """The chance of at least ``hits`` members among ``drawn`` of ``total``, from logarithms of factorials."""
     least, top = max(drawn + members - total, 0), min(drawn, members)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +82,33 @@ def valid_resolutions(resolutions: DataFrame, candidates: DataFrame) -> DataFram
     return resolutions.join(candidates.select("entity", "bank_index", F.col("row_ids").alias("choice")), ["entity", "bank_index", "choice"], "left_semi")
 
 
-def filtered_lines(lines: DataFrame, query: str) -> DataFrame:
-    """The grid's filter words: kinds, ``over N`` rupees, and the rest as a substring of the reference."""
+#: The grid's filter words and the kinds that they stand for.
+FILTER_KINDS = {
+    "unmatched": ["unresolved", "ambiguous", "discrepancy", "open"], "unresolved": ["unresolved", "ambiguous", "discrepancy", "open"], "open": ["unresolved", "ambiguous", "discrepancy", "open"],
+    "verified": ["verified"], "matched": ["verified"], "ambiguous": ["ambiguous"], "discrepancy": ["discrepancy"], "discrepancies": ["discrepancy"],
+}
+
+
+def filtered_lines(lines: DataFrame, query: str, aged: DataFrame | None = None) -> DataFrame:
+    """The grid's filter words: kinds, ``over N`` or ``> N`` rupees, and the rest as a part of reference or narration.
+
+    All words must hold. ``aged`` (entity, bank_index) names the lines of a chosen age.
+    """
     import re
 
-    kinds = {"unmatched": ["unresolved", "ambiguous", "discrepancy"], "unresolved": ["unresolved", "ambiguous", "discrepancy"], "open": ["unresolved", "ambiguous", "discrepancy"],
-             "verified": ["verified"], "matched": ["verified"], "ambiguous": ["ambiguous"], "discrepancy": ["discrepancy"]}
-    out, rest = lines, query.lower()
-    if found := re.search(r"(?:over|>)\s*₹?\s*(\d+)", rest):
-        out, rest = out.where(F.abs("amount") > int(found[1]) * 100), rest.replace(found[0], " ")
-    words = rest.split()
-    for word in [w for w in words if w in kinds]:
-        out = out.where(F.col("kind").isin(kinds[word]))
-    left = " ".join(w for w in words if w not in kinds)
-    return out.where(F.contains(F.lower("reference"), F.lit(left))) if left else out
+    text_, out = query.lower(), lines
+    if aged is not None:
+        out = out.join(aged.select("entity", "bank_index").distinct(), ["entity", "bank_index"], "left_semi")
+    if found := re.search(r"(?:over|>)\s*₹?\s*(\d[\d,]*)", text_):
+        out = out.where(F.abs("amount") > int(found[1].replace(",", "")) * 100)
+    words = text_.split()
+    for word in [w for w in words if w in FILTER_KINDS]:
+        out = out.where(F.col("kind").isin(FILTER_KINDS[word]))
+    left = " ".join(w for w in words if w not in FILTER_KINDS and w not in ("over", "clear") and not re.fullmatch("[0-9,₹>]+", w))
+    if left:
+        where_ = [c for c in ("reference", "narration") if c in lines.columns]
+        out = out.where(reduce(Column.__or__, (F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(left)) for c in where_)))
+    return out
 
 
 def safe_select(spark: SparkSession, sql: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Queries of the desk: stored runs, look-ups, audits, accounting and the gates that compare with the answer key, and their SQL."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,6 +14,7 @@ from ..operators import resolver as R
 from ..operators import store as ST
 from ..operators import subsets as S
 from ..operators import tax as T
+from ..operators import windows as W
 from ..operators.storage import kept
 from . import fixtures as X
 from . import joins as JOINS
@@ -243,6 +247,41 @@ def q6_contained(spark, sf):
     return Q.contained_columns(rows, ["narration", "utr", "order_id", "made", "settlement_id"])
 
 
+def q8_recoverable(spark, sf):
+    rows = X.ledger(spark, sf)
+    return Q.recoverable_columns(rows, X.bank(rows), ["row_id", "order_id", "settlement_id", "dispute_id"])
+
+
+def q8_posting_lags(spark, sf):
+    rows = X.ledger(spark, sf)
+    return Q.posting_lags(rows, X.bank(rows))
+
+
+def q8_derivable(spark, sf):
+    rows = X.ledger(spark, sf)
+    return Q.derivable_references(rows, X.bank(rows))
+
+
+def q8_density(spark, sf):
+    """Whether the numbers in an entity's references follow each other."""
+    rows = X.ledger(spark, sf)
+    numbers = X.bank(rows).select("entity", F.regexp_replace("reference", "[^0-9]", "").try_cast("long").alias("number")).where("number IS NOT NULL")
+    return W.dense_references(numbers, "entity", "number").where("n >= 3")
+
+
+#: Filter texts as a user types them.
+FILTERS = ("verified over 200000 utr_1", "unmatched", "> ₹1,50,000 discrepancies", "ambiguous", "matched neft", "open over 5000", "utr_7 >90000")
+
+
+def p11_grid_filters(spark, sf):
+    lines = X.bank(X.ledger(spark, sf)).join(_stored(spark, sf).select("entity", "bank_index", "kind"), ["entity", "bank_index"])
+    lines = kept(lines.withColumn("narration", F.concat(F.lit("NEFT "), F.col("entity").cast("string"))), "lines")
+    tagged = [ST.filtered_lines(lines, text_).select(F.lit(text_).alias("filter"), "bank_index") for text_ in FILTERS]
+    aged = RES.d5_dispositions(spark, sf).where("bucket = '90+' AND caused_by IS NOT NULL").select("entity", F.col("caused_by").alias("bank_index"))
+    tagged.append(ST.filtered_lines(lines, "unmatched", aged).select(F.lit("unmatched 90+").alias("filter"), "bank_index"))
+    return reduce(DataFrame.unionByName, tagged)
+
+
 def q9_class_audits(spark, sf):
     rows = X.ledger(spark, sf)
     return Q.class_audits(rows, {"refunds": "type = 'refund'", "payments": "type = 'payment'", "held": "on_hold", "none": "amount < 0"}, ["method", "debit", "on_hold"])
@@ -251,7 +290,7 @@ def q9_class_audits(spark, sf):
 QUERIES = {f.__name__: f for f in (
     p8_withheld, p10_notes, a7_full_accounting, a7_rival_accounting, a17_method_breakdown, c4_largest_subsets, u3_distinct_candidates, u8_composition_difference, f12_similarities, f17_weakest_tier, f19_bare_sql, j5_greedy,
     g8_reconstructible_abstentions, g10_tax_flags, g11_reconstructed_scores, g22_cascade_scores, inv_contract, st1_runs, st2_outcomes_by_key, st3_rebuilt_breaks, st5_line_summaries, st8_human_choices, st10_carry_forward,
-    st11_case_facts, st12_tax_grounds, k4_round_trip, t2_entities_sorted, t3_breaks_by_age, q1_predicates, q2_leaks, q2_p_values, q6_contained, q9_class_audits)}
+    st11_case_facts, st12_tax_grounds, k4_round_trip, t2_entities_sorted, t3_breaks_by_age, q1_predicates, q2_leaks, q2_p_values, q6_contained, q8_recoverable, q8_posting_lags, q8_derivable, q8_density, p11_grid_filters, q9_class_audits)}
 _T, _D, _REC = RES._TIERS, RES._DISPOSED, RES._REC
 _RISK = SC._AT_RISK
 _FLAGS = """
@@ -291,7 +330,26 @@ def _held(columns: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{a}' AS \"column\", '{name}' AS derivation, count({t[a]}) AS n, count(CASE WHEN {hit} THEN 1 END) AS hits FROM nar" for a, name, hit in rows)
 
 
+_WORDS = "(contains(lower(b.reference), '{0}') OR contains('neft ' || b.entity, '{0}'))"
+_OPEN = "d.kind IN ('unresolved', 'ambiguous', 'discrepancy', 'open')"
+_FILTERED = dict(zip(FILTERS, (
+    "d.kind = 'verified' AND abs(b.amount) > 20000000 AND " + _WORDS.format("utr_1"), _OPEN, "d.kind = 'discrepancy' AND abs(b.amount) > 15000000", "d.kind = 'ambiguous'", "d.kind = 'verified' AND " + _WORDS.format("neft"),
+    _OPEN + " AND abs(b.amount) > 500000", "abs(b.amount) > 9000000 AND " + _WORDS.format("utr_7")), strict=True)) | {
+    "unmatched 90+": _OPEN + " AND b.bank_index IN (SELECT caused_by FROM bucketed WHERE bucket = '90+')"}
 ORACLES = {
+    "p11_grid_filters": BASE + _T + _D + " UNION ALL ".join(f"SELECT '{name}' AS filter, b.bank_index FROM bank b JOIN decided d USING (bank_index) WHERE {rule}" for name, rule in _FILTERED.items()),
+    "q8_recoverable": BASE + """
+, rp AS (SELECT DISTINCT reference FROM bank), rs AS (SELECT reference, unnest(range(6, length(reference) + 1)) AS l FROM rp), rt AS (SELECT reference, l, unnest(range(1, length(reference) - l + 2)) AS pos FROM rs),
+pt AS (SELECT DISTINCT substr(reference, pos, l) AS part FROM rt), vl AS (SELECT DISTINCT 'row_id' AS col, row_id AS v FROM ledger UNION SELECT 'order_id', order_id FROM ledger UNION SELECT 'settlement_id', settlement_id FROM ledger UNION SELECT 'dispute_id', dispute_id FROM ledger)
+SELECT col AS "column", count(*) AS n_found, count(*) >= 2 AS recoverable FROM vl JOIN pt ON pt.part = vl.v WHERE length(v) >= 6 GROUP BY 1""",
+    "q8_posting_lags": BASE + """
+, sd AS (SELECT DISTINCT entity, (settled_at + 19800) // 86400 AS day FROM ledger WHERE settled_at IS NOT NULL), lg AS (SELECT b.bank_index, min(b.value_day - sd.day) AS lag FROM bank b LEFT JOIN sd ON sd.entity = b.entity AND b.value_day - sd.day BETWEEN 0 AND 7 GROUP BY 1)
+SELECT coalesce(lag, -1) AS lag, count(*) AS n_lines FROM lg GROUP BY 1""",
+    "q8_derivable": BASE + "SELECT DISTINCT b.entity, b.bank_index, b.reference FROM bank b JOIN settlements s ON s.entity = b.entity AND contains(b.reference, right(s.settlement_id, 6))",
+    "q8_density": BASE + """
+, nb AS (SELECT entity, CAST(regexp_replace(reference, '[^0-9]', '', 'g') AS BIGINT) AS number FROM bank WHERE regexp_replace(reference, '[^0-9]', '', 'g') <> ''),
+ns AS (SELECT *, lead(number) OVER (PARTITION BY entity ORDER BY number) - number AS step FROM nb)
+SELECT entity, count(*) AS n, coalesce(bool_and(step = 1), TRUE) AS dense FROM ns GROUP BY 1 HAVING count(*) >= 3""",
     "p8_withheld": BASE + "SELECT * EXCLUDE (settlement_id, settled_at) FROM ledger",
     "p10_notes": BASE + "SELECT row_id, CASE WHEN notes LIKE '{%' THEN len(json_keys(notes)) ELSE 0 END AS n_keys, CASE WHEN notes LIKE '{%' THEN json_extract_string(notes, '$.order') END AS \"order\" FROM noted",
     "a7_full_accounting": BASE + _T + _D + """
