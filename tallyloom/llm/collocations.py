@@ -1,14 +1,15 @@
 """Phrase collocation mining by count tries.
 
-A task counts the words, pairs and triples of its texts in tries of depth three, one for each language and shard of
-``SHARD_TOKENS`` tokens: a level is a sorted array of paths with counts. A full shard is given out in depth-first
-order, which is the order of its paths, and begins anew. The sorted nodes go to a stored table, are range-partitioned
-by their first two words and sorted, so that equal paths of all shards meet and are added up. Of these only nodes
-with ``MIN_COUNT`` occurrences go on: no phrase is more frequent than its parts, so all parts are among them.
+The trie grows by a level a pass: words, pairs, triples. In each pass a task counts the paths of its texts in a sorted
+array for each language and shard of ``SHARD_TOKENS`` tokens, gives a full shard out in the order of its paths and
+begins anew. The sorted nodes go to a stored table, are range-partitioned by path and sorted, so that equal paths of
+all shards meet and are added up; nodes with ``MIN_COUNT`` occurrences stay. No phrase is more frequent than its
+parts, so a shard leaves out what has a rare part: it tests the parts in a bitmap of the frequent ones of the level
+before, of 2 ** ``FILTER_BITS`` bits whatever the input. A bit that several parts share only lets more nodes through.
 
-A walk down the merged trie gives left parts: a triple has its first pair's count from the run of nodes that the pair
-begins. Suffix links give right parts: a triple meets the pair of its last two words, which brings its own count and,
-by its own link, that of the last word. A pair meets its two words.
+Walks up the trie give left parts: a triple meets its first pair, which brings its count and that of its first word.
+Suffix links give right parts: a triple meets the pair of its last two words, which brings its own count and that of
+the last word. A pair meets its two words.
 
 The score of a cut is floor(1000000 * a * a / (l * r)) in decimals of 38 digits, exact up to 5 * 10**15 occurrences.
 
@@ -33,7 +34,9 @@ from .common import stored
 MIN_COUNT, TOP, INSIDE_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 #: A shard's tokens and words, and bytes of a text that are cut at a time.
 SHARD_TOKENS, SHARD_WORDS, BLOCK = 2_000_000, 1 << 20, 1 << 20
-NODE = "lang string, w1 string, w2 string, w3 string, f long"
+#: Bits of the bitmap of frequent parts, as a power of two: 16 MB that go to each executor.
+FILTER_BITS, BITMAP_BITS = 27, 1 << 15
+PATH = ["w1", "w2", "w3"]
 #: Marks of a place between pieces, and of nothing between two spaces.
 STOP, NOTHING = -1, -2
 _TABLE = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -81,70 +84,105 @@ class Shard:
         self.ids.append(ids[ids != NOTHING])
         self.size += len(self.ids[-1])
 
-    def nodes(self) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
-        """The words in order, three columns of word numbers (-1: none) and the counts, by path; the root first. Begins anew."""
+    def nodes(self, lang: str, depth: int, frequent: np.ndarray | None) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+        """The words in order, ``depth`` columns of word numbers and the counts of the level's nodes, by path. Begins anew."""
         words = list(self.words)[2:]
         order = sorted(range(len(words)), key=words.__getitem__)
         rank = np.full(len(words) + 1, STOP, np.int64)  # the last place is a stop's
         rank[order] = np.arange(len(words))
-        ids, width, new = np.concatenate(self.ids), len(words) + 1, self.carried
-        r = rank[ids] + 1
-        a, b, c = r[new:], r[max(0, new - 1) :], r[max(0, new - 2) :]
-        singles = a[a > 0] * width * width
-        pairs = np.where((b[:-1] > 0) & (b[1:] > 0), (b[:-1] * width + b[1:]) * width, 0)
-        triples = np.where((c[:-2] > 0) & (c[1:-1] > 0) & (c[2:] > 0), (c[:-2] * width + c[1:-1]) * width + c[2:], 0)
-        levels = [np.unique(level[level > 0], return_counts=True) for level in (singles, pairs, triples)]
-        paths = np.concatenate([[0], *(level[0] for level in levels)]).astype(np.int64)
-        counts = np.concatenate([[len(singles)], *(level[1] for level in levels)]).astype(np.int64)
-        by_path = np.argsort(paths, kind="stable")
-        paths = paths[by_path]
-        columns = [paths // (width * width) - 1, paths // width % width - 1, paths % width - 1]
+        ids, width, new = np.concatenate(self.ids), len(words), self.carried
+        r = rank[ids]
+        at = np.arange(max(0, new - depth + 1), len(r) - depth + 1)  # places of paths that end beyond what was carried
+        inside = np.ones(len(at), bool)
+        for k in range(depth):
+            inside &= r[at + k] >= 0
+        at = at[inside]
+        if depth > 1:
+            hashes = part_hashes(lang, [words[i] for i in order])
+            for k in range(2):  # both parts of all words but one
+                h = hashes[r[at + k]]
+                at = at[has_bit(frequent, h if depth == 2 else pair_hash(h, hashes[r[at + k + 1]]))]
+        code = np.zeros(len(at), np.int64)
+        for k in range(depth):
+            code = code * width + r[at + k]
+        paths, counts = np.unique(code, return_counts=True)
+        columns = [paths // width ** (depth - 1 - k) % max(1, width) for k in range(depth)] if width else [paths] * depth
         tail = [words[i] if i >= 0 else b"\n" for i in ids[-2:].tolist()]
         names = pa.array([words[i].decode() for i in order], pa.string())
         self.begin(tail)
-        return names, columns, counts[by_path]
+        return names, columns, counts
 
 
-def _given(lang: str, shard: Shard) -> Iterator[pa.RecordBatch]:
-    names, columns, counts = shard.nodes()
+def part_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """As Spark's ``xxhash64(lang, word)``."""
+    import xxhash
+
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """As ``pair_hash_of``."""
+    return first ^ (second << np.uint64(23) | second >> np.uint64(41))
+
+
+def pair_hash_of(first: Column, second: Column) -> Column:
+    return first.bitwiseXOR(F.shiftleft(second, 23).bitwiseOR(F.shiftrightunsigned(second, 41)))
+
+
+def has_bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def bitmap_of(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The bitmap of the column ``h``: its size is fixed, so it may pass through the driver."""
+    place = F.pmod("h", F.lit(1 << bits)) + 1  # buckets count from 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts:
+        at = (r.k - 1) * BITMAP_BITS // 8
+        out[at : at + BITMAP_BITS // 8] = np.frombuffer(bytes(r.bits), np.uint8)[: len(out) - at]
+    return out
+
+
+def _given(lang: str, shard: Shard, depth: int, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    names, columns, counts = shard.nodes(lang, depth, frequent)
     for at in range(0, len(counts), 100_000):
-        part = [pa.array(c[at : at + 100_000], mask=c[at : at + 100_000] < 0) for c in columns]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(part[0]), pa.string()), *(names.take(p) for p in part), pa.array(counts[at : at + 100_000])], names=["lang", "w1", "w2", "w3", "f"])
-
-
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shards: dict[str, Shard] = {}
-    for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            if (lang := lang.as_py()) not in shards:
-                if len(shards) == 64:  # a task's memory holds however many languages there are
-                    for name in list(shards):
-                        yield from _given(name, shards.pop(name))
-                shards[lang] = Shard()
-            for _ in shards[lang].add(text.as_py()):
-                if shards[lang].full():
-                    yield from _given(lang, shards[lang])
-        if sum(s.size for s in shards.values()) >= SHARD_TOKENS:
-            name = max(shards, key=lambda x: shards[x].size)
-            yield from _given(name, shards[name])
-    for lang, shard in shards.items():
-        yield from _given(lang, shard)
-
-
-def tries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, w1, w2, w3, f: the nodes of every shard's trie; words beyond a node's depth are null, and a root counts all words."""
-    own = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInArrow(_tries, NODE)
-
-
-def merged(nodes: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """The nodes of all shards, added up, that have ``min_count`` occurrences, and the roots; ``pair_f`` is the count of the node's first two words."""
-    path = ["lang", "w1", "w2", "w3"]
-    ranged = nodes.repartitionByRange("lang", "w1", "w2").sortWithinPartitions(*path)
-    total = ranged.groupBy(*path).agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | F.col("w1").isNull())
-    walk = Window.partitionBy("lang", "w1", "w2").orderBy(F.asc_nulls_first("w3"))
-    return total.withColumn("pair_f", F.first("f").over(walk))
+        n = len(counts[at : at + 100_000])
+        part = [names.take(pa.array(c[at : at + n])) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), *part, pa.array(counts[at : at + n], pa.int64())], names=["lang", *PATH[:depth], "f"])
+
+
+def _counter(depth: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = None if shared is None else shared.value
+        shards: dict[str, Shard] = {}
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                if (lang := lang.as_py()) not in shards:
+                    if len(shards) == 64:  # a task's memory holds however many languages there are
+                        for name in list(shards):
+                            yield from _given(name, shards.pop(name), depth, frequent)
+                    shards[lang] = Shard()
+                for _ in shards[lang].add(text.as_py()):
+                    if shards[lang].full():
+                        yield from _given(lang, shards[lang], depth, frequent)
+            if sum(s.size for s in shards.values()) >= SHARD_TOKENS:
+                name = max(shards, key=lambda x: shards[x].size)
+                yield from _given(name, shards[name], depth, frequent)
+        for lang, shard in shards.items():
+            yield from _given(lang, shard, depth, frequent)
+
+    return run
+
+
+def level(docs: DataFrame, depth: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """lang, w1 to the depth's word, f: the level's nodes of all shards (``docs``: lang, text), added up by ranges of paths."""
+    path = ["lang", *PATH[:depth]]
+    shared = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
+    nodes = stored(docs.mapInArrow(_counter(depth, shared), ", ".join(f"{c} string" for c in path) + ", f long"), f"trie-{depth}")
+    return nodes.repartitionByRange(*path).sortWithinPartitions(*path).groupBy(*path).agg(F.sum("f").alias("f"))
 
 
 def scored(a: str, left: str, right: str, cut: int) -> Column:
@@ -156,15 +194,18 @@ def scored(a: str, left: str, right: str, cut: int) -> Column:
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
-    nodes = stored(merged(stored(tries(docs, text_col, lang_col), "tries"), min_count), "trie")
-    words = nodes.where("w1 IS NOT NULL AND w2 IS NULL").select("lang", F.col("w1").alias("w"), "f")
-    pairs = nodes.where("w2 IS NOT NULL AND w3 IS NULL").select("lang", "w1", "w2", F.col("f").alias("a"))
-    left, right = (words.select("lang", F.col("w").alias(w), F.col("f").alias(c)) for w, c in (("w1", "l"), ("w2", "r")))
-    pairs = stored(pairs.join(left, ["lang", "w1"]).join(right, ["lang", "w2"]), "pairs")
-    triples = nodes.where("w3 IS NOT NULL").select("lang", "w1", "w2", "w3", F.col("f").alias("a"), F.col("pair_f").alias("l2"))
-    parent = pairs.select("lang", "w1", "w2", F.col("l").alias("l1"))
+    docs = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = stored(level(docs, 1), "words")
+    words = every.where(F.col("f") >= min_count)
+    total = every.groupBy("lang").agg(F.sum("f").alias("n"))
+    of = lambda w: F.xxhash64("lang", w)
+    pairs = level(docs, 2, bitmap_of(words.select(of("w1").alias("h")))).where(F.col("f") >= min_count).withColumnRenamed("f", "a")
+    right = words.select("lang", F.col("w1").alias("w2"), F.col("f").alias("r"))
+    pairs = stored(pairs.join(words.withColumnRenamed("f", "l"), ["lang", "w1"]).join(right, ["lang", "w2"]), "pairs")
+    triples = level(docs, 3, bitmap_of(pairs.select(pair_hash_of(of("w1"), of("w2")).alias("h")))).where(F.col("f") >= min_count).withColumnRenamed("f", "a")
+    parent = pairs.select("lang", "w1", "w2", F.col("l").alias("l1"), F.col("a").alias("l2"))
     link = pairs.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("r1"), F.col("r").alias("r2"))
-    triples = triples.join(parent, ["lang", "w1", "w2"]).join(link, ["lang", "w2", "w3"])
+    triples = stored(triples.join(parent, ["lang", "w1", "w2"]).join(link, ["lang", "w2", "w3"]), "triples")
     inner = triples.select("lang", "w1", "w2", "a").unionByName(triples.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
     longest = inner.groupBy("lang", "w1", "w2").agg(F.max("a").alias("longer"))
     alone = pairs.join(longest, ["lang", "w1", "w2"], "left").where(F.coalesce(100 * F.col("longer") < INSIDE_PERCENT * F.col("a"), F.lit(True)))
@@ -172,7 +213,6 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, te
         triples.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.least(scored("a", "l1", "r1", 1), scored("a", "l2", "r2", 2)).alias("best")))
     ranked = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = found.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
-    total = nodes.where("w1 IS NULL").select("lang", F.col("f").alias("n"))
     return first.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
