@@ -50,6 +50,7 @@ def cells(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     """part, mask, n, good, toxic: how many documents of a part fail just those filters."""
     known = stored(facts(docs, **columns), "filter-facts")
     first = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = stored(first, "first-of-equal")  # read again it has an exchange of its own, so that Spark can split a hot text's rows
     again = F.when(F.col("doc_id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)
     judged = known.join(first, ["h1", "h2"], "left").select("doc_id", "part", (F.col("mask") + again).alias("mask"))
     own = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
