@@ -36,6 +36,8 @@ MIN_COUNT, TOP, INSIDE_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 SHARD_TOKENS, SHARD_WORDS, BLOCK = 2_000_000, 1 << 20, 1 << 20
 #: Bits of the bitmap of frequent parts, as a power of two: 16 MB that go to each executor.
 FILTER_BITS, BITMAP_BITS = 27, 1 << 15
+#: Parts of a language that are ranked by themselves before their best ones meet.
+RANK_PARTS = 64
 PATH = ["w1", "w2", "w3"]
 #: Marks of a place between pieces, and of nothing between two spaces.
 STOP, NOTHING = -1, -2
@@ -211,9 +213,11 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, te
     alone = pairs.join(longest, ["lang", "w1", "w2"], "left").where(F.coalesce(100 * F.col("longer") < INSIDE_PERCENT * F.col("a"), F.lit(True)))
     found = alone.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", scored("a", "l", "r", 1).alias("best")).unionByName(
         triples.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.least(scored("a", "l1", "r1", 1), scored("a", "l2", "r2", 2)).alias("best")))
-    ranked = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = found.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
-    return first.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    found = found.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    for by in (["lang", "part"], ["lang"]):  # first within parts of a language, so that no task ranks all its phrases
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("rank") <= top)
+    return found.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark, sf_dir: str) -> DataFrame:
