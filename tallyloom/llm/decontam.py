@@ -12,8 +12,12 @@ so a benchmark of any size is matched in full.
 
 Tokens are runs of letters and digits, compared without case; places are offsets in the text as it is.
 
-Defined cases: null texts and texts without a letter or digit match nothing; items with fewer tokens
-than a mask selects are matched whole and exactly; a run lies in one document, also where the next one
+The masks lose nothing that the verification would accept: every way to lay an item of 8 tokens or more over a text
+that reaches the bound holds a window of one of its masks (the tests try all ways up to 16 tokens, and for longer ones all texts that no window hits).
+
+Defined cases: null texts and texts without a letter or digit match nothing; items of fewer than ``MIN_TOKENS``
+tokens say too little and match nothing, ``too_short`` lists them; items of fewer than ``EXACT_BELOW`` tokens are
+matched whole and exactly; a run lies in one document, also where the next one
 goes on with the item; items and documents that occur twice, and rows with a null id, give rows each;
 a very long text is hashed as one array of 8 bytes a token; ids keep their types; an empty table gives
 no rows; other columns are ignored.
@@ -34,13 +38,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import id_and_text, stored
 
-#: Windows of up to 12 tokens of which 8 count.
-MASKS = ("110110101101", "111001011011", "101111001101", "11111111")
-WEIGHT = 8
+#: Windows of up to 13 tokens of which 7 count, for items of 12 tokens or more; of 6 of which 5 count, for shorter ones.
+MASKS, SHORT_MASKS = ("1110011011", "10011101011", "1001010011011"), ("111011",)
+LONG_FROM, EXACT_BELOW, MIN_TOKENS = 12, 8, 4
 MIN_MATCHED, MIN_SHARE = 12, 0.8
 BLOCK_TOKENS = 1_000_000
 #: Tokens of documents that are hashed at a time, and words that a task remembers.
-GROUP_TOKENS, REMEMBERED = 200_000, 500_000
+GROUP_TOKENS, REMEMBERED, HITS = 200_000, 500_000, 500_000
 #: An odd multiplier for each position of a window, by a rule.
 FACTORS = [pow(0x9E3779B97F4A7C15, k + 1, 2**64) | 1 for k in range(16)]
 _TOKEN = re.compile(r"[^\W_]+")
@@ -78,6 +82,13 @@ def window_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks of an item of ``n`` tokens."""
+    if n < EXACT_BELOW:
+        return ("1" * n,) if n >= MIN_TOKENS else ()
+    return MASKS if n >= LONG_FROM else SHORT_MASKS
+
+
 @dataclass
 class Block:
     """Benchmark items: their tokens end to end, and each window's hash with its place, sorted by hash."""
@@ -94,16 +105,11 @@ class Block:
     def build(cls, rows: list[tuple[object, str]]) -> Block:
         words = Words()
         coded = [np.asarray([words[w] for w in tokens(text)], np.uint64) for _, text in rows]
-        masks, found = list(MASKS), []
+        masks, found = [], []
         for j, codes in enumerate(coded):
-            if 0 < len(codes) < WEIGHT:
-                own = "1" * len(codes)
-                if own not in masks:
-                    masks.append(own)
-                usable = [own]
-            else:
-                usable = MASKS
-            for mask in usable:
+            for mask in masks_of(len(codes)):
+                if mask not in masks:
+                    masks.append(mask)
                 h = window_hashes(codes, mask)
                 found.append((h, np.full(len(h), j, np.int64), np.arange(len(h))))
         hashes, items, places = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if k == 0 else np.int64) for k in range(3))
@@ -130,7 +136,7 @@ def matches(codes: np.ndarray, bounds: np.ndarray, block: Block, present: np.nda
 
     ``codes`` holds the documents end to end, document k from ``bounds[k]`` to ``bounds[k + 1]``.
     """
-    seen = set()
+    found = np.zeros((3, 0), np.int64)
     for mask in block.masks:
         hashes = window_hashes(codes, mask)
         maybe = np.flatnonzero(present[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -138,11 +144,17 @@ def matches(codes: np.ndarray, bounds: np.ndarray, block: Block, present: np.nda
         inside = maybe + len(mask) <= bounds[doc + 1]
         maybe, doc = maybe[inside], doc[inside]
         low = np.searchsorted(block.hashes, hashes[maybe], "left")
-        high = np.searchsorted(block.hashes, hashes[maybe], "right")
-        hit = np.flatnonzero(high > low)
-        for d, at, a, b in zip(doc[hit].tolist(), (maybe - bounds[doc])[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-            seen.update((d, j, at - place) for j, place in zip(block.items[a:b].tolist(), block.places[a:b].tolist(), strict=True))
-    for d, j, shift in sorted(seen):
+        many = np.searchsorted(block.hashes, hashes[maybe], "right") - low
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(many):  # as many windows at a time as give about HITS ways to lay an item over a text
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, "right")))
+            n, place = many[at:end], maybe[at:end] - bounds[doc[at:end]]
+            entry = np.repeat(low[at:end] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            laid = np.stack([np.repeat(doc[at:end], n), block.items[entry], np.repeat(place, n) - block.places[entry]])
+            found = np.unique(np.concatenate([found, laid], axis=1), axis=1)
+            at = end
+    for d, j, shift in found.T.tolist():
         item, text = block.codes[block.bounds[j] : block.bounds[j + 1]], codes[bounds[d] : bounds[d + 1]]
         first, last = max(0, -shift), min(len(item), len(text) - shift)
         equal = item[first:last] == text[first + shift : last + shift]
@@ -191,6 +203,12 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int =
     return docs
 
 
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """item_id, n_tokens of the items that are left out, a null text having none."""
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?U)[^\W_]+")).alias("n_tokens")
+    return benchmark.select("item_id", n).where(F.col("n_tokens") < MIN_TOKENS)
+
+
 def blocks(benchmark: DataFrame, block_tokens: int) -> Iterator:
     """Broadcasts of the benchmark's blocks, each bounded by ``block_tokens`` and the longest item."""
     benchmark = benchmark.select("item_id", "text").where("text IS NOT NULL")

@@ -336,19 +336,20 @@ def test_overlaps_with_substitutions(spark):
 
 
 def brute_overlaps(docs, items):
-    """(doc, item, doc token, item token, length, matched) by trying every mask at every pair of places, without hashes."""
+    """(doc, item, doc token, item token, length, matched) by verifying every way to lay an item over a text, without masks."""
     cut = lambda text: [w.lower() for w in re.findall(r"[^\W_]+", text or "")]
     out = set()
     for d, text in docs.items():
         words = cut(text)
         for j, body in items.items():
             item = cut(body)
-            masks = decontam.MASKS if len(item) >= 8 else ("1" * len(item),) * bool(item)
+            if len(item) < 4:
+                continue
             for shift in range(-len(item), len(words) + 1):
                 pairs = [(k, k + shift) for k in range(len(item)) if 0 <= k + shift < len(words)]
                 same = {k: item[k] == words[k + shift] for k, _ in pairs}
-                if not any(all(same.get(k + o, False) for o, c in enumerate(m) if c == "1") and {k, k + len(m) - 1} <= same.keys() for m in masks for k, _ in pairs):
-                    continue
+                if len(item) < 8 and sum(same.values()) < len(item):
+                    continue  # whole or not at all
                 ks = [k for k, _ in pairs]
                 total = [0, *np.cumsum([1 if same[k] else -3 for k in ks]).tolist()]
                 best = max(((total[b] - total[a], -b, -a) for a in range(len(ks)) for b in range(a + 1, len(ks) + 1)), default=(0, 0, 0))
@@ -383,6 +384,46 @@ def test_overlaps_of_all_windows(spark):
     assert {100, 101} <= {w[0] for w in want}
 
 
+def test_no_accepted_substitution_is_lost(spark):
+    """Every way to replace words of an item of 8 to 16 tokens that the verification accepts, and drawn ones of longer items."""
+    rng = random.Random(31)
+    docs, items, want = {}, {}, set()
+    for n in [*range(8, 17), 17, 18, 20, 23, 27, 32, 40, 60]:
+        items[n] = " ".join(f"i{n}w{k}" for k in range(n))
+        patterns = range(1 << n) if n < 17 else (sum(1 << k for k in range(n) if rng.random() > rate) for rate in (0.1, 0.2, 0.25, 0.3) for _ in range(3000))
+        for bits in patterns:
+            equal = np.asarray([bits >> k & 1 for k in range(n)], bool)
+            if bits.bit_count() < min(12, math.ceil(0.8 * n)):
+                continue
+            start, end = decontam.best_run(equal)
+            if equal[start:end].sum() >= min(12, math.ceil(0.8 * n)):
+                want.add((len(docs), n))
+                docs[len(docs)] = "before " + " ".join(f"i{n}w{k}" if equal[k] else "other" for k in range(n)) + " after"
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench).collect()}
+    assert len(want) > 10_000 and got == want
+
+
+def test_no_run_escapes_the_masks():
+    """All ways to write matches and substitutions one after the other without a hit, by the last places, the score, its maximum and the matches so far."""
+    ends = [sum(1 << len(m) - 1 - i for i, c in enumerate(m) if c == "1") for m in decontam.MASKS]
+    width = (1 << max(map(len, decontam.MASKS))) - 1
+    seen = todo = {(0, 0, 0, 0)}
+    while todo:
+        fresh = set()
+        for bits, score, most, matched in todo:
+            for same in (0, 1):
+                now = (bits << 1 | same) & width
+                if score + (1 if same else -3) < 0 or same and any(now & e == e for e in ends):
+                    continue
+                after = score + (1 if same else -3)
+                assert not (same and after > most and matched + 1 >= decontam.MIN_MATCHED)  # a run that would count
+                fresh.add((now, after, max(most, after), min(decontam.MIN_MATCHED, matched + same)))
+        todo = fresh - seen
+        seen = seen | todo
+    assert len(seen) > 1000
+
+
 @given(st.text("#</\\turn>: \nab", max_size=30), st.text(":\\#a", max_size=4))
 @settings(max_examples=20, deadline=None)
 def test_chat_round_trip(spark, text, role):
