@@ -7,8 +7,8 @@ a slot's shard at a version is what the latest edit up to it says. So any versio
 and only the slots of an edit move. The map and the sums per slot have ``n_slots`` rows whatever the
 input's size; they alone reach the driver.
 
-Defined cases: a null text has no bytes and counts 8; null ids and repeated rows are ordinary rows; a
-very long text is a row of its own size, so no shard can be fuller than the emptiest by more than that;
+Defined cases: a null text has no bytes and counts 8; null ids are ordinary rows; rows with the same id and
+text are spread over the slots by a number that each gets once; a very long text is a row of its own size, so no shard can be fuller than the emptiest by more than that;
 an empty table gives an empty result and an evenly dealt map; other columns are ignored.
 """
 
@@ -27,16 +27,22 @@ ROW_BYTES = 8
 
 
 def slotted(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of each record.
+    """doc_id, size, text_crc32 and virtual_slot of each record, as a stored table.
 
-    The slot hashes id and text together, so that rows which share an id don't all land in one slot.
+    The slot hashes id and text together, so that rows which share an id don't all land in one slot. Rows that share
+    both are spread as well: each is numbered once, in a stored table, and its number goes into its hash.
     """
-    t = F.coalesce("text", F.lit(""))
-    return id_and_text(docs, id_col, text_col).select(
+    t, same = F.coalesce("text", F.lit("")), ["doc_id", "text_crc32"]
+    records = stored(id_and_text(docs, id_col, text_col).select(
         "doc_id",
         (F.octet_length(t) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
+        F.monotonically_increasing_id().alias("row"),
+    ), "shard-rows")
+    repeated = stored(records.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("of"), F.col("text_crc32").alias("crc")), "repeated-rows")
+    both = records.join(repeated, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_crc32") == F.col("crc")), "left")
+    hashed = F.when(F.col("crc").isNull(), F.xxhash64(*same)).otherwise(F.xxhash64(*same, "row"))
+    return stored(both.select("doc_id", "size", "text_crc32", F.pmod(hashed, F.lit(n_slots)).cast("int").alias("virtual_slot")), "shard-records")
 
 
 def slot_loads(records: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def shard(docs: DataFrame, n_shards: int, map_path: str, n_slots: int = N_SLOTS,
     Version 1 deals the slots out, version 2 is the edit that rebalances them by the records' bytes.
     """
     spark = docs.sparkSession
-    records = stored(slotted(docs, n_slots, **columns), "shard-records")
+    records = slotted(docs, n_slots, **columns)
     write_edit(spark, map_path, {}, dealt(n_slots, n_shards), 1)
     rebalance(spark, map_path, records, n_shards)
     return assign(records, map_at(spark, map_path))

@@ -62,6 +62,18 @@ def test_sharding(spark):
         assert own == list(range(len(own)))
 
 
+def test_repeated_rows_are_spread(spark):
+    """A third of all rows is one row."""
+    docs = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "IF(id % 3 = 0, 'the same text', concat('text ', id)) AS text").repartition(5)
+    records = sharding.slotted(docs)
+    assert records.where("doc_id IS NULL").groupBy("virtual_slot").count().agg({"count": "max"}).first()[0] < 10
+    out = sharding.shard(docs, 24, scratch_path(spark, "t-map")).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(out) == 3000 and len(loads) == 24 and loads.max() - loads.min() <= out["size"].max()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_langid(spark):
     out = {(r.doc_id, r.lang_pred) for r in OPERATORS["langid"](documents(spark)).collect()}
     assert {(3, "und"), (4, "und"), (5, "und"), (7, "und"), (None, "und"), (None, "de"), (1, "en")} <= out
