@@ -40,8 +40,28 @@ def ceil_div(a: Column, b: int) -> Column:
     return div(a + (b - 1), b)
 
 
+#: Basis points of a payment, and of cards of which network and type differ.
+RATE = 200
+CARD_RATES = {("Amex", "credit"): 300, ("Amex", "debit"): 300, ("Diners", "credit"): 300, ("RuPay", "debit"): 0}
+
+
+def rate(network: Column, card_type: Column) -> Column:
+    """Basis points of a payment; both are null but for cards."""
+    out = F.lit(RATE)
+    for (of_network, of_type), points in CARD_RATES.items():
+        out = F.when((network == of_network) & (card_type == of_type), points).otherwise(out)
+    return out
+
+
+def computed_fee(amount: Column, network: Column, card_type: Column, taxed: Column | bool = True) -> Column:
+    """(fee, tax): the fee includes its tax, so a payment's credit is its amount less the fee."""
+    bare = fee(amount, rate(network, card_type))
+    tax = F.when(taxed if isinstance(taxed, Column) else F.lit(taxed), gst(bare)).otherwise(0).cast("long")
+    return F.struct((bare + tax).alias("fee"), tax.alias("tax"))
+
+
 def fee(amount: Column, basis_points: Column) -> Column:
-    """The processor's fee, rounded up to a whole paisa."""
+    """The processor's fee before tax, rounded up to a whole paisa."""
     return ceil_div(amount * basis_points, 10_000)
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import calendar, money
 
 
-def batches(rows: DataFrame) -> DataFrame:
-    """Settlements with sums and their sorted rows; two references within one settlement raise."""
+def batches(rows: DataFrame, one_moment: bool = False) -> DataFrame:
+    """Settlements with sums and their sorted rows; two references within one settlement raise, as do two moments if it must have one."""
+    rows = single_valued(rows, ["entity", "settlement_id"], "settled_at") if one_moment else rows
     own = rows.where("settlement_id IS NOT NULL AND (type <> 'payment' OR fee IS NOT NULL)")
     months = F.count_distinct(calendar.month_of(calendar.local_day(F.col("settled_at"))))
     reference = F.col("settlement_utr") if "settlement_utr" in rows.columns else F.lit(None).cast("string")
@@ -22,9 +23,10 @@ def batches(rows: DataFrame) -> DataFrame:
 
 
 def single_valued(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """``df``; a group with two values of ``column`` raises."""
+    """``df``; a group with two values of ``column`` raises, but for rows without the last key."""
     w = Window.partitionBy(*keys)
-    odd = F.min(column).over(w) != F.max(column).over(w)
+    named = F.col(keys[-1]).isNotNull()
+    odd = named & (F.min(column).over(w) != F.max(column).over(w))
     check = F.when(odd, F.raise_error(F.concat(F.lit(f"two values of {column} in "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))))
     return df.withColumn("__check", check).where("__check IS NULL").drop("__check")
 
@@ -66,22 +68,31 @@ def method_breakdown(rows: DataFrame, open_rows: DataFrame) -> DataFrame:
         {"networks": F.coalesce("networks", F.lit("")), "break_rate_bp": F.call_function("div", F.col("breaks") * 10_000, F.col("n"))})
 
 
+def claimed_rows(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The rows of settlements that verified or reconstructed lines name, each once."""
+    named = outcomes.where(F.col("kind").isin("verified", "reconstructed") & F.col("settlement_id").isNotNull()).select("entity", "settlement_id").distinct()
+    return rows.join(named, ["entity", "settlement_id"], "left_semi").dropDuplicates(["entity", "row_id"])
+
+
 def journal(rows: DataFrame) -> DataFrame:
-    """Four balanced lines of the settled rows, each row once: bank, fees and tax against gross and refunds."""
-    own = rows.where("settlement_id IS NOT NULL").dropDuplicates(["row_id"])
-    t = own.groupBy("entity").agg(
-        F.sum(F.when(F.col("debit") == 0, F.col("amount")).otherwise(0)).alias("gross"), F.sum("debit").alias("refunds"),
-        F.sum(F.coalesce("fee", F.lit(0))).alias("fees"), F.sum(F.coalesce("tax", F.lit(0))).alias("taxes"))
-    bank = F.col("gross") - F.col("refunds") - F.col("fees") - F.col("taxes")
+    """Four lines of the rows that bank lines are known to hold: what discharged the processor's receivable.
+
+    Cash, fees (tax included, so a payment's credit is its amount less its fee) and refunds are debits, the cleared
+    gross is the credit. A row with a debit, refund or adjustment, counts as refund.
+    """
+    plain = F.coalesce("debit", F.lit(0)) == 0
+    total = lambda c, when: F.sum(F.when(when, F.coalesce(c, F.lit(0))).otherwise(0)).cast("long")
+    t = rows.groupBy("entity").agg(total("amount", plain).alias("gross"), total("debit", ~plain).alias("refunds"), total("fee", plain).alias("fees"))
     zero = F.lit(0).cast("long")
     line = lambda n, account, debit, credit: F.struct(F.lit(n).alias("line"), F.lit(account).alias("account"), debit.alias("debit"), credit.alias("credit"))
     return t.select("entity", F.inline(F.array(
-        line(1, "bank", bank, zero), line(2, "processing fees", F.col("fees"), zero), line(3, "input tax", F.col("taxes"), zero), line(4, "sales less refunds", zero, F.col("gross") - F.col("refunds")))))
+        line(1, "Bank", F.col("gross") - F.col("fees") - F.col("refunds"), zero), line(2, "Processing Fees", F.col("fees"), zero),
+        line(3, "Refund Liability", F.col("refunds"), zero), line(4, "PSP Clearing", zero, F.col("gross")))))
 
 
 def journal_checks(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per entity: debits equal credits, and the bank line ties to the sum of credits less debits."""
-    nets = rows.where("settlement_id IS NOT NULL").dropDuplicates(["row_id"]).groupBy("entity").agg(F.sum(F.col("credit") - F.col("debit")).alias("net"))
+    """Per entity: debits equal credits, and the bank line ties to the sum of the rows' credits less debits."""
+    nets = rows.groupBy("entity").agg(F.sum(F.col("credit") - F.col("debit")).alias("net"))
     t = lines.groupBy("entity").agg(F.sum("debit").alias("d"), F.sum("credit").alias("c"), F.max(F.when(F.col("line") == 1, F.col("debit"))).alias("bank"))
     return t.join(nets, "entity").select("entity", (F.col("d") == F.col("c")).alias("balanced"), (F.col("bank") == F.col("net")).alias("tied"))
 

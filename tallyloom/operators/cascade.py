@@ -181,10 +181,8 @@ def book_exceptions(rows: DataFrame, erp: DataFrame) -> DataFrame:
 
 def tax_exceptions(accrued: DataFrame, invoices: DataFrame) -> DataFrame:
     """Months without an invoice of the supplier, its invoices without a number, and those whose return wasn't filed."""
-    accrued, invoices = kept(accrued, "accrued"), kept(invoices, "invoices")  # small next to the ledger, and read several times
-    known = kept(tax.supplier(accrued, invoices).select("entity", "gstin"), "suppliers")
-    own = invoices.join(known, ["entity", "gstin"], "left_semi")
-    absent = accrued.join(known.select("entity"), "entity", "left_semi").join(own.select("entity", F.col("filing_period").alias("month")), ["entity", "month"], "left_anti")
+    absent, own = tax.of_supplier(accrued, invoices)
+    own = kept(own, "supplier-invoices")
     of = lambda df, name: df.select("entity", F.lit(name).alias("exception"), F.col("invoice_no").alias("item"), F.col("tax_total").alias("amount"))
     return absent.select("entity", F.lit("gstr2b_absent").alias("exception"), F.concat(F.lit("period:"), "month").alias("item"), F.col("taxes").alias("amount")).unionByName(
         of(own.where("NOT has_irn"), "gstr2b_no_irn")).unionByName(of(own.where("NOT filed"), "gstr2b_37a_exposure"))

@@ -1,37 +1,27 @@
 """Subset sums: every set of rows that adds up to a bank line, with an honest account of completeness.
 
-The search meets in the middle: sums of both halves of a pool, sorted, then matched. ``complete`` is
-true only if the whole space was searched; a reached cap or spent budget makes it false even where
-the count would be right. The budget counts work, never time, so results repeat.
-
-A pool beyond the budget isn't given up: all sets of up to four rows, and all that leave out up to four,
-are still tried. What they find are candidates of an incomplete search.
+``closures`` searches one pool within bounds of memory and work. ``complete`` is true only if the whole space was
+searched; a reached cap or spent bound makes it false even where the count would be right, and what was found stays.
+The bounds count work, never time, so results repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates listed at most, half-sums (or pairs) tried at most, and rows of a pool that are gathered at all.
-CAP, BUDGET, MAX_POOL = 200, 1 << 21, 1024
+from . import closures
+
+#: Candidates listed at most, sums of a half of a pool that is searched whole, and rows of a pool that are gathered at all.
+CAP, BUDGET, MAX_POOL = 200, 1 << 21, 4096
 #: The cascade's own cap.
 CASCADE_CAP = 32
 RESULT = "entity long, bank_index long, candidate int, row_ids string, n_debits int, credit long, complete boolean, status string"
 
 
-def half_sums(nets: np.ndarray) -> np.ndarray:
-    """The sum of each subset; subset k holds the items whose bit is set in k."""
-    out = np.zeros(1, np.int64)
-    for n in nets:
-        out = np.concatenate([out, out + n])
-    return out
-
-
 def closing_subsets(ids: list[str], nets: list[int], target: int, cap: int = CAP, budget: int = BUDGET, most_debits: bool = False) -> tuple[list[tuple[str, ...]], bool, str]:
     """(sorted subsets with that sum, complete, status). The empty set closes only a target of 0 over an empty pool.
 
@@ -40,83 +30,8 @@ def closing_subsets(ids: list[str], nets: list[int], target: int, cap: int = CAP
     if not ids:
         return ([()] if target == 0 else []), True, "empty_pool"
     order = sorted(range(len(ids)), key=lambda i: ids[i])
-    ids, values = [ids[i] for i in order], np.asarray([nets[i] for i in order], np.int64)
-    if 2 ** (len(ids) - len(ids) // 2) <= budget:
-        picked, complete = _exhaustive(values, target, cap, most_debits)
-        status = "exhausted" if complete else "cap_reached"
-    else:
-        picked, complete = _few_rows(values, target, budget), False
-        if most_debits and picked:
-            debits = [int((values[list(s)] < 0).sum()) for s in picked]
-            picked = [s for s, d in zip(picked, debits, strict=True) if d == max(debits)]
-        status = "cap_reached" if len(picked) > cap else "budget_exceeded"
-        picked = picked[:cap]
-    return sorted(tuple(ids[k] for k in s) for s in picked), complete, status
-
-
-def _exhaustive(values: np.ndarray, target: int, cap: int, most_debits: bool) -> tuple[list[tuple[int, ...]], bool]:
-    """All subsets of ``values`` with the sum, up to ``cap``, and whether these are all."""
-    half = len(values) // 2
-    left, right = half_sums(values[:half]), half_sums(values[half:])
-    if most_debits:  # sums and counts in one number, so that both are met by one search
-        negative, width = (values < 0).astype(np.int64), np.int64(128)
-        left_n, right_n = half_sums(negative[:half]), half_sums(negative[half:])
-        by_key = np.argsort(right * width + right_n, kind="stable")
-        keys = (right * width + right_n)[by_key]
-        end = np.searchsorted(keys, (target - left) * width + width - 1, "right")
-        any_ = end > np.searchsorted(keys, (target - left) * width, "left")
-        if any_[0] and len(values) and not (target or left[0] or right[by_key[end[0] - 1]]) and by_key[end[0] - 1] == 0:
-            any_[0] = False  # only the empty set
-        if not any_.any():
-            return [], True
-        wanted = int((left_n[any_] + right_n[by_key[end[any_] - 1]]).max())
-        low = np.searchsorted(keys, (target - left) * width + wanted - left_n, "left")
-        high = np.searchsorted(keys, (target - left) * width + wanted - left_n, "right")
-        high = np.where(any_ & (left_n <= wanted) & (wanted - left_n < width), high, low)
-    else:
-        by_key = np.argsort(right, kind="stable")
-        low = np.searchsorted(right[by_key], target - left, "left")
-        high = np.searchsorted(right[by_key], target - left, "right")
-    found: list[tuple[int, ...]] = []
-    for a in np.flatnonzero(high > low).tolist():
-        for b in by_key[low[a] : high[a]].tolist():
-            if a == b == 0:
-                continue  # no rows at all
-            if len(found) == cap:
-                return found, False
-            found.append(tuple(k for k in range(len(values)) if (a >> k & 1 if k < half else b >> k - half & 1)))
-    return found, True
-
-
-def _few_rows(values: np.ndarray, target: int, budget: int) -> list[tuple[int, ...]]:
-    """The subsets of one to four rows, and those of all but up to four, that have the sum."""
-    n, every = len(values), range(len(values))
-    i, j = np.triu_indices(n, 1) if n * (n - 1) // 2 <= budget else (np.zeros(0, np.int64),) * 2
-    sums = values[i] + values[j]
-    order = np.argsort(sums, kind="stable")
-    ordered = sums[order]
-
-    def sets(wanted: int) -> Iterator[tuple[int, ...]]:
-        if wanted == 0:
-            yield ()
-        yield from ((int(k),) for k in np.flatnonzero(values == wanted))
-        at = np.searchsorted(ordered, wanted, "left"), np.searchsorted(ordered, wanted, "right")
-        yield from ((int(i[k]), int(j[k])) for k in order[at[0] : at[1]])
-        for count, rest in ((3, wanted - values), (4, wanted - sums)):
-            low, high = np.searchsorted(ordered, rest, "left"), np.searchsorted(ordered, rest, "right")
-            tried = 0
-            for a in np.flatnonzero(high > low).tolist():
-                pairs = order[low[a] : high[a]]
-                tried += len(pairs)
-                if tried > budget:
-                    break
-                first = a if count == 3 else int(j[a])  # rows in order, so each set once
-                for k in pairs[i[pairs] > first].tolist():
-                    yield (a, int(i[k]), int(j[k])) if count == 3 else (int(i[a]), int(j[a]), int(i[k]), int(j[k]))
-
-    found = {s for s in sets(target) if s}
-    found |= {tuple(k for k in every if k not in out) for out in map(set, sets(int(values.sum()) - target)) if len(out) < n}
-    return sorted(found)
+    found, complete, status = closures.search([int(nets[i]) for i in order], target, cap, budget, most_debits)
+    return sorted(tuple(ids[order[k]] for k in s) for s in found), complete, status
 
 
 def enumerate_lines(pools: DataFrame, cap: int = CAP, budget: int = BUDGET, max_pool: int | None = MAX_POOL, most_debits: bool = False) -> DataFrame:
@@ -189,16 +104,10 @@ def common_and_contested(candidates: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.when(~common, F.col("row_id")))), "|").alias("contested"))
 
 
-def largest_under_cap(ids: list[str], nets: list[int], cap: int, ties: int = 64) -> tuple[int, list[tuple[str, ...]]]:
-    """The largest subset sum that doesn't exceed ``cap``, and up to ``ties`` subsets that reach it."""
-    half = len(ids) // 2
-    values = np.asarray(nets, np.int64)
-    left, right = half_sums(values[:half]), half_sums(values[half:])
-    ordered = np.sort(right)
-    at = np.searchsorted(ordered, cap - left, "right") - 1
-    ok = at >= 0
-    best = int((left[ok] + ordered[at[ok]]).max())
-    return best, closing_subsets(ids, nets, best, ties)[0]
+def largest_under_cap(ids: list[str], nets: list[int], cap: int, ties: int = 64, budget: int = BUDGET) -> tuple[int | None, list[tuple[str, ...]], bool]:
+    """The largest subset sum found that doesn't exceed ``cap``, up to ``ties`` subsets that reach it, and whether no larger one exists."""
+    best, proven = closures.largest([int(n) for n in nets], cap, budget)
+    return best, [] if best is None else closing_subsets(ids, nets, best, ties, budget)[0], proven
 
 
 def distinct_candidates(candidates: DataFrame) -> DataFrame:
@@ -207,22 +116,16 @@ def distinct_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def largest_subsets(pools: DataFrame, ties: int = 64, budget: int = BUDGET) -> DataFrame:
-    """The largest sum of each line's pool that doesn't exceed its target, with up to ``ties`` sets that reach it.
-
-    A pool whose halves are beyond the budget gives one row without a sum.
-    """
+    """The largest sum of each line's pool that doesn't exceed its target, up to ``ties`` sets that reach it, and whether it is proven."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lines in batches:
             out = []
             for entity, bank_index, target, ids, nets in zip(lines.entity, lines.bank_index, lines.target, lines.ids, lines.nets, strict=True):
-                if 2 ** (len(ids) - len(ids) // 2) > budget:
-                    out.append((entity, bank_index, None, None))
-                    continue
-                best, found = largest_under_cap(list(ids), list(map(int, nets)), int(target), ties)
-                out += [(entity, bank_index, best, "|".join(s)) for s in found] or [(entity, bank_index, best, "")]
-            yield pd.DataFrame(out, columns=["entity", "bank_index", "best", "row_ids"]).astype({"best": "Int64"})
+                best, found, proven = largest_under_cap(list(ids), list(map(int, nets)), int(target), ties, budget)
+                out += [(entity, bank_index, best, "|".join(s), proven) for s in found] or [(entity, bank_index, best, "", proven)]
+            yield pd.DataFrame(out, columns=["entity", "bank_index", "best", "row_ids", "proven"]).astype({"best": "Int64"})
 
     pool = F.sort_array(F.collect_list(F.struct("row_id", "net")))
     gathered = pools.groupBy("entity", "bank_index").agg(F.max("target").alias("target"), pool.alias("pool")).select("entity", "bank_index", "target", F.col("pool.row_id").alias("ids"), F.col("pool.net").alias("nets"))
-    return gathered.mapInPandas(run, "entity long, bank_index long, best long, row_ids string")
+    return gathered.mapInPandas(run, "entity long, bank_index long, best long, row_ids string, proven boolean")

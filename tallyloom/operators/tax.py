@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
+from .storage import kept
 
 
 def accrues(fee: str = "fee", tax: str = "tax"):
@@ -29,9 +30,12 @@ def fees_without_tax(rows: DataFrame) -> DataFrame:
 
 
 def months_at_risk(accrued: DataFrame, invoices: DataFrame) -> DataFrame:
-    """entity, month, ground: no invoice, no registration number, supplier's return not filed; grounds may meet."""
-    absent = accrued.join(invoices, (accrued["entity"] == invoices["entity"]) & (accrued["month"] == invoices["filing_period"]), "left_anti")
-    own = invoices.withColumnRenamed("filing_period", "month")
+    """entity, month, ground: no invoice, no registration number, supplier's return not filed; grounds may meet.
+
+    Only the supplier's own invoices count; where none can be told there are no grounds.
+    """
+    absent, own = of_supplier(accrued, invoices)
+    own = own.withColumnRenamed("filing_period", "month")
     return (
         absent.select("entity", "month", F.lit("gstr2b_absent").alias("ground"))
         .unionByName(own.where("NOT has_irn").select("entity", "month", F.lit("gstr2b_no_irn").alias("ground")))
@@ -39,10 +43,19 @@ def months_at_risk(accrued: DataFrame, invoices: DataFrame) -> DataFrame:
     )
 
 
+def of_supplier(accrued: DataFrame, invoices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Months of entities with a known supplier for which it has no invoice, and the supplier's invoices."""
+    accrued, invoices = kept(accrued, "accrued"), kept(invoices, "invoices")  # small next to the ledger, and read several times
+    known = kept(supplier(accrued, invoices).select("entity", "gstin"), "suppliers")
+    own = invoices.join(known, ["entity", "gstin"], "left_semi")
+    months = own.select("entity", F.col("filing_period").alias("month"))
+    return accrued.join(known.select("entity"), "entity", "left_semi").join(months, ["entity", "month"], "left_anti"), own
+
+
 def at_risk_total(risk: DataFrame, accrued: DataFrame, invoices: DataFrame) -> DataFrame:
     """Tax at risk by ground; an invoice with two grounds counts in each."""
     tax = accrued.select("entity", "month", "taxes").join(
-        invoices.select("entity", F.col("filing_period").alias("month"), "tax_total"), ["entity", "month"], "full")
+        of_supplier(accrued, invoices)[1].select("entity", F.col("filing_period").alias("month"), "tax_total"), ["entity", "month"], "full")
     return risk.join(tax, ["entity", "month"]).groupBy("ground").agg(
         F.count(F.lit(1)).alias("n_findings"), F.sum(F.coalesce("tax_total", "taxes")).alias("tax_at_risk"))
 
@@ -58,8 +71,8 @@ def supplier(accrued: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def residuals(accrued: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Invoiced less accrued by month, and whether rounding explains it."""
-    both = accrued.join(invoices.withColumnRenamed("filing_period", "month"), ["entity", "month"])
+    """The supplier's invoiced less accrued by month, and whether rounding explains it."""
+    both = accrued.join(of_supplier(accrued, invoices)[1].withColumnRenamed("filing_period", "month"), ["entity", "month"])
     gap = F.col("taxable_value") - F.col("fees")
     return both.select("entity", "month", gap.alias("residual"), (F.abs(gap) <= F.greatest(F.lit(1), F.col("n_rows"))).alias("rounding"))
 

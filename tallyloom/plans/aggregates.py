@@ -42,15 +42,6 @@ def a16_unsettled_aging(spark, sf):
     return A.unsettled_aging(X.ledger(spark, sf))
 
 
-def a19_journal(spark, sf):
-    return A.journal(X.ledger(spark, sf))
-
-
-def a20_journal_checks(spark, sf):
-    rows = X.ledger(spark, sf)
-    return A.journal_checks(A.journal(rows), rows)
-
-
 def a21_tax_panel(spark, sf):
     return T.panel(X.gst_invoices(X.ledger(spark, sf)))
 
@@ -138,18 +129,11 @@ def t8_announced_truncation(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a1_batches, a3_naive_matches, a4_accrued_fees, a5_fees_without_tax, a6_tax_at_risk, a15_lag_buckets, a16_unsettled_aging, a19_journal,
-    a20_journal_checks, a21_tax_panel, a25_period, a26_cross_month, a27_fee_identity, s15_field_census, d7_months_at_risk, d11_tax_residuals, j12_supplier,
+    a1_batches, a3_naive_matches, a4_accrued_fees, a5_fees_without_tax, a6_tax_at_risk, a15_lag_buckets, a16_unsettled_aging,
+    a21_tax_panel, a25_period, a26_cross_month, a27_fee_identity, s15_field_census, d7_months_at_risk, d11_tax_residuals, j12_supplier,
     w1_processing_order, w4_rivals, w10_separators, w11_dense_references, w12_fifo_under_cap, w13_debits_deferred, q5_ks_distance, t6_common_levels, t8_announced_truncation)}
-_JOURNAL = """
-, t AS (SELECT entity, sum(CASE WHEN debit = 0 THEN amount ELSE 0 END) AS gross, sum(debit) AS refunds, sum(coalesce(fee, 0)) AS fees, sum(coalesce(tax, 0)) AS taxes
-        FROM ledger WHERE settlement_id IS NOT NULL GROUP BY entity), j AS (
-SELECT entity, 1 AS line, 'bank' AS account, CAST(gross - refunds - fees - taxes AS BIGINT) AS debit, CAST(0 AS BIGINT) AS credit FROM t
-UNION ALL SELECT entity, 2, 'processing fees', CAST(fees AS BIGINT), 0 FROM t
-UNION ALL SELECT entity, 3, 'input tax', CAST(taxes AS BIGINT), 0 FROM t
-UNION ALL SELECT entity, 4, 'sales less refunds', 0, CAST(gross - refunds AS BIGINT) FROM t)"""
 _RISK = """
-, risk AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
+, risk AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a SEMI JOIN suppliers s ON s.entity = a.entity WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
 UNION ALL SELECT entity, filing_period, 'gstr2b_no_irn' FROM gst WHERE NOT has_irn
 UNION ALL SELECT entity, filing_period, 'gstr2b_37a_exposure' FROM gst WHERE NOT filed)"""
 _COLUMNS = ["entity", "row_id", "type", "payment_id", "order_id", "credit", "debit", "amount", "fee", "tax", "on_hold", "created_at", "settled_at", "settlement_id", "method", "dispute_id"]
@@ -175,12 +159,8 @@ SELECT n.bucket, count(b.lag) AS n, max(b.lag) AS longest FROM n LEFT JOIN b USI
     "a16_unsettled_aging": BASE + """
 , m AS (SELECT greatest(max(created_at), max(settled_at)) AS as_of FROM ledger), a AS (SELECT amount, (as_of - created_at) // 86400 AS age FROM ledger, m WHERE type = 'payment' AND settled_at IS NULL)
 SELECT CASE WHEN age <= 30 THEN '0-30' WHEN age <= 60 THEN '31-60' WHEN age <= 90 THEN '61-90' ELSE '90+' END AS bucket, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value FROM a GROUP BY 1""",
-    "a19_journal": BASE + _JOURNAL + " SELECT * FROM j",
-    "a20_journal_checks": BASE + _JOURNAL + """
-, n AS (SELECT entity, sum(credit - debit) AS net FROM ledger WHERE settlement_id IS NOT NULL GROUP BY 1)
-SELECT j.entity, sum(debit) = sum(credit) AS balanced, max(CASE WHEN line = 1 THEN debit END) = max(n.net) AS tied FROM j JOIN n USING (entity) GROUP BY 1""",
     "a21_tax_panel": BASE + """
-SELECT entity, count(*) AS n_invoices, count(CASE WHEN has_irn THEN 1 END) AS with_number, count(CASE WHEN filed THEN 1 END) AS n_filed, count(CASE WHEN has_irn AND filed THEN 1 END) AS n_available FROM gst GROUP BY 1""",
+SELECT entity, count(*) AS n_invoices, count(CASE WHEN has_irn THEN 1 END) AS with_number, count(CASE WHEN filed THEN 1 END) AS n_filed, count(CASE WHEN has_irn AND filed THEN 1 END) AS n_available FROM gst_every GROUP BY 1""",
     "a25_period": BASE + """
 , d AS (SELECT entity, created_at // 86400 AS day FROM ledger UNION ALL SELECT entity, settled_at // 86400 FROM ledger WHERE settled_at IS NOT NULL UNION ALL SELECT entity, value_day FROM bank)
 SELECT entity, min(day) AS first_day, max(day) AS last_day FROM d GROUP BY 1""",

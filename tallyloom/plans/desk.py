@@ -33,7 +33,7 @@ def _stored(spark, sf):
 def _networks(rows):
     """Card payments with the network that their number decides."""
     k = F.element_at(F.split("row_id", "_"), -1).cast("long")
-    return rows.withColumn("network", F.when(F.col("method") == "card", F.element_at(F.array(*map(F.lit, ("visa", "mastercard", "rupay"))), (k % 3 + 1).cast("int"))))
+    return rows.withColumn("network", X.card_of(k, F.col("method"))[0])
 
 
 def p8_withheld(spark, sf):
@@ -58,13 +58,30 @@ def a7_rival_accounting(spark, sf):
     return A.rival_accounting(RES.r7_rival_closures(spark, sf))
 
 
+def a19_journal(spark, sf):
+    """The journal of the rows of verified lines, by entity."""
+    rows, _, decided = RES._decided(spark, sf)
+    return A.journal(A.claimed_rows(rows, decided))
+
+
+def a20_journal_checks(spark, sf):
+    rows, _, decided = RES._decided(spark, sf)
+    own = A.claimed_rows(rows, kept(decided, "decided"))
+    return A.journal_checks(A.journal(own), own)
+
+
+def f10_fees(spark, sf):
+    """Fee and tax of every payment by the card's network and type."""
+    return X.orders(spark, sf).where("NOT failed").select("k", "network", "card_type", "amount", "fee", "tax")
+
+
 def a17_method_breakdown(spark, sf):
     return A.method_breakdown(_networks(X.ledger(spark, sf)), RES.d5_dispositions(spark, sf).where("reason IS NOT NULL"))
 
 
 def c4_largest_subsets(spark, sf):
     """Settlements whose sum comes closest to each credit line from below, with all ties."""
-    return S.largest_subsets(RES._pools(spark, sf))
+    return S.largest_subsets(RES._pools(spark, sf)).drop("proven")
 
 
 def u3_distinct_candidates(spark, sf):
@@ -288,10 +305,15 @@ def q9_class_audits(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    p8_withheld, p10_notes, a7_full_accounting, a7_rival_accounting, a17_method_breakdown, c4_largest_subsets, u3_distinct_candidates, u8_composition_difference, f12_similarities, f17_weakest_tier, f19_bare_sql, j5_greedy,
+    p8_withheld, p10_notes, a7_full_accounting, a7_rival_accounting, a17_method_breakdown, a19_journal, a20_journal_checks, f10_fees, c4_largest_subsets, u3_distinct_candidates, u8_composition_difference, f12_similarities, f17_weakest_tier, f19_bare_sql, j5_greedy,
     g8_reconstructible_abstentions, g10_tax_flags, g11_reconstructed_scores, g22_cascade_scores, inv_contract, st1_runs, st2_outcomes_by_key, st3_rebuilt_breaks, st5_line_summaries, st8_human_choices, st10_carry_forward,
     st11_case_facts, st12_tax_grounds, k4_round_trip, t2_entities_sorted, t3_breaks_by_age, q1_predicates, q2_leaks, q2_p_values, q6_contained, q8_recoverable, q8_posting_lags, q8_derivable, q8_density, p11_grid_filters, q9_class_audits)}
 _T, _D, _REC = RES._TIERS, RES._DISPOSED, RES._REC
+_JOURNAL = """
+, own_rows AS (SELECT * FROM ledger WHERE settlement_id IN (SELECT settlement_id FROM decided WHERE kind = 'verified')),
+s AS (SELECT entity, CAST(sum(CASE WHEN debit <> 0 THEN 0 ELSE amount END) AS BIGINT) AS gross, CAST(sum(CASE WHEN debit <> 0 THEN 0 ELSE fee END) AS BIGINT) AS fees, CAST(sum(debit) AS BIGINT) AS refunds FROM own_rows GROUP BY entity),
+j AS (SELECT entity, 1 AS line, 'Bank' AS account, gross - fees - refunds AS debit, CAST(0 AS BIGINT) AS credit FROM s UNION ALL SELECT entity, 2, 'Processing Fees', fees, 0 FROM s
+  UNION ALL SELECT entity, 3, 'Refund Liability', refunds, 0 FROM s UNION ALL SELECT entity, 4, 'PSP Clearing', 0, gross FROM s)"""
 _RISK = SC._AT_RISK
 _FLAGS = """
 , own AS (SELECT entity, row_id, strftime(DATE '1970-01-01' + CAST((settled_at + 19800) // 86400 AS INTEGER), '%Y-%m') AS month FROM ledger WHERE type = 'payment' AND settled_at IS NOT NULL AND coalesce(fee, 0) <> 0 AND coalesce(tax, 0) <> 0)"""
@@ -359,8 +381,15 @@ UNION ALL SELECT 'proven row', proven, count(*) FROM bucketed WHERE proven IS NO
 UNION ALL SELECT 'open row by age', bucket, count(*) FROM bucketed WHERE reason IS NOT NULL GROUP BY 2 UNION ALL SELECT 'causes', 'distinct', count(DISTINCT caused_by) FROM bucketed WHERE reason IS NOT NULL
 UNION ALL SELECT 'causes', 'clustered_rows', count(caused_by) FROM bucketed WHERE reason IS NOT NULL UNION ALL SELECT 'candidates', 'lines', count(k) FROM sz
 UNION ALL SELECT 'candidates', 'total', CAST(coalesce(sum(k), 0) AS BIGINT) FROM sz UNION ALL SELECT 'candidates', 'most', coalesce(max(k), 0) FROM sz""",
+    "a19_journal": BASE + _T + _JOURNAL + " SELECT * FROM j",
+    "a20_journal_checks": BASE + _T + _JOURNAL + """
+, n AS (SELECT entity, sum(credit - debit) AS net FROM own_rows GROUP BY 1)
+SELECT j.entity, sum(debit) = sum(credit) AS balanced, max(CASE WHEN line = 1 THEN debit END) = max(n.net) AS tied FROM j JOIN n USING (entity) GROUP BY 1""",
+    "f10_fees": BASE + """
+, bare AS (SELECT *, (amount * CASE WHEN card_type = 'debit' AND network = 'RuPay' THEN 0 WHEN network = 'Amex' OR (card_type = 'credit' AND network = 'Diners') THEN 3 ELSE 2 END + 99) // 100 AS charge FROM o WHERE NOT failed)
+SELECT k, network, card_type, amount, charge + (charge * 18 + 99) // 100 AS fee, (charge * 18 + 99) // 100 AS tax FROM bare""",
     "a17_method_breakdown": BASE + _T + _D + """
-, pm AS (SELECT l.*, CASE WHEN method = 'card' THEN ['visa', 'mastercard', 'rupay'][CAST(string_split(l.row_id, '_')[2] AS BIGINT) % 3 + 1] END AS network, b.reason IS NOT NULL AS open FROM ledger l LEFT JOIN bucketed b USING (row_id) WHERE l.type = 'payment'),
+, pm AS (SELECT l.*, CASE WHEN method = 'card' THEN ['Visa', 'Mastercard', 'RuPay', 'Amex', 'Diners'][CAST(string_split(l.row_id, '_')[2] AS BIGINT) % 5 + 1] END AS network, b.reason IS NOT NULL AS open FROM ledger l LEFT JOIN bucketed b USING (row_id) WHERE l.type = 'payment'),
 nw AS (SELECT method, network, count(*) AS n FROM pm WHERE network IS NOT NULL GROUP BY 1, 2), t AS (SELECT method, string_agg(network || '=' || n, ',' ORDER BY n DESC, network) AS networks FROM nw GROUP BY 1),
 m AS (SELECT method, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value, count(CASE WHEN open THEN 1 END) AS breaks FROM pm GROUP BY 1)
 SELECT m.*, coalesce(t.networks, '') AS networks, breaks * 10000 // n AS break_rate_bp FROM m LEFT JOIN t USING (method)""",
@@ -379,7 +408,7 @@ SELECT *, 'extra' AS side FROM (SELECT * FROM cl EXCEPT SELECT * FROM tr) UNION
 , un AS (SELECT entity, bank_index FROM cand GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT u.entity, u.bank_index, d.kind FROM un u LEFT JOIN decided d USING (bank_index) WHERE u.bank_index NOT IN (SELECT bank_index FROM x WHERE settlement_id IS NOT NULL) AND (d.kind IS NULL OR d.kind IN ('unresolved', 'ambiguous', 'open'))""",
     "g10_tax_flags": BASE + _FLAGS + _RISK + """
-, g3 AS (SELECT * FROM gst WHERE entity % 3 <> 0), r3 AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM g3 g WHERE g.entity = a.entity AND g.filing_period = a.month)
+, g3 AS (SELECT * FROM gst WHERE entity % 3 <> 0), r3 AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a SEMI JOIN suppliers s ON s.entity = a.entity WHERE a.entity % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM g3 g WHERE g.entity = a.entity AND g.filing_period = a.month)
 UNION ALL SELECT entity, filing_period, 'gstr2b_no_irn' FROM g3 WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'gstr2b_37a_exposure' FROM g3 WHERE NOT filed),
 fl AS (SELECT DISTINCT o.row_id, r.ground FROM own o JOIN r3 r ON r.entity = o.entity AND r.month = o.month), t AS (SELECT DISTINCT o.row_id, r.ground FROM own o JOIN risk r ON r.entity = o.entity AND r.month = o.month),
 n AS (SELECT coalesce(fl.ground, t.ground) AS ground, count(CASE WHEN fl.row_id IS NOT NULL AND t.row_id IS NOT NULL THEN 1 END) AS tp, count(CASE WHEN t.row_id IS NULL THEN 1 END) AS fp, count(CASE WHEN fl.row_id IS NULL THEN 1 END) AS fn

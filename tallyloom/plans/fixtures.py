@@ -17,20 +17,26 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     failed = (F.col("o_orderstatus") == "F") & (k % 4 == 0)
-    rate = F.when(F.col("o_orderpriority") == "1-URGENT", 300).when(F.col("o_orderpriority") == "5-LOW", 0).otherwise(200)
     method = F.when(F.col("o_orderpriority") == "1-URGENT", "card").when(F.col("o_orderpriority") == "2-HIGH", "netbanking").when(F.col("o_orderpriority") == "3-MEDIUM", "upi").otherwise("wallet")
     amount = F.round(F.col("o_totalprice") * 100).cast("long")
-    fee = money.fee(amount, rate)
+    network, card_type = card_of(k, method)
+    charged = money.computed_fee(amount, network, card_type)
     day = calendar.day_of(F.col("o_orderdate"))
     return o.select(
         k.alias("k"), c.alias("entity"), amount.alias("amount"), failed.alias("failed"), method.alias("method"),
-        F.when(~failed, fee).alias("fee"), F.when(~failed, money.gst(fee)).alias("tax"),
+        F.when(~failed, charged["fee"]).alias("fee"), F.when(~failed, charged["tax"]).alias("tax"), network.alias("network"), card_type.alias("card_type"),
         (day * 86_400 + k % 86_400).alias("created_at"), (k % 23 == 0).alias("on_hold"),
         F.when(~failed & (k % 23 != 0) & (k % 11 != 0), F.concat(F.lit("setl_"), c, F.lit("_"), F.year("o_orderdate"))).alias("settlement_id"),
         F.when(k % 31 == 0, F.concat(F.lit("disp_"), k)).alias("dispute_id"),
     )
 
 
+def card_of(k, method):
+    """Network and type of a card payment, by its number."""
+    at = lambda names, n: F.when(method == "card", F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int")))
+    return at(("Visa", "Mastercard", "RuPay", "Amex", "Diners"), k % 5), at(("credit", "debit"), F.call_function("div", k, F.lit(5)) % 2)
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments and refunds: one row each."""
     o = orders(spark, sf_dir)
@@ -38,7 +44,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     payments = o.select(
         "entity", pay.alias("row_id"), F.lit("payment").alias("type"), F.lit(None).cast("string").alias("payment_id"), order.alias("order_id"),
-        F.when(F.col("failed"), 0).otherwise(F.col("amount") - F.col("fee") - F.col("tax")).cast("long").alias("credit"), zero.alias("debit"),
+        F.when(F.col("failed"), 0).otherwise(F.col("amount") - F.col("fee")).cast("long").alias("credit"), zero.alias("debit"),
         "amount", "fee", "tax", "on_hold", "created_at",
         F.when(F.col("settlement_id").isNotNull(), calendar.eligible_at(F.col("created_at"))).alias("settled_at"), "settlement_id", "method", "dispute_id",
     )
@@ -135,14 +141,17 @@ def contested(rows: DataFrame) -> DataFrame:
 
 
 def gst_invoices(rows: DataFrame) -> DataFrame:
-    """The tax authority's monthly invoices, some of them missing, unsigned or not filed."""
+    """The tax authority's monthly invoices, some of them missing, unsigned or not filed, and those of another supplier."""
     from ..operators.tax import accrued_fees
 
     a = accrued_fees(rows)
     n = F.regexp_replace("month", "-", "").cast("long") + F.col("entity")
-    return a.where(n % 4 != 0).select(
+    other = a.where(n % 3 == 1).select(
+        "entity", F.lit("27BBBBB0000B1Z3").alias("gstin"), F.concat(F.lit("OTH"), "entity", F.lit("/"), "month").alias("invoice_no"), F.col("month").alias("filing_period"),
+        (F.col("fees") + 500_000 + n % 7).alias("taxable_value"), (F.col("taxes") + 90_000).alias("tax_total"), (n % 2 == 0).alias("has_irn"), (n % 5 != 1).alias("filed"))
+    return other.unionByName(a.where(n % 4 != 0).select(
         "entity", F.lit("29AAAAA0000A1Z5").alias("gstin"), F.concat(F.lit("GST"), "entity", F.lit("/"), "month").alias("invoice_no"), F.col("month").alias("filing_period"),
-        (F.col("fees") + n % 3 - 1).alias("taxable_value"), F.col("taxes").alias("tax_total"), (n % 5 != 0).alias("has_irn"), (n % 6 != 0).alias("filed"))
+        (F.col("fees") + n % 3 - 1).alias("taxable_value"), F.col("taxes").alias("tax_total"), (n % 5 != 0).alias("has_irn"), (n % 6 != 0).alias("filed")))
 
 
 BASE = """
@@ -150,7 +159,9 @@ WITH o AS (
   SELECT o_orderkey AS k, o_custkey AS entity, CAST(round(o_totalprice * 100) AS BIGINT) AS amount,
          (o_orderstatus = 'F' AND o_orderkey % 4 = 0) AS failed, year(o_orderdate) AS y,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'card' WHEN '2-HIGH' THEN 'netbanking' WHEN '3-MEDIUM' THEN 'upi' ELSE 'wallet' END AS method,
-         CASE o_orderpriority WHEN '1-URGENT' THEN 300 WHEN '5-LOW' THEN 0 ELSE 200 END AS bp,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN ['Visa', 'Mastercard', 'RuPay', 'Amex', 'Diners'][o_orderkey % 5 + 1] END AS network,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN ['credit', 'debit'][o_orderkey // 5 % 2 + 1] END AS card_type,
+         CASE WHEN network = 'Amex' OR (network = 'Diners' AND card_type = 'credit') THEN 300 WHEN network = 'RuPay' AND card_type = 'debit' THEN 0 ELSE 200 END AS bp,
          CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day
   FROM orders
 ), f AS (
@@ -158,13 +169,13 @@ WITH o AS (
          CASE WHEN NOT failed AND k % 23 <> 0 AND k % 11 <> 0 THEN 'setl_' || entity || '_' || y END AS settlement_id
   FROM o
 ), e AS (
-  SELECT *, CASE WHEN NOT failed THEN all_fee END AS fee, CASE WHEN NOT failed THEN (all_fee * 18 + 99) // 100 END AS tax,
+  SELECT *, CASE WHEN NOT failed THEN all_fee + (all_fee * 18 + 99) // 100 END AS fee, CASE WHEN NOT failed THEN (all_fee * 18 + 99) // 100 END AS tax,
          (created_at + 19800) // 86400 AS lday FROM f
 ), g AS (
   SELECT *, CASE WHEN settlement_id IS NOT NULL THEN (lday + CASE WHEN (lday + 4) % 7 IN (4, 5) THEN 4 WHEN (lday + 4) % 7 = 6 THEN 3 ELSE 2 END) * 86400 + 39600 - 19800 END AS settled_at FROM e
 ), ledger AS (
   SELECT entity, 'pay_' || k AS row_id, 'payment' AS type, CAST(NULL AS VARCHAR) AS payment_id, 'order_' || k AS order_id,
-         CASE WHEN failed THEN 0 ELSE amount - fee - tax END AS credit, CAST(0 AS BIGINT) AS debit, amount, fee, tax, k % 23 = 0 AS on_hold,
+         CASE WHEN failed THEN 0 ELSE amount - fee END AS credit, CAST(0 AS BIGINT) AS debit, amount, fee, tax, k % 23 = 0 AS on_hold,
          created_at, settled_at, settlement_id, method, CASE WHEN k % 31 = 0 THEN 'disp_' || k END AS dispute_id
   FROM g
   UNION ALL
@@ -197,9 +208,15 @@ WITH o AS (
   FROM ledger WHERE type = 'payment' AND settled_at IS NOT NULL AND coalesce(fee, 0) <> 0 GROUP BY 1, 2
 ), gn AS (
   SELECT *, CAST(replace(month, '-', '') AS BIGINT) + entity AS n FROM accrued
-), gst AS (
+), gst_every AS (
   SELECT entity, '29AAAAA0000A1Z5' AS gstin, 'GST' || entity || '/' || month AS invoice_no, month AS filing_period, fees + n % 3 - 1 AS taxable_value,
          taxes AS tax_total, n % 5 <> 0 AS has_irn, n % 6 <> 0 AS filed FROM gn WHERE n % 4 <> 0
+  UNION ALL SELECT entity, '27BBBBB0000B1Z3', 'OTH' || entity || '/' || month, month, fees + 500000 + n % 7, taxes + 90000, n % 2 = 0, n % 5 <> 1 FROM gn WHERE n % 3 = 1
+), suppliers AS (
+  SELECT entity, gstin FROM (SELECT a.entity, g.gstin, row_number() OVER (PARTITION BY a.entity ORDER BY count(*) DESC, g.gstin) AS place
+    FROM accrued a JOIN gst_every g ON g.entity = a.entity AND abs(g.taxable_value - a.fees) <= greatest(1, a.n_rows) GROUP BY a.entity, g.gstin) WHERE place = 1
+), gst AS (
+  SELECT g.* FROM gst_every g JOIN suppliers s ON s.entity = g.entity AND s.gstin = g.gstin
 ), disputes AS (
   SELECT entity, 'disp_' || k AS dispute_id, CASE WHEN k % 2 = 0 THEN 'chargeback' ELSE 'retrieval' END AS phase, CASE WHEN k % 62 = 0 THEN 'lost' ELSE 'open' END AS status,
          created_at + 2 * 86400 AS opened_at, CASE WHEN k % 62 = 0 THEN amount ELSE 0 END AS amount_deducted FROM f WHERE k % 31 = 0 AND k % 4 <> 0

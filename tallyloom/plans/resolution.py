@@ -62,6 +62,16 @@ def c1_row_subsets(spark, sf):
     return R.searched(rows, decided.where("kind IS NULL"), R.consumed_by(decided)).select("entity", "bank_index", "row_ids", "n_debits", "credit", "complete", "status")
 
 
+def c1_nation_pools(spark, sf):
+    """Sets of a nation's settlements, thousands of them, that add up to its largest bank credit."""
+    nation = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").cast("long").alias("nation"))
+    rows = X.ledger(spark, sf)
+    pool = X.settlements(rows).join(nation, "entity").select("nation", F.col("settlement_id").alias("row_id"), "net")
+    line = X.bank(rows).join(nation, "entity").groupBy("nation").agg(F.max(F.struct("amount", "bank_index")).alias("line"))
+    pools = line.select("nation", "line.bank_index", F.col("line.amount").alias("target")).join(pool, "nation").withColumnRenamed("nation", "entity")
+    return S.enumerate_lines(pools)
+
+
 def r7_rival_closures(spark, sf):
     rows, lines, report = _books(spark, sf)
     return R.rival_closures(rows, kept(R.tiers_a_and_b(rows, lines, report), "decided"))
@@ -169,7 +179,7 @@ def inv_violations(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a7_outcome_accounting, r4_tier_outcomes, r6_resolved, c1_row_subsets, r7_rival_closures, r8_compositions, r4_attested_rows, p6_pool_bounds, a18_kpis, c1_closing_subsets, c2_fewest_deferred, c3_verdicts, u1_common_and_contested, w5_collisions,
+    a7_outcome_accounting, r4_tier_outcomes, r6_resolved, c1_row_subsets, c1_nation_pools, r7_rival_closures, r8_compositions, r4_attested_rows, p6_pool_bounds, a18_kpis, c1_closing_subsets, c2_fewest_deferred, c3_verdicts, u1_common_and_contested, w5_collisions,
     w9_ranked_candidates, d3_proven, d5_dispositions, d5_breaks, d6_routed_breaks, g1_wrong_claims, g3_truth_missing, g7_abstentions, g21_three_systems, inv_violations)}
 
 _TIERS = """

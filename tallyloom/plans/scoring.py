@@ -313,8 +313,8 @@ def a30_absent_gap(spark, sf):
     """Months without an invoice: the tax that their fees would bear, rounded once, and what rounding each row adds."""
     rows = X.ledger(spark, sf)
     a, g = T.accrued_fees(rows), X.gst_invoices(rows)
-    absent = a.join(g.withColumnRenamed("filing_period", "month").select("entity", "month"), ["entity", "month"], "left_anti")
-    once = money.gst(F.col("fees") + F.col("taxes"))
+    absent = T.of_supplier(a, g)[0]
+    once = money.gst(F.col("fees"))
     return absent.select("entity", "month", "taxes", once.alias("once"), (F.col("taxes") - once).alias("rounding"))
 
 
@@ -386,7 +386,7 @@ routed AS (SELECT *, owner <> 'no-action' AS is_problem, CASE WHEN exception IN
 """
 _T, _TRUTH, _NAIVE = RES._TIERS, RES._TRUTH, RES._NAIVE
 _AT_RISK = """
-, risk AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
+, risk AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a SEMI JOIN suppliers s ON s.entity = a.entity WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)
 UNION ALL SELECT entity, filing_period, 'gstr2b_no_irn' FROM gst WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'gstr2b_37a_exposure' FROM gst WHERE NOT filed)"""
 ORACLES = {
     "r9_cascade_matches": BASE + _MATCHED + "SELECT * FROM matched",
@@ -450,7 +450,7 @@ SELECT count(*) AS n, count(CASE WHEN r.row_ids = t.settlement_id THEN 1 END) AS
 FROM rk r JOIN truth t ON t.bank_index = r.bank_index AND t.settlement_id IS NOT NULL WHERE rank = 1 AND k > 1""",
     "g17_dataset_scores": BASE + _T + "SELECT entity % 10 AS dataset, count(*) AS n, " + ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS \"{k}\"" for k in ("verified", "discrepancy", "ambiguous", "unresolved", "open")) + " FROM decided GROUP BY 1",
     "g18_tax_file_probe": BASE + _AT_RISK + """
-, halfg AS (SELECT * FROM gst WHERE entity % 2 = 0), half AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a WHERE NOT EXISTS (SELECT 1 FROM halfg g WHERE g.entity = a.entity AND g.filing_period = a.month)
+, halfg AS (SELECT * FROM gst WHERE entity % 2 = 0), half AS (SELECT entity, month, 'gstr2b_absent' AS ground FROM accrued a SEMI JOIN suppliers s ON s.entity = a.entity WHERE a.entity % 2 = 0 AND NOT EXISTS (SELECT 1 FROM halfg g WHERE g.entity = a.entity AND g.filing_period = a.month)
 UNION ALL SELECT entity, filing_period, 'gstr2b_no_irn' FROM halfg WHERE NOT has_irn UNION ALL SELECT entity, filing_period, 'gstr2b_37a_exposure' FROM halfg WHERE NOT filed),
 a1 AS (SELECT * FROM risk EXCEPT ALL SELECT * FROM half), a2 AS (SELECT * FROM half EXCEPT ALL SELECT * FROM risk)
 SELECT ground, count(*) AS n, 'only_with' AS side FROM a1 GROUP BY 1 UNION ALL SELECT ground, count(*), 'only_without' FROM a2 GROUP BY 1""",
@@ -461,7 +461,7 @@ WHERE n.settlement_id IS DISTINCT FROM t.settlement_id""",
 SELECT CASE WHEN b.v > 0 THEN 'placed' WHEN b.c > 0 THEN 'contested' ELSE 'unplaced' END AS state, count(*) AS n_settlements, CAST(sum(s.n_rows) AS BIGINT) AS n_rows
 FROM settlements s LEFT JOIN bs b USING (settlement_id) WHERE s.ord % 17 = 0 AND s.net > 0 GROUP BY 1""",
     "a30_absent_gap": BASE + """
-SELECT entity, month, taxes, ((fees + taxes) * 18 + 99) // 100 AS once, taxes - ((fees + taxes) * 18 + 99) // 100 AS rounding FROM accrued a
+SELECT entity, month, taxes, (fees * 18 + 99) // 100 AS once, taxes - (fees * 18 + 99) // 100 AS rounding FROM accrued a SEMI JOIN suppliers s ON s.entity = a.entity
 WHERE NOT EXISTS (SELECT 1 FROM gst g WHERE g.entity = a.entity AND g.filing_period = a.month)""",
     "f7_rolled_forward": BASE + """
 , st AS (SELECT unnest(range(0, 22)) AS i) SELECT bank_index, min(value_day + i) AS day FROM bank, st WHERE (value_day + i + 4) % 7 NOT IN (0, 6) AND value_day + i NOT IN (9130, 9131) GROUP BY 1""",

@@ -2,6 +2,8 @@
 
 import itertools
 import json
+import random
+import tracemalloc
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.functions import calendar, money, text
-from tallyloom.operators import audit, gates, joins, resolver, store, subsets
+from tallyloom.operators import aggregates, audit, closures, gates, joins, resolver, store, subsets, tax
 from tallyloom.plans import fixtures
 from tallyloom.sources import files, statements
 from tallyloom.streaming import ingest
@@ -32,9 +34,9 @@ def test_truncation_is_told():
     assert (len(found), complete, status) == (5, False, "cap_reached")
     few, complete, status = subsets.closing_subsets([f"r{k:02}" for k in range(60)], [1] * 60, 4)
     assert (len(few), complete, status) == (200, False, "cap_reached")
-    assert subsets.closing_subsets([f"r{k:02}" for k in range(60)], [2] * 60, 5) == ([], False, "budget_exceeded")
+    assert subsets.closing_subsets([f"r{k:02}" for k in range(60)], [2] * 60, 5) == ([], True, "exhausted")  # sums of equal rows are few
     one = subsets.closing_subsets([f"r{k:02}" for k in range(60)], [3**k % 1_000_003 + 10**7 for k in range(60)], 3**7 % 1_000_003 + 10**7)
-    assert one == ([("r07",)], False, "budget_exceeded")
+    assert one == ([("r07",)], True, "exhausted")  # no two rows are as little as that
     assert subsets.closing_subsets([], [], 0) == ([()], True, "empty_pool")
 
 
@@ -57,13 +59,56 @@ def test_most_debits_of_many():
     assert not subsets.closing_subsets(["a", "b"], [5, 6], 0, most_debits=True)[0]
 
 
-@given(st.lists(st.integers(-12, 12).filter(bool), min_size=5, max_size=11), st.integers(-20, 40))
+@given(st.lists(st.integers(-12, 12), min_size=5, max_size=11), st.integers(-20, 40))
 @settings(max_examples=80, deadline=None)
-def test_few_rows_of_a_large_pool(nets, target):
-    found = subsets._few_rows(subsets.np.asarray(nets, "i8"), target, 1 << 20)
-    n = len(nets)
-    want = [c for k in range(1, n + 1) for c in itertools.combinations(range(n), k) if sum(nets[i] for i in c) == target and (k <= 4 or k >= n - 4)]
-    assert found == sorted(want)
+def test_few_rows_and_beginnings(nets, target):
+    """The three ways through a pool that is too large, each by itself: what it names, and that the last one's claim holds."""
+    n, pool = len(nets), closures.Pool(nets)
+    every = {c for k in range(1, n + 1) for c in itertools.combinations(range(n), k) if sum(nets[i] for i in c) == target}
+    most = 2 * (len(closures._lists(pool)) - 1)
+    few, out = list(closures._few(pool, target)), list(closures._few_left_out(pool, target))
+    assert len(set(few)) == len(few) and set(few) == {c for c in every if len(c) <= most}
+    assert len(set(out)) == len(out) and set(out) == {c for c in every if len(c) >= n - most}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(closures, "LISTED", 40)
+        patch.setattr(closures, "HALF", 4)
+        patch.setattr(closures, "BEGINNINGS", 5000)
+        most = 2 * (len(closures._lists(pool)) - 1)
+        assert set(closures._few(pool, target)) == {c for c in every if len(c) <= most}
+        ended = [False]
+        deep = list(closures._deep(pool, target, ended))
+        assert ended[0] and len(set(deep)) == len(deep) and set(deep) == every
+        assert closures.search(nets, target, 10**6, 2)[1:] == (True, "exhausted")
+
+
+def test_sets_of_a_large_pool():
+    """Eight rows of sixty; half of sixty; nearly all of three hundred; memory of equal amounts; one answer that just its own search proves."""
+    rng = random.Random(8)
+    values = [rng.randrange(10_000, 9_000_000) for _ in range(60)]
+    ids = [f"r{k:03}" for k in range(300)]
+    eight = tuple(sorted(rng.sample(ids[:60], 8)))
+    target = sum(values[int(i[1:])] for i in eight)
+    found, complete, status = subsets.closing_subsets(ids[:60], values, target)
+    assert eight in found and not complete and status in ("budget_exceeded", "cap_reached")
+    assert all(sum(values[int(i[1:])] for i in s) == target for s in found)
+    half = sum(values[:30])
+    found, complete, status = subsets.closing_subsets(ids[:60], values, half)
+    assert len(found) == 200 and (complete, status) == (False, "cap_reached") and all(sum(values[int(i[1:])] for i in s) == half for s in found)
+    many = [rng.randrange(1, 9_000_000) for _ in range(300)]
+    assert tuple(ids[3:]) in subsets.closing_subsets(ids, many, sum(many[3:]), cap=5000)[0]
+    tracemalloc.start()
+    found, complete, status = subsets.closing_subsets(ids, [500] * 300, 500 * 296)
+    assert len(found) == 200 and (complete, status) == (False, "cap_reached")
+    subsets.closing_subsets(ids, [500 + k % 7 for k in range(300)], 500 * 150)
+    subsets.closing_subsets(ids, many, sum(many[:90]))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    doubled = [2**k for k in range(60)]  # each sum has one set; bounds decide all large amounts
+    assert subsets.closing_subsets(ids[:60], doubled, 2**59 + 5) == ([(ids[0], ids[2], ids[59])], True, "exhausted")
+    assert subsets.closing_subsets(ids[:60], [2 * v for v in values], 2 * half + 1)[:2] == ([], True)
+    best, sets, proven = subsets.largest_under_cap(ids[:60], values, half)
+    assert (best, proven) == (half, True) and sets
+    assert subsets.largest_under_cap(ids[:60], doubled, 2**50 - 1)[0] <= 2**50 - 1
 
 
 def test_pools_too_large_to_gather(spark):
@@ -169,7 +214,8 @@ def test_cascade_third_stage_line_by_line(spark):
 @settings(max_examples=100, deadline=None)
 def test_largest_under_cap(nets, cap):
     ids = [f"r{k}" for k in range(len(nets))]
-    best, found = subsets.largest_under_cap(ids, nets, cap)
+    best, found, proven = subsets.largest_under_cap(ids, nets, cap)
+    assert proven
     sums = [sum(c) for n in range(len(nets) + 1) for c in itertools.combinations(nets, n)]
     assert best == max(s for s in sums if s <= cap)
     assert all(sum(nets[int(i[1:])] for i in c) == best for c in found)
@@ -527,3 +573,66 @@ def test_violations_are_raised(spark):
 def test_fixture_books_balance(spark):
     rows = fixtures.ledger(spark, "/root/testdata/sf0.001")
     assert rows.where("credit < 0 OR debit < 0").count() == 0 and rows.count() == rows.select("row_id").distinct().count()
+
+
+def test_journal_of_known_rows(spark):
+    """The fee includes its tax, a debit adjustment is a refund, entities that share a row id have a journal each, and other lines' rows stay out."""
+    rows = [(1, "a", "payment", 976, 0, 1000, 24, 4, "s1"), (1, "b", "adjustment", 0, 300, 300, None, None, "s1"), (1, "c", "refund", 0, 50, 50, 0, 0, "s1"), (1, "d", "payment", 500, 0, 500, None, None, "s2"),
+            (2, "a", "payment", 90, 0, 100, 10, 2, "s1"), (1, "a", "payment", 976, 0, 1000, 24, 4, "s1")]
+    ledger = spark.createDataFrame(rows, "entity long, row_id string, type string, credit long, debit long, amount long, fee long, tax long, settlement_id string")
+    outcomes = spark.createDataFrame([(1, "verified", "s1"), (1, "verified", "s1"), (1, "ambiguous", "s2"), (2, "reconstructed", "s1")], "entity long, kind string, settlement_id string")
+    own = aggregates.claimed_rows(ledger, outcomes)
+    lines = aggregates.journal(own)
+    assert sorted((r.entity, r.line, r.account, r.debit, r.credit) for r in lines.collect()) == [
+        (1, 1, "Bank", 626, 0), (1, 2, "Processing Fees", 24, 0), (1, 3, "Refund Liability", 350, 0), (1, 4, "PSP Clearing", 0, 1000),
+        (2, 1, "Bank", 90, 0), (2, 2, "Processing Fees", 10, 0), (2, 3, "Refund Liability", 0, 0), (2, 4, "PSP Clearing", 0, 100)]
+    assert all(r.balanced and r.tied for r in aggregates.journal_checks(lines, own).collect())
+
+
+def test_fees_of_cards(spark):
+    cases = [("Amex", "debit", 3), ("Amex", "credit", 3), ("Diners", "credit", 3), ("Diners", "debit", 2), ("RuPay", "debit", 0), ("RuPay", "credit", 2), ("Visa", "credit", 2), (None, None, 2)]
+    got = spark.createDataFrame([(n, t, a) for n, t, _ in cases for a in (1, 99_999, 10**9 + 1)], "n string, t string, a long").select("n", "t", "a", money.computed_fee(F.col("a"), F.col("n"), F.col("t")).alias("f"))
+    for r in got.collect():
+        bare = -(-r.a * next(p for n, t, p in cases if (n, t) == (r.n, r.t)) // 100)
+        assert (r.f.fee, r.f.tax) == (bare + -(-bare * 18 // 100), -(-bare * 18 // 100))
+    bare = spark.range(1).select(money.computed_fee(F.lit(1000), F.lit(None).cast("string"), F.lit(None).cast("string"), False).alias("f")).first().f
+    assert (bare.fee, bare.tax) == (20, 0)
+
+
+def test_grounds_of_the_supplier_alone(spark):
+    accrued = spark.createDataFrame([(1, m, 1000 + k, 180, 3) for k, m in enumerate(("2024-01", "2024-02", "2024-03"))] + [(2, "2024-01", 777, 9, 1)], "entity long, month string, fees long, taxes long, n_rows long")
+    invoices = [(1, "G", "g1", "2024-01", 1000, 180, False, False), (1, "G", "g2", "2024-02", 1001, 180, True, True), (1, "X", "x3", "2024-03", 999_999, 1, False, False), (1, "X", "x1", "2024-01", 5, 1, True, True), (2, "X", "y", "2024-01", 5, 1, False, False)]
+    gst = spark.createDataFrame(invoices, "entity long, gstin string, invoice_no string, filing_period string, taxable_value long, tax_total long, has_irn boolean, filed boolean")
+    assert sorted((r.entity, r.month, r.ground) for r in tax.months_at_risk(accrued, gst).collect()) == [(1, "2024-01", "gstr2b_37a_exposure"), (1, "2024-01", "gstr2b_no_irn"), (1, "2024-03", "gstr2b_absent")]
+    assert sorted((r.month, r.residual) for r in tax.residuals(accrued, gst).collect()) == [("2024-01", 0), ("2024-02", 0)]
+
+
+def test_settlements_of_two_moments_raise(spark):
+    rows = spark.createDataFrame([(1, "s", "a", 5), (1, "s", "b", 6), (1, None, "c", 7), (1, None, "d", 8)], "entity long, settlement_id string, row_id string, settled_at long").selectExpr("*", "'payment' AS type", "1L AS fee", "1L AS credit", "0L AS debit")
+    assert aggregates.batches(rows).count() == 1
+    assert aggregates.batches(rows.where("row_id <> 'b'"), one_moment=True).count() == 1
+    with pytest.raises(Exception, match="two values of settled_at in 1/s"):
+        aggregates.batches(rows, one_moment=True).collect()
+
+
+def test_nation_pools(spark):
+    """Sets found in pools of many settlements, added up again."""
+    from tallyloom.plans import resolution
+
+    nation = spark.read.parquet(f"{SF}/customer.parquet").toPandas().set_index("c_custkey").c_nationkey.to_dict()
+    rows = fixtures.ledger(spark, SF)
+    net = {r.settlement_id: (nation[r.entity], r.net) for r in fixtures.settlements(rows).collect()}
+    target: dict = {}
+    for r in fixtures.bank(rows).collect():
+        target[nation[r.entity]] = max(target.get(nation[r.entity], (0, 0)), (r.amount, r.bank_index))
+    found: dict = {}
+    for r in resolution.c1_nation_pools(spark, SF).collect():
+        found.setdefault(r.entity, []).append(r)
+        if r.row_ids:
+            assert sum(net[s][1] for s in r.row_ids.split("|")) == target[r.entity][0] and {net[s][0] for s in r.row_ids.split("|")} == {r.entity}
+    assert found.keys() == target.keys()
+    for n, (amount, index) in target.items():
+        single = {s for s, (of, v) in net.items() if of == n and v == amount}
+        ids = [r.row_ids for r in found[n] if r.row_ids]
+        assert len(set(ids)) == len(ids) and {r.bank_index for r in found[n]} == {index}
+        assert single <= set(ids) or len(ids) == subsets.CAP
