@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,50 +78,109 @@ def exact_then_tolerant(settled: DataFrame, lines: DataFrame) -> DataFrame:
     left = lines.where("amount > 0").join(first, ["entity", "bank_index"], "left_anti")
     free = settled.join(first, ["entity", "settlement_id"], "left_anti")
     near = joins.within_tolerance(left, free)
-    return first.unionByName(joins.greedy_matches(near).withColumn("stage", F.lit("tolerant")))
+    return first.unionByName(joins.greedy_matches(near, joins.conflict_components(left, free)).withColumn("stage", F.lit("tolerant")))
+
+
+def _on_the_axis(rows: DataFrame, ordered: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rows with the lines that may draw on them: from ``start``, the first one of their day or later, to ``used_seq``."""
+    own = _by_date(rows).join(taken, ["entity", "row_id"], "left")
+    zero = F.lit(0).cast("long")
+    days = ordered.groupBy("entity", F.col("value_day").alias("from_day")).agg(F.count(F.lit(1)).alias("n")).unionByName(own.select("entity", "from_day", zero.alias("n")).distinct())
+    days = days.groupBy("entity", "from_day").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("entity").orderBy("from_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("entity", "from_day", (F.coalesce(before, F.lit(0)) + 1).alias("start"))
+    return own.join(days, ["entity", "from_day"]).where("used_seq IS NULL OR used_seq >= start").select("entity", "row_id", "net", "start", "used_seq")
+
+
+def _alive(axis: DataFrame, ordered: DataFrame) -> DataFrame:
+    """entity, seq, pool, debits: rows that each line may draw on, and debits among them, from sums by line."""
+    one, debit = F.lit(1), F.when(F.col("net") < 0, 1).otherwise(0)
+    events = axis.select("entity", F.col("start").alias("seq"), one.alias("n"), debit.alias("d")).unionByName(
+        axis.where("used_seq IS NOT NULL").select("entity", (F.col("used_seq") + 1).alias("seq"), (-one).alias("n"), (-debit).alias("d")))
+    zero = F.lit(0)
+    events = events.unionByName(ordered.select("entity", "seq", zero.alias("n"), zero.alias("d"))).groupBy("entity", "seq").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    upto = Window.partitionBy("entity").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    counts = events.select("entity", "seq", F.sum("n").over(upto).alias("pool"), F.sum("d").over(upto).alias("debits"))
+    return ordered.join(counts, ["entity", "seq"])
 
 
-def reconstructed(rows: DataFrame, lines: DataFrame, matched: DataFrame, cap: int = subsets.CASCADE_CAP, **limits) -> tuple[DataFrame, DataFrame]:
+#: What the fold says of a line: verdict, candidates, and the rows that they name.
+FOLDED = "entity long, bank_index long, seq long, verdict string, n_candidates long, complete boolean, deferred long, named array<struct<row_id: string, certain: boolean>>"
+
+
+def _folded(cap: int, limits: dict):
+    """A run of rows and lines by entity and place on the axis; the state is what the entity has left, bounded by what a line may draw on."""
+
+    def run(batches):
+        at, left = None, {}
+        for batch in batches:
+            out = []
+            for entity, seq, index, known, target, row_id, net, used in zip(*(batch[c].to_pylist() for c in ("entity", "seq", "bank_index", "known", "target", "row_id", "net", "used_seq")), strict=True):
+                if entity != at:
+                    at, left = entity, {}
+                if index is None:
+                    left[row_id] = (net, used)
+                    continue
+                left = {i: x for i, x in left.items() if x[1] is None or x[1] >= seq}
+                found, complete, _ = subsets.closing_subsets(list(left), [x[0] for x in left.values()], target, cap, most_debits=True, **limits)
+                applied = max((sum(left[i][0] < 0 for i in s) for s in found), default=0)
+                verdict = "unresolved" if not found or len(found) == 1 and not complete else "ambiguous" if len(found) > 1 else "determinate"
+                counts: dict = {}
+                for s in found if verdict != "unresolved" else []:
+                    for i in s:
+                        counts[i] = counts.get(i, 0) + 1
+                deferred = sum(x[0] < 0 for x in left.values()) - applied
+                out.append((entity, index, seq, verdict, len(found), complete, deferred, [{"row_id": i, "certain": complete and n == len(found)} for i, n in sorted(counts.items())]))
+                if verdict == "determinate" and not known:
+                    left = {i: x for i, x in left.items() if i not in counts}
+            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in out], schema=ARROW)
+
+    NAMES = [c.split()[0] for c in FOLDED.split(", ", 7)]
+    long = pa.int64()
+    ARROW = pa.schema(list(zip(NAMES, [long, long, long, pa.string(), long, pa.bool_(), long, pa.list_(pa.struct([("row_id", pa.string()), ("certain", pa.bool_())]))], strict=True)))
+    return run
+
+
+def reconstructed(rows: DataFrame, lines: DataFrame, matched: DataFrame, cap: int = subsets.CASCADE_CAP, max_pool: int = subsets.MAX_POOL, **limits) -> tuple[DataFrame, DataFrame]:
     """The third stage: (one row per line: verdict, n_candidates, complete, deferred; rows that its candidates name).
 
-    Lines are taken by date. A line whose settlement is known takes that settlement's rows out of later
-    pools; another takes its own rows out if its search is determinate. So only determinate lines without
-    a settlement make later lines wait: a round settles each entity's lines up to the first of these, all
-    entities at once, and rounds go on while an entity has lines left.
+    Lines are taken by date. A line whose settlement is known takes that settlement's rows out of later pools; another
+    takes its own rows out if its search is determinate. So an entity's lines and rows are one run in order, which
+    streams through a task: jobs don't grow with lines. Pools are counted first, without what only the run will tell;
+    a line that may draw on more than ``max_pool`` rows isn't searched, its single rows are found by an equi-join, and
+    only rows that a searched line may draw on enter the run. So its state has ``max_pool`` rows at most, also for an
+    entity with a third of all rows.
 
     The second table has entity, bank_index, seq, row_id and whether the row is in all candidates (certain).
     """
-    ordered = kept(windows.processing_order(lines).join(matched.select("entity", "bank_index", "settlement_id"), ["entity", "bank_index"], "left"), "stage3-lines")
-    taken = rows.where("settlement_id IS NOT NULL").join(ordered.where("settlement_id IS NOT NULL").select("entity", "settlement_id", "seq"), ["entity", "settlement_id"])
-    taken = kept(taken.groupBy("entity", "row_id").agg(F.min("seq").alias("used_seq")), "stage3-consumed")
-    open_, decided, named = ordered, [], []
-    while True:
-        pool = date_pool(rows, open_).join(taken, ["entity", "row_id"], "left").join(open_.select("entity", "bank_index", "seq"), ["entity", "bank_index"])
-        pool = pool.where("used_seq IS NULL OR used_seq >= seq").select("entity", "bank_index", "target", "row_id", "net")
-        # a line without a pool is a line all the same
-        whole = open_.select("entity", "bank_index", F.col("amount").alias("target")).join(pool.drop("target"), ["entity", "bank_index"], "left")
-        found = kept(subsets.fewest_deferred(whole, cap, **limits), "stage3-candidates")
-        debits = pool.groupBy("entity", "bank_index").agg(F.count_if(F.col("net") < 0).alias("n_debits_there"))
-        t = found.groupBy("entity", "bank_index").agg(F.count("candidate").alias("n_candidates"), F.every("complete").alias("complete"), F.max("n_debits").alias("applied"))
-        verdict = F.when(F.col("n_candidates") == 0, "unresolved").when(F.col("n_candidates") > 1, "ambiguous").when(F.col("complete"), "determinate").otherwise("unresolved")
-        t = open_.join(t, ["entity", "bank_index"]).join(debits, ["entity", "bank_index"], "left").select(
-            "entity", "bank_index", "seq", "settlement_id", verdict.alias("verdict"), "n_candidates", "complete", (F.coalesce("n_debits_there", F.lit(0)) - F.coalesce("applied", F.lit(0))).alias("deferred"))
-        t = kept(t, "stage3-round")
-        stops = t.where("verdict = 'determinate' AND settlement_id IS NULL").groupBy("entity").agg(F.min("seq").alias("stop"))
-        done = kept(t.join(stops, "entity", "left").where("stop IS NULL OR seq <= stop").drop("stop"), "stage3-done")
-        decided.append(done)
-        of = found.where("candidate IS NOT NULL").drop("complete").join(done.where("verdict <> 'unresolved'").select("entity", "bank_index", "seq", "n_candidates", "complete", "settlement_id", "verdict"), ["entity", "bank_index"])
-        rows_of = of.select("entity", "bank_index", "seq", "n_candidates", "complete", "settlement_id", "verdict", F.explode(F.split("row_ids", "[|]")).alias("row_id"))
-        share = rows_of.groupBy("entity", "bank_index", "seq", "row_id", "settlement_id", "verdict").agg((F.first("complete") & (F.count(F.lit(1)) == F.first("n_candidates"))).alias("certain"))
-        share = kept(share, "stage3-rows")
-        named.append(share.select("entity", "bank_index", "seq", "row_id", "certain"))
-        left = open_.join(done.select("entity", "bank_index"), ["entity", "bank_index"], "left_anti")
-        if left.isEmpty():
-            break
-        own = share.where("verdict = 'determinate' AND settlement_id IS NULL").select("entity", "row_id", F.col("seq").alias("used_seq"))
-        taken = kept(taken.unionByName(own).groupBy("entity", "row_id").agg(F.min("used_seq").alias("used_seq")), "stage3-consumed")
-        open_ = kept(left, "stage3-open")
-    return reduce(DataFrame.unionByName, decided), reduce(DataFrame.unionByName, named)
+    ordered = windows.processing_order(lines).join(matched.select("entity", "bank_index", "settlement_id"), ["entity", "bank_index"], "left")
+    ordered = kept(ordered.select("entity", "bank_index", "amount", "value_day", "settlement_id", "seq"), "stage3-lines")
+    of = rows.where("settlement_id IS NOT NULL").join(ordered.where("settlement_id IS NOT NULL").select("entity", "settlement_id", "seq"), ["entity", "settlement_id"])
+    taken = of.groupBy("entity", "row_id").agg(F.min("seq").alias("used_seq"))
+    axis = kept(_on_the_axis(rows, ordered, taken), "stage3-rows")
+    pools = kept(_alive(axis, ordered), "stage3-pools")
+    small, large = pools.where(F.col("pool") <= max_pool), pools.where(F.col("pool") > max_pool)
+    later = Window.partitionBy("entity").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
+    places = pools.select("entity", F.col("seq").alias("start"), F.min(F.when(F.col("pool") <= max_pool, F.col("seq"))).over(later).alias("asked"))
+    drawn = axis.join(places, ["entity", "start"]).where("asked <= coalesce(used_seq, asked)")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    events = small.select("entity", "seq", "bank_index", F.col("settlement_id").isNotNull().alias("known"), F.col("amount").alias("target"), none("string", "row_id"), none("long", "net"), none("long", "used_seq")).unionByName(
+        drawn.select("entity", F.col("start").alias("seq"), none("long", "bank_index"), none("boolean", "known"), none("long", "target"), "row_id", "net", "used_seq"))
+    run = events.repartition("entity").sortWithinPartitions("entity", "seq", F.asc_nulls_first("bank_index"), "row_id")
+    folded = kept(run.mapInArrow(_folded(cap, limits), FOLDED), "stage3-folded")
+    own = folded.where("verdict = 'determinate'").join(ordered.where("settlement_id IS NULL").select("entity", "bank_index"), ["entity", "bank_index"], "left_semi")
+    own = own.select("entity", F.explode("named.row_id").alias("row_id"), F.col("seq").alias("own_seq"))
+    then = axis.join(own, ["entity", "row_id"], "left").withColumn("used_seq", F.least("used_seq", "own_seq")).drop("own_seq")
+    alone = large.select("entity", "bank_index", "seq", F.col("amount").alias("net")).join(then, ["entity", "net"]).where("start <= seq AND (used_seq IS NULL OR used_seq >= seq)")
+    alone = alone.withColumn("k", F.row_number().over(Window.partitionBy("entity", "bank_index").orderBy("row_id"))).where(F.col("k") <= cap)
+    alone = alone.groupBy("entity", "bank_index").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("net") < 0).cast("int")).alias("applied"), F.array_sort(F.collect_list(F.struct("row_id", F.lit(False).alias("certain")))).alias("named"))
+    rest = _alive(then, ordered).join(large.select("entity", "bank_index"), ["entity", "bank_index"], "left_semi").join(alone, ["entity", "bank_index"], "left")
+    n = F.coalesce("n", F.lit(0))
+    rest = rest.select("entity", "bank_index", "seq", F.when(n > 1, "ambiguous").otherwise("unresolved").alias("verdict"), n.alias("n_candidates"), F.lit(False).alias("complete"),
+                       (F.col("debits") - F.coalesce("applied", F.lit(0))).alias("deferred"), F.when(n > 1, F.col("named")).alias("named"))
+    every = folded.unionByName(rest)
+    decided = every.join(ordered.select("entity", "bank_index", "settlement_id"), ["entity", "bank_index"]).select("entity", "bank_index", "seq", "settlement_id", "verdict", "n_candidates", "complete", "deferred")
+    return decided, every.select("entity", "bank_index", "seq", F.inline("named"))
 
 
 def assigned_and_contested(named: DataFrame) -> tuple[DataFrame, DataFrame]:

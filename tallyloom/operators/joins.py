@@ -61,26 +61,72 @@ def within_tolerance(lines: DataFrame, settled: DataFrame, days: int = 1) -> Dat
         "n_candidates", F.count(F.lit(1)).over(Window.partitionBy("entity", "bank_index")))
 
 
-def greedy_matches(near: DataFrame) -> DataFrame:
+def conflict_components(lines: DataFrame, settled: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """entity, bank_index, component: lines of two components have no settlement within tolerance in common.
+
+    A line is a point on its entity's axis of amounts and a settlement the interval of its tolerance; where no interval
+    reaches the next one, a component ends. An axis is cut into bands of ``width``: a band's items are one sorted run,
+    and how far the bands before reach comes from one row a band, so no task meets a whole entity.
+    """
+    points = lines.select("entity", F.col("amount").alias("low"), F.col("amount").alias("high"), "bank_index")
+    reach = settled.select("entity", (F.col("net") - F.col("n_rows")).alias("low"), (F.col("net") + F.col("n_rows")).alias("high"), F.lit(None).cast("long").alias("bank_index"))
+    items = points.unionByName(reach).withColumn("band", F.floor(F.col("low") / width))
+    before = Window.partitionBy("entity").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = items.groupBy("entity", "band").agg(F.max("high").alias("reached")).withColumn("carried", F.max("reached").over(before)).drop("reached")
+    order = Window.partitionBy("entity", "band").orderBy("low", "high")
+    earlier = F.greatest(F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)), "carried")
+    begun = items.join(bands, ["entity", "band"]).withColumn("begins", F.when(earlier.isNull() | (F.col("low") > earlier), F.col("low")))
+    last = begun.groupBy("entity", "band").agg(F.max("begins").alias("last")).withColumn("open", F.max("last").over(before)).drop("last")
+    upto = Window.partitionBy("entity", "band").orderBy("low").rangeBetween(Window.unboundedPreceding, 0)  # with all that begin at the same place
+    component = F.coalesce(F.max("begins").over(upto), "open")
+    return begun.join(last, ["entity", "band"]).select("entity", "bank_index", component.alias("component")).where("bank_index IS NOT NULL")
+
+
+def greedy_matches(near: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """entity, bank_index, settlement_id: lines in file order, each taking its settlement if just one is left for it.
 
-    A taken settlement is gone for the lines after. A line can be settled once no earlier open line has a
-    settlement in common with it; all such lines are settled at once, and rounds go on while lines are open.
+    A taken settlement is gone for the lines after, so lines that may want the same ones are taken in order: the pairs
+    of each component (entity, bank_index, component; an entity without them) are one sorted run that streams through
+    a task, whose state is what this component has taken. However long a chain of lines is, the jobs are the same.
     """
-    from functools import reduce
-
-    from .storage import kept
-
-    open_, taken = kept(near.select("entity", "bank_index", "settlement_id"), "greedy-open"), []
-    while not open_.isEmpty():
-        first = open_.groupBy("entity", "settlement_id").agg(F.min("bank_index").alias("first"))
-        lines = open_.join(first, ["entity", "settlement_id"]).groupBy("entity", "bank_index").agg(
-            F.every(F.col("first") == F.col("bank_index")).alias("ready"), F.count(F.lit(1)).alias("n"), F.min("settlement_id").alias("settlement_id"))
-        lines = kept(lines.where("ready"), "greedy-ready")
-        taken.append(lines.where("n = 1").select("entity", "bank_index", "settlement_id"))
-        rest = open_.join(lines.select("entity", "bank_index"), ["entity", "bank_index"], "left_anti")
-        open_ = kept(rest.join(taken[-1].select("entity", "settlement_id"), ["entity", "settlement_id"], "left_anti").select(*open_.columns), "greedy-open")
-    return reduce(DataFrame.unionByName, taken) if taken else open_
+    import pyarrow as pa
+
+    pairs = near.select("entity", "bank_index", "settlement_id")
+    if components is None:
+        pairs = pairs.withColumn("component", F.lit(0).cast("long"))
+    else:
+        pairs = pairs.join(components, ["entity", "bank_index"])
+    kinds = {f.name: f.dataType.simpleString() for f in near.schema}
+
+    def run(batches):
+        at, line, left, taken = None, None, [], set()
+
+        def settle():
+            if len(left) == 1:
+                taken.add(left[0])
+                return [(*line, left[0])]
+            return []
+
+        for batch in batches:
+            out = []
+            for entity, component, index, settlement in zip(*(batch[c].to_pylist() for c in ("entity", "component", "bank_index", "settlement_id")), strict=True):
+                if line != (entity, index):
+                    out += settle()
+                    if at != (entity, component):
+                        at, taken = (entity, component), set()
+                    line, left = (entity, index), []
+                if settlement not in taken and settlement not in left:
+                    left.append(settlement)
+            yield made(out, batch)
+        if line is not None:
+            yield made(settle(), batch)
+
+    def made(out, batch):
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(n).type) for c, n in zip(columns, ("entity", "bank_index", "settlement_id"), strict=True)], names=["entity", "bank_index", "settlement_id"])
+
+    ordered = pairs.repartition("entity", "component").sortWithinPartitions("entity", "component", "bank_index", "settlement_id")
+    return ordered.mapInArrow(run, f"entity {kinds['entity']}, bank_index {kinds['bank_index']}, settlement_id {kinds['settlement_id']}")
 
 
 def erp_gap_candidates(without: DataFrame, orphans: DataFrame, basis_points: int = 200, days: int = 3) -> DataFrame:

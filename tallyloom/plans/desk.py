@@ -120,7 +120,8 @@ def f19_bare_sql(spark, sf):
 
 def j5_greedy(spark, sf):
     rows = X.ledger(spark, sf)
-    return J.greedy_matches(J.within_tolerance(X.bank(rows), JOINS._settled(rows)))
+    lines, settled = X.bank(rows), JOINS._settled(rows)
+    return J.greedy_matches(J.within_tolerance(lines, settled), J.conflict_components(lines, settled))
 
 
 def g8_reconstructible_abstentions(spark, sf):

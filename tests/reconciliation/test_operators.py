@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.functions import calendar, money, text
-from tallyloom.operators import aggregates, audit, closures, gates, joins, resolver, store, subsets, tax
+from tallyloom.operators import aggregates, audit, cascade, closures, gates, joins, resolver, store, subsets, tax
 from tallyloom.plans import fixtures
 from tallyloom.sources import files, statements
 from tallyloom.streaming import ingest
@@ -636,3 +636,67 @@ def test_nation_pools(spark):
         ids = [r.row_ids for r in found[n] if r.row_ids]
         assert len(set(ids)) == len(ids) and {r.bank_index for r in found[n]} == {index}
         assert single <= set(ids) or len(ids) == subsets.CAP
+
+
+def jobs_of(spark, work):
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    out = work()
+    spark.sparkContext.setJobGroup("rest", "others")
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_long_chains_take_the_same_jobs(spark):
+    """Each line waits for the one before: ten thousand lines within tolerance, three thousand subset searches."""
+    counts = {}
+    for n in (100, 10_000):
+        lines = spark.range(n).selectExpr("7L AS entity", "id AS bank_index", "10 * id AS amount", "5L AS value_day")
+        settled = spark.range(n).selectExpr("7L AS entity", "concat('s', id) AS settlement_id", "10 * id + 5 AS net", "5L AS n_rows", "5L AS expected_day")
+        near = joins.within_tolerance(lines, settled)
+        got, counts[n] = jobs_of(spark, lambda near=near, lines=lines, settled=settled: joins.greedy_matches(near, joins.conflict_components(lines, settled)).collect())
+        assert {(r.bank_index, r.settlement_id) for r in got} == {(k, f"s{k}") for k in range(n)}
+    assert counts[10_000] <= counts[100] + 3
+    for n in (100, 3000):
+        ledger = spark.range(n).selectExpr("7L AS entity", "concat('r', lpad(id, 5, '0')) AS row_id", "'refund' AS type", "'p' AS payment_id", "1000L + id % 3 AS credit", "0L AS debit", "1L AS amount", "0L AS fee", "false AS on_hold", "id * 86400 AS created_at", "CAST(NULL AS STRING) AS settlement_id")
+        lines = spark.range(n).selectExpr("7L AS entity", "id AS bank_index", "1000L + id % 3 AS amount", "id AS value_day")
+        none = spark.createDataFrame([], "entity long, bank_index long, settlement_id string")
+        (decided, named), counts[n] = jobs_of(spark, lambda ledger=ledger, lines=lines: cascade.reconstructed(ledger, lines, none))
+        assert {(r.bank_index, r.verdict) for r in decided.collect()} == {(k, "determinate") for k in range(n)}
+        assert {(r.bank_index, r.row_id) for r in named.collect()} == {(k, f"r{k:05}") for k in range(n)}
+    assert counts[3000] <= counts[100] + 3
+
+
+def test_components_part_lines_without_a_common_settlement(spark):
+    rng = random.Random(5)
+    lines = [(e, k, rng.randrange(0, 400_000 if e else 9_000), rng.randrange(3)) for e in range(3) for k in range(150)]
+    settled = [(e, f"s{k}", rng.randrange(0, 400_000 if e else 9_000), rng.randrange(1, 60), rng.randrange(3)) for e in range(3) for k in range(120)]
+    a = spark.createDataFrame(lines, "entity long, bank_index long, amount long, value_day long")
+    b = spark.createDataFrame(settled, "entity long, settlement_id string, net long, n_rows long, expected_day long")
+    for width in (1 << 20, 1000):
+        of = {(r.entity, r.bank_index): r.component for r in joins.conflict_components(a, b, width).collect()}
+        assert of.keys() == {x[:2] for x in lines}
+        for e in range(3):
+            items = sorted([(v, v, k) for i, k, v, _ in lines if i == e] + [(v - n, v + n, None) for i, _, v, n, _ in settled if i == e], key=lambda x: x[:2])
+            want, at, reach = {}, None, -1000
+            for low, high, k in items:
+                if low > reach:
+                    at = low
+                reach = max(reach, high)
+                if k is not None:
+                    want[k] = at
+            assert {k: c for (i, k), c in of.items() if i == e} == want
+    near = joins.within_tolerance(a, b)
+    assert sorted(map(tuple, joins.greedy_matches(near).collect())) == sorted(map(tuple, joins.greedy_matches(near, joins.conflict_components(a, b, 1000)).collect()))
+    assert joins.greedy_matches(near.limit(0), joins.conflict_components(a, b)).count() == 0
+
+
+def test_third_stage_beyond_the_pool_bound(spark):
+    """A line with a large pool is told of single rows alone; one after it, when settlements have taken their rows, is searched."""
+    rows = [(1, f"r{k:02}", "refund", "p", 100 + k, 0, 1, 0, False, 0, "s" if k < 10 else None) for k in range(14)]
+    ledger = spark.createDataFrame(rows, "entity long, row_id string, type string, payment_id string, credit long, debit long, amount long, fee long, on_hold boolean, created_at long, settlement_id string")
+    lines = spark.createDataFrame([(1, 1, 113, 1), (1, 2, 5, 2), (1, 3, 221, 3), (1, 4, 113, 4)], "entity long, bank_index long, amount long, value_day long")
+    matched = spark.createDataFrame([(1, 2, "s")], "entity long, bank_index long, settlement_id string")
+    decided, named = cascade.reconstructed(ledger, lines, matched, max_pool=5)
+    got = {r.bank_index: (r.verdict, r.n_candidates, r.complete) for r in decided.collect()}
+    assert got == {1: ("unresolved", 1, False), 2: ("unresolved", 0, False), 3: ("determinate", 1, True), 4: ("determinate", 1, True)}
+    assert {(r.bank_index, r.row_id, r.certain) for r in named.collect()} == {(3, "r10", True), (3, "r11", True), (4, "r13", True)}
