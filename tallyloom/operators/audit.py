@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from itertools import combinations
 
@@ -253,3 +254,46 @@ def assigned_pairs(costs: list[list[int]], limit: int = 10_000) -> list[tuple[in
         while at:
             row_of[at], at = row_of[came[at]], came[at]
     return sorted((row_of[j] - 1, j - 1, costs[row_of[j] - 1][j - 1], costs[row_of[j] - 1][j - 1] <= limit) for j in range(1, m + 1) if row_of[j])
+
+
+def cheapest_pairs(edges: list[tuple[object, object, int]], limit: int) -> list[tuple[object, object, int]]:
+    """The one-to-one pairing among ``edges`` (left, right, cost) that costs least if a left one without a partner costs ``limit``.
+
+    Each left one may also take a place of its own at that cost; one after the other gets the cheapest way to make room.
+    """
+    near: dict = {}
+    for i, j, cost in edges:
+        near.setdefault(i, {})[j] = min(cost, near.get(i, {}).get(j, cost))
+    u: dict = {}
+    v: dict = {}
+    holder: dict = {}
+    held: dict = {}
+    for start in sorted(near):
+        ways = lambda i: [*near[i].items(), ((None, i), limit)]
+        u[start] = min(cost - v.get(j, 0) for j, cost in ways(start))
+        least, came, done, closed, heap, at, base = {}, {}, [], set(), [], start, 0
+        while True:
+            for j, cost in ways(at):
+                far = base + cost - u[at] - v.get(j, 0)
+                if far < least.get(j, math.inf):
+                    least[j], came[j] = far, at
+                    heapq.heappush(heap, (far, str(j), j))
+            far, _, j = heapq.heappop(heap)
+            while j in closed:
+                far, _, j = heapq.heappop(heap)
+            closed.add(j)
+            base = far
+            if j not in holder:
+                break
+            done.append(j)
+            at = holder[j]
+        for k in done:
+            v[k] = v.get(k, 0) - (base - least[k])
+            u[holder[k]] += base - least[k]
+        u[start] += base
+        while True:
+            i = came[j]
+            holder[j], held[i], j = i, j, held.get(i)
+            if i == start:
+                break
+    return sorted((i, j, near[i][j]) for i, j in held.items() if j in near[i])

@@ -259,20 +259,61 @@ def routed_exceptions(found: DataFrame) -> DataFrame:
     return routed.withColumn("entry", F.replace("form", F.lit("{}"), money.inr(F.col("amount")))).drop("form")
 
 
-def residual_pairs(without: DataFrame, orphans: DataFrame, limit: int = 10_000, most: int = 200) -> DataFrame:
+def _clusters(without: DataFrame, orphans: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``cluster``: items of two clusters of an entity are farther apart than ``reach`` in amount, or than its days."""
+    day_reach = max(0, reach) // 1_000
+    both = without.select("entity", "row_id", "amount", "day", F.lit(0).alias("side")).unionByName(orphans.select("entity", F.col("order_id").alias("row_id"), "amount", F.col("invoice_day").alias("day"), F.lit(1).alias("side")))
+    for column, gap, keys in (("amount", max(0, reach), ["entity"]), ("day", day_reach, ["entity", "c_amount"])):
+        order = Window.partitionBy(*keys).orderBy(column)
+        begins = F.col(column) - F.lag(column).over(order) > gap
+        both = both.withColumn("begins", F.when(F.coalesce(begins, F.lit(True)), F.col(column)))
+        both = both.withColumn(f"c_{column}", F.max("begins").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("cluster", F.struct("c_amount", "c_day")).select("entity", "row_id", "side", "cluster")
+    of = lambda df, side, name: df.join(both.where(F.col("side") == side).select("entity", F.col("row_id").alias(name), "cluster"), ["entity", name])
+    return of(without, 0, "row_id"), of(orphans, 1, "order_id")
+
+
+def _edges(payments: DataFrame, orders: DataFrame, limit: int) -> DataFrame:
+    """entity, cluster, row_id, order_id, cost of the pairs of a cluster that can be accepted: an equi-join on bands of amount."""
+    width = max(1, limit - 1_000_000)
+    band = lambda c: F.call_function("div", c, F.lit(width))
+    a = payments.withColumn("band", band(F.col("amount")))
+    b = orders.withColumnRenamed("amount", "order_amount").withColumn("band", F.explode(F.array(*(band(F.col("order_amount")) + k for k in (-1, 0, 1)))))
+    cost = F.abs(F.col("amount") - F.col("order_amount")) + 1_000 * F.abs(F.col("day") - F.col("invoice_day")) + 1_000_000
+    return a.join(b, ["entity", "cluster", "band"]).select("entity", "cluster", "row_id", "order_id", cost.alias("cost")).where(F.col("cost") <= limit)
+
+
+def residual_pairs(without: DataFrame, orphans: DataFrame, limit: int = 10_000, most: int = 200, most_edges: int = 100_000) -> DataFrame:
     """The cheapest one-to-one pairing of payments without an order with orders without a payment, by entity.
 
     Cost: difference in paise, plus 1,000 a day, plus 1,000,000 as no identifier is shared; accepted up to
-    ``limit``. The assignment needs all pairs of an entity at once, so an entity with more than ``most`` of
-    either isn't searched: each of its payments has a row that says so (status ``not_searched``), as a
-    payment without a partner has one (``unpaired``).
+    ``limit``. An entity with more than ``most`` of either side is parted where amounts, or days, lie so far apart that no
+    pair across could be accepted, and each cluster is paired by itself. A cluster that is still larger is paired among
+    the pairs that can be accepted, a payment without a partner costing ``limit``; if these are more than ``most_edges``,
+    which are too many for one search, its payments say so (``not_searched``). What has no partner is ``unpaired``.
     """
-    counts = lambda df, name: df.groupBy("entity").agg(F.count(F.lit(1)).alias(name))
+    counts = lambda df, name, *by: df.groupBy("entity", *by).agg(F.count(F.lit(1)).alias(name))
     sizes = counts(without, "n").join(counts(orphans, "m"), "entity", "left")
-    large = sizes.where((F.col("n") > most) | (F.coalesce("m", F.lit(0)) > most)).select("entity")
-    small = lambda df: df.join(large, "entity", "left_anti")
-    a = small(without).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("row_id", "amount", "day"))).alias("a"))
-    b = small(orphans).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("order_id", "amount", "invoice_day"))).alias("b"))
+    large = kept(sizes.where((F.col("n") > most) | (F.coalesce("m", F.lit(0)) > most)).select("entity"), "large-entities")
+    none = F.lit(None).cast("long")
+    one = lambda df: df.join(large, "entity", "left_anti").withColumn("cluster", F.struct(none.alias("c_amount"), none.alias("c_day")))
+    far_a, far_b = _clusters(without.join(large, "entity", "left_semi"), orphans.join(large, "entity", "left_semi"), limit - 1_000_000)
+    every_a, every_b = kept(one(without).unionByName(far_a), "payments-by-cluster"), kept(one(orphans).unionByName(far_b), "orders-by-cluster")
+    parts = counts(every_a, "n", "cluster").join(counts(every_b, "m", "cluster"), ["entity", "cluster"])
+    large = kept(parts.where((F.col("n") > most) | (F.col("m") > most)).select("entity", "cluster"), "large-clusters")
+    only = lambda df: df.join(large, ["entity", "cluster"], "left_semi")
+    edges = kept(_edges(only(every_a), only(every_b), limit), "acceptable-pairs")
+    many = edges.groupBy("entity", "cluster").agg(F.count(F.lit(1)).alias("n_edges")).where(F.col("n_edges") > most_edges).select("entity", "cluster", F.lit(True).alias("large"))
+    few = edges.join(many, ["entity", "cluster"], "left_anti").groupBy("entity", "cluster").agg(F.collect_list(F.struct("row_id", "order_id", "cost")).alias("edges"))
+
+    def sparse(batches):
+        for pdf in batches:
+            out = [(entity, i, j, c, True) for entity, of in zip(pdf.entity, pdf.edges, strict=True) for i, j, c in audit.cheapest_pairs([(e["row_id"], e["order_id"], e["cost"]) for e in of], limit)]
+            yield pd.DataFrame(out, columns=["entity", "row_id", "order_id", "cost", "accepted"])
+
+    small = parts.where((F.col("n") <= most) & (F.col("m") <= most)).select("entity", "cluster")
+    a = every_a.join(small, ["entity", "cluster"], "left_semi").groupBy("entity", "cluster").agg(F.sort_array(F.collect_list(F.struct("row_id", "amount", "day"))).alias("a"))
+    b = every_b.join(small, ["entity", "cluster"], "left_semi").groupBy("entity", "cluster").agg(F.sort_array(F.collect_list(F.struct("order_id", "amount", "invoice_day"))).alias("b"))
 
     def run(parts):
         for pdf in parts:
@@ -282,8 +323,10 @@ def residual_pairs(without: DataFrame, orphans: DataFrame, limit: int = 10_000,
                 out += [(entity, left[i]["row_id"], right[j]["order_id"], c, ok) for i, j, c, ok in audit.assigned_pairs(costs, limit)]
             yield pd.DataFrame(out, columns=["entity", "row_id", "order_id", "cost", "accepted"])
 
-    pairs = kept(a.join(b, "entity").select("entity", "a", "b").mapInPandas(run, "entity long, row_id string, order_id string, cost long, accepted boolean"), "residual-pairs")
-    rest = without.join(pairs, ["entity", "row_id"], "left_anti").join(large.withColumn("large", F.lit(True)), "entity", "left")
+    paired = "entity long, row_id string, order_id string, cost long, accepted boolean"
+    pairs = a.join(b, ["entity", "cluster"]).select("entity", "a", "b").mapInPandas(run, paired)
+    pairs = kept(pairs.unionByName(few.select("entity", "edges").mapInPandas(sparse, paired)), "residual-pairs")
+    rest = every_a.join(pairs, ["entity", "row_id"], "left_anti").join(many, ["entity", "cluster"], "left")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rest = rest.select("entity", "row_id", none("string", "order_id"), none("long", "cost"), F.lit(False).alias("accepted"), F.when(F.col("large"), "not_searched").otherwise("unpaired").alias("status"))
     return pairs.withColumn("status", F.when(F.col("accepted"), "paired").otherwise("refused")).unionByName(rest)

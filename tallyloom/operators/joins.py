@@ -167,29 +167,35 @@ def netted_out(rows: DataFrame, by_date: bool = False) -> DataFrame:
 def reversals(lines: DataFrame, days: int = 7) -> DataFrame:
     """Debit lines paired one to one with the earliest open credit of the same amount that isn't older than ``days``.
 
-    The pairing is greedy in order of date, so the lines of one amount form a queue: each entity's
-    lines of one absolute amount are one small group.
+    The pairing is greedy in order of date, so an entity's lines of one absolute amount are a queue, which streams
+    through a task in order: its state is the open credits of the last ``days`` days, oldest first.
     """
-    import pandas as pd
+    from collections import deque
+
+    import pyarrow as pa
+
+    names = ["entity", "credit_index", "debit_index", "days"]
 
     def run(batches):
-        for groups in batches:
+        at, open_ = None, deque()
+        for batch in batches:
             out = []
-            for entity, queue in zip(groups.entity, groups.queue, strict=True):
-                open_ = []
-                for r in queue:
-                    if r["amount"] > 0:
-                        open_.append(r)
-                        continue
-                    hit = next((c for c in open_ if 0 <= r["value_day"] - c["value_day"] <= days), None)
-                    if hit is not None:
-                        open_.remove(hit)
-                        out.append((entity, hit["bank_index"], r["bank_index"], r["value_day"] - hit["value_day"]))
-            yield pd.DataFrame(out, columns=["entity", "credit_index", "debit_index", "days"])
-
-    queue = F.array_sort(F.collect_list(F.struct("value_day", "bank_index", "amount")))
-    both = lines.where("amount <> 0").groupBy("entity", F.abs("amount").alias("__abs")).agg(queue.alias("queue"), F.size(F.collect_set(F.signum("amount"))).alias("signs"))
-    return both.where("signs = 2").select("entity", "queue").mapInPandas(run, "entity long, credit_index long, debit_index long, days long")
+            for entity, size, day, index, amount in zip(*(batch[c].to_pylist() for c in ("entity", "size", "value_day", "bank_index", "amount")), strict=True):
+                if (entity, size) != at:
+                    at, open_ = (entity, size), deque()
+                while open_ and day - open_[0][0] > days:
+                    open_.popleft()
+                if amount > 0:
+                    open_.append((day, index))
+                elif open_:
+                    made, credit = open_.popleft()
+                    out.append((entity, credit, index, day - made))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    queue = lines.where("amount <> 0").select("entity", F.abs("amount").alias("size"), "value_day", "bank_index", "amount")
+    ordered = queue.repartition("entity", "size").sortWithinPartitions("entity", "size", "value_day", "bank_index", "amount")
+    return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def run_difference(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:

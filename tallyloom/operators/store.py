@@ -56,6 +56,43 @@ def merged_history(history: DataFrame, sightings: DataFrame, entity: int, seq: i
         F.when(there, None).when(own & F.col("closed_seq").isNull(), seq).otherwise(F.col("closed_seq")).alias("closed_seq"))
 
 
+def upsert_history(path: str, sightings: DataFrame, entity: int, seq: int, buckets: int = 64) -> list[int]:
+    """Merges a run into the history stored at ``path`` and says which buckets it wrote anew.
+
+    The table is partitioned by a bucket of the row id. Only buckets that hold a row which the run sees, or an open
+    break of its entity, are read and merged; of these, those whose digest changes are overwritten by themselves. So a run
+    costs what it touches, and merging it twice writes nothing. Buckets are a parameter of the table and stay as they
+    are. One run is merged at a time; a job that ends early leaves each bucket whole, before or after, and is repeated.
+    """
+    from pyspark.errors import AnalysisException
+
+    from .storage import kept
+
+    spark = sightings.sparkSession
+    bucket = F.pmod(F.xxhash64("row_id"), F.lit(buckets)).cast("int")
+    schema = "row_id string, entity long, first_seq long, last_seq long, closed_seq long, bucket int"
+    try:
+        stored = spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # the first run
+        stored = spark.createDataFrame([], schema)
+    seen = sightings.select("row_id").distinct().withColumn("bucket", bucket)
+    asked = seen.select("bucket").unionByName(stored.where((F.col("entity") == entity) & F.col("closed_seq").isNull()).select("bucket")).distinct()
+    asked = [r.bucket for r in asked.collect()]  # a parameter of the table bounds them
+    before = stored.where(F.col("bucket").isin(asked))
+    after = kept(merged_history(before.drop("bucket"), seen, entity, seq).withColumn("bucket", bucket), "merged-history")
+    values = [c.split()[0] for c in schema.split(", ")]
+    digest = lambda df, name: df.groupBy("bucket").agg(F.struct(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64(*values), F.lit(1 << 31))), F.bit_xor(F.xxhash64(*values))).alias(name))
+    both = digest(after, "new").join(digest(before.select(*values), "old"), "bucket", "left")
+    changed = sorted(r.bucket for r in both.where(~F.col("new").eqNullSafe(F.col("old"))).collect())
+    if changed:
+        after.where(F.col("bucket").isin(changed)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return changed
+
+
+def stored_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("row_id string, entity long, first_seq long, last_seq long, closed_seq long, bucket int").parquet(path).drop("bucket")
+
+
 def open_by_bucket(found: DataFrame) -> DataFrame:
     """Open breaks by age; all four buckets are there."""
     names = found.sparkSession.createDataFrame([(b,) for b in ("0-30", "31-60", "61-90", "90+")], "bucket string")
@@ -111,17 +148,58 @@ def filtered_lines(lines: DataFrame, query: str, aged: DataFrame | None = None)
     return out
 
 
+#: What a question may be made of: nodes of the parsed plan, and functions. Everything else is refused.
+ALLOWED_NODES = frozenset("""Project Filter Aggregate Sort Join SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation OneRowRelation UnresolvedInlineTable
+    GlobalLimit LocalLimit Offset Distinct Union Intersect Except UnresolvedHaving WithWindowDefinition Generate""".split())
+ALLOWED_FUNCTIONS = frozenset("""abs any_value array array_contains array_distinct array_join array_sort avg bool_and bool_or ceil ceiling char_length coalesce collect_list collect_set
+    concat concat_ws contains count count_if current_date date date_add date_diff date_format date_sub date_trunc day dayofweek dense_rank div endswith every
+    exists explode filter first first_value floor from_unixtime get_json_object greatest if ifnull in initcap instr isnotnull isnull lag last last_day last_value
+    lead least left length like lower lpad ltrim max max_by median min min_by mod month months_between named_struct not nullif nvl nvl2 percent_rank percentile
+    position power rank regexp_extract regexp_like regexp_replace replace reverse right rlike round row_number rpad rtrim sequence sign size some split sqrt
+    startswith stddev struct substr substring sum to_date to_timestamp transform trim trunc try_cast try_divide upper variance when year""".split())
+
+
 def safe_select(spark: SparkSession, sql: str) -> DataFrame:
-    """Runs one SELECT that reads only; any other statement raises."""
-    body = sql.strip().rstrip(";").strip()
-    if ";" in body or not body.lower().startswith("select"):
-        raise ValueError("one SELECT statement is allowed")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
-    if any(word in plan.toString() for word in ("Command", "InsertInto", "CreateTable", "ScriptTransform")):
-        raise ValueError("only reading is allowed")
+    """Runs one SELECT over tables and views of the catalogue; anything else raises before it runs.
+
+    The text is parsed by Spark, which takes one statement, and every node and function of the tree, subqueries
+    included, must be on a list. A table must be known to the catalogue, so a path isn't one.
+    """
+    body = sql.strip()
+    if not body[:6].lower() == "select":
+        raise ValueError("only SELECT is allowed")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+    except Exception as error:
+        raise ValueError("one SELECT statement is allowed") from error
+    todo = [plan]
+    items = lambda seq: [seq.apply(k) for k in range(seq.size())]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "UnresolvedRelation":
+            parts = items(node.multipartIdentifier())
+            if not spark.catalog.tableExists(".".join(f"`{p.replace('`', '``')}`" for p in parts)):
+                raise ValueError(f"no such table: {'.'.join(parts)}")
+        if _is_kind(spark, node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
+            if name not in ALLOWED_NODES:
+                raise ValueError(f"{name} isn't allowed")
+            todo += items(node.children()) + items(node.expressions())
+            continue
+        if name in ("UnresolvedFunction", "UnresolvedGenerator"):
+            parts = items(node.nameParts()) if name == "UnresolvedFunction" else [node.name().funcName()]
+            if len(parts) != 1 or parts[0].lower() not in ALLOWED_FUNCTIONS:
+                raise ValueError(f"{'.'.join(parts)} isn't allowed")
+        elif _is_kind(spark, node, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            todo.append(node.plan())
+        todo += items(node.children())
     return spark.sql(body)
 
 
+def _is_kind(spark: SparkSession, node, name: str) -> bool:
+    return spark._jvm.java.lang.Class.forName(name, False, node.getClass().getClassLoader()).isInstance(node)
+
+
 def escalations(found: DataFrame) -> DataFrame:
     """Open breaks that ask for something at their age, by reason and bucket, with owner and closing condition."""
     from .dispositions import ESCALATION, ROUTING

@@ -434,10 +434,64 @@ def test_residual_pairs_say_what_isnt_searched(spark):
 
     a = spark.createDataFrame([(1, "p1", 100, 5), (1, "p2", 900, 5), (2, "q1", 1, 1), *((3, f"r{k}", 1, 1) for k in range(6))], "entity long, row_id string, amount long, day long")
     b = spark.createDataFrame([(1, "o1", 110, 5), (3, "o3", 1, 1)], "entity long, order_id string, amount long, invoice_day long")
-    out = {r.row_id: (r.order_id, r.cost, r.status) for r in cascade.residual_pairs(a, b, limit=1_000_100, most=5).collect()}
+    out = {r.row_id: (r.order_id, r.cost, r.status) for r in cascade.residual_pairs(a, b, limit=1_000_100, most=5, most_edges=5).collect()}
     assert out == {"p1": ("o1", 1_000_010, "paired"), "p2": (None, None, "unpaired"), "q1": (None, None, "unpaired")} | {f"r{k}": (None, None, "not_searched") for k in range(6)}
 
 
+def test_residual_pairs_by_cluster(spark):
+    """A large entity: what is accepted costs as much as the cheapest pairing of all whose pairs can be accepted."""
+    rng = random.Random(12)
+    left = [(1, f"p{k:03}", rng.randrange(0, 60_000), rng.randrange(0, 60)) for k in range(120)]
+    right = [(1, f"o{k:03}", rng.randrange(0, 60_000), rng.randrange(0, 60)) for k in range(110)]
+    limit = 1_000_000 + 4_000
+    a, b = spark.createDataFrame(left, "entity long, row_id string, amount long, day long"), spark.createDataFrame(right, "entity long, order_id string, amount long, invoice_day long")
+    out = cascade.residual_pairs(a, b, limit=limit, most=60).collect()
+    assert sorted(r.row_id for r in out) == [x[1] for x in left] and "not_searched" not in {r.status for r in out}
+    paired = [r for r in out if r.status == "paired"]
+    orders = [r.order_id for r in paired]
+    assert len(set(orders)) == len(orders) > 10
+    cost = lambda x, y: abs(x[2] - y[2]) + 1_000 * abs(x[3] - y[3]) + 1_000_000
+    at = {x[1]: x for x in left + right}
+    assert all(r.cost == cost(at[r.row_id], at[r.order_id]) <= limit for r in paired)
+    # all pairs at once, with places of their own at the cost of the limit
+    far = 10**12
+    whole = audit.assigned_pairs([[c if (c := cost(x, y)) <= limit else far for y in right] + [limit if k == i else far for k in range(len(left))] for i, x in enumerate(left)], limit)
+    assert sum(r.cost for r in paired) + limit * (len(left) - len(paired)) == sum(c for *_, c, _ in whole)
+    assert {r.status for r in cascade.residual_pairs(a, b, limit=limit, most=60, most_edges=5).collect()} == {"not_searched"}
+    assert {r.status for r in cascade.residual_pairs(a, b, most=60).collect()} == {"unpaired"}  # nothing can be accepted
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 30)), max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_cheapest_pairs(edges):
+    limit, near = 15, {}
+    for i, j, c in edges:
+        near[i, j] = min(c, near.get((i, j), c))
+    left, right = sorted({i for i, _ in near}), sorted({j for _, j in near})
+    got = audit.cheapest_pairs(edges, limit)
+    assert len({i for i, *_ in got}) == len({j for _, j, _ in got}) == len(got) and all(near[i, j] == c for i, j, c in got)
+    far = 10**6
+    costs = [[near.get((i, j), far) for j in right] + [limit if k == i else far for k in left] for i in left]
+    assert sum(c for *_, c in got) + limit * (len(left) - len(got)) == sum(c for *_, c, _ in audit.assigned_pairs(costs))
+
+
+def test_upserted_history(spark, tmp_path):
+    """Equal to the merge of the whole table after each run; a run writes just the buckets that it touches, and twice nothing."""
+    rng = random.Random(2)
+    path, want = f"{tmp_path}/history", spark.createDataFrame([], "row_id string, entity long, first_seq long, last_seq long, closed_seq long")
+    rows = {e: [f"{e}-{k}" for k in range(60)] for e in (1, 2)}
+    for seq in range(1, 6):
+        for e in (1, 2):
+            seen = spark.createDataFrame([(i,) for i in (rng.sample(rows[e], 40) if e == 1 or seq < 3 else rows[e][:2])], "row_id string")
+            changed = store.upsert_history(path, seen, e, seq, 16)
+            want = spark.createDataFrame(store.merged_history(want, seen, e, seq).collect(), want.schema)
+            got = store.stored_history(spark, path)
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+            assert store.upsert_history(path, seen, e, seq, 16) == []
+            if e == 2 and seq > 3:  # two rows are open
+                assert len(changed) <= 2
+
+
 def test_every_breach_is_found(spark):
     """A row for each invariant of the contract that breaks it alone, and a clean set that breaks none."""
     frames = {
@@ -557,7 +611,13 @@ def test_store(spark):
     assert {(r.row_id, r.first_seq, r.last_seq, r.closed_seq) for r in out.collect()} == {("r", 1, 3, None), ("s", 1, 1, 3), ("t", 1, 1, None), ("u", 1, 3, None), ("new", 3, 3, None)}
     spark.range(3).createOrReplaceTempView("numbers")
     assert store.safe_select(spark, "SELECT count(*) AS n FROM numbers;").first().n == 3
-    for bad in ("DROP TABLE numbers", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", "INSERT INTO numbers SELECT 1"):
+    good = "select n.id % 2 AS odd, count(*) AS n, max(';') AS mark FROM numbers n JOIN (SELECT id FROM numbers WHERE id IN (SELECT max(id) FROM numbers) OR id < 2) m ON m.id = n.id GROUP BY 1 HAVING count(*) > 0 ORDER BY 1 LIMIT 5"
+    assert [tuple(r) for r in store.safe_select(spark, good).collect()] == [(0, 2, ";"), (1, 1, ";")]
+    assert store.safe_select(spark, "SELECT sum(id) OVER (ORDER BY id) AS s FROM numbers WHERE lower('A;') = 'a;' UNION ALL SELECT 1").count() == 4
+    for bad in ("DROP TABLE numbers", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) SELECT * FROM x", "INSERT INTO numbers SELECT 1", "SELECT reflect('java.lang.Math', 'abs', -3)", "SELECT java_method('java.lang.Math', 'abs', -3)",
+                "SELECT id FROM numbers WHERE id = (SELECT try_reflect('java.lang.Math', 'abs', -3))", f"SELECT * FROM parquet.`{SF}/orders.parquet`", "SELECT * FROM (SELECT * FROM text.`/etc/passwd`)",
+                "SELECT * FROM numbers WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)", "SELECT * FROM (WITH x AS (SELECT 1) SELECT * FROM x)", "SELECT * FROM range(3)", "SELECT system.builtin.reflect('a', 'b')",
+                "SELECT TRANSFORM (id) USING 'cat' AS x FROM numbers", "SELECT * FROM no_such_table", "SELECT", "EXPLAIN SELECT 1", "SELECT id FROM numbers LATERAL VIEW java_method('a', 'b') t AS x", "FROM numbers INSERT INTO numbers SELECT 1", ""):
         with pytest.raises(ValueError):
             store.safe_select(spark, bad)
 
