@@ -130,6 +130,32 @@ def claims_scored(claims: DataFrame, truth: DataFrame) -> DataFrame:
     return x.groupBy(what.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def reconstructions_scored(decided: DataFrame, named: DataFrame, rows: DataFrame, truth: DataFrame, attested: DataFrame) -> DataFrame:
+    """What the cascade's third stage claims, against the answer key: (measure, n).
+
+    Determinate lines of ours hold just their settlement's rows (right), or not (wrong); those of others are adopted.
+    Rows are misplaced where a line holds what isn't its own. Without warrant are determinate lines that nobody attests
+    (``attested``: entity, settlement_id), those that differ from what is attested, and ambiguous ones with rows assigned.
+    """
+    line = ["entity", "bank_index"]
+    t = truth.select(*line, F.col("settlement_id").alias("own"), (F.col("line_kind") == "settlement").alias("ours"))
+    known = attested.select("entity", F.col("settlement_id").alias("own"), F.lit(True).alias("attested")).distinct()
+    x = decided.select(*line, "verdict").join(t, line, "left").join(known, ["entity", "own"], "left")
+    sure = x.where("verdict = 'determinate'")
+    actual = sure.where("ours").join(rows.where("settlement_id IS NOT NULL").select("entity", F.col("settlement_id").alias("own"), "row_id"), ["entity", "own"]).select(*line, "row_id", F.lit(1).alias("there"))
+    claimed = named.join(sure.select(*line), line, "left_semi").select(*line, "row_id", F.lit(1).alias("claimed"))
+    both = claimed.join(actual, [*line, "row_id"], "full").groupBy(*line).agg(F.count_if(F.col("there").isNull()).alias("extra"), F.count_if(F.col("claimed").isNull()).alias("missing"))
+    certain = named.where("certain").select(*line).distinct().withColumn("assigned", F.lit(True))
+    x = x.join(both, line, "left").join(certain, line, "left").na.fill(0, ["extra", "missing"])
+    ours, differs, determinate = F.coalesce("ours", F.lit(False)), (F.col("extra") + F.col("missing")) > 0, F.col("verdict") == "determinate"
+    no_warrant = determinate & (~F.coalesce("attested", F.lit(False)) | differs | ~ours) | (F.col("verdict") == "ambiguous") & F.coalesce("assigned", F.lit(False))
+    counts = {"determinate": determinate, "ambiguous": F.col("verdict") == "ambiguous", "unresolved": F.col("verdict") == "unresolved", "right": determinate & ours & ~differs, "wrong": determinate & ours & differs,
+              "foreign_adopted": determinate & ~ours, "without_warrant": no_warrant}
+    one = x.agg(*(F.count_if(c).alias(k) for k, c in counts.items()), F.coalesce(F.sum(F.when(determinate, F.col("extra"))), F.lit(0)).alias("rows_misplaced"))
+    names = [*counts, "rows_misplaced"]
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in names))))
+
+
 def contract_breaches(outcomes: DataFrame, found: DataFrame, assigned: DataFrame, composed: DataFrame, dispositions: DataFrame, candidates: DataFrame, rivals: DataFrame, flagged: DataFrame) -> DataFrame:
     """Every breach of the outcome contract: (invariant, entity, item), empty where all holds.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import aggregates as A
 from ..operators import audit as Q
+from ..operators import cascade as C
 from ..operators import gates as G
 from ..operators import joins as J
 from ..operators import resolver as R
@@ -150,6 +151,14 @@ def g22_cascade_scores(spark, sf):
     return G.claims_scored(matched, RES._truth(rows))
 
 
+def g22_third_stage(spark, sf):
+    """The claims of the cascade's third stage against the answer key."""
+    rows, lines, matched = SC._matched(spark, sf)
+    every = rows.unionByName(X.adjustments(spark, sf))
+    decided, named = C.reconstructed(every, lines, kept(matched, "matched"))
+    return G.reconstructions_scored(decided, named, every, RES._truth(rows), X.report(rows))
+
+
 def inv_contract(spark, sf):
     """Breaches of the outcome contract over tiers A and B and all dispositions: none."""
     from ..operators import dispositions as D
@@ -307,7 +316,7 @@ def q9_class_audits(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     p8_withheld, p10_notes, a7_full_accounting, a7_rival_accounting, a17_method_breakdown, a19_journal, a20_journal_checks, f10_fees, c4_largest_subsets, u3_distinct_candidates, u8_composition_difference, f12_similarities, f17_weakest_tier, f19_bare_sql, j5_greedy,
-    g8_reconstructible_abstentions, g10_tax_flags, g11_reconstructed_scores, g22_cascade_scores, inv_contract, st1_runs, st2_outcomes_by_key, st3_rebuilt_breaks, st5_line_summaries, st8_human_choices, st10_carry_forward,
+    g8_reconstructible_abstentions, g10_tax_flags, g11_reconstructed_scores, g22_cascade_scores, g22_third_stage, inv_contract, st1_runs, st2_outcomes_by_key, st3_rebuilt_breaks, st5_line_summaries, st8_human_choices, st10_carry_forward,
     st11_case_facts, st12_tax_grounds, k4_round_trip, t2_entities_sorted, t3_breaks_by_age, q1_predicates, q2_leaks, q2_p_values, q6_contained, q8_recoverable, q8_posting_lags, q8_derivable, q8_density, p11_grid_filters, q9_class_audits)}
 _T, _D, _REC = RES._TIERS, RES._DISPOSED, RES._REC
 _JOURNAL = """

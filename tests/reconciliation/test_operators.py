@@ -760,3 +760,13 @@ def test_third_stage_beyond_the_pool_bound(spark):
     got = {r.bank_index: (r.verdict, r.n_candidates, r.complete) for r in decided.collect()}
     assert got == {1: ("unresolved", 1, False), 2: ("unresolved", 0, False), 3: ("determinate", 1, True), 4: ("determinate", 1, True)}
     assert {(r.bank_index, r.row_id, r.certain) for r in named.collect()} == {(3, "r10", True), (3, "r11", True), (4, "r13", True)}
+
+
+def test_third_stage_scored(spark):
+    decided = spark.createDataFrame([(1, 1, "determinate"), (1, 2, "determinate"), (1, 3, "determinate"), (1, 4, "ambiguous"), (1, 5, "unresolved"), (1, 6, "determinate")], "entity long, bank_index long, verdict string")
+    named = spark.createDataFrame([(1, 1, "a", True), (1, 1, "b", True), (1, 2, "c", True), (1, 2, "x", True), (1, 3, "y", True), (1, 4, "z", True), (1, 4, "q", False), (1, 6, "e", True)], "entity long, bank_index long, row_id string, certain boolean")
+    rows = spark.createDataFrame([(1, "a", "s1"), (1, "b", "s1"), (1, "c", "s2"), (1, "d", "s2"), (1, "z", "s4"), (1, "e", "s6"), (1, "x", None)], "entity long, row_id string, settlement_id string")
+    truth = spark.createDataFrame([(1, 1, "settlement", "s1"), (1, 2, "settlement", "s2"), (1, 3, "foreign_credit", None), (1, 4, "settlement", "s4"), (1, 5, "settlement", "s5"), (1, 6, "settlement", "s6")], "entity long, bank_index long, line_kind string, settlement_id string")
+    attested = spark.createDataFrame([(1, "s1"), (1, "s2"), (1, "s2")], "entity long, settlement_id string")
+    got = {r.measure: r.n for r in gates.reconstructions_scored(decided, named, rows, truth, attested).collect()}
+    assert got == {"determinate": 4, "ambiguous": 1, "unresolved": 1, "right": 2, "wrong": 1, "foreign_adopted": 1, "without_warrant": 4, "rows_misplaced": 2}
