@@ -132,11 +132,11 @@ def _pieces(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[lis
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS, top_grams: int = TOP_GRAMS) -> Filters:
     """Filters from (doc_id, text, lang)."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}  # a row per language
     if not counts:
         return Filters.build({})
     if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} different labels aren't languages; {MAX_LANGUAGES} at most can be learned")
+        raise ValueError(f"more than {MAX_LANGUAGES} different labels aren't languages")
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_docs / n))))
     # no ranking, hence no task that gathers a language's rows
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
