@@ -2,8 +2,9 @@
 
 The trie grows by a level a pass: words, pairs, triples. In each pass a task counts the paths of its texts in a sorted
 array for each language and shard of ``SHARD_TOKENS`` tokens, gives a full shard out in the order of its paths and
-begins anew. The sorted nodes go to a stored table, are range-partitioned by path and sorted, so that equal paths of
-all shards meet and are added up; nodes with ``MIN_COUNT`` occurrences stay. No phrase is more frequent than its
+begins anew. The nodes are dealt out by prefix ranges: a range has all paths that begin with the same ``PREFIX``
+characters, and is split in ``SPLITS`` by a hash of the path, as a few prefixes begin most words. A range's nodes are
+sorted, so that equal paths of all shards meet and are added up; nodes with ``MIN_COUNT`` occurrences stay. No phrase is more frequent than its
 parts, so a shard leaves out what has a rare part: it tests the parts in a bitmap of the frequent ones of the level
 before, of 2 ** ``FILTER_BITS`` bits whatever the input. A bit that several parts share only lets more nodes through.
 
@@ -36,6 +37,8 @@ MIN_COUNT, TOP, INSIDE_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 SHARD_TOKENS, SHARD_WORDS, BLOCK = 2_000_000, 1 << 20, 1 << 20
 #: Bits of the bitmap of frequent parts, as a power of two: 16 MB that go to each executor.
 FILTER_BITS, BITMAP_BITS = 27, 1 << 15
+#: Characters of a prefix range, and its splits.
+PREFIX, SPLITS = 2, 64
 #: Parts of a language that are ranked by themselves before their best ones meet.
 RANK_PARTS = 64
 PATH = ["w1", "w2", "w3"]
@@ -180,11 +183,13 @@ def _counter(depth: int, shared):
 
 
 def level(docs: DataFrame, depth: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """lang, w1 to the depth's word, f: the level's nodes of all shards (``docs``: lang, text), added up by ranges of paths."""
+    """lang, w1 to the depth's word, f: the level's nodes of all shards (``docs``: lang, text), added up by prefix ranges."""
     path = ["lang", *PATH[:depth]]
     shared = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
-    nodes = stored(docs.mapInArrow(_counter(depth, shared), ", ".join(f"{c} string" for c in path) + ", f long"), f"trie-{depth}")
-    return nodes.repartitionByRange(*path).sortWithinPartitions(*path).groupBy(*path).agg(F.sum("f").alias("f"))
+    nodes = docs.mapInArrow(_counter(depth, shared), ", ".join(f"{c} string" for c in path) + ", f long")
+    parts = ["lang", "prefix", "split"]
+    nodes = nodes.withColumns({"prefix": F.substring("w1", 1, PREFIX), "split": F.pmod(F.xxhash64(*path), F.lit(SPLITS))})
+    return nodes.repartition(*parts).sortWithinPartitions(*parts, *path).groupBy(*parts, *path).agg(F.sum("f").alias("f")).drop("prefix", "split")
 
 
 def scored(a: str, left: str, right: str, cut: int) -> Column:
