@@ -189,7 +189,7 @@ def level(docs: DataFrame, depth: int, frequent: np.ndarray | None = None) -> Da
     nodes = docs.mapInArrow(_counter(depth, shared), ", ".join(f"{c} string" for c in path) + ", f long")
     parts = ["lang", "prefix", "split"]
     nodes = nodes.withColumns({"prefix": F.substring("w1", 1, PREFIX), "split": F.pmod(F.xxhash64(*path), F.lit(SPLITS))})
-    return nodes.repartition(*parts).sortWithinPartitions(*parts, *path).groupBy(*parts, *path).agg(F.sum("f").alias("f")).drop("prefix", "split")
+    return nodes.repartition(*parts).sortWithinPartitions("prefix", "split", *path).groupBy("prefix", "split", *path).agg(F.sum("f").alias("f")).drop("prefix", "split")
 
 
 def scored(a: str, left: str, right: str, cut: int) -> Column:
