@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def last_by(df: DataFrame, keys: list[str], order: str, first: bool = False) -> DataFrame:
     """One row per key: the last (or first) in file order."""
@@ -132,6 +134,7 @@ def greedy_matches(near: DataFrame, components: DataFrame | None = None) -> Data
 def erp_gap_candidates(without: DataFrame, orphans: DataFrame, basis_points: int = 200, days: int = 3) -> DataFrame:
     """Payments and orphan orders whose amounts and dates are close: never accepted, each with its reason.
 
+    Each pair says how far apart amounts and days are and how alike the order ids, null where either has none.
     Amounts meet in bands of their logarithm and dates in bands of days, each with its neighbours, so the
     join is on equal keys; the exact bounds follow.
     """
@@ -146,7 +149,9 @@ def erp_gap_candidates(without: DataFrame, orphans: DataFrame, basis_points: int
     gap = F.abs(F.col("a.amount") - F.col("b.amount"))
     both = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.__a") == F.col("b.__a")) & (F.col("a.__d") == F.col("b.__d")))
     both = both.where((gap <= F.call_function("div", F.col("a.amount") * basis_points, F.lit(10_000))) & (F.abs(F.col("a.day") - F.col("b.invoice_day")) <= days))
-    return both.select("a.entity", "a.row_id", "b.order_id", gap.alias("amount_gap"), F.lit("no shared identifier").alias("reason"))
+    days_apart = F.abs(F.col("a.day") - F.col("b.invoice_day"))
+    alike = text.similarities("ratio")(F.col("a.order_id"), F.col("b.order_id"))
+    return both.select("a.entity", "a.row_id", "b.order_id", gap.alias("amount_gap"), days_apart.alias("day_gap"), alike.alias("similarity"), F.lit("no shared identifier").alias("reason"))
 
 
 def netted_out(rows: DataFrame, by_date: bool = False) -> DataFrame:

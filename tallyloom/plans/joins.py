@@ -38,7 +38,7 @@ def j5_within_tolerance(spark, sf):
     return J.within_tolerance(X.bank(rows), _settled(rows))
 
 
-def j6_erp_gaps(spark, sf):
+def _erp_gaps(spark, sf):
     rows, erp = X.ledger(spark, sf), X.erp(spark, sf)
     without = rows.where("type = 'payment' AND fee IS NOT NULL").join(erp.select("entity", "order_id"), ["entity", "order_id"], "left_anti")
     without = without.withColumn("day", money.div(F.col("created_at"), 86_400))
@@ -46,6 +46,15 @@ def j6_erp_gaps(spark, sf):
     return J.erp_gap_candidates(without, orphans, basis_points=2_000, days=900)
 
 
+def j6_erp_gaps(spark, sf):
+    return _erp_gaps(spark, sf).select("entity", "row_id", "order_id", "amount_gap", "reason")
+
+
+def j6_scored_gaps(spark, sf):
+    """Refused pairs with the gap in days and the likeness of their order ids."""
+    return _erp_gaps(spark, sf).select("entity", "row_id", "order_id", "amount_gap", "day_gap", F.round("similarity", 6).alias("similarity"))
+
+
 def j7_reversals(spark, sf):
     return J.reversals(X.bank(X.ledger(spark, sf)))
 
@@ -72,7 +81,7 @@ def f3_eligibility(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    j1_batch_to_bank, j2_ledger_to_erp, j3_line_to_report, j4_settlement_by_amount, j5_within_tolerance, j6_erp_gaps, j7_reversals,
+    j1_batch_to_bank, j2_ledger_to_erp, j3_line_to_report, j4_settlement_by_amount, j5_within_tolerance, j6_erp_gaps, j6_scored_gaps, j7_reversals,
     j8_netted_out, d2_zero_net_groups, j15_run_difference, f3_eligibility)}
 ORACLES = {
     "j1_batch_to_bank": BASE + """
@@ -97,6 +106,15 @@ FROM bank b JOIN settlements s ON s.entity = b.entity AND abs(s.net - b.amount)
 x AS (SELECT * FROM erp WHERE order_id NOT IN (SELECT order_id FROM ledger WHERE type = 'payment'))
 SELECT w.entity, w.row_id, x.order_id, abs(w.amount - x.amount) AS amount_gap, 'no shared identifier' AS reason
 FROM w JOIN x ON w.entity = x.entity AND abs(w.amount - x.amount) <= w.amount * 2000 // 10000 AND abs(w.created_at // 86400 - x.invoice_day) <= 900""",
+    "j6_scored_gaps": BASE + """
+, w AS (SELECT * FROM ledger WHERE type = 'payment' AND fee IS NOT NULL AND order_id NOT IN (SELECT order_id FROM erp)),
+x AS (SELECT * FROM erp WHERE order_id NOT IN (SELECT order_id FROM ledger WHERE type = 'payment')),
+p AS (SELECT w.entity, w.row_id, w.order_id AS a, x.order_id AS b, abs(w.amount - x.amount) AS amount_gap, abs(w.created_at // 86400 - x.invoice_day) AS day_gap
+  FROM w JOIN x ON w.entity = x.entity AND abs(w.amount - x.amount) <= w.amount * 2000 // 10000 AND abs(w.created_at // 86400 - x.invoice_day) <= 900),
+t AS (SELECT *, list_reduce(list_prepend(list_transform(range(0, length(b) + 1), lambda k: 0), list_transform(range(1, length(a) + 1), lambda i: [i])),
+  lambda above, i: list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, length(b) + 1), lambda j: [j])),
+    lambda row, j: list_append(row, CASE WHEN substr(a, i[1], 1) = substr(b, j[1], 1) THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], row[-1]) END))) AS last FROM p)
+SELECT entity, row_id, b AS order_id, amount_gap, day_gap, round(200.0 * last[-1] / (length(a) + length(b)), 6) AS similarity FROM t""",
     "j7_reversals": BASE + """
 , p AS (SELECT c.entity, c.bank_index AS credit_index, d.bank_index AS debit_index, d.value_day - c.value_day AS days,
   row_number() OVER (PARTITION BY d.bank_index ORDER BY c.value_day, c.bank_index) AS n

@@ -254,6 +254,27 @@ def test_similarity():
     assert text.similarity("kitten", "sitting") == pytest.approx(200 * 4 / 13)
 
 
+@given(st.lists(st.tuples(st.text("ab é\U0001d11e", max_size=90), st.text("ab é\U0001d11e", max_size=150)), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_similarities_of_many_pairs(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert list(text.ratios(a, b)) == [text.similarity(x, y) for x, y in pairs]
+    assert list(text.token_set_ratios(a, b)) == [text.token_set_similarity(x, y) for x, y in pairs]
+
+
+def test_similarities_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(text, "CELLS", 300)
+    a, b = ["abc" * k for k in range(1, 60)], ["bca" * (60 - k) + "é" for k in range(1, 60)]
+    assert list(text.ratios(a, b)) == [text.similarity(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_gap_candidates(spark):
+    without = spark.createDataFrame([(1, "r", "order_17", 10_000, 100), (1, "s", None, 10_000, 100), (2, "t", "order_17", 10_000, 100)], "entity long, row_id string, order_id string, amount long, day long")
+    orphans = spark.createDataFrame([(1, "order_71", 10_150, 97), (1, "far", 10_201, 100), (1, "late", 10_000, 104)], "entity long, order_id string, amount long, invoice_day long")
+    got = {r.row_id: (r.order_id, r.amount_gap, r.day_gap, r.similarity) for r in joins.erp_gap_candidates(without, orphans).collect()}
+    assert got == {"r": ("order_71", 150, 3, 87.5), "s": ("order_71", 150, 3, None)}
+
+
 @given(st.integers(1, 5), st.integers(1, 5), st.data())
 @settings(max_examples=60, deadline=None)
 def test_assignment(n, m, data):
