@@ -20,9 +20,8 @@ def _delete() -> None:
             continue
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table under ``spark.checkpoint.dir``; a local session without one uses /tmp."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir`` that goes when the driver ends; a local session without one uses /tmp."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -32,5 +31,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_delete)
     _written.append((spark, path))
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of its own."""
+    spark = df.sparkSession
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ from ..operators import dispositions as D
 from ..operators import joins as J
 from ..operators import store as ST
 from ..operators import windows as W
+from ..operators.storage import kept, place
+from ..streaming import breaks as BR
 from ..streaming import ingest as I
 from . import fixtures as X
 from . import resolution as RES
@@ -88,6 +90,17 @@ def x4_break_spans(spark, sf):
     return ST.break_spans(*_sightings(spark, sf))
 
 
+def x4_streamed_spans(spark, sf):
+    """The spans of ``x4_break_spans`` by a stream that goes on three times where it stopped, three runs at a time."""
+    seen, runs = _sightings(spark, sf)
+    path = place(spark, "break-stream")
+    both = kept(seen.select("entity", "seq", "row_id").unionByName(runs.select("entity", "seq", F.lit(None).cast("string").alias("row_id"))), "sightings")
+    for first in (1, 4, 7):
+        both.where(F.col("seq").between(first, first + 2)).write.mode("append").parquet(f"{path}/in")
+        BR.follow(spark.readStream.schema(both.schema).parquet(f"{path}/in"), f"{path}/changes", f"{path}/state", buckets=2)
+    return BR.spans(spark.read.parquet(f"{path}/changes"), runs)
+
+
 def w6_row_history(spark, sf):
     seen, runs = _sightings(spark, sf)
     every = X.orders(spark, sf).select("entity", F.concat(F.lit("pay_"), "k").alias("row_id")).join(runs, "entity")
@@ -142,6 +155,18 @@ def x1_ingest_once(spark, sf):
     return tag(good, "accepted").unionByName(tag(bad, "quarantined"))
 
 
+def x1_streamed_ingest(spark, sf):
+    """The payloads of ``x1_ingest_once`` by a stream in two parts that share payloads."""
+    e = kept(_events(spark, sf).select("event_id", F.col("event_id").cast("string").alias("name"), F.concat_ws("|", "event_type", "user_id").alias("payload")), "payloads")
+    path = place(spark, "ingest-stream")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        e.where(part).select("name", "payload").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("name string, payload string").parquet(f"{path}/in")
+        I.ingest(stream, f"{path}/good", f"{path}/bad", f"{path}/state", ~F.col("payload").startswith("purchase"))
+    read = lambda d, s: spark.read.parquet(f"{path}/{d}").select("sha256", F.lit(s).alias("state"))
+    return read("good", "accepted").unionByName(read("bad", "quarantined"))
+
+
 def s9_json_props(spark, sf):
     e = _events(spark, sf)
     return e.select("event_id", F.to_json(F.try_parse_json("props")).isNotNull().alias("valid"), F.size(F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))).cast("long").alias("n_keys"))
@@ -157,7 +182,7 @@ def d9_unmatched_payments(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     q2_predicate_scores, q3_pair_scores, q6_dependencies, q6_derivable_sums, q7_collisions, f1_money, f9_age_buckets, f13_check_characters, f14_trailing_numbers, f15_digests, k1_run_ids, k2_flattened,
-    x4_break_spans, w6_row_history, st4_open_by_bucket, st9_escalations, st7_approvals, p11_grid_filter, p13_entity_status, j14_enriched_exceptions, t1_largest_exceptions, x1_ingest_once, s9_json_props, d9_unmatched_payments)}
+    x4_break_spans, x4_streamed_spans, x1_streamed_ingest, w6_row_history, st4_open_by_bucket, st9_escalations, st7_approvals, p11_grid_filter, p13_entity_status, j14_enriched_exceptions, t1_largest_exceptions, x1_ingest_once, s9_json_props, d9_unmatched_payments)}
 _T, _D = RES._TIERS, RES._DISPOSED
 _SEEN = """
 , runs AS (SELECT unnest(range(1, 10)) AS seq), seen AS (SELECT entity, 'pay_' || k AS row_id, seq FROM o, runs WHERE (k * seq) % 7 < 3)"""
@@ -236,3 +261,4 @@ SELECT d.entity, d.bank_index, d.reason, d.settlement_id, n.n_rows, n.n_disputed
 SELECT CASE WHEN fee IS NULL THEN 'failed' WHEN on_hold THEN 'on_hold' ELSE 'pending' END AS state, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value
 FROM ledger WHERE type = 'payment' AND settlement_id IS NULL AND NOT (fee IS NOT NULL AND order_id IN (SELECT order_id FROM erp)) GROUP BY 1""",
 }
+ORACLES |= {"x4_streamed_spans": ORACLES["x4_break_spans"], "x1_streamed_ingest": ORACLES["x1_ingest_once"]}

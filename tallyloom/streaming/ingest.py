@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +20,76 @@ def accepted_and_quarantined(batch: DataFrame, valid) -> tuple[DataFrame, DataFr
     return once.where(ok), once.where(~ok)
 
 
-def ingest(source: DataFrame, accept: str, quarantine: str, checkpoint: str, valid) -> None:
-    """Runs a stream of (name, payload) to its end: digests already accepted are skipped, whatever their name."""
+#: Where a query's state lies: on disk, so that it may outgrow memory.
+PROVIDER, ROCKS_DB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_db(spark: SparkSession):
+    """Queries that are started here keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS_DB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def ingest(source: DataFrame, accept: str, quarantine: str, checkpoint: str, valid, dead: str | None = None) -> None:
+    """Runs a stream of (name, payload) to its end: digests that were there before are skipped, whatever their name.
+
+    The checkpoint's state knows the digests, so a batch reads none of what was accepted; a new checkpoint beside an old
+    table would take its payloads twice and raises. With ``dead`` the stream also has ``error``: a name that couldn't be fetched
+    goes there once, with its error, and is taken when it comes again with a payload.
+    """
+    spark = source.sparkSession
+    if ("error" in source.columns) != (dead is not None):
+        raise ValueError("a stream with errors needs a folder of dead letters, and the reverse")
+    if _exists(spark, accept) and not _exists(spark, checkpoint):
+        raise ValueError(f"{accept} belongs to another checkpoint")
+    failed = F.col("error").isNotNull() if dead else F.lit(False)
+    digest = F.sha2("payload", 256)
+    once = F.when(failed, F.concat(F.lit("dead "), F.coalesce("name", F.lit("")))).otherwise(digest)
+    fresh = source.withColumn("sha256", F.when(~failed, digest)).withColumn("__once", once).dropDuplicates(["__once"]).drop("__once")
+    ok = F.coalesce(valid, F.lit(False))
+    parts = [(~failed & ok, accept), (~failed & ~ok, quarantine)] + ([(failed, dead)] if dead else [])
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        good, bad = accepted_and_quarantined(batch, valid)
-        for part, path in ((good, accept), (bad, quarantine)):
-            if _exists(spark, path):
-                part = part.join(spark.read.parquet(path).where(F.col("batch") != batch_id).select("sha256"), "sha256", "left_anti")
+        batch = batch.persist(StorageLevel.DISK_ONLY)  # each part reads it
+        for is_part, path in parts:
+            part = batch.where(is_part)
+            part = part.select("name", "error") if path == dead else part.drop("error")
             # a batch that runs again replaces its own folder
             part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+
+    with rocks_db(spark):
+        fresh.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def fetched(listing: DataFrame, fetch: Callable[[str], str], attempts: int = 5, base: float = 0.5) -> DataFrame:
+    """name, payload, error of a stream or table of (name, key): each key is fetched where its row is, with retries.
+
+    What still fails with an ``OSError`` has no payload and says why; any other failure ends the job.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, key in zip(part["name"], part["key"], strict=True):  # one payload in memory at a time
+                payload, error = None, None
+                try:
+                    payload = with_retries(lambda: fetch(key), attempts, base)  # noqa: B023 - called at once
+                except OSError as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"name": [name], "payload": [payload], "error": [error]})
+
+    return listing.select("name", "key").mapInPandas(run, "name string, payload string, error string")
+
 
-    source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def open_dead_letters(dead: DataFrame, accepted: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """Dead letters whose name has come with a payload in no batch since: what is left to fetch again."""
+    came = accepted.select("name").unionByName(quarantined.select("name"))
+    return dead.select("name", "error").join(came, "name", "left_anti")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

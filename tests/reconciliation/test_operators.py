@@ -15,7 +15,7 @@ from tallyloom.functions import calendar, money, text
 from tallyloom.operators import aggregates, audit, cascade, closures, gates, joins, resolver, store, subsets, tax
 from tallyloom.plans import fixtures
 from tallyloom.sources import files, statements
-from tallyloom.streaming import ingest
+from tallyloom.streaming import breaks, ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -596,6 +596,70 @@ def test_stream_ingests_each_payload_once(spark, tmp_path):
     assert [r.payload for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == ["broken"]
 
 
+def test_dead_letters_and_digests_in_state(spark, tmp_path):
+    listing = lambda *rows: spark.createDataFrame(rows, "name string, key string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/listing")
+    (tmp_path / "one").write_text("{1}")
+    (tmp_path / "two").write_text("odd")
+
+    def fetch(key):
+        with open(key) as f:
+            return f.read()
+
+    def run():
+        stream = spark.readStream.schema("name string, key string").parquet(f"{tmp_path}/listing")
+        ingest.ingest(ingest.fetched(stream, fetch, attempts=2, base=0.0), f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/check", F.col("payload").startswith("{"), f"{tmp_path}/dead")
+        read = lambda d: spark.read.parquet(f"{tmp_path}/{d}")
+        left = ingest.open_dead_letters(read("dead"), read("good"), read("bad"))
+        return [sorted(r.name for r in df.collect()) for df in (read("good"), read("bad"), read("dead"), left)]
+
+    listing(("a", f"{tmp_path}/one"), ("b", f"{tmp_path}/two"), ("c", f"{tmp_path}/gone"), ("d", f"{tmp_path}/away"))
+    assert run() == [["a"], ["b"], ["c", "d"], ["c", "d"]]
+    (tmp_path / "gone").write_text("{3}")
+    listing(("again", f"{tmp_path}/one"), ("c", f"{tmp_path}/gone"), ("d", f"{tmp_path}/away"))
+    assert run() == [["a", "c"], ["b"], ["c", "d"], ["d"]]
+    assert "FileNotFoundError" in spark.read.parquet(f"{tmp_path}/dead").first().error
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ingest.ingest(ingest.files(spark, f"{tmp_path}/listing"), f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/new", F.lit(True))
+    with pytest.raises(ValueError, match="dead letters"):
+        ingest.ingest(ingest.files(spark, f"{tmp_path}/listing"), f"{tmp_path}/x", f"{tmp_path}/y", f"{tmp_path}/z", F.lit(True), f"{tmp_path}/dead")
+
+
+def test_break_history_as_a_stream(spark, tmp_path):
+    rng = random.Random(3)
+    schema, seen, runs, old = "entity long, seq long, row_id string", [], [], spark.createDataFrame([], "row_id string, entity long, first_seq long, last_seq long, closed_seq long")
+
+    def follow(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        breaks.follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", 3)  # a restart each time
+        return spark.read.parquet(f"{tmp_path}/out")
+
+    same = lambda got, want: sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
+    for step, sequences in enumerate([(1,), (2,), (4, 5), (6,)]):  # two runs at once in the third
+        rows = []
+        for seq in sequences:
+            own = [(e, seq, f"r{e}{k}") for e in (1, 2) for k in range(12) if rng.random() < 0.5 and not (e == 2 and seq == 2)]
+            entities = [e for e in (1, 2) if not (e == 2 and seq == 2)]
+            runs += [(e, seq) for e in entities]
+            seen += own
+            rows += own + [(e, seq, None) for e in entities]
+            for e in entities:
+                old = store.merged_history(old, spark.createDataFrame([(r,) for x, _, r in own if x == e], "row_id string"), e, seq)
+            old = spark.createDataFrame(old.collect(), old.schema)
+        if step == 3:  # sightings first, their marker in a batch of its own
+            follow([r for r in rows if r[2]] + rows[:1])
+            rows = [r for r in rows if not r[2]]
+        changes = follow(rows)
+        every = spark.createDataFrame(runs, "entity long, seq long")
+        assert same(breaks.spans(changes, every), store.break_spans(spark.createDataFrame(seen, schema), every))
+        assert same(breaks.history(changes, every), old)
+    n = changes.count()
+    more = follow([(1, 6, None), (1, 3, "r10"), (None, 9, "x"), (1, None, "y")])  # a repeated marker, a late row, rows of no run
+    assert more.count() == n + 1 and [(r.row_id, r.seq) for r in more.where("change = 'late'").collect()] == [("r10", 3)]
+    after = follow([(1, 8, "r10"), (1, 9, None)])  # run 8 never completes
+    assert [(r.row_id, r.seq) for r in after.where("change = 'late' AND seq > 3").collect()] == [("r10", 8)]
+    assert after.where("change = 'closed' AND seq = 9").count() == old.where("entity = 1 AND closed_seq IS NULL").count()
+
+
 def test_retries():
     calls, waits = [], []
 
