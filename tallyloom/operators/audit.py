@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, text
 from . import windows
+from .storage import kept
 
 #: Levels of a column that are tried, and what a predicate must reach to count.
 LEVELS, MIN_PRECISION, MIN_RECALL, MIN_LIFT = 40, 0.90, 0.50, 2.0
@@ -80,41 +81,118 @@ def predicates(df: DataFrame, member: str, columns: list[str], notes: str | None
     as an upper bound; its ``most`` commonest words; and for ``notes``, a JSON object, whether a key is
     absent, its keys, and its pairs. Bounds come from running sums over the counts by value.
     """
+    return _predicates(df, member, columns, notes, most).drop("kind")
+
+
+def _predicates(df: DataFrame, member: str, columns: list[str], notes: str | None, most: int) -> DataFrame:
     m = F.expr(member)
     one = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.lit(df.schema[c].dataType.typeName() == "string").alias("text"))
     long = df.select(m.alias("m"), F.inline(F.array(*map(one, columns))))
     counted = [F.count(F.lit(1)).alias("support"), F.count_if("m").alias("hits")]
     levels_ = long.groupBy("column", "value").agg(*counted)
-    shown = lambda x, text: x.select("column", text.alias("predicate"), "support", "hits")
+    shown = lambda x, text, kind: x.select("column", text.alias("predicate"), "support", "hits", F.lit(kind).alias("kind"))
     nulls = levels_.groupBy("column", F.col("value").isNull().alias("null")).agg(F.sum("support").alias("support"), F.sum("hits").alias("hits"))
     some = nulls.groupBy("column").agg(F.count(F.lit(1)).alias("k")).where("k = 2")  # null for some rows only
-    out = shown(nulls.join(some, "column"), F.when(F.col("null"), "is null").otherwise("is not null"))
+    out = shown(nulls.join(some, "column"), F.when(F.col("null"), "is null").otherwise("is not null"), "null")
     few = levels_.where("value IS NOT NULL").groupBy("column").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most)
-    out = out.unionByName(shown(levels_.where("value IS NOT NULL").join(few, "column"), F.concat(F.lit("= "), "value")))
+    out = out.unionByName(shown(levels_.where("value IS NOT NULL").join(few, "column"), F.concat(F.lit("= "), "value"), "level"))
     for name in [c for c in columns if df.schema[c].dataType.typeName() in ("long", "integer", "short")]:
         by_value = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if(m).alias("h"))
         total = F.broadcast(by_value.agg(F.sum("n").alias("all_n"), F.sum("h").alias("all_h"), F.count(F.lit(1)).alias("k")))
         up = windows._running(by_value.select("v", "n"), "v").select("v", F.col("upto").alias("n_up"))
         hits = windows._running(by_value.select("v", F.col("h").alias("n")), "v").select("v", F.col("upto").alias("h_up"))
         both = by_value.join(up, "v").join(hits, "v").crossJoin(total).where("k >= 4")
-        bound = lambda sign, n, h: F.struct(F.lit(name).alias("column"), F.concat(F.lit(f"{sign} "), F.col("v").cast("string")).alias("predicate"), n.alias("support"), h.alias("hits"))  # noqa: B023, E731
+        bound = lambda sign, n, h: F.struct(F.lit(name).alias("column"), F.concat(F.lit(f"{sign} "), F.col("v").cast("string")).alias("predicate"), n.alias("support"), h.alias("hits"), F.lit("bound").alias("kind"))  # noqa: B023, E731
         out = out.unionByName(both.select(F.inline(F.array(
             bound("<=", F.col("n_up"), F.col("h_up")), bound(">=", F.col("all_n") - F.col("n_up") + F.col("n"), F.col("all_h") - F.col("h_up") + F.col("h"))))))
     words = long.where("text AND value IS NOT NULL").select("m", "column", F.explode(text.tokens(F.col("value"))).alias("word")).groupBy("column", "word").agg(*counted)
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("support"), "word"))
-    out = out.unionByName(shown(words.withColumn("r", place).where(F.col("r") <= most), F.concat(F.lit("contains "), "word")))
+    out = out.unionByName(shown(words.withColumn("r", place).where(F.col("r") <= most), F.concat(F.lit("contains "), "word"), "word"))
     if notes:
         pairs = df.select(m.alias("m"), F.explode(F.from_json(notes, "map<string,string>")).alias("key", "value"))
         keys = pairs.groupBy(F.lit(notes).alias("column"), "key").agg(*counted)
         whole = F.broadcast(df.agg(F.count(F.lit(1)).alias("all_n"), F.count_if(m).alias("all_h")))
-        absent = keys.crossJoin(whole).select("column", F.concat(F.lit("without "), "key").alias("predicate"), (F.col("all_n") - F.col("support")).alias("support"), (F.col("all_h") - F.col("hits")).alias("hits")).where("support > 0")
+        absent = keys.crossJoin(whole).select("column", F.concat(F.lit("without "), "key").alias("predicate"), (F.col("all_n") - F.col("support")).alias("support"), (F.col("all_h") - F.col("hits")).alias("hits"), F.lit("without").alias("kind")).where("support > 0")
         pair = pairs.groupBy(F.lit(notes).alias("column"), "key", "value").agg(*counted)
-        top = F.row_number().over(Window.orderBy(F.desc("support"), "key", "value"))  # of the pairs' counts
-        out = out.unionByName(shown(keys, F.concat(F.lit("with "), "key"))).unionByName(absent)
-        out = out.unionByName(shown(pair.withColumn("r", top).where(F.col("r") <= 2 * most), F.concat("key", F.lit(" = "), "value")))
+        commonest = pair.orderBy(F.desc("support"), "key", "value").limit(2 * most)
+        out = out.unionByName(shown(keys, F.concat(F.lit("with "), "key"), "with")).unionByName(absent)
+        out = out.unionByName(shown(commonest, F.concat("key", F.lit(" = "), "value"), "pair"))
     return out
 
 
+#: Predicates of a column that conjunctions are made of, and the share of false alarms that a family of tests may have.
+PAIR_TOP, ALPHA = 6, 0.01
+
+
+def best_predicates(found: DataFrame, total: int, best: int = PAIR_TOP) -> list:
+    """The ``best`` predicates of each column by precision, then hits, then text; those of all rows or none say nothing."""
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc(F.col("hits") / F.col("support")), F.desc("hits"), "predicate", "kind"))
+    some = found.where(F.col("support").between(1, total - 1)).withColumn("r", place).where(F.col("r") <= best)
+    return sorted(some.select("column", "predicate", "kind").collect())  # ``best`` a column
+
+
+def fulfils(column: str, predicate: str, kind: str) -> Column:
+    """Whether a row fulfils a predicate of ``predicates``; never null."""
+    value = F.col(column)
+    pairs = F.from_json(value, "map<string,string>") if kind in ("with", "without", "pair") else None
+    after = lambda head: F.lit(predicate[len(head):])
+    if kind == "null":
+        return value.isNull() if predicate == "is null" else value.isNotNull()
+    if kind == "level":
+        holds = value.cast("string") == after("= ")
+    elif kind == "bound":
+        bound = F.lit(int(predicate[3:]))
+        holds = value <= bound if predicate.startswith("<=") else value >= bound
+    elif kind == "word":
+        holds = F.array_contains(text.tokens(value), after("contains "))
+    elif kind == "pair":
+        holds = F.exists(F.map_entries(pairs), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]) == predicate)
+    else:
+        holds = F.map_contains_key(pairs, after(f"{kind} "))
+    holds = F.coalesce(holds, F.lit(False))
+    return ~holds if kind == "without" else holds
+
+
+def conjunctions(df: DataFrame, member: str, chosen: list) -> DataFrame:
+    """c1, p1, c2, p2, support, hits: how many rows, and of the class, fulfil two predicates of different columns at once.
+
+    Each block of rows is a bitmap for every predicate; a conjunction is their bits in common. A task adds its blocks up and
+    returns one count for each pair, so what is shuffled depends on the number of predicates alone. Pairs without a hit are left out.
+    """
+    import pyarrow as pa
+
+    pairs = [(i, j) for i, j in combinations(range(len(chosen)), 2) if chosen[i]["column"] != chosen[j]["column"]]
+    names = "c1 string, p1 string, c2 string, p2 string"
+    spark = df.sparkSession
+    if not pairs:
+        return spark.createDataFrame([], f"{names}, support long, hits long")
+
+    def count(batches):
+        support, hits = np.zeros((2, len(chosen), len(chosen)), np.int64)
+        for batch in batches:
+            bits = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            packed = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.uint64)
+            of_class, maps = packed[0], packed[1:]
+            for i in range(len(maps) - 1):
+                both = maps[i] & maps[i + 1:]
+                support[i, i + 1:] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+                hits[i, i + 1:] += np.bitwise_count(both & of_class).sum(axis=1, dtype=np.int64)
+        at = tuple(np.array(pairs).T)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs))), pa.array(support[at]), pa.array(hits[at])], names=["pair", "support", "hits"])
+
+    tests = df.select(F.coalesce(F.expr(member), F.lit(False)).alias("m"), *(fulfils(*x).alias(f"t{k}") for k, x in enumerate(chosen)))
+    n = tests.mapInArrow(count, "pair long, support long, hits long").groupBy("pair").agg(F.sum("support").alias("support"), F.sum("hits").alias("hits")).where("hits > 0")
+    known = spark.createDataFrame([(k, *chosen[i][:2], *chosen[j][:2]) for k, (i, j) in enumerate(pairs)], f"pair long, {names}")
+    return n.join(F.broadcast(known), "pair").select("c1", "p1", "c2", "p2", "support", "hits")
+
+
+def best_pairs(df: DataFrame, member: str, columns: list[str], notes: str | None = None, best: int = PAIR_TOP) -> DataFrame:
+    """Conjunctions of the best predicates of every two columns, scored."""
+    n = df.agg(F.count_if(F.expr(member)).alias("size"), F.count(F.lit(1)).alias("total")).first()
+    chosen = best_predicates(_predicates(df, member, columns, notes, LEVELS), n["total"], best)
+    return scored(conjunctions(df, member, chosen).where(F.col("support") < n["total"]), n["size"], n["total"])
+
+
 def scored(found: DataFrame, size: int, total: int) -> DataFrame:
     """Predicates with precision, recall and lift in basis points, the chance of as many hits, and whether they leak.
 
@@ -138,18 +216,33 @@ LEAST_MEMBERS, MOST_SHARE = 3, 0.5
 
 
 def class_audits(df: DataFrame, classes: dict[str, str], columns: list[str], notes: str | None = None) -> DataFrame:
-    """One row for each class: its size, whether it can be tested, how many predicates leak it and the best of them."""
+    """One row for each class: its size, whether it can be tested, how many predicates and conjunctions leak it and the best predicate, by precision times recall.
+
+    A class is ``underpowered`` if not even a predicate that holds for just its rows could be told from chance, with
+    ``ALPHA`` shared among the predicates (the conjunctions) that are tried: its leaks are shown and count for nothing.
+    ``n_certified`` are predicates and conjunctions beyond chance.
+    """
     sizes = df.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.expr(c)).alias(f"c{k}") for k, c in enumerate(classes.values()))).first()
     out = None
     for k, (name, member) in enumerate(classes.items()):
         size, total = sizes[f"c{k}"], sizes["total"]
         state = "untestable" if size < LEAST_MEMBERS else "degenerate" if size > MOST_SHARE * total else "tested"
-        head = [F.lit(name).alias("class"), F.lit(size).cast("long").alias("size"), F.lit(state).alias("state")]
+        head = lambda state: [F.lit(name).alias("class"), F.lit(size).cast("long").alias("size"), F.lit(state).alias("state")]  # noqa: B023, E731
         if state == "tested":
-            t = scored(predicates(df, member, columns, notes), size, total).where("leaks")
-            row = t.agg(F.count(F.lit(1)).alias("n_leaks"), F.min_by(F.concat_ws(" ", "column", "predicate"), F.struct((-F.col("lift_bp")).alias("l"), "column", "predicate")).alias("best")).select(*head, "n_leaks", "best")
+            found = kept(_predicates(df, member, columns, notes, LEVELS).where(F.col("support").between(1, total - 1)), "predicates")
+            chosen = best_predicates(found, total)
+            per_column = [len(list(g)) for _, g in groupby(chosen, key=lambda r: r["column"])]
+            levels_ = [ALPHA / max(n, 1) for n in (found.count(), sum(a * b for a, b in combinations(per_column, 2)))]
+            least = -(math.lgamma(total + 1) - math.lgamma(size + 1) - math.lgamma(total - size + 1))  # the log of a perfect predicate's chance
+            single = scored(found.where("hits > 0"), size, total)
+            pair = scored(conjunctions(df, member, chosen).where(F.col("support") < total), size, total)
+            one = single.agg(F.count_if("leaks").alias("n_leaks"), F.count_if(F.col("p_value") <= levels_[0]).alias("c1"), F.min_by(F.when(F.col("leaks"), F.concat_ws(" ", "column", "predicate")), F.struct((~F.col("leaks")).alias("w"), (-F.col("precision_bp") * F.col("recall_bp")).alias("l"), "p_value", "column", "predicate")).alias("best"))
+            two = pair.agg(F.count_if("leaks").alias("n_pair_leaks"), F.count_if(F.col("p_value") <= levels_[1]).alias("c2"), F.count(F.lit(1)).alias("n_pairs"))
+            powered = F.lit(least <= math.log(levels_[0])) | (F.lit(least <= math.log(levels_[1])) & (F.col("n_pairs") > 0))
+            row = one.crossJoin(two).select(*head(None)[:2], F.when(powered, "tested").otherwise("underpowered").alias("state"), "n_leaks", "n_pair_leaks", (F.col("c1") + F.col("c2")).alias("n_certified"), "best")  # one row each
         else:
-            row = df.sparkSession.range(1).select(*head, F.lit(0).cast("long").alias("n_leaks"), F.lit(None).cast("string").alias("best"))
+            nothing = [F.lit(0).cast("long").alias(c) for c in ("n_leaks", "n_pair_leaks", "n_certified")]
+            row = df.sparkSession.range(1).select(*head(state), *nothing, F.lit(None).cast("string").alias("best"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -267,6 +267,12 @@ def q2_p_values(spark, sf):
     return _scored(spark, sf).select("column", "predicate", "support", "hits", F.round("p_value", 9).alias("p_value"))
 
 
+def q3_best_pairs(spark, sf):
+    """Conjunctions of the six best predicates of every two columns that hold for some refund."""
+    found = Q.best_pairs(X.with_notes(X.ledger(spark, sf)), _MEMBER, _COLUMNS, notes="notes")
+    return found.select("c1", "p1", "c2", "p2", "support", "hits", "precision_bp", "recall_bp", "lift_bp", "leaks")
+
+
 def q6_contained(spark, sf):
     """Columns that hold another column's text, or one and a part of another."""
     rows = X.ledger(spark, sf).where("settlement_id IS NOT NULL AND type = 'payment'")
@@ -317,7 +323,7 @@ def q9_class_audits(spark, sf):
 QUERIES = {f.__name__: f for f in (
     p8_withheld, p10_notes, a7_full_accounting, a7_rival_accounting, a17_method_breakdown, a19_journal, a20_journal_checks, f10_fees, c4_largest_subsets, u3_distinct_candidates, u8_composition_difference, f12_similarities, f17_weakest_tier, f19_bare_sql, j5_greedy,
     g8_reconstructible_abstentions, g10_tax_flags, g11_reconstructed_scores, g22_cascade_scores, g22_third_stage, inv_contract, st1_runs, st2_outcomes_by_key, st3_rebuilt_breaks, st5_line_summaries, st8_human_choices, st10_carry_forward,
-    st11_case_facts, st12_tax_grounds, k4_round_trip, t2_entities_sorted, t3_breaks_by_age, q1_predicates, q2_leaks, q2_p_values, q6_contained, q8_recoverable, q8_posting_lags, q8_derivable, q8_density, p11_grid_filters, q9_class_audits)}
+    st11_case_facts, st12_tax_grounds, k4_round_trip, t2_entities_sorted, t3_breaks_by_age, q1_predicates, q2_leaks, q2_p_values, q3_best_pairs, q6_contained, q8_recoverable, q8_posting_lags, q8_derivable, q8_density, p11_grid_filters, q9_class_audits)}
 _T, _D, _REC = RES._TIERS, RES._DISPOSED, RES._REC
 _JOURNAL = """
 , own_rows AS (SELECT * FROM ledger WHERE settlement_id IN (SELECT settlement_id FROM decided WHERE kind = 'verified')),
@@ -452,6 +458,17 @@ FROM bucketed b JOIN own o USING (row_id) JOIN risk r ON r.entity = o.entity AND
     "q1_predicates": BASE + _LEVELS + "SELECT * FROM pred",
     "q2_leaks": BASE + _LEVELS + """, sc AS (SELECT p.*, hits * 10000 // support AS precision_bp, hits * 10000 // size AS recall_bp, (hits * 10000 // support) * total // size AS lift_bp, total FROM pred p, tt)
 SELECT "column", predicate, support, hits, precision_bp, recall_bp, lift_bp FROM sc WHERE precision_bp >= 9000 AND recall_bp >= 5000 AND lift_bp >= 20000 AND support * 2 <= total""",
+    "q3_best_pairs": BASE + _LEVELS + """, best AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY "column" ORDER BY CAST(hits AS DOUBLE) / support DESC, hits DESC, predicate) AS r FROM pred p, tt WHERE support > 0 AND support < total) WHERE r <= 6),
+nr AS (SELECT *, row_number() OVER () AS rid, type = 'refund' AS m FROM noted),
+cells AS (SELECT rid, m, 'method' AS col, method AS v FROM nr UNION ALL SELECT rid, m, 'on_hold', CAST(on_hold AS VARCHAR) FROM nr UNION ALL SELECT rid, m, 'amount', CAST(amount AS VARCHAR) FROM nr
+  UNION ALL SELECT rid, m, 'payment_id', payment_id FROM nr UNION ALL SELECT rid, m, 'notes', CASE WHEN notes LIKE '{%' THEN notes END FROM nr),
+sat AS (SELECT rid, m, col, predicate FROM cells JOIN best ON col = "column" WHERE CASE WHEN predicate = 'is null' THEN v IS NULL WHEN predicate = 'is not null' THEN v IS NOT NULL
+  WHEN predicate LIKE '= %' THEN v = substr(predicate, 3) WHEN predicate LIKE '<= %' THEN TRY_CAST(v AS BIGINT) <= TRY_CAST(substr(predicate, 4) AS BIGINT) WHEN predicate LIKE '>= %' THEN TRY_CAST(v AS BIGINT) >= TRY_CAST(substr(predicate, 4) AS BIGINT)
+  WHEN predicate LIKE 'contains %' THEN list_contains(string_split(replace(lower(v), '_', ' '), ' '), substr(predicate, 10)) WHEN predicate LIKE 'with %' THEN contains(v, '"' || substr(predicate, 6) || '":')
+  WHEN predicate LIKE 'without %' THEN NOT coalesce(contains(v, '"' || substr(predicate, 9) || '":'), false) ELSE contains(v, '"' || replace(predicate, ' = ', '": "') || '"') END),
+pp AS (SELECT a.col AS c1, a.predicate AS p1, b.col AS c2, b.predicate AS p2, count(*) AS support, CAST(sum(CASE WHEN a.m THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM sat a JOIN sat b ON a.rid = b.rid AND a.col < b.col GROUP BY 1, 2, 3, 4),
+ps AS (SELECT pp.*, hits * 10000 // support AS precision_bp, hits * 10000 // size AS recall_bp, (hits * 10000 // support) * total // size AS lift_bp, total FROM pp, tt WHERE hits > 0 AND support < total)
+SELECT c1, p1, c2, p2, support, hits, precision_bp, recall_bp, lift_bp, precision_bp >= 9000 AND recall_bp >= 5000 AND lift_bp >= 20000 AND support * 2 <= total AS leaks FROM ps""",
     "q6_contained": BASE + """
 , nar AS (SELECT 'CR/' || order_id || '/' || method AS narration, created_at || right(settlement_id, 6) AS utr, order_id, CAST(created_at AS VARCHAR) AS made, settlement_id FROM ledger WHERE settlement_id IS NOT NULL AND type = 'payment'), held AS (
 """ + _held(["narration", "utr", "order_id", "made", "settlement_id"]) + ") SELECT * FROM held WHERE n > 0 AND hits * 10000 >= n * 9500",

@@ -559,6 +559,50 @@ def test_predicates_and_class_audits(spark):
     assert audits["two"].state == "untestable" and audits["most"].state == "degenerate"
 
 
+def test_conjunctions_of_the_best_predicates(spark):
+    rng = random.Random(5)
+    notes = [None, "[]", "{}", '{"desk": "7"}', '{"desk": "8", "via": "x = y"}']
+    rows = [(k, rng.choice(["card", "upi", None]), rng.choice([None, 5, 7, 9, 11, 13]), rng.choice(["late fee", "fee_paid", None]), rng.choice(notes), rng.choice([True, False, False, None])) for k in range(150)]
+    df = spark.createDataFrame(rows, "k long, method string, amount long, text string, notes string, m boolean").repartition(5)
+    got = {tuple(r)[:4]: (r.support, r.hits) for r in audit.best_pairs(df, "m", ["method", "amount", "text"], notes="notes", best=4).collect()}
+    note = lambda r: json.loads(r[4]) if (r[4] or "").startswith("{") else None
+
+    def holds(column, p, r):
+        v = r[{"method": 1, "amount": 2, "text": 3, "notes": 4}[column]]
+        if column == "notes" and not p.startswith("is "):
+            d = note(r) or {}
+            return p[5:] in d if p.startswith("with ") else p[8:] not in d if p.startswith("without ") else any(f"{x} = {y}" == p for x, y in d.items())
+        if p.startswith("is "):
+            return (v is None) == (p == "is null")
+        if v is None:
+            return False
+        return {"=": lambda: str(v) == p[2:], "<=": lambda: v <= int(p[3:]), ">=": lambda: v >= int(p[3:]), "contains": lambda: p[9:] in v.replace("_", " ").split()}[p.split()[0]]()
+
+    found = audit.predicates(df, "m", ["method", "amount", "text"], notes="notes").collect()
+    best = {}
+    for column in ("method", "amount", "text", "notes"):
+        own = [r for r in found if r.column == column and 0 < r.support < 150]
+        best[column] = sorted(own, key=lambda r: (-r.hits / r.support, -r.hits, r.predicate))[:4]
+    want = {}
+    for a, b in itertools.combinations(sorted(best), 2):
+        for p, q in itertools.product(best[a], best[b]):
+            both = [r for r in rows if holds(a, p.predicate, r) and holds(b, q.predicate, r)]
+            if any(r[5] for r in both) and len(both) < 150:
+                want[a, p.predicate, b, q.predicate] = (len(both), sum(bool(r[5]) for r in both))
+    assert got == want and len(got) > 30
+    empty = df.where("k < 0")
+    assert audit.best_pairs(empty, "m", ["method"]).count() == 0 and audit.conjunctions(df, "m", []).count() == 0
+
+
+def test_underpowered_classes(spark):
+    df = spark.range(12).select(F.col("id").alias("amount"), (F.col("id") % 3).cast("string").alias("kind"), (F.col("id") >= 9).alias("late"))
+    few = audit.class_audits(df, {"late": "late"}, ["amount", "kind"]).first()  # 3 of 12: no test tells it from chance
+    assert (few.state, few.n_leaks > 0, few.n_certified, few.best) == ("underpowered", True, 0, "amount >= 9")
+    more = spark.range(240).select(F.col("id").alias("amount"), (F.col("id") % 3).cast("string").alias("kind"), (F.col("id") >= 234).alias("late"))
+    row = audit.class_audits(more, {"late": "late"}, ["amount", "kind"]).first()
+    assert (row.state, row.best) == ("tested", "amount >= 234") and row.n_certified > 0
+
+
 def test_similarity_columns(spark):
     pairs = spark.createDataFrame([("setl 1 1993", "utr 1 1993"), ("", ""), (None, "x"), ("a b", "b a")], "a string, b string")
     out = pairs.select("a", "b", text.similarities()("a", "b").alias("s"), text.similarities("ratio")("a", "b").alias("r")).toPandas()
