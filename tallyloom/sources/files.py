@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import money
 from ..operators.storage import kept
+from . import arrays
 
 #: File names, and the spellings of each role of a bank statement.
 LEDGER, BANK, REPORT, ORDERS, DISPUTES, TAX = "recon_combined.json", "bank_statement.csv", "settlement_report.csv", "erp_orders.csv", "disputes.json", "gstr2b.csv"
@@ -90,8 +91,11 @@ def bank_statement(spark: SparkSession, path: str) -> DataFrame:
 def envelope(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
     """Items of a JSON file: one in each line, a bare array, or an object with ``items``; anything else raises.
 
-    An array or object is one value and fits into a task; a larger feed comes in lines, which Spark splits.
+    An array that is larger than a split is cut where its items end.
     """
+    parts = arrays.array_items(spark, path) if arrays.is_large(spark, path) else None
+    if parts is not None:
+        return parts.select(F.from_json("item", item, {"mode": "FAILFAST"}).alias("x")).select("x.*")
     if in_lines(spark, path):
         return spark.read.schema(item).option("mode", "FAILFAST").json(path)
     text = spark.read.option("wholetext", True).text(path)
@@ -157,6 +161,9 @@ def load(spark: SparkSession, directory: str, strict: bool = False) -> dict[str,
 
 def items(spark: SparkSession, path: str) -> DataFrame:
     """Objects of a JSON file or JSON lines as text, one per row in order; a line that isn't an object raises."""
+    parts = arrays.array_items(spark, path) if arrays.is_large(spark, path) else None
+    if parts is not None:
+        return parts.select("n", F.to_json(F.parse_json("item")).alias("item"))
     if in_lines(spark, path):
         lines = in_file_order(spark.read.text(path), "n").where(F.trim("value") != "").select("n", F.trim("value").alias("item"))
         return lines.withColumn("item", F.when(~F.col("item").startswith("{"), F.raise_error(F.concat(F.lit("not an object: "), "item"))).otherwise(F.col("item")))

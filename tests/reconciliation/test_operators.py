@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import calendar, money, text
 from tallyloom.operators import aggregates, audit, cascade, closures, gates, joins, resolver, store, subsets, tax
 from tallyloom.plans import fixtures
-from tallyloom.sources import files, statements
+from tallyloom.sources import arrays, files, statements
 from tallyloom.streaming import breaks, ingest
 
 SF = "/root/testdata/sf0.001"
@@ -704,6 +704,44 @@ def test_break_history_as_a_stream(spark, tmp_path):
     assert after.where("change = 'closed' AND seq = 9").count() == old.where("entity = 1 AND closed_seq IS NULL").count()
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize(("indent", "head", "tail"), [(None, "[", "]"), (2, "[", "]\n"), (None, '{"entity": "a [\\"{ b", "count": 3, "items": [', '], "more": [{"no": 1}], "last": {"x": {}}}'), (1, '\n{"items":[', "]}\n")])
+def test_large_arrays_in_pieces(spark, tmp_path, small_splits, indent, head, tail):
+    rng = random.Random(7)
+    hard = ["}", "{", '"', "\\", '\\"}', "]", "[{", ",", "é", "\n", "a" * 30, "} , {", '"}']
+    objects = [{"id": k, "t": "".join(rng.choice(hard) for _ in range(rng.randrange(6))), "notes": rng.choice([{}, [], {"d": {"e": [{"x": "}"}, {}]}}, None, "}]"])} for k in range(400)]
+    objects[17]["t"] = "}" * 3_000  # an item of several splits
+    text_ = head + ("," if indent is None else " ,\n ").join(json.dumps(o, indent=indent, ensure_ascii=k % 2 == 0) for k, o in enumerate(objects)) + tail
+    (tmp_path / "a.json").write_text(text_)
+    path = str(tmp_path / "a.json")
+    assert arrays.is_large(spark, path) and spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 4
+    assert [json.loads(r.item) for r in arrays.array_items(spark, path).orderBy("n").collect()] == objects
+    assert [json.loads(r.item)["id"] for r in files.items(spark, path).orderBy("n").collect()] == list(range(400))
+    schema = "id long, t string"
+    from pyspark.sql.types import _parse_datatype_string
+    got = files.envelope(spark, path, _parse_datatype_string(schema)).collect()
+    assert sorted(map(tuple, got)) == [(o["id"], o["t"]) for o in objects]
+
+
+def test_arrays_that_are_none(spark, tmp_path, small_splits):
+    def read(text_):
+        (tmp_path / "b.json").write_text(text_)
+        found = arrays.array_items(spark, str(tmp_path / "b.json"))
+        return found if found is None else [r.item for r in found.orderBy("n").collect()]
+
+    assert read("[]") == [] and read(' {"items": [ ]}') == [] and read('[ {"a":1} ]') == ['{"a":1}']
+    assert read("") is None and read('{"a": 1}\n{"a": 2}') is None and read('{"links": [{"x": 1}], "items": []}') is None
+    for bad in ('[{"a": 1}', '[{"a": 1} {"b": 2}]', '[{"a": 1},, {"b": 2}]', '[,{"a": 1}]', '[1, {"a": 1}]', '[{"a": 1}, 2]', "[1, 2]", '[{"a": 1}] x', '[{"a": 1}]]', "[] x"):
+        with pytest.raises(Exception, match="doesn't end|not an object"):
+            read(bad)
+
+
 def test_retries():
     calls, waits = [], []
 
