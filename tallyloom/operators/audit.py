@@ -268,21 +268,30 @@ def contained_columns(df: DataFrame, columns: list[str], least_bp: int = 9_500)
     return df.agg(*counts).select(F.inline(each)).where(f"n > 0 AND hits * 10000 >= n * {least_bp}")
 
 
-def parts_of(texts: DataFrame, column: str, least: int = 6, most: int | None = None) -> DataFrame:
-    """``texts`` with ``part``: every part of the column of at least ``least`` (and at most ``most``) characters.
+def parts_of(texts: DataFrame, column: str, lengths: list[int]) -> DataFrame:
+    """``texts`` with ``part``: the parts of the column that have one of ``lengths``.
 
-    Looking for a value within texts is then a join on equal values.
+    Looking for values of these lengths within texts is then a join on equal values, and a text makes no more rows than it has
+    characters for each length.
     """
     size = F.length(column)
-    length = F.explode(F.sequence(F.lit(least), size if most is None else F.least(size, F.lit(most))))
-    each = texts.where(size >= least).withColumn("__l", length).withColumn("__s", F.explode(F.sequence(F.lit(1), size - F.col("__l") + 1)))
+    if not lengths:
+        return texts.withColumn("part", F.lit(None).cast("string")).where("false")
+    each = texts.where(size >= min(lengths)).withColumn("__l", F.explode(F.array(*map(F.lit, lengths)))).where(F.col("__l") <= size)
+    each = each.withColumn("__s", F.explode(F.sequence(F.lit(1), size - F.col("__l") + 1)))
     return each.withColumn("part", F.substring(column, F.col("__s"), F.col("__l"))).drop("__l", "__s")
 
 
 def recoverable_columns(rows: DataFrame, lines: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns of the ledger with how many of their values (six characters or more) stand in some line's reference; two make them recoverable."""
+    """Columns of the ledger with how many of their values (six characters or more) stand in some line's reference; two make them recoverable.
+
+    Only lengths that values have are looked for, and none beyond the longest reference.
+    """
     values = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("part")) for c in columns)))).where(F.length("part") >= 6).distinct()
-    seen = parts_of(lines.select("reference").distinct(), "reference").select("part").distinct()
+    references = lines.select("reference").distinct()
+    longest = references.agg(F.coalesce(F.max(F.length("reference")), F.lit(0)).alias("n")).first()["n"]
+    lengths = sorted(r.n for r in values.select(F.length("part").alias("n")).distinct().where(F.col("n") <= longest).collect())
+    seen = parts_of(references, "reference", lengths).select("part").distinct()
     n = values.join(seen, "part").groupBy("column").agg(F.count(F.lit(1)).alias("n_found"))
     return n.withColumn("recoverable", F.col("n_found") >= 2)
 
@@ -298,7 +307,7 @@ def posting_lags(rows: DataFrame, lines: DataFrame, most: int = 7) -> DataFrame:
 def derivable_references(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines whose reference holds the last six characters of a settlement of their entity."""
     ends = rows.where("length(settlement_id) >= 6").select("entity", F.substring("settlement_id", -6, 6).alias("part")).distinct()
-    return parts_of(lines.select("entity", "bank_index", "reference"), "reference", 6, 6).join(ends, ["entity", "part"], "left_semi").select("entity", "bank_index", "reference").distinct()
+    return parts_of(lines.select("entity", "bank_index", "reference"), "reference", [6]).join(ends, ["entity", "part"], "left_semi").select("entity", "bank_index", "reference").distinct()
 
 
 def hypergeometric_tail(hits: int, drawn: int, members: int, total: int) -> float:

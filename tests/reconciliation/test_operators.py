@@ -594,6 +594,21 @@ def test_conjunctions_of_the_best_predicates(spark):
     assert audit.best_pairs(empty, "m", ["method"]).count() == 0 and audit.conjunctions(df, "m", []).count() == 0
 
 
+def test_recoverable_values(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ab1") for _ in range(n))
+    rows = [(word(rng.randrange(3, 9)), word(6), None if k % 3 else word(12)) for k in range(60)]
+    references = [word(rng.randrange(0, 20)) for _ in range(25)] + [rows[0][2] + "x", None]
+    got = {r.column: (r.n_found, r.recoverable) for r in audit.recoverable_columns(spark.createDataFrame(rows, "a string, b string, c string"), spark.createDataFrame([(r,) for r in references], "reference string"), ["a", "b", "c"]).collect()}
+    want = {}
+    for k, c in enumerate("abc"):
+        n = len({r[k] for r in rows if r[k] and len(r[k]) >= 6 and any(t and r[k] in t for t in references)})
+        if n:
+            want[c] = (n, n >= 2)
+    assert got == want and want["b"][0] > 2 and "c" in want
+    assert audit.recoverable_columns(spark.createDataFrame([("abc",)], "a string"), spark.createDataFrame([], "reference string"), ["a"]).count() == 0
+
+
 def test_underpowered_classes(spark):
     df = spark.range(12).select(F.col("id").alias("amount"), (F.col("id") % 3).cast("string").alias("kind"), (F.col("id") >= 9).alias("late"))
     few = audit.class_audits(df, {"late": "late"}, ["amount", "kind"]).first()  # 3 of 12: no test tells it from chance
