@@ -89,6 +89,8 @@ def array_items(spark: SparkSession, path: str) -> DataFrame | None:
 def is_large(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is one file that Spark reads in more than one split."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    status = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)  # none for a path that isn't there
+    if not found or len(found) != 1:
+        return False
     most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    return status.isFile() and status.getLen() > most
+    return found[0].isFile() and found[0].getLen() > most

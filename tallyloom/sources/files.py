@@ -93,7 +93,7 @@ def envelope(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
 
     An array that is larger than a split is cut where its items end.
     """
-    parts = arrays.array_items(spark, path) if arrays.is_large(spark, path) else None
+    parts = arrays.array_items(spark, path) if arrays.is_large(spark, refuse_answer_key(path)) else None
     if parts is not None:
         return parts.select(F.from_json("item", item, {"mode": "FAILFAST"}).alias("x")).select("x.*")
     if in_lines(spark, path):
@@ -161,7 +161,7 @@ def load(spark: SparkSession, directory: str, strict: bool = False) -> dict[str,
 
 def items(spark: SparkSession, path: str) -> DataFrame:
     """Objects of a JSON file or JSON lines as text, one per row in order; a line that isn't an object raises."""
-    parts = arrays.array_items(spark, path) if arrays.is_large(spark, path) else None
+    parts = arrays.array_items(spark, path) if arrays.is_large(spark, refuse_answer_key(path)) else None
     if parts is not None:
         return parts.select("n", F.to_json(F.parse_json("item")).alias("item"))
     if in_lines(spark, path):
