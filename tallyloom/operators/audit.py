@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, text
 from . import windows
-from .storage import kept
 
 #: Levels of a column that are tried, and what a predicate must reach to count.
 LEVELS, MIN_PRECISION, MIN_RECALL, MIN_LIFT = 40, 0.90, 0.50, 2.0
@@ -222,6 +221,8 @@ def class_audits(df: DataFrame, classes: dict[str, str], columns: list[str], not
     ``ALPHA`` shared among the predicates (the conjunctions) that are tried: its leaks are shown and count for nothing.
     ``n_certified`` are predicates and conjunctions beyond chance.
     """
+    from .storage import kept  # not in the module: tasks get its functions by value, and tables are the driver's
+
     sizes = df.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.expr(c)).alias(f"c{k}") for k, c in enumerate(classes.values()))).first()
     out = None
     for k, (name, member) in enumerate(classes.items()):
