@@ -1,4 +1,4 @@
-
+"""Functions of the reconciliation library."""
 
 import sys
 
