@@ -482,6 +482,17 @@ def test_residual_pairs_by_cluster(spark):
     assert {r.status for r in cascade.residual_pairs(a, b, most=60).collect()} == {"unpaired"}  # nothing can be accepted
 
 
+def test_residual_pairs_of_payments_that_name_an_order(spark):
+    """Columns beside those that are compared, the payment's own order id among them, change nothing."""
+    from tallyloom.operators import cascade
+
+    a = spark.createDataFrame([(1, "p1", "x1", 100, 5), (1, "p2", "x2", 900, 5), (2, "q1", "x1", 1, 1)], "entity long, row_id string, order_id string, amount long, day long")
+    b = spark.createDataFrame([(1, "o1", 110, 5, 9)], "entity long, order_id string, amount long, invoice_day long, day long")
+    for most in (1, 200):  # by acceptable pairs, all at once
+        out = {r.row_id: (r.order_id, r.cost, r.status) for r in cascade.residual_pairs(a, b, limit=1_000_100, most=most).collect()}
+        assert out == {"p1": ("o1", 1_000_010, "paired"), "p2": (None, None, "unpaired"), "q1": (None, None, "unpaired")}
+
+
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 30)), max_size=25))
 @settings(max_examples=200, deadline=None)
 def test_cheapest_pairs(edges):
