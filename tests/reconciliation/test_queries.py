@@ -41,6 +41,29 @@ def test_sql(spark, con, name):
     assert rows(got) == rows(want)
 
 
+def test_residual_pairs(spark, con):
+    """The pairing has no SQL: of each entity it costs what the cheapest one in memory costs, and has every payment once."""
+    from itertools import groupby
+
+    from tallyloom.operators import audit
+    from tallyloom.plans.fixtures import BASE
+
+    a = con.sql(BASE + "SELECT entity, row_id, amount, created_at // 86400 FROM ledger WHERE type = 'payment' AND fee IS NOT NULL AND order_id NOT IN (SELECT order_id FROM erp) ORDER BY 1, 2").fetchall()
+    b = con.sql(BASE + "SELECT entity, order_id, amount, invoice_day FROM erp WHERE order_id NOT IN (SELECT order_id FROM ledger WHERE type = 'payment') ORDER BY 1, 2").fetchall()
+    by_entity = lambda of: {k: list(g) for k, g in groupby(of, lambda r: r[0])}
+    orders, want, cost = by_entity(b), {}, lambda x, y: abs(x[2] - y[2]) + 1_000 * abs(x[3] - y[3]) + 1_000_000
+    for entity, own in by_entity(a).items():
+        pairs = audit.assigned_pairs([[cost(x, y) for y in orders[entity]] for x in own]) if entity in orders else []
+        want[entity] = (len(own), len(pairs), sum(c for *_, c, _ in pairs))
+    got = catalogue.QUERIES["j13_residual_pairs"](spark, SF).toPandas()
+    assert sorted(got.row_id) == sorted(r[1] for r in a) and set(got.status) <= {"refused", "unpaired"}
+    pairs = got[got.order_id.notna()]
+    assert not pairs.order_id.duplicated().any()
+    at = {r[1]: r for r in a + b}
+    assert all(r.cost == cost(at[r.row_id], at[r.order_id]) and r.entity == at[r.order_id][0] for r in pairs.itertuples())
+    assert {e: (len(g), int(g.order_id.notna().sum()), int(g.cost.sum())) for e, g in got.groupby("entity")} == want
+
+
 def test_entry_stands_alone():
     import __spark_entry__
 
