@@ -203,7 +203,7 @@ def scored(found: DataFrame, size: int, total: int) -> DataFrame:
 
     @F.pandas_udf("double")
     def chance(hits: pd.Series, support: pd.Series) -> pd.Series:
-        return pd.Series([hypergeometric_tail(int(h), int(n), size, total) for h, n in zip(hits, support, strict=True)], dtype=float)
+        return pd.Series(hypergeometric_tails(hits.to_numpy(), support.to_numpy(), size, total))
 
     wide = F.col("support") * 2 > total
     leak = (F.col("precision_bp") >= int(MIN_PRECISION * 10_000)) & (F.col("recall_bp") >= int(MIN_RECALL * 10_000)) & (F.col("lift_bp") >= int(MIN_LIFT * 10_000)) & ~wide
@@ -312,19 +312,57 @@ def derivable_references(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def hypergeometric_tail(hits: int, drawn: int, members: int, total: int) -> float:
-    """The chance of at least ``hits`` members among ``drawn`` of ``total``, from logarithms of factorials."""
-    least, top = max(drawn + members - total, 0), min(drawn, members)
-    if hits <= least:
-        return 1.0
-    low = hits
-    if low > top:
-        return 0.0
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    first = choose(members, low) + choose(total - members, drawn - low) - choose(total, drawn)
-    k = np.arange(low, top, dtype=np.float64)  # each term by its ratio to the one before
-    steps = np.log((members - k) * (drawn - k)) - np.log((k + 1) * (total - members - drawn + k + 1))
-    logs = first + np.concatenate([[0.0], np.cumsum(steps)])
-    return min(1.0, float(np.exp(logs - logs.max()).sum() * math.exp(logs.max())))
+    """The chance of at least ``hits`` members among ``drawn`` of ``total``."""
+    return float(hypergeometric_tails(np.array([hits]), np.array([drawn]), members, total)[0])
+
+
+def _beyond_powers(n: np.ndarray) -> np.ndarray:
+    """ln n! - (n ln n - n): small for any n, so that no digits go where such are subtracted."""
+    few = np.array([math.lgamma(k + 1) - k * math.log(k) + k if k else 0.0 for k in range(16)])
+    x = np.maximum(n, 16).astype(np.float64)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / (1188 * x * x)) / (x * x)) / (x * x)) / (x * x)) / x
+    return np.where(n < 16, few[np.minimum(n, 15)], 0.5 * np.log(2 * math.pi * x) + series)
+
+
+def _hypergeometric(k: np.ndarray, drawn: np.ndarray, members: int, total: int) -> np.ndarray:
+    """The chance of just ``k`` members: the four cells of its table against those that are expected."""
+    cells = [(k, drawn, members), (members - k, total - drawn, members), (drawn - k, drawn, total - members), (total - members - drawn + k, total - drawn, total - members)]
+    far = (k * total - members * drawn) / total
+    fixed = _beyond_powers(np.array([members, total - members])).sum() - _beyond_powers(np.array([total]))
+    log = fixed + _beyond_powers(drawn) + _beyond_powers(total - drawn)
+    for (seen, a, b), sign in zip(cells, (1, -1, -1, 1), strict=True):
+        expected = np.maximum(a * (b / total), 1e-300)
+        t = np.where(seen > 0, sign * far / expected, 0.0)
+        log -= _beyond_powers(seen) + np.where(seen > 0, expected * ((1 + t) * np.log1p(t) - t), expected)
+    return np.exp(log)
+
+
+def hypergeometric_tails(hits: np.ndarray, drawn: np.ndarray, members: int, total: int) -> np.ndarray:
+    """The chance of at least each of ``hits`` members among ``drawn`` of ``total``.
+
+    Terms are added from the first one away from the mode, each by its ratio to the one before: upwards, or, up to the
+    mode, those below, whose sum is taken from one. As ratios only fall, what is left out is known to be under 1e-17 of the
+    sum. So a row takes a few terms if it is far out, and some ten standard deviations, the root of the draws, if it isn't.
+    """
+    hits, drawn = np.asarray(hits, np.int64), np.asarray(drawn, np.int64)
+    out = np.ones(len(hits))
+    out[hits > np.minimum(drawn, members)] = 0.0
+    open_ = np.flatnonzero((hits > np.maximum(drawn + members - total, 0)) & (hits <= np.minimum(drawn, members)))
+    up = hits[open_] > (drawn[open_] + 1) * (members + 1) // (total + 2)  # beyond the mode
+    for upwards, at in ((True, open_[up]), (False, open_[~up])):
+        n, k = drawn[at], hits[at] - (not upwards)
+        first, sums = _hypergeometric(k, n, members, total), np.ones(len(at))
+        place, x, n, term = np.arange(len(at)), k.astype(np.float64), n.astype(np.float64), np.ones(len(at))
+        while len(place):
+            for _ in range(16):
+                ratio = (members - x) * (n - x) / ((x + 1) * (total - members - n + x + 1)) if upwards else x * (total - members - n + x) / ((members - x + 1) * (n - x + 1))
+                term = term * np.maximum(ratio, 0.0)  # nought beyond the last term
+                x += 1 if upwards else -1
+                sums[place] += term
+            more = (term > 0) & (term * ratio > 1e-17 * sums[place] * (1 - ratio))
+            place, x, n, term = place[more], x[more], n[more], term[more]
+        out[at] = first * sums if upwards else 1 - first * sums
+    return out.clip(0.0, 1.0)
 
 
 def assigned_pairs(costs: list[list[int]], limit: int = 10_000) -> list[tuple[int, int, int, bool]]:

@@ -553,6 +553,26 @@ def test_every_breach_is_found(spark):
         "a warrant has evidence", "verified names a composition", "verified confirms a consequence", "verified has two parties", "verified carries no contradiction", "verified counts its rivals"}
 
 
+def test_hypergeometric_tails():
+    """All tables of up to 12, exactly; large ones in a time that doesn't grow with the members, and to ten digits."""
+    import math
+    import time
+
+    import numpy as np
+
+    for total in range(1, 13):
+        for members, n in itertools.product(range(total + 1), repeat=2):
+            hits = np.arange(n + 2)
+            want = [sum(math.comb(members, i) * math.comb(total - members, n - i) for i in range(h, min(n, members) + 1)) / math.comb(total, n) for h in hits]
+            assert audit.hypergeometric_tails(hits, np.full(len(hits), n), members, total) == pytest.approx(want, rel=1e-11, abs=0)
+    for h, n, members, total in ((150, 700, 200, 1_000), (130, 700, 200, 1_000), (40, 90, 300, 1_000)):
+        want = sum(math.comb(members, i) * math.comb(total - members, n - i) for i in range(h, min(n, members) + 1)) / math.comb(total, n)
+        assert audit.hypergeometric_tail(h, n, members, total) == pytest.approx(want, rel=1e-11, abs=0)
+    began, drawn = time.process_time(), np.arange(1_000, 5_000_000, 250)
+    p = audit.hypergeometric_tails(drawn // 6, drawn, 1_600_000, 10_000_000)  # before: up to 1.6 million terms for each of these
+    assert time.process_time() - began < 20 and ((p >= 0) & (p <= 1)).all()
+
+
 def test_predicates_and_class_audits(spark):
     import math
 
