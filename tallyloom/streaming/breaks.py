@@ -10,80 +10,80 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .ingest import rocks_db
 
 CHANGES = "entity long, row_id string, seq long, change string, first_seq long, opened_seq long, last_seq long"
+NAMES = [c.split()[0] for c in CHANGES.split(", ")]
 
 
 class Breaks(StatefulProcessor):
-    """State of one bucket: rows known (first and latest opening, whether open), sightings that wait, and the last complete run.
+    """State of one bucket: the last complete run with rows known (first and latest opening, whether open), and sightings that wait.
 
-    An open row was seen by the last complete run, so a run writes only the rows that it changes.
+    An open row was seen by the last complete run, so a run writes only the rows that it changes. What is known is one value,
+    read and written once a batch: most buckets are a few rows of a small entity, and a call for each row would cost more than the row.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "row_id string", "first long, opened long, open boolean")
-        self.waiting = handle.getMapState("waiting", "seq long, row_id string", "there boolean")
-        self.done = handle.getValueState("done", "seq long")
+        self.known = handle.getValueState("known", "done long, waits boolean, rows array<struct<row_id: string, first: long, opened: long, open: boolean>>")
+        self.waiting = handle.getListState("waiting", "seq long, row_id string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - names of the interface
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
         entity = int(key[0])
-        last = self.done.get()[0] if self.done.exists() else None
-        complete, seen, late = set(), {}, set()
-        for part in rows:
-            for seq, row_id, marker in zip(part["seq"], part["row_id"], part["marker"], strict=True):
-                if last is not None and seq <= last:
-                    late |= set() if marker else {(int(seq), row_id)}
-                elif marker:
-                    complete.add(int(seq))
-                else:
-                    seen.setdefault(int(seq), set()).add(row_id)
+        last, waits, known = self.known.get() or (None, False, [])
+        known = {row_id: (first, opened, is_open) for row_id, first, opened, is_open in known}
+        complete, seen, late, out = set(), {}, set(), []
+        for row in rows:
+            seq, row_id, marker = row["seq"], row["row_id"], row["marker"]
+            if last is not None and seq <= last:
+                late |= set() if marker else {(seq, row_id)}
+            elif marker:
+                complete.add(seq)
+            else:
+                seen.setdefault(seq, set()).add(row_id)
         until = max(complete, default=None)
-        if complete:
-            for seq, row_id in list(self.waiting.keys()):
+        left = []  # sightings of runs that aren't complete
+        if complete and waits:
+            for seq, row_id in self.waiting.get():
                 if seq <= until:
                     seen.setdefault(seq, set()).add(row_id)
-                    self.waiting.removeKey((seq, row_id))
+                else:
+                    left.append((seq, row_id))
         for seq in sorted({*seen, *complete}):
             if seq in complete:
-                yield self._frame(self._run(entity, seq, last, seen.get(seq, set())))
+                out += self._run(seq, last, seen.get(seq, set()), known)
                 last = seq
             elif complete and seq < until:  # the marker of a later run came first
                 late |= {(seq, r) for r in seen[seq]}
             else:
-                for row_id in seen[seq]:
-                    self.waiting.updateValue((seq, row_id), (True,))
-        if complete:
-            self.done.update((until,))
-        yield self._frame([(entity, r, seq, "late", None, None, None) for seq, r in sorted(late)])
-
-    def _run(self, entity: int, seq: int, last: int | None, seen: set[str]) -> list[tuple]:
-        out, updates, new = [], [], set(seen)
-        for (row_id,), (first, opened, is_open) in self.known.iterator():
-            new.discard(row_id)
+                left += [(seq, r) for r in seen[seq]]
+        if complete and waits:
+            self.waiting.put(left) if left else self.waiting.clear()
+        elif left:
+            self.waiting.appendList(left)
+        if complete or left and not waits:
+            self.known.update((last, bool(left) or waits and not complete, [(r, *x) for r, x in known.items()]))
+        for change in out + [(r, seq, "late", None, None, None) for seq, r in sorted(late)]:
+            yield Row(**dict(zip(NAMES, (entity, *change), strict=True)))
+
+    @staticmethod
+    def _run(seq: int, last: int | None, seen: set[str], known: dict) -> list[tuple]:
+        out, new = [], seen - known.keys()
+        for row_id, (first, opened, is_open) in known.items():
             if row_id in seen and not is_open:
-                out.append((entity, row_id, seq, "reopened", first, seq, seq))
-                updates.append((row_id, (first, seq, True)))
+                out.append((row_id, seq, "reopened", first, seq, seq))
+                known[row_id] = (first, seq, True)
             elif row_id not in seen and is_open:
-                out.append((entity, row_id, seq, "closed", first, opened, last))
-                updates.append((row_id, (first, opened, False)))
+                out.append((row_id, seq, "closed", first, opened, last))
+                known[row_id] = (first, opened, False)
         for row_id in sorted(new):
-            out.append((entity, row_id, seq, "opened", seq, seq, seq))
-            updates.append((row_id, (seq, seq, True)))
-        for row_id, value in updates:
-            self.known.updateValue((row_id,), value)
+            out.append((row_id, seq, "opened", seq, seq, seq))
+            known[row_id] = (seq, seq, True)
         return out
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in CHANGES.split(", ")]
-        return pd.DataFrame(rows, columns=names).astype({c: "string" if c in ("row_id", "change") else "Int64" for c in names})
-
     def close(self) -> None:
         pass
 
@@ -101,7 +101,7 @@ def break_changes(sightings: DataFrame, buckets: int = 64) -> DataFrame:
     marker = F.col("row_id").isNull()
     dealt = sightings.where("entity IS NOT NULL AND seq IS NOT NULL").select(
         F.col("entity").cast("long").alias("entity"), F.col("seq").cast("long").alias("seq"), "row_id", marker.alias("marker"), F.explode(F.when(marker, every).otherwise(mine)).alias("bucket"))
-    return dealt.groupBy("entity", "bucket").transformWithStateInPandas(Breaks(), CHANGES, "Append", "None")
+    return dealt.groupBy("entity", "bucket").transformWithState(Breaks(), CHANGES, "Append", "None")
 
 
 def follow(sightings: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> None:

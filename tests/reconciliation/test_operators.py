@@ -750,6 +750,28 @@ def test_break_history_as_a_stream(spark, tmp_path):
     assert after.where("change = 'closed' AND seq = 9").count() == old.where("entity = 1 AND closed_seq IS NULL").count()
 
 
+def test_break_stream_asks_its_state_once_a_batch():
+    """Each call of the state crosses a process: their number mustn't grow with a bucket's rows."""
+    from unittest.mock import MagicMock
+
+    calls = []
+    for n in (10, 1_000):
+        handle, store_ = MagicMock(), {}
+        states = {name: MagicMock() for name in ("known", "waiting")}
+        for make in (handle.getValueState, handle.getListState, handle.getMapState):
+            make.side_effect = lambda name, schema: states.setdefault(name, MagicMock())  # noqa: B023
+        states["known"].get.side_effect = lambda: store_.get("known")  # noqa: B023
+        states["known"].update.side_effect = lambda value: store_.update(known=value)  # noqa: B023
+        states["known"].iterator.side_effect = lambda: iter(())
+        stream = breaks.Breaks()
+        stream.init(handle)
+        rows = lambda seq: [{"seq": seq, "row_id": f"r{k}", "marker": False} for k in range(n) if seq == 1 or k % 2] + [{"seq": seq, "row_id": None, "marker": True}]  # noqa: B023, E731
+        assert len(list(stream.handleInputRows((7, 0), iter(rows(1)), None))) == n
+        assert {r["change"] for r in stream.handleInputRows((7, 0), iter(rows(2)), None)} == {"closed"}
+        calls.append(sum(len(x.method_calls) for x in states.values()))
+    assert calls[0] == calls[1] == 4
+
+
 @pytest.fixture
 def small_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
