@@ -630,6 +630,30 @@ def test_recall_of_each_edit(edit, least):
     assert caught >= least * 60
 
 
+def test_every_pair_within_the_bounds_is_found(spark, monkeypatch):
+    """Against all pairs in memory, also those of which no two corners have a whole table alike; queries in several blocks."""
+    monkeypatch.setattr(media, "BLOCK", 200)
+    rng = np.random.default_rng(11)
+    pictures = [media.drawn(v) for v in rng.normal(size=(40, 8)).tolist()]
+    made = [(100 * n + k, np.ascontiguousarray(media.EDITS[edit](a))) for n, edit in enumerate(("enlarged", "slight turn"), 1) for k, a in enumerate(pictures)]
+    base = [media.described(a) for a in pictures]
+    want, few = {}, 0
+    keys = lambda bits: np.unpackbits(bits, axis=1).reshape(len(bits), media.TABLES, media.TABLE_BITS)
+    for q, a in made:
+        points, bits = media.described(a)
+        for m, own in enumerate(base):
+            inliers = media.consensus(points, bits, *own)
+            if inliers >= media.MIN_INLIERS:
+                far = np.bitwise_count(bits[:, None] ^ own[1][None]).sum(2, dtype=np.int32)
+                want[q, m] = (int((far <= media.MAX_BITS).any(1).sum()), inliers)
+                few += (keys(bits)[:, None] == keys(own[1])[None]).all(3).any((1, 2)).sum() < media.MIN_VOTES
+    images = spark.createDataFrame([(k, bytearray(media.png(a))) for k, a in enumerate(pictures)], "media_id long, image binary")
+    queries = spark.createDataFrame([(q, bytearray(media.png(a))) for q, a in made], "query_id long, image binary")
+    out = media.copies(queries, images).collect()
+    assert {(r.query_id, r.media_id): (r.votes, r.inliers) for r in out} == want and len(out) == len(want) > 40
+    assert few > 0  # else the pictures show nothing
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_filters(kind):
     """Rows filtered as the format says, of every filter and colour type, against the pixels that they came from."""
