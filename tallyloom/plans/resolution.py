@@ -30,7 +30,7 @@ def _pools(spark, sf):
     rows = X.ledger(spark, sf)
     pool = X.settlements(rows).select("entity", F.col("settlement_id").alias("row_id"), "net")
     lines = X.bank(rows).where("amount > 0").select("entity", "bank_index", F.col("amount").alias("target"))
-    return lines.join(pool, "entity")
+    return kept(lines.join(pool, "entity"), "pools")  # the search reads them three times
 
 
 def _candidates(spark, sf):

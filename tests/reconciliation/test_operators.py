@@ -750,6 +750,23 @@ def test_break_history_as_a_stream(spark, tmp_path):
     assert after.where("change = 'closed' AND seq = 9").count() == old.where("entity = 1 AND closed_seq IS NULL").count()
 
 
+def test_small_pools_are_searched_by_plain_sums(monkeypatch):
+    """The same as by arrays, at caps and budgets of any size, without an array."""
+    from tallyloom.operators import closures
+
+    rng, cases = random.Random(4), []
+    for _ in range(600):
+        high = rng.choice([3, 20, 10**7])
+        nets = [rng.randrange(-high, high + 1) for _ in range(rng.randrange(1, 9))]
+        cases.append(([f"r{k}" for k in range(len(nets))], nets, sum(v for v in nets if rng.random() < 0.5), rng.choice([1, 2, 8, 200]), rng.choice([1, 8, 64, 1 << 21]), rng.random() < 0.5))
+    small = [subsets.closing_subsets(*c) for c in cases]
+    with monkeypatch.context() as m:
+        m.setattr(closures, "SMALL", -1)
+        assert small == [subsets.closing_subsets(*c) for c in cases]
+    monkeypatch.setattr(closures, "Pool", None)
+    assert subsets.closing_subsets(["a", "b", "c"], [5, -2, 7], 3) == ([("a", "b")], True, "exhausted")
+
+
 def test_break_stream_asks_its_state_once_a_batch():
     """Each call of the state crosses a process: their number mustn't grow with a bucket's rows."""
     from unittest.mock import MagicMock
