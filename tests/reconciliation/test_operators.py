@@ -1022,3 +1022,29 @@ def test_third_stage_scored(spark):
     attested = spark.createDataFrame([(1, "s1"), (1, "s2"), (1, "s2")], "entity long, settlement_id string")
     got = {r.measure: r.n for r in gates.reconstructions_scored(decided, named, rows, truth, attested).collect()}
     assert got == {"determinate": 4, "ambiguous": 1, "unresolved": 1, "right": 2, "wrong": 1, "foreign_adopted": 1, "without_warrant": 4, "rows_misplaced": 2}
+
+
+def test_tolerance_in_order_only_where_it_is_shared(spark):
+    """What only has each other matches at once; the whole is the same as all pairs taken in order."""
+    rng = random.Random(11)
+    lines = [(e, i, rng.randint(0, 1) + 1, rng.randint(100, 400)) for e in (1, 2) for i in range(60)]
+    settled = [(e, f"s{i:03}", rng.randint(1, 3), rng.randint(0, 2) + 1, rng.randint(100, 400)) for e in (1, 2) for i in range(60)]
+    a = spark.createDataFrame(lines, "entity long, bank_index long, value_day long, amount long")
+    b = spark.createDataFrame(settled, "entity long, settlement_id string, n_rows long, expected_day long, net long")
+    want = sorted(map(tuple, joins.greedy_matches(joins.within_tolerance(a, b)).collect()))
+    assert want and sorted(map(tuple, joins.tolerant_matches(a, b).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["ledger", "erp"])
+def test_derived_books_read_the_orders_once(spark, name):
+    plan = getattr(fixtures, name)(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_exceptions_meet_the_order_book_once(spark):
+    rows, erp = fixtures.ledger(spark, SF), fixtures.erp(spark, SF)
+    plan = cascade.book_exceptions(rows, erp)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "Join" not in plan
+    null = rows.limit(1).withColumn("order_id", F.lit(None).cast("string")).withColumns({"type": F.lit("payment"), "fee": F.lit(1).cast("long")})
+    nameless = erp.limit(1).withColumn("order_id", F.lit(None).cast("string"))
+    assert sorted(r.exception for r in cascade.book_exceptions(null, nameless).collect()) == ["erp_gap_no_order", "erp_gap_no_payment"]  # null meets nothing
