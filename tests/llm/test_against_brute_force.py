@@ -600,6 +600,23 @@ def test_arc_versions_and_lengths():
     assert block == content and head["warc-type"] == "response"
 
 
+def test_media_votes_with_the_last_corners_compared_late(monkeypatch):
+    """A query's last corners are only compared where another one votes; all pairs with enough votes come, with all votes."""
+    looked, whole = [], media.near_pairs
+    monkeypatch.setattr(media, "near_pairs", lambda a, b: looked.append(a.shape[1]) or whole(a, b))
+    pictures = [media.drawn(v) for v in np.random.default_rng(6).normal(size=(12, 8)).tolist()]
+    own, edits = [media.described(a) for a in pictures], ("enlarged", "noise", "reduced")
+    asked = [media.described(np.ascontiguousarray(media.EDITS[edit](a))) for edit in edits for a in pictures]
+    asked = [(p, b) for p, b in asked if len(b) >= media.MIN_INLIERS] + [(own[0][0][:6], own[0][1][:6])]  # just enough corners
+    want = []
+    for q, (_, bits) in enumerate(asked):
+        for m, (_, other) in enumerate(own):
+            votes = int((np.bitwise_count(bits[:, None] ^ other[None]).sum(2, dtype=int) <= media.MAX_BITS).any(1).sum())
+            want += [(q, m, votes)] * (votes >= media.MIN_INLIERS)
+    assert sorted(media.voted(media.early(asked), asked, own)) == want and len(want) > 20 and want[-1] == (len(asked) - 1, 0, 6)
+    assert looked == [sum(len(b) - media.MIN_INLIERS + 1 for _, b in asked)]
+
+
 def test_media_recall(spark):
     out = registry.QUERIES["op8_media"](spark, SF).toPandas()
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
