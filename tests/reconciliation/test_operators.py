@@ -1048,3 +1048,63 @@ def test_exceptions_meet_the_order_book_once(spark):
     null = rows.limit(1).withColumn("order_id", F.lit(None).cast("string")).withColumns({"type": F.lit("payment"), "fee": F.lit(1).cast("long")})
     nameless = erp.limit(1).withColumn("order_id", F.lit(None).cast("string"))
     assert sorted(r.exception for r in cascade.book_exceptions(null, nameless).collect()) == ["erp_gap_no_order", "erp_gap_no_payment"]  # null meets nothing
+
+
+def test_pools_of_few_rows_are_searched_together(monkeypatch):
+    """The same as one by one, also where numbers, rows or candidates are too many for it."""
+    rng, pools, targets = random.Random(8), [], []
+    for _ in range(500):
+        high = rng.choice([3, 20, 10**7])
+        pools.append([rng.randrange(-high, high + 1) for _ in range(rng.randrange(0, 15))])
+        targets.append(sum(v for v in pools[-1] if rng.random() < 0.5))
+    pools, targets = [*pools, [1 << 62, 1 << 62, 5]], [*targets, 5]
+    asked = [([f"r{k * 7 % 16:02}" for k in range(len(p))], p, t) for p, t in zip(pools, targets, strict=True)]
+    for cap, most_debits in ((200, False), (2, True), (32, True)):
+        assert subsets.closing_subsets_many(asked, cap, most_debits=most_debits) == [subsets.closing_subsets(*a, cap, most_debits=most_debits) for a in asked]
+    monkeypatch.setattr(closures, "search", None)
+    few = [a for a in asked[:-1] if 0 < len(a[1]) < 8]
+    assert len(subsets.closing_subsets_many(few)) == len(few)
+
+
+def test_lines_of_a_batch_are_searched_side_by_side(monkeypatch):
+    """Only a line without a known settlement waits for the one before, however a batch ends and however few rows are searched at once."""
+    import pyarrow as pa
+
+    rng, events = random.Random(9), []
+    for entity in range(40):
+        for seq in range(1, 9):
+            events += [(entity, None, None, None, None, f"r{seq}{k}", rng.choice((-2, 3, 5, 7)), rng.choice((None, seq + 1))) for k in range(rng.randrange(3))]
+            events.append((entity, seq, entity * 10 + seq, rng.choice((3, 5, 8, 10)), rng.choice(("s", "s", None)), None, None, None))
+    names, long, text_ = ["entity", "seq", "bank_index", "target", "settlement_id", "row_id", "net", "used_seq"], pa.int64(), pa.string()
+    batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*events, strict=True), [long, long, long, long, text_, text_, long, long], strict=True)], names=names)
+    calls, search = [], subsets.closing_subsets_many
+    monkeypatch.setattr(subsets, "closing_subsets_many", lambda asked, *a, **k: calls.append(len(asked)) or search(asked, *a, **k))
+
+    def lines(size, together):
+        calls.clear()
+        run = cascade._folded(32, {}, together)
+        return sorted((r for b in run(iter([batch.slice(i, size) for i in range(0, len(events), size)])) for r in b.to_pylist()), key=lambda r: r["bank_index"])
+
+    one_by_one = lines(1, 1)
+    assert calls.count(0) + calls.count(1) == len(calls) and len(one_by_one) == 320
+    assert lines(10_000, 1 << 17) == one_by_one and len(calls) <= 9 < 320 == sum(calls)
+    assert lines(10_000, 30) == one_by_one and lines(7, 1 << 17) == one_by_one
+
+
+def test_rows_ever_drawn_on_meet_their_payment_in_one_window(spark):
+    """What ``netted_out`` lists stays away with all that belongs to it, as by joins; a row without a payment is never netted out."""
+    rng, rows = random.Random(10), []
+    for k in range(150):
+        entity, hold, fee, at = k % 4, rng.random() < 0.2, rng.choice((0, 0, None)), k * 50_000
+        rows.append((entity, f"p{k}", "payment", None, 100, 0, 100, fee, hold, at))
+        for j, amount in enumerate(rng.choice(((), (100,), (60, 40), (50,)))):
+            rows.append((entity, f"f{k}_{j}", "refund", f"p{k}", 0, amount, amount, 0, False, at + rng.choice((0, 1, 9)) * 86_400))
+        if k % 10 == 0:
+            rows += [(entity, f"a{k}", "adjustment", rng.choice((None, f"p{k}")), 0, 30, 30, 0, False, at), (entity, f"p{k}", "payment", None, 70, 0, 70, 0, False, at)]
+    ledger = spark.createDataFrame(rows, "entity long, row_id string, type string, payment_id string, credit long, debit long, amount long, fee long, on_hold boolean, created_at long")
+    netted = {(r.entity, r.row_id) for r in joins.netted_out(ledger, by_date=True).collect()}
+    of = lambda r: (r[0], r[1] if r[2] == "payment" else r[3])
+    want = sorted((r[0], r[1], r[4] - r[5]) for r in rows if not r[8] and (r[2] != "payment" or r[7] is not None) and of(r) not in netted)
+    drawn = cascade._by_date(ledger)
+    assert netted and sorted((r.entity, r.row_id, r.net) for r in drawn.collect()) == want
+    assert "Join" not in drawn._jdf.queryExecution().executedPlan().toString()
