@@ -17,7 +17,8 @@ from .fixtures import BASE
 def _books(spark, sf):
     """Ledger, lines and report, written once: the tiers read each of them several times."""
     rows = kept(X.ledger(spark, sf), "ledger")
-    return rows, kept(X.bank(rows), "lines"), X.report(rows)
+    settled = kept(X.settlements(rows), "settlements")
+    return rows, kept(X.bank_of(settled), "lines"), X.report_of(settled)
 
 
 def _decided(spark, sf):

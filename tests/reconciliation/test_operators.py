@@ -1108,3 +1108,15 @@ def test_rows_ever_drawn_on_meet_their_payment_in_one_window(spark):
     drawn = cascade._by_date(ledger)
     assert netted and sorted((r.entity, r.row_id, r.net) for r in drawn.collect()) == want
     assert "Join" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settlements_of_the_books_are_summed_once(spark, monkeypatch):
+    """Lines, report and answer key come from one table of settlements."""
+    from tallyloom.plans import desk, resolution
+
+    calls, settlements = [], fixtures.settlements
+    monkeypatch.setattr(fixtures, "settlements", lambda rows: calls.append(1) or settlements(rows))
+    resolution._books(spark, SF)
+    assert len(calls) == 1
+    desk.g22_third_stage(spark, SF)
+    assert len(calls) == 2
