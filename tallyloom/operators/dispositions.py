@@ -32,11 +32,15 @@ def unassigned(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def proven(rows: DataFrame) -> DataFrame:
     """entity, row_id, proven: payments never captured, payments netted out by refunds, and those refunds."""
+    return with_proven(rows, rows).select("entity", "row_id", "proven")
+
+
+def with_proven(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """Some of the rows with what is ``proven`` of each by all of them."""
     netted = joins.netted_out(rows).select("entity", F.col("row_id").alias("payment"), F.lit(True).alias("netted"))
     key = F.when(F.col("type") == "payment", F.col("row_id")).otherwise(F.col("payment_id"))
-    x = rows.withColumn("payment", key).join(netted, ["entity", "payment"], "left")
     reason = F.when((F.col("type") == "payment") & (F.col("credit") == 0), "NOT_CAPTURED").when(F.col("netted"), "NETTED_OUT")
-    return x.select("entity", "row_id", reason.alias("proven"))
+    return some.withColumn("payment", key).join(netted, ["entity", "payment"], "left").withColumn("proven", reason).drop("payment", "netted")
 
 
 def dispositions(rows: DataFrame, lines: DataFrame, outcomes: DataFrame, causes: DataFrame, disputes: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def dispositions(rows: DataFrame, lines: DataFrame, outcomes: DataFrame, causes:
     """
     horizon = lines.groupBy("entity").agg(F.max("value_day").alias("horizon"))
     known = disputes.select("entity", "dispute_id", F.lit(True).alias("disputed")).distinct()
-    x = unassigned(rows, outcomes).join(proven(rows), ["entity", "row_id"]).join(causes, ["entity", "row_id"], "left").join(horizon, "entity").join(known, ["entity", "dispute_id"], "left")
+    x = with_proven(unassigned(rows, outcomes), rows).join(causes, ["entity", "row_id"], "left").join(horizon, "entity").join(known, ["entity", "dispute_id"], "left")
     payment = F.col("type") == "payment"
     day = calendar.local_day(F.col("created_at"))
     since = F.when(payment, calendar.two_working_days(day)).otherwise(day)

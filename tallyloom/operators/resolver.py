@@ -36,7 +36,7 @@ def _facts(rows: DataFrame) -> DataFrame:
 
 def tiers_a_and_b(rows: DataFrame, lines: DataFrame, report: DataFrame) -> DataFrame:
     """entity, bank_index, amount, value_day, seq, tier, kind, reason, settlement_id, n_candidates; kind is null where tier C must decide."""
-    facts = _facts(rows)
+    facts = kept(_facts(rows), "facts")  # few next to the rows, and read twice
     back = joins.reversals(lines)
     marks = back.select("entity", F.col("credit_index").alias("bank_index"), F.lit("credit").alias("mark")).unionByName(
         back.select("entity", F.col("debit_index").alias("bank_index"), F.lit("debit").alias("mark")))
@@ -61,26 +61,41 @@ def tiers_a_and_b(rows: DataFrame, lines: DataFrame, report: DataFrame) -> DataF
     result = "array<struct<bank_index:bigint,value_day:bigint,seq:bigint,tier:string,kind:string,reason:string,settlement_id:string,n_candidates:int>>"
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(result).alias("out"))
 
-    def step(state, y):
-        free = F.filter(F.coalesce("settlements", F.array().cast("array<struct<settlement_id:string,last_created_at:bigint>>")), lambda s: ~F.array_contains(state["used"], s["settlement_id"]))
+    nothing = F.array().cast("array<struct<settlement_id:string,last_created_at:bigint>>")
+    of_amount = F.coalesce("settlements", nothing)
+
+    def decide(y, used, free):
         made = lambda tier, kind, reason, settlement, n: F.struct(
             y["bank_index"].alias("bank_index"), y["value_day"].alias("value_day"), y["seq"].alias("seq"), F.lit(tier).alias("tier"),
             (kind if not isinstance(kind, str) else F.lit(kind)).cast("string").alias("kind"), reason.alias("reason"), settlement.alias("settlement_id"), n.cast("int").alias("n_candidates"))
         late = free[0]["last_created_at"] > y["ceiling"]
         declined = F.when(y["why"].isin("OTHER", "NOT_OUR_CREDIT"), UNRESOLVED).otherwise(DISCREPANCY)
-        out = (
+        return (
             F.when(y["why"].isNotNull(), made("A", declined, y["why"], y["settlement_id"], F.lit(0)))
-            .when(y["settlement_id"].isNotNull() & F.array_contains(state["used"], y["settlement_id"]), made("A", DISCREPANCY, F.lit("DOUBLE_ASSIGNMENT"), y["settlement_id"], F.lit(0)))
+            .when(y["settlement_id"].isNotNull() & F.array_contains(used, y["settlement_id"]), made("A", DISCREPANCY, F.lit("DOUBLE_ASSIGNMENT"), y["settlement_id"], F.lit(0)))
             .when(y["settlement_id"].isNotNull(), made("A", VERIFIED, none, y["settlement_id"], F.lit(1)))
             .when(F.size(free) == 0, made("C", none, none, none, F.lit(0)))
             .when(F.size(free) > 1, made("B", AMBIGUOUS, none, none, F.size(free)))
             .when(late, made("B", DISCREPANCY, F.lit("TEMPORAL_IMPOSSIBILITY"), free[0]["settlement_id"], F.lit(1)))
             .otherwise(made("B", VERIFIED, none, free[0]["settlement_id"], F.lit(1)))
         )
-        used = F.when(out["kind"] == VERIFIED, F.concat(state["used"], F.array(out["settlement_id"]))).otherwise(state["used"])
-        return F.struct(used.alias("used"), F.concat(state["out"], F.array(out)).alias("out"))
 
-    folded = groups.select("entity", "amount", F.explode(F.aggregate("lines", start, step, lambda s: s["out"])).alias("o"))
+    # a lambda over an array of one value works it out once
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+
+    def step(state, y):
+        free = F.filter(of_amount, lambda s: ~F.array_contains(state["used"], s["settlement_id"]))
+
+        def after(out):
+            used = F.when(out["kind"] == VERIFIED, F.concat(state["used"], F.array(out["settlement_id"]))).otherwise(state["used"])
+            return F.struct(used.alias("used"), F.concat(state["out"], F.array(out)).alias("out"))
+
+        return once(once(free, lambda left: decide(y, state["used"], left)), after)
+
+    # a line that is alone needs no fold
+    alone = F.array(decide(F.col("lines")[0], F.array().cast("array<string>"), of_amount)).cast(result)
+    every = F.when(F.size("lines") == 1, alone).otherwise(F.aggregate("lines", start, step, lambda s: s["out"]))
+    folded = groups.select("entity", "amount", F.explode(every).alias("o"))
     return folded.select("entity", "amount", "o.*")
 
 
@@ -93,12 +108,16 @@ def _own(rows: DataFrame, consumed: DataFrame) -> DataFrame:
         ((F.col("type") != "payment") | (F.col("credit") != 0)).alias("captured")).where("net <> 0 AND captured")
 
 
+def _unconsumed(rows: DataFrame) -> DataFrame:
+    """No settlement of the rows is consumed."""
+    return rows.select("entity", "settlement_id", F.lit(None).cast("long").alias("used_seq")).limit(0)
+
+
 def pool_bounds(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """entity, bank_index and how many rows its pool has at most, from counts by entity and day: no line meets a row."""
     # a row counts for a day's lines if it is there by the day's end, which is inclusive
     day = F.call_function("div", F.col("from_at") + (calendar.OFFSET - 1), F.lit(86_400))
-    none = rows.select("entity", "settlement_id", F.lit(None).cast("long").alias("used_seq")).limit(0)
-    counts = _own(rows, none).groupBy("entity", day.alias("value_day")).agg(F.count(F.lit(1)).alias("n"))
+    counts = _own(rows, _unconsumed(rows)).groupBy("entity", day.alias("value_day")).agg(F.count(F.lit(1)).alias("n"))
     asked = lines.select("entity", "value_day", F.lit(0).cast("long").alias("n")).distinct()
     days = counts.unionByName(asked).groupBy("entity", "value_day").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("entity").orderBy("value_day").rowsBetween(Window.unboundedPreceding, 0))
@@ -119,7 +138,14 @@ def eligible_pool(rows: DataFrame, lines: DataFrame, consumed: DataFrame, closin
 
 
 def searched(rows: DataFrame, lines: DataFrame, consumed: DataFrame, max_pool: int = subsets.MAX_POOL, **limits) -> DataFrame:
-    """Candidates of each line among the rows that it may draw on; pools are counted before any is made."""
+    """Candidates of each line among the rows that it may draw on; pools are counted before any is made.
+
+    No pool has more rows than its entity, so where no entity has more than ``max_pool`` days needn't be counted.
+    """
+    total = _own(rows, _unconsumed(rows)).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    if kept(total.where(F.col("n") > max_pool), "large-entities").isEmpty():
+        lines = lines.where("entity IS NOT NULL AND value_day IS NOT NULL")
+        return subsets.enumerate_lines(eligible_pool(rows, lines, consumed), max_pool=None, **limits)
     bounds = kept(pool_bounds(rows, lines), "pool-bounds")
     small = lines.join(bounds.where(F.col("bound") <= max_pool).select("entity", "bank_index"), ["entity", "bank_index"], "left_semi")
     large = lines.join(bounds.where(F.col("bound") > max_pool).select("entity", "bank_index"), ["entity", "bank_index"], "left_semi")

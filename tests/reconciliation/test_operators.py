@@ -1120,3 +1120,27 @@ def test_settlements_of_the_books_are_summed_once(spark, monkeypatch):
     assert len(calls) == 1
     desk.g22_third_stage(spark, SF)
     assert len(calls) == 2
+
+
+def test_pools_are_counted_by_day_only_where_an_entity_is_large(spark, monkeypatch):
+    ledger = spark.createDataFrame([(1, f"r{k}", "refund", 10 + k, 0, k, None) for k in range(6)], "entity long, row_id string, type string, credit long, debit long, created_at long, settlement_id string")
+    lines = spark.createDataFrame([(1, 1, 23, 1, 1), (1, 2, 15, 1, 2), (1, 3, 999, 1, 3), (2, 4, 0, 1, 1), (None, 5, 10, 1, 1), (1, 6, 10, None, 4)], "entity long, bank_index long, amount long, value_day long, seq long")
+    none = spark.createDataFrame([], "entity long, settlement_id string, used_seq long")
+    found = lambda **limits: sorted((r.bank_index, r.row_ids, r.status) for r in resolver.searched(ledger, lines, none, **limits).collect() if r.row_ids or limits == {})
+    assert [x[:2] for x in found(max_pool=5)] == [(2, "r5")]  # single rows alone
+    bounds = resolver.pool_bounds
+    monkeypatch.setattr(resolver, "pool_bounds", None)
+    few = found()
+    monkeypatch.setattr(resolver, "pool_bounds", bounds)
+    monkeypatch.setattr(resolver, "kept", lambda df, name: df if name != "large-entities" else lines.limit(1))  # as if one were large
+    assert few == found() == [(1, "r0|r3", "exhausted"), (1, "r1|r2", "exhausted"), (2, "r5", "exhausted"), (3, None, "exhausted"), (4, "", "empty_pool")]
+
+
+def test_the_contract_asks_each_table_once(spark):
+    """Checks of a table share its pass: a plan of few joins."""
+    e = lambda schema: spark.createDataFrame([], schema)
+    found = gates.contract_breaches(
+        e("entity long, bank_index long, tier string, kind string, reason string, settlement_id string"), e("entity long, bank_index long, source string, party string"), e("entity long, bank_index long, row_id string"),
+        e("entity long, bank_index long, credit_ids array<string>, debit_ids array<string>"), e("entity long, row_id string, proven string, reason string, caused_by long, provable boolean"),
+        e("entity long, bank_index long, n long, complete boolean"), e("entity long, bank_index long, rivals long"), e("entity long, row_id string, ground string"))
+    assert found._jdf.queryExecution().analyzed().toString().count("Join ") == 4
