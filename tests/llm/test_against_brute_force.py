@@ -617,6 +617,25 @@ def test_media_votes_with_the_last_corners_compared_late(monkeypatch):
     assert looked == [sum(len(b) - media.MIN_INLIERS + 1 for _, b in asked)]
 
 
+def test_media_pairs_far_along_the_axes_are_not_looked_at(monkeypatch):
+    """Every pair up to the bound is found, at it and beside it too, and the bits of few others are compared."""
+    rng = np.random.default_rng(3)
+    own = np.concatenate([media.described(media.drawn(v))[1] for v in rng.normal(size=(40, 8)).tolist()])
+    asked = []
+    for k, bits in enumerate(np.unpackbits(own, axis=1)):  # 71, 72 or 73 bits from one of the images' descriptors, or most of them
+        bits[rng.permutation(bits.size)[: (71, 72, 73, 400)[k % 4]]] ^= 1
+        asked.append(np.packbits(bits))
+    asked = np.array(asked)
+    far = np.bitwise_count(asked[:, None] ^ own[None]).sum(2, dtype=int)
+    assert {71, 72, 73} <= set(far.ravel().tolist())
+    looked, whole = [], np.bitwise_count
+    monkeypatch.setattr(media, "COLUMNS", 500)
+    monkeypatch.setattr(media.np, "bitwise_count", lambda x: looked.append(x.size) or whole(x))
+    found = media.near_pairs(media.words(asked), media.words(own))
+    assert sorted(np.stack(found, axis=1).tolist()) == np.argwhere(far <= media.MAX_BITS).tolist()
+    assert sum(looked) < far.size  # eight words a pair, were all pairs looked at; three were
+
+
 def test_media_recall(spark):
     out = registry.QUERIES["op8_media"](spark, SF).toPandas()
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
