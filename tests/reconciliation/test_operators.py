@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import tracemalloc
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -919,6 +920,37 @@ def test_grounds_of_the_supplier_alone(spark):
     assert sorted((r.month, r.residual) for r in tax.residuals(accrued, gst).collect()) == [("2024-01", 0), ("2024-02", 0)]
 
 
+def test_supplier_of_random_entities(spark):
+    """The supplier and its grounds by plain loops; nulls, ties, repeated invoices and entities on one side alone too."""
+    rng = random.Random(4)
+    months = ["2024-01", "2024-02", "2024-03", None]
+    accrued = [(e, m, rng.randrange(-3, 12), 1, rng.choice([0, 1, 2])) for e in (*range(40), None) for m in months if rng.random() < 0.8]
+    invoices = [(e, rng.choice(["A", "B", "C", None]), rng.choice(months), rng.choice([None, *range(-3, 16)]), rng.random() < 0.5, rng.random() < 0.5) for e in (*range(3, 44), None) for _ in range(rng.randrange(8))]
+    a = spark.createDataFrame(accrued, "entity long, month string, fees long, taxes long, n_rows long")
+    g = spark.createDataFrame(invoices, "entity long, gstin string, filing_period string, taxable_value long, has_irn boolean, filed boolean").withColumn("tax_total", F.lit(1).cast("long"))
+    hits = Counter((e, gstin) for e, gstin, _, value, *_ in invoices for f, _, fees, _, n in accrued if e is not None and e == f and value is not None and abs(value - fees) <= max(1, n))
+    best = {}
+    for (e, gstin), n in sorted(hits.items(), key=lambda x: (-x[1], x[0][1] or "")):
+        best.setdefault(e, (gstin, n))
+    own = [x for x in invoices if x[0] in best and x[1] is not None and x[1] == best[x[0]][0]]
+    there = {(e, m) for e, _, m, *_ in own if m is not None}
+    want = [(e, m, "gstr2b_absent") for e, m, *_ in accrued if e in best and (e, m) not in there] + [(e, m, "gstr2b_no_irn") for e, _, m, _, irn, _ in own if not irn] + [(e, m, "gstr2b_37a_exposure") for e, _, m, _, _, filed in own if not filed]
+    risk = tax.months_at_risk(a, g)
+    assert sorted(map(str, map(tuple, risk.collect()))) == sorted(map(str, want)) and len(want) > 50
+    supplier = tax.supplier(a, g)
+    assert {r.entity: (r.gstin, r.hits) for r in supplier.collect()} == best
+    plan = tax.supplier(a, g)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan  # months and invoices are dealt by entity once
+
+
+def test_pair_metrics_deal_both_sides_at_once(spark):
+    flagged = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "a"), (4, "b"), (7, None)], "id long, ground string")
+    truth = spark.createDataFrame([(1, "a"), (3, "a"), (3, "a"), (None, "a"), (5, "c"), (7, None)], "id long, ground string")
+    out = gates.pair_metrics(flagged, truth, ["id", "ground"], "ground")
+    assert {r.ground: tuple(r)[1:] for r in out.collect()} == {"a": (1, 2, 2, 3333, 3333), "b": (0, 1, 0, 0, None), "c": (0, 0, 1, None, 0), None: (0, 1, 1, 0, 0)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_settlements_of_two_moments_raise(spark):
     rows = spark.createDataFrame([(1, "s", "a", 5), (1, "s", "b", 6), (1, None, "c", 7), (1, None, "d", 8)], "entity long, settlement_id string, row_id string, settled_at long").selectExpr("*", "'payment' AS type", "1L AS fee", "1L AS credit", "0L AS debit")
     assert aggregates.batches(rows).count() == 1
