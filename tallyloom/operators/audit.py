@@ -397,6 +397,60 @@ def assigned_pairs(costs: list[list[int]], limit: int = 10_000) -> list[tuple[in
     return sorted((row_of[j] - 1, j - 1, costs[row_of[j] - 1][j - 1], costs[row_of[j] - 1][j - 1] <= limit) for j in range(1, m + 1) if row_of[j])
 
 
+def nearest_pairs(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``left`` and ``right`` of the one-to-one pairing of the smaller side whose sums of differences cost least; both have two whole coordinates.
+
+    Shortest augmenting paths with potentials, as ``assigned_pairs`` has them, but no table of costs: memory grows with the
+    points. A path looks only at points whose first coordinate lies within the bound that the nearest free one sets, and once at points that are alike.
+    """
+    if len(left[0]) > len(right[0]):
+        return nearest_pairs(right, left)[::-1]
+    left, right = [np.asarray(x, np.int64) for x in left], [np.asarray(y, np.int64) for y in right]
+    n, m, far = len(left[0]), len(right[0]), np.iinfo(np.int64).max // 2
+    order = np.lexsort(right[::-1])
+    y0, y1 = right[0][order], right[1][order]
+    alike = np.unique(np.stack(left, axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    u, v, row_of, column_of = np.zeros(n, np.int64), np.zeros(m, np.int64), np.full(m, -1), np.full(n, -1)
+    least, ahead, came = np.full(m, far), np.full(m, far), np.zeros(m, np.int64)
+    for start in range(n):
+        cost = np.abs(y0 - left[0][start]) + np.abs(y1 - left[1][start]) - v
+        u[start] = cost.min()
+        at, base, end, low, high, looked = start, 0, -1, m, 0, {}
+        bound = int(cost[row_of < 0].min() - u[start])  # how far the nearest free point is by what is known
+        while True:
+            ahead_of = base - int(u[at])
+            if ahead_of < looked.get(alike[at], far):
+                looked[alike[at]] = ahead_of
+                x = int(left[0][at])
+                top, end_ = np.searchsorted(y0, (x - bound + ahead_of, x + bound - ahead_of + 1))
+                cost = np.abs(y0[top:end_] - x) + np.abs(y1[top:end_] - left[1][at]) - v[top:end_] + ahead_of
+                nearer = np.flatnonzero((cost < least[top:end_]) & (cost <= bound))
+                if len(nearer):
+                    cost, nearer = cost[nearer], nearer + top
+                    least[nearer], came[nearer] = cost, at
+                    low, high = min(low, top), max(high, end_)
+                    free = row_of[nearer] < 0
+                    ahead[nearer[~free]] = cost[~free]
+                    if free.any() and (end < 0 or cost[free].min() < bound):
+                        k = int(cost[free].argmin())
+                        bound, end = int(cost[free][k]), int(nearer[free][k])
+            j = low + int(ahead[low:high].argmin())
+            if ahead[j] >= bound:
+                break
+            at, base = int(row_of[j]), int(ahead[j])
+            ahead[j] = far
+        met = low + np.flatnonzero(least[low:high] < bound)
+        v[met] -= bound - least[met]
+        u[row_of[met]] += bound - least[met]
+        u[start] += bound
+        least[low:high] = ahead[low:high] = far
+        at = -1
+        while at != start:
+            at = int(came[end])
+            row_of[end], column_of[at], end = at, end, int(column_of[at])
+    return np.arange(n), order[column_of]
+
+
 def cheapest_pairs(edges: list[tuple[object, object, int]], limit: int) -> list[tuple[object, object, int]]:
     """The one-to-one pairing among ``edges`` (left, right, cost) that costs least if a left one without a partner costs ``limit``.
 

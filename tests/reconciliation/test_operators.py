@@ -494,6 +494,36 @@ def test_residual_pairs_of_payments_that_name_an_order(spark):
         assert out == {"p1": ("o1", 1_000_010, "paired"), "p2": (None, None, "unpaired"), "q1": (None, None, "unpaired")}
 
 
+def test_residual_pairs_of_a_large_entity(spark):
+    """Size drops nothing: refused pairs are there, pairs that can be accepted are searched however many, and the pairing is the cheapest."""
+    rng = random.Random(6)
+    left = [(1, f"p{k:03}", rng.randrange(0, 60_000), rng.randrange(0, 60)) for k in range(260)] + [(2, f"q{k:03}", 500, 5) for k in range(330)] + [(3, "r", 1, None)]
+    right = [(1, f"o{k:03}", rng.randrange(0, 60_000), rng.randrange(0, 60)) for k in range(240)] + [(2, f"s{k:03}", 500, 5) for k in range(320)] + [(3, "t", 1, 1)]
+    a, b = spark.createDataFrame(left, "entity long, row_id string, amount long, day long"), spark.createDataFrame(right, "entity long, order_id string, amount long, invoice_day long")
+    cost = lambda x, y: abs(x[2] - y[2]) + 1_000 * abs(x[3] - y[3]) + 1_000_000
+    of = lambda side, entity: [x for x in side if x[0] == entity]
+    for limit in (10_000, 1_001_000):
+        out = cascade.residual_pairs(a, b, limit=limit).collect()
+        assert sorted(r.row_id for r in out) == sorted(x[1] for x in left)
+        pairs, at = [r for r in out if r.order_id], {x[1]: x for x in left + right}
+        assert len({r.order_id for r in pairs}) == len(pairs) and all(r.cost == cost(at[r.row_id], at[r.order_id]) and r.status == ("paired" if r.cost <= limit else "refused") for r in pairs)
+        assert Counter((r.entity, r.status) for r in out if not r.order_id) == {(1, "unpaired"): 20, (2, "unpaired"): 10, (3, "unpaired"): 1}
+        assert sum(r.cost for r in pairs if r.entity == 1) == sum(c for *_, c, _ in audit.assigned_pairs([[cost(x, y) for y in of(right, 1)] for x in of(left, 1)]))
+        assert sum(r.cost for r in pairs if r.entity == 2) == 320 * 1_000_000
+
+
+_POINTS = st.integers(1, 12).flatmap(lambda most: st.lists(st.tuples(st.integers(-most, most), st.integers(-most, most)), min_size=1, max_size=12))
+
+
+@given(_POINTS, _POINTS)
+@settings(max_examples=200, deadline=None)
+def test_nearest_pairs(left, right):
+    costs = [[abs(x - y) + abs(d - e) for y, e in right] for x, d in left]
+    i, j = audit.nearest_pairs(tuple(zip(*left, strict=True)), tuple(zip(*right, strict=True)))
+    assert len(set(i.tolist())) == len(set(j.tolist())) == len(i) == min(len(left), len(right))
+    assert sum(costs[x][y] for x, y in zip(i, j, strict=True)) == sum(c for *_, c, _ in audit.assigned_pairs(costs))
+
+
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 30)), max_size=25))
 @settings(max_examples=200, deadline=None)
 def test_cheapest_pairs(edges):
