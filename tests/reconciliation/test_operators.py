@@ -781,6 +781,45 @@ def test_break_history_as_a_stream(spark, tmp_path):
     assert after.where("change = 'closed' AND seq = 9").count() == old.where("entity = 1 AND closed_seq IS NULL").count()
 
 
+def test_break_tables_equal_the_keyed_stream(spark, tmp_path):
+    """Batches with runs out of order, markers before and after sightings, repeats and late rows; the last batch runs again."""
+    rng = random.Random(11)
+    schema, told = "entity long, seq long, row_id string", {}
+    arrive = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    for _ in range(4):
+        rows = [(rng.randrange(6), rng.randrange(1, 9), rng.choice([None, *"abcde"])) for _ in range(rng.randrange(1, 40))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        breaks.follow(arrive(), f"{tmp_path}/tables", f"{tmp_path}/check", 3)
+        with ingest.rocks_db(spark):
+            breaks.break_changes(arrive(), 3).writeStream.format("parquet").option("path", f"{tmp_path}/keyed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        told = {d: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{d}").select(breaks.NAMES).collect()), key=str) for d in ("tables", "keyed")}
+        assert told["tables"] == told["keyed"]
+    assert {"opened", "closed", "reopened", "late"} <= {x[3] for x in told["tables"]}
+    (tmp_path / "check/commits/3").unlink()
+    (tmp_path / "check/commits/.3.crc").unlink(missing_ok=True)
+    breaks.follow(arrive(), f"{tmp_path}/tables", f"{tmp_path}/check", 3)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/tables").select(breaks.NAMES).collect()), key=str) == told["tables"]
+    with pytest.raises(ValueError, match="another stream"):
+        breaks.follow(arrive(), f"{tmp_path}/tables", f"{tmp_path}/new", 3)
+    with pytest.raises(ValueError, match="another stream"):
+        breaks.follow(arrive(), f"{tmp_path}/more", f"{tmp_path}/state", 3)
+
+
+def test_break_tables_write_what_a_batch_touches(spark, tmp_path):
+    """No call for each entity: state is a table by bucket, and what is untouched stays as it was written."""
+    def follow(rows):
+        spark.createDataFrame(rows, "entity long, seq long, row_id string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        breaks.follow(spark.readStream.schema("entity long, seq long, row_id string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", 8)
+        return {p.name for n in (tmp_path / "check/breaks").glob("batch=*") for p in n.glob("part=[0-9]*") if n.name == f"batch={len(list((tmp_path / 'check/offsets').glob('[0-9]*'))) - 1}"}
+
+    every = follow([(e, 1, r) for e in range(60) for r in ("a", "b", None)])
+    assert every == {f"part={k}" for k in range(8)}
+    assert len(follow([(7, 2, "a"), (7, 2, None)])) == 1 and len(follow([(7, 3, None)])) == 1
+    assert len(list((tmp_path / "check/breaks").glob("batch=*/part=[0-9]*"))) == 9  # eight, and the one before for a batch that runs again
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").where("seq > 1").select("entity", "row_id", "seq", "change", "last_seq").collect())) == [(7, "a", 3, "closed", 2), (7, "b", 2, "closed", 1)]
+    assert not (tmp_path / "check/state").exists()
+
+
 def test_small_pools_are_searched_by_plain_sums(monkeypatch):
     """The same as by arrays, at caps and budgets of any size, without an array."""
     from tallyloom.operators import closures
