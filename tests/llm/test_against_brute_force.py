@@ -636,6 +636,22 @@ def test_media_pairs_far_along_the_axes_are_not_looked_at(monkeypatch):
     assert sum(looked) < far.size  # eight words a pair, were all pairs looked at; three were
 
 
+def test_media_flags_and_bits_in_words(monkeypatch):
+    """Flags found eight at a time, differing bits added in lanes (also beyond 255), and tiles of any shape."""
+    rng = np.random.default_rng(4)
+    for shape in ((16, 24), (5, 7), (1, 8), (3, 0)):
+        for share in (0.0, 0.05, 1.0):
+            flags = rng.random(shape) < share
+            assert media.places(flags).tolist() == np.flatnonzero(flags).tolist()
+    bits = np.concatenate([rng.integers(0, 256, (40, 60), dtype=np.uint8), np.zeros((1, 60), np.uint8), np.full((1, 60), 255, np.uint8)])
+    x = np.ascontiguousarray(media.words(bits).T)
+    far = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2, dtype=int)
+    assert far.max() == 480 and all(media.differing(np.repeat(row[None], len(x), 0), x).tolist() == want for row, want in zip(x, far.tolist(), strict=True))
+    monkeypatch.setattr(media, "TILE", 7)
+    monkeypatch.setattr(media, "ROWS", 5)
+    assert sorted(np.stack(media.near_pairs(media.words(bits), media.words(bits)), axis=1).tolist()) == np.argwhere(far <= media.MAX_BITS).tolist()
+
+
 def test_media_recall(spark):
     out = registry.QUERIES["op8_media"](spark, SF).toPandas()
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
